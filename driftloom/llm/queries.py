@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -28,3 +29,19 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op6_content_addressed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import idstore
+
+    idstore.write(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), path := idstore.fresh_path(spark))
+    return idstore.checksums(idstore.read(spark, path))
+
+
+@query
+def op9_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexicon import transcode
+
+    coded = transcode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
