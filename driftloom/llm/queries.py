@@ -45,3 +45,29 @@ def op9_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     coded = transcode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op4_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import search
+
+    rows = table(spark, sf_dir, "embeddings")
+    return search(rows, rows.where("vec_id % 20 = 0"), 20)
+
+
+ORACLES["op4_block_matrix_neighbours"] = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query
+def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
