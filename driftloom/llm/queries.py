@@ -71,3 +71,19 @@ def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFram
     from .vectors import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_tree_scored_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_columnar_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, format_chat
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    return digests(format_chat(turns.unionByName(own)))
