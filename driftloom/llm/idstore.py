@@ -29,7 +29,7 @@ from pyspark.sql.window import Window as W
 from .common import arrow_map, binary_array, columns, ragged, shared_dir, spool, text_slices, unspool, utf8_view
 from .tokenizing import encoder, with_end
 
-WINDOW, LEAST, MASK, MOST, DIGEST = 16, 32, 127, 1024, 16
+WINDOW, LEAST, MASK, MOST, DIGEST = 16, 64, 255, 2048, 16  # WINDOW is a power of two
 _FACTOR = 0x9E3779B97F4A7C15
 
 STAGED = "doc_id long, row long, n_tokens long, recipe binary, sizes binary, payload binary"
@@ -38,12 +38,13 @@ FILE = "doc_id long, row long, start long, n_tokens long, recipe binary, sizes b
 
 def rolling(ids: np.ndarray) -> np.ndarray:
     """Hash of the WINDOW ids that end at each place, modulo 2**64, mixed."""
-    power, total = 1, np.zeros(len(ids), np.uint64)
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(32)
-    for back in range(WINDOW):
-        total[back:] += mixed[: len(ids) - back] * np.uint64(power)
-        power = power * _FACTOR % (1 << 64)
+    total = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    total ^= total >> np.uint64(32)
+    width = 1
+    while width < WINDOW:  # of two windows one of twice the width
+        wider = total.copy()
+        wider[width:] += total[:-width] * np.uint64(pow(_FACTOR, width, 1 << 64)) if width < len(total) else 0
+        total, width = wider, 2 * width
     return (total * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
 
 
@@ -86,6 +87,8 @@ def staged(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, row = encoder(tokenizer), TaskContext.get().partitionId() << 33
+        if code.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("this format holds ids of 16 bits")
         for batch in text_slices(batches, "text"):
             ids, at = with_end(*code.encode(*utf8_view(batch.column("text"))), end_id)
             starts = chunk_starts(ids, at)

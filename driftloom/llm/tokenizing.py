@@ -36,6 +36,34 @@ def piece_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(marks)
 
 
+_LETTER, _STOP, _SMALL = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP[list(b"!#$%&()*+,-./:;=?@")] = True
+_SMALL[65:91] += 32
+
+
+def word_cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For tokenizers that drop white space and case and split letters from marks: bytes, piece starts (and the end), texts' places.
+
+    ASCII white space is left out, ASCII capitals are small, and there is a cut between a Latin letter and a mark that
+    starts neither a contraction nor a special token. Texts with ``<|``, which may mark a special token, keep their case.
+    """
+    starts = np.zeros(len(data) + 1, bool)
+    starts[offsets] = True
+    starts[-1] = True
+    if len(data):
+        ink = ~WHITE[data]
+        one, two = data[:-1], np.concatenate([[np.uint8(0)], data[:-2]])
+        latin = _LETTER[one] | ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7))
+        starts[1:-1] |= ~ink[:-1] | (latin & _STOP[data[1:]])
+        special = bool(((data[:-1] == 60) & (data[1:] == 124)).any())
+        place = np.concatenate([[0], np.cumsum(ink)])
+        data = data[ink] if special else _SMALL[data[ink]]
+        cuts = np.unique(place[starts])
+        return data, cuts, place[offsets]
+    return data, np.zeros(1, np.int64), offsets
+
+
 class IdStore:
     """Growing ragged array of id runs."""
 
@@ -65,6 +93,9 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # Whether the tokenizer drops white space and case and keeps letters and marks apart, as it says itself.
+        probe = "Ab, Cd.\tEF\n!g"
+        self.by_words = [t for t, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(probe))] == ["ab", ",", "cd", ".", "ef", "!", "g"] if self.tokenizer.normalizer else False
         self.forget()
 
     def forget(self) -> None:
@@ -88,7 +119,10 @@ class PieceEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and each text's first place among them (and the end)."""
-        cuts = piece_cuts(data, offsets)
+        if self.by_words:
+            data, cuts, offsets = word_cuts(data, offsets)
+        else:
+            cuts = piece_cuts(data, offsets)
         if len(cuts) < 2:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
