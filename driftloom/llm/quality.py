@@ -66,7 +66,8 @@ def features(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray | None =
     used = np.concatenate([full != 0, start != 0])
     if chosen is not None:
         used &= chosen[code]
-    codes = np.unique((np.concatenate([row, row])[used] << BITS) | code[used])
+    codes = np.sort((np.concatenate([row, row])[used] << BITS) | code[used])
+    codes = codes[np.concatenate([[True], codes[1:] != codes[:-1]])] if len(codes) else codes
     at = np.searchsorted(codes >> BITS, np.arange(len(first)))
     # Shapes: shares of bytes and of words of certain kinds.
     size, some = np.maximum(np.diff(offsets), 1), np.maximum(n, 1)

@@ -1,13 +1,15 @@
 """Whole-text encoding with the tokenizers library, paid once per distinct piece of text.
 
-A text is cut before white space that follows a visible character. Neither pre-tokenizer in use joins text across
-such a place, and Unicode normalisation and the marks of special tokens don't either, so the ids of the pieces,
-one after the other, are the ids of the text. Where a byte pattern might be the end of a Unicode space, there is no cut.
+A text is cut before white space that follows a visible character, and between Latin letters and plain marks or digits.
+Neither pre-tokenizer in use joins text across such a place, and Unicode normalisation and the marks of special tokens
+don't either, so the ids of the pieces, one after the other, are the ids of the text. Where a byte pattern might be the
+end of a Unicode space, there is no cut.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,26 @@ WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
+_LETTER, _STOP, _SMALL = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP[list(b"0123456789!#$%&()*+,-./:;=?@")] = True
+_SMALL[65:91] += 32
+
+
+def _latin(data: np.ndarray) -> np.ndarray:
+    """Where a byte ends a letter of ASCII or of the second half of Latin-1."""
+    out = _LETTER[data]
+    if len(data) > 1:
+        one, two = data[1:], data[:-1]
+        out[1:] |= (two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7)
+    return out
+
+
+def _between(data: np.ndarray) -> np.ndarray:
+    """Where a letter meets a mark or digit that starts neither a contraction nor a special token: no token lies across."""
+    return (_latin(data)[:-1] & _STOP[data[1:]]) | (_STOP[data[:-1]] & _LETTER[data[1:]])
+
+
 def piece_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Byte positions that start a piece, with every text's start, and the end."""
     if not len(data):
@@ -30,38 +52,34 @@ def piece_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     one, two, three = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
     solid = (one > 0x20) & (one != 0x7F) & ~((one >= 0x80) & ((two == 0xC2) | ((three >= 0xE1) & (three <= 0xE3))))
     marks = np.zeros(len(data) + 1, bool)
+    marks[1:-1] = _between(data)
     marks[at[solid]] = True
     marks[offsets] = True
     marks[[0, -1]] = True
     return np.flatnonzero(marks)
 
 
-_LETTER, _STOP, _SMALL = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
-_STOP[list(b"!#$%&()*+,-./:;=?@")] = True
-_SMALL[65:91] += 32
-
-
 def word_cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For tokenizers that drop white space and case and split letters from marks: bytes, piece starts (and the end), texts' places.
 
-    ASCII white space is left out, ASCII capitals are small, and there is a cut between a Latin letter and a mark that
-    starts neither a contraction nor a special token. Texts with ``<|``, which may mark a special token, keep their case.
+    ASCII white space is left out and Latin-1 capitals are small. Slices with ``<|``, which may mark a special token, keep
+    their case.
     """
+    if not len(data):
+        return data, np.zeros(1, np.int64), offsets
+    ink = ~WHITE[data]
     starts = np.zeros(len(data) + 1, bool)
+    starts[1:-1] = _between(data) | ~ink[:-1]
     starts[offsets] = True
-    starts[-1] = True
-    if len(data):
-        ink = ~WHITE[data]
-        one, two = data[:-1], np.concatenate([[np.uint8(0)], data[:-2]])
-        latin = _LETTER[one] | ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7))
-        starts[1:-1] |= ~ink[:-1] | (latin & _STOP[data[1:]])
-        special = bool(((data[:-1] == 60) & (data[1:] == 124)).any())
-        place = np.concatenate([[0], np.cumsum(ink)])
-        data = data[ink] if special else _SMALL[data[ink]]
-        cuts = np.unique(place[starts])
-        return data, cuts, place[offsets]
-    return data, np.zeros(1, np.int64), offsets
+    starts[[0, -1]] = True
+    place = np.concatenate([[0], np.cumsum(ink)])
+    small = data
+    if not ((data[:-1] == 60) & (data[1:] == 124)).any():
+        small = _SMALL[data]
+        small[1:] += ((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)).astype(np.uint8) << 5
+    marks = np.zeros(place[-1] + 1, bool)
+    marks[place[starts]] = True
+    return small[ink], np.flatnonzero(marks), place[offsets]
 
 
 class IdStore:
@@ -96,6 +114,10 @@ class PieceEncoder:
         # Whether the tokenizer drops white space and case and keeps letters and marks apart, as it says itself.
         probe = "Ab, Cd.\tEF\n!g"
         self.by_words = [t for t, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(probe))] == ["ab", ",", "cd", ".", "ef", "!", "g"] if self.tokenizer.normalizer else False
+        # Pieces that are one token of the pre-tokenizer go straight to the library's model, in its byte alphabet.
+        self.plain = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+" if self.by_words else rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.letters = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         self.forget()
 
     def forget(self) -> None:
@@ -111,12 +133,20 @@ class PieceEncoder:
         if len(new := np.flatnonzero(at < 0)):
             fresh = [pieces[i] for i in new]
             for lo in range(0, len(fresh), 4096):
-                ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in fresh[lo : lo + 4096]], add_special_tokens=False)]
+                ids = self.fresh_ids(fresh[lo : lo + 4096])
                 self.store.add(np.fromiter((x for run in ids for x in run), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
             at[new] = np.arange(self.store.n - len(fresh), self.store.n)
             self.known.update(zip(fresh, at[new].tolist(), strict=True))
         return at
 
+    def fresh_ids(self, pieces: list[bytes]) -> list[list[int]]:
+        plain, tokenize, letters = self.plain, self.tokenizer.model.tokenize, self.letters
+        ids = [[t.id for t in tokenize(p.decode("latin-1").translate(letters))] if plain(p) else None for p in pieces]
+        odd = [i for i, x in enumerate(ids) if x is None]
+        for i, e in zip(odd, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in odd], add_special_tokens=False), strict=True):
+            ids[i] = e.ids
+        return ids
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and each text's first place among them (and the end)."""
         if self.by_words:
