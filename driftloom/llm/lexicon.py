@@ -31,7 +31,7 @@ LEXICON_WORDS, WORD_BYTES = 32_768, 64
 #: Symbols of a word up to which words are merged side by side in one matrix.
 MATRIX_SYMBOLS = 96
 #: Merged words that a worker remembers; beyond that it starts over.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,7 +53,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts, summed inside each slice before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", 24 << 20):
+        for batch in text_slices(batches, "text"):
             data, bounds, _ = words_of(*utf8_view(batch.column("text")))
             short = np.flatnonzero(np.diff(bounds) <= WORD_BYTES)
             words = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])

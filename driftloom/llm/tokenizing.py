@@ -17,7 +17,7 @@ import pyarrow as pa
 from .common import ragged
 
 #: Distinct pieces that a Python worker remembers; beyond that it starts over (results do not change).
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
