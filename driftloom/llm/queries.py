@@ -94,3 +94,10 @@ def op8_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .private_data import digest
+
+    return digest(table(spark, sf_dir, "documents"))
