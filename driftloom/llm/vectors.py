@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -24,9 +24,9 @@ WAVE, TILE = 4096, 1024
 #: k-means: rows of the sample, vectors a cell should hold, most cells, rounds.
 SAMPLE, CELL, CELLS, ROUNDS = 20_000, 512, 4096, 8
 #: Distance beyond a cell's border, as a sine, up to which a vector is compared in that cell too.
-MARGIN = 0.1
+MARGIN = 0.08
 #: Vectors of one block; a task compares two blocks of one cell.
-BLOCK = 128
+BLOCK = 192
 
 
 def usable(table: DataFrame) -> DataFrame:
@@ -179,11 +179,18 @@ def near_duplicates(table: DataFrame, least: float = 0.95) -> DataFrame:
                 yield columns(cell=cell.astype(np.int32), home=cell == home[row], rep=part.column("rep").take(take), n=part.column("n").take(take), raw=part.column("raw").take(take))
 
     assigned = spool(arrow_map(same.select("rep", "n", "raw"), assign, "cell int, home boolean, rep long, n long, raw binary"), "cells")
-    sizes = assigned.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # one row per cell, CELLS at most
-    dealt = assigned.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = dealt.where("home").select("cell", F.col("block").alias("i"), other.alias("j"), F.lit(True).alias("left"), "rep", "n", "raw")
-    right = dealt.select("cell", other.alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), "rep", "n", "raw")
+    # One row per cell, CELLS at most. A block of the cell's own vectors meets each block of all that are compared there.
+    sizes = assigned.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("own"), F.ceil(F.count("*") / BLOCK).cast("int").alias("all"))
+    dealt = assigned.join(F.broadcast(sizes), "cell")
+
+    def block(of: str) -> Column:
+        return F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
+
+    def every(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    left = dealt.where("home").select("cell", block("own").alias("i"), every("all").alias("j"), F.lit(True).alias("left"), "rep", "n", "raw")
+    right = dealt.where("own > 0").select("cell", every("own").alias("i"), block("all").alias("j"), F.lit(False).alias("left"), "rep", "n", "raw")
 
     def compare(pairs: pa.Table) -> pa.Table:
         mine = pairs.column("left").to_numpy()
