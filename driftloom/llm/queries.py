@@ -101,3 +101,10 @@ def op7_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame
     from .private_data import digest
 
     return digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_token_group_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import ngram_jaccard_components
+
+    return ngram_jaccard_components(table(spark, sf_dir, "documents"))
