@@ -2,11 +2,52 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftloom.llm.common import shared_dir, spool, table
+from driftloom.llm.jaccard import BROADCAST_ROWS, ngram_jaccard_components
+from driftloom.llm.packing import pack
+from driftloom.llm.private_data import find_private, sanitised
+from driftloom.llm.quality import classify
+from driftloom.llm.queries import tokenizer
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return classify(docs, table(spark, sf_dir, "labels"), extra=True).where("accepted").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    found = ngram_jaccard_components(docs)
+    dropped = spool(found.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
+    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their personal data and the terms that give it away; n_chars is the new length."""
+    clean = find_private(docs).withColumn("text", sanitised(F.coalesce("text", F.lit("")), F.col("spans")))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences."""
+    return pack(docs, tokenizer("byte_bpe_50k.json"))
+
+
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("PII", private_data), ("best-fit packing", packing)]
 
-STAGES = []
+#: The stages train a model and hash shingles, which SQL does not express; the tests hold them against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; each stage's rows are written as Parquet and read again."""
+    docs, at = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/driftloom/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+        docs = spark.read.parquet(f"{at}/{k}")
+    return docs
