@@ -1,0 +1,139 @@
+"""Set and distribution metrics between a base view and its counterfactual views, for all pairs at once.
+
+``pairs`` has (family, doc) and keeps pairs with empty views; ``base`` has (doc, …), ``cf`` (family, doc, …). Elements are
+flagged by side in one union and aggregation, so each element is shuffled once and no pair meets in one task.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+PAIR = ["family", "doc"]
+AMPLIFICATION_EPS = 0.05
+
+
+def sides(pairs: DataFrame, base: DataFrame, cf: DataFrame, element: list[str]) -> DataFrame:
+    """One row per pair and element with how often each side has it (``nb``, ``nc``)."""
+    of_base = pairs.join(base, "doc").select(*PAIR, *element, F.lit(1).alias("nb"), F.lit(0).alias("nc"))
+    of_cf = cf.select(*PAIR, *element, F.lit(0).alias("nb"), F.lit(1).alias("nc"))
+    return of_base.unionByName(of_cf).groupBy(*PAIR, *element).agg(F.sum("nb").alias("nb"), F.sum("nc").alias("nc"))
+
+
+def ratio(part: Column, whole: Column, empty: float) -> Column:
+    return F.when(whole == 0, F.lit(empty)).otherwise(part / whole)
+
+
+def zero(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(0))
+
+
+def jaccard(pairs: DataFrame, base: DataFrame, cf: DataFrame, element: list[str]) -> DataFrame:
+    """Intersection over union of the sides' element sets; two empty sets agree fully."""
+    counted = sides(pairs, base, cf, element).groupBy(*PAIR).agg(F.count_if(F.expr("nb > 0 and nc > 0")).alias("both"), F.count("*").alias("any"))
+    return pairs.join(counted, PAIR, "left").select(*PAIR, ratio(zero("both"), zero("any"), 1.0).alias("jaccard"))
+
+
+def f1(pairs: DataFrame, truth: DataFrame, cf: DataFrame, element: list[str]) -> DataFrame:
+    """F1, precision and recall of the counterfactual side against ``truth``: 1 if both are empty, 0 if one is."""
+    counted = sides(pairs, truth, cf, element).groupBy(*PAIR).agg(F.count_if(F.expr("nb > 0 and nc > 0")).alias("hit"), F.count_if(F.expr("nb > 0")).alias("nt"), F.count_if(F.expr("nc > 0")).alias("np"))
+    filled = pairs.join(counted, PAIR, "left").select(*PAIR, *(zero(c).alias(c) for c in ("hit", "nt", "np")))
+    both_empty = (F.col("nt") == 0) & (F.col("np") == 0)
+    rate = lambda n: F.when(both_empty, 1.0).when(F.col(n) == 0, 0.0).otherwise(F.col("hit") / F.col(n))
+    return filled.select(*PAIR, rate("np").alias("precision"), rate("nt").alias("recall"), F.when(both_empty, 1.0).when((F.col("nt") == 0) | (F.col("np") == 0), 0.0).otherwise(2 * F.col("hit") / (F.col("nt") + F.col("np"))).alias("f1"))
+
+
+def rename(relation: Column, renames: dict[str, str]) -> Column:
+    """Renamed relations back to their own names; unknown ones stay."""
+    if not renames:
+        return relation
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in renames.items() for x in kv))[relation], relation)
+
+
+def canonical_jaccard(pairs: DataFrame, base: DataFrame, cf: DataFrame, renames: dict[str, str], coarse: dict[str, str]) -> DataFrame:
+    """Edge Jaccard after undoing renames; a counterfactual edge whose relation is a bucket's name may stand for one of its members.
+
+    Buckets are disjoint, so the greedy matching has a closed form: matches are the common edges and the unmatched
+    bucket edges whose (s, o) has an unmatched base edge of that bucket. Only the counterfactual side is so expanded.
+    """
+    flagged = sides(pairs, base, cf.withColumn("r", rename(F.col("r"), renames)), ["s", "r", "o"])
+    buckets = sorted(set(coarse.values()))
+    bucket = F.create_map(*(F.lit(x) for kv in coarse.items() for x in kv))[F.col("r")]
+    left = flagged.withColumn("bucket", F.when((F.col("nc") == 0), bucket).when((F.col("nb") == 0) & F.col("r").isin(*buckets), F.col("r")))
+    per = left.groupBy(*PAIR, "s", "o", "bucket").agg(F.count_if(F.expr("nb > 0 and nc > 0")).alias("both"), F.count_if(F.expr("nb > 0")).alias("b"), F.count_if(F.expr("nc > 0")).alias("c"), F.max(F.when((F.col("nb") == 0) & F.col("bucket").isNotNull(), 1).otherwise(0)).alias("asks"), F.max(F.when((F.col("nc") == 0) & F.col("bucket").isNotNull(), 1).otherwise(0)).alias("offers"))
+    total = per.groupBy(*PAIR).agg(F.sum(F.col("both") + F.col("asks") * F.col("offers")).alias("m"), F.sum(F.col("b") + F.col("c")).alias("n"))
+    return pairs.join(total, PAIR, "left").select(*PAIR, ratio(zero("m"), zero("n") - zero("m"), 1.0).alias("canonical"))
+
+
+def relation_l1(pairs: DataFrame, base: DataFrame, cf: DataFrame) -> DataFrame:
+    """One less half the L1 distance of the relation distributions; without relations 1."""
+    counted = sides(pairs, base, cf, ["r"])
+    whole = W.partitionBy(*PAIR)
+    share = counted.withColumn("d", F.abs(F.col("nb") / F.greatest(F.sum("nb").over(whole), F.lit(1)) - F.col("nc") / F.greatest(F.sum("nc").over(whole), F.lit(1))))
+    return pairs.join(share.groupBy(*PAIR).agg(F.sum("d").alias("d")), PAIR, "left").select(*PAIR, F.coalesce(1 - F.col("d") / 2, F.lit(1.0)).alias("relation_l1"))
+
+
+def relation_kl(pairs: DataFrame, base: DataFrame, cf: DataFrame, eps: float = 1e-9) -> DataFrame:
+    """Divergence of the counterfactual from the base relation distribution over their common support, smoothed by ``eps``."""
+    counted = sides(pairs, base, cf, ["r"])
+    whole = W.partitionBy(*PAIR)
+    p, q = (F.col(c) / F.greatest(F.sum(c).over(whole), F.lit(1)) + eps for c in ("nb", "nc"))
+    return pairs.join(counted.withColumn("t", p * F.ln(p / q)).groupBy(*PAIR).agg(F.sum("t").alias("t")), PAIR, "left").select(*PAIR, F.coalesce("t", F.lit(0.0)).alias("kl"))
+
+
+def type_flip(pairs: DataFrame, base: DataFrame, cf: DataFrame) -> DataFrame:
+    """Share of the (s, o) on both sides whose relation differs; of several relations the greatest counts (no order is kept); none: 0."""
+    b = pairs.join(base, "doc").groupBy(*PAIR, "s", "o").agg(F.max("r").alias("rb"))
+    c = cf.groupBy(*PAIR, "s", "o").agg(F.max("r").alias("rc"))
+    flips = b.join(c, [*PAIR, "s", "o"]).groupBy(*PAIR).agg(F.avg((F.col("rb") != F.col("rc")).cast("double")).alias("flip"))
+    return pairs.join(flips, PAIR, "left").select(*PAIR, F.coalesce("flip", F.lit(0.0)).alias("flip"))
+
+
+def confusion_matrix(pairs: DataFrame, base: DataFrame, cf: DataFrame) -> DataFrame:
+    """(family, rb, rc, n): base relation by counterfactual relation of the same (s, o), <DROPPED> if there is none."""
+    b = pairs.join(base, "doc").select(*PAIR, "s", "o", F.col("r").alias("rb"))
+    c = cf.select(*PAIR, "s", "o", F.col("r").alias("rc"))
+    return b.join(c, [*PAIR, "s", "o"], "left").groupBy("family", "rb", F.coalesce("rc", F.lit("<DROPPED>")).alias("rc")).agg(F.count("*").alias("n"))
+
+
+def degrees(edges: DataFrame, by: list[str]) -> DataFrame:
+    """(…, node, degree): edge ends at each node; parallel edges count each."""
+    return edges.select(*by, F.explode(F.array("s", "o")).alias("node")).groupBy(*by, "node").agg(F.count("*").alias("degree"))
+
+
+def degree_shift(pairs: DataFrame, base: DataFrame, cf: DataFrame) -> DataFrame:
+    """Half the L1 distance of the degree histograms."""
+    counted = sides(pairs, degrees(base, ["doc"]), degrees(cf, PAIR), ["degree"])
+    whole = W.partitionBy(*PAIR)
+    d = F.abs(F.col("nb") / F.greatest(F.sum("nb").over(whole), F.lit(1)) - F.col("nc") / F.greatest(F.sum("nc").over(whole), F.lit(1)))
+    return pairs.join(counted.withColumn("d", d).groupBy(*PAIR).agg(F.sum("d").alias("d")), PAIR, "left").select(*PAIR, F.coalesce(F.col("d") / 2, F.lit(0.0)).alias("degree_shift"))
+
+
+def average_rank(value: Column, by: list[str]) -> Column:
+    """Rank from the smallest, ties sharing their mean rank."""
+    return F.rank().over(W.partitionBy(*by).orderBy(value)) + (F.count("*").over(W.partitionBy(*by, value)) - 1) / 2.0
+
+
+def centrality_correlation(pairs: DataFrame, base: DataFrame, cf: DataFrame) -> DataFrame:
+    """Spearman correlation of degrees on shared nodes; with fewer than three, or without variance, 1."""
+    b, c = degrees(base, ["doc"]).withColumnRenamed("degree", "x"), degrees(cf, PAIR).withColumnRenamed("degree", "y")
+    shared = pairs.join(b, "doc").join(c, [*PAIR, "node"])
+    ranked = shared.withColumn("rx", average_rank(F.col("x"), PAIR)).withColumn("ry", average_rank(F.col("y"), PAIR))
+    rho = ranked.groupBy(*PAIR).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"), F.min("rx").alias("x0"), F.max("rx").alias("x1"), F.min("ry").alias("y0"), F.max("ry").alias("y1"))
+    sound = (F.col("n") >= 3) & (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))
+    return pairs.join(rho, PAIR, "left").select(*PAIR, F.when(sound, F.col("rho")).otherwise(1.0).alias("centrality"))
+
+
+def decomposition(pairs: DataFrame, base: DataFrame, cf: DataFrame) -> DataFrame:
+    """Edge overlap, pair overlap, mean relation-set Jaccard on common pairs, disappeared and new edges per base edge."""
+    flagged = sides(pairs, base, cf, ["s", "r", "o"])
+    per = flagged.groupBy(*PAIR, "s", "o").agg(F.count_if(F.expr("nb > 0 and nc > 0")).alias("both"), F.count("*").alias("any"), F.count_if(F.expr("nb > 0")).alias("b"), F.count_if(F.expr("nc > 0")).alias("c"))
+    common = (F.col("b") > 0) & (F.col("c") > 0)
+    total = per.groupBy(*PAIR).agg(F.sum("both").alias("both"), F.sum("any").alias("any"), F.sum("b").alias("b"), F.sum("c").alias("c"), F.count_if(common).alias("pb"), F.count("*").alias("pa"), F.avg(F.when(common, F.col("both") / F.col("any"))).alias("rel"))
+    n = F.greatest(zero("b"), F.lit(1))
+    return pairs.join(total, PAIR, "left").select(*PAIR, ratio(zero("both"), zero("any"), 1.0).alias("overlap"), ratio(zero("pb"), zero("pa"), 1.0).alias("pair_overlap"), F.coalesce("rel", F.lit(1.0)).alias("relation_overlap"), ((zero("b") - zero("both")) / n).alias("disappeared"), ((zero("c") - zero("both")) / n).alias("new"))
+
+
+def amplification(query_drift: Column, graph_drift: Column) -> Column:
+    return query_drift / (graph_drift + AMPLIFICATION_EPS)

@@ -6,5 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with the SQL that must give the same rows."""
+
+    def add(fn: Query) -> Query:
+        if fn.__name__ in QUERIES:
+            raise ValueError(f"query {fn.__name__} is registered already")
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from . import graph  # noqa: F401
