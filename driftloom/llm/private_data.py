@@ -86,17 +86,24 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def terms_near(spans: DataFrame) -> DataFrame:
-    """(entity, term, around) for ``spans`` (_text, entity spans): the terms on both sides of each entity."""
+    """(entity, text, around, term) for ``spans`` (_text, _base): the terms on both sides of each entity; texts and surroundings by hash."""
     one = spans.select("_text", F.explode("_base").alias("s"))
     before = F.substring(F.col("_text"), F.greatest(F.col("s.start") - REACH + 1, F.lit(1)).cast("int"), F.least(F.col("s.start"), F.lit(REACH)).cast("int"))
     after = F.substring(F.col("_text"), (F.col("s.stop") + 1).cast("int"), F.lit(REACH))
     around = F.concat_ws("\n", before, after)
-    return one.select(F.lower("s.value").alias("entity"), F.xxhash64(around).alias("around"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(rf"(?<!\p{{L}})\p{{L}}{{{TERM_LETTERS},}}(?!\p{{L}})"), 0))).alias("term"))
+    return one.select(F.lower("s.value").alias("entity"), F.xxhash64("_text").alias("text"), F.xxhash64(around).alias("around"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(rf"(?<!\p{{L}})\p{{L}}{{{TERM_LETTERS},}}(?!\p{{L}})"), 0))).alias("term"))
 
 
 def revealing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(entity, term, kind) of the pairs whose disclosure reaches a threshold; counts cover all of ``docs`` (_text)."""
-    pairs = spool(terms_near(spans).groupBy("entity", "term").agg(F.count_distinct("around").alias("together")).where(F.col("together") >= SUPPORT), "pairs")
+    total = docs.count()
+    near = spool(terms_near(spans), "near")
+    entity_docs = spans.select(F.explode(F.array_distinct(F.transform("_base", lambda s: F.lower(s["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    # A term occurs at least in the documents that have it near an entity. Pairs that even this few leave below the
+    # thresholds cannot reach them, so only the other terms are counted in all documents.
+    fewest = near.groupBy("term").agg(F.count_distinct("text").alias("term_docs"))
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("around").alias("together")).where(F.col("together") >= SUPPORT)
+    pairs = spool(pairs.join(fewest, "term").join(entity_docs, "entity").where(disclosure(total) >= GENERALISE).drop("term_docs"), "pairs")
     terms = pairs.select("term").distinct()
     n_terms = terms.count()
     if not n_terms:
@@ -105,13 +112,15 @@ def revealing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
         terms = F.broadcast(terms)
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= TERM_LETTERS)
     term_docs = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("term_docs"))
-    entity_docs = spans.select(F.explode(F.array_distinct(F.transform("_base", lambda s: F.lower(s["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
-    total = docs.count()
+    kinds = F.when(F.col("share") >= REMOVE, "removed").when(F.col("share") >= GENERALISE, "general")
+    return spool(pairs.join(term_docs, "term").withColumn("share", disclosure(total)).select("entity", "term", kinds.alias("kind")).where("kind is not null"), "terms")
+
+
+def disclosure(total: int) -> Column:
+    """Share of an entity's information that a term gives away, from ``together``, ``term_docs`` and ``entity_docs``."""
     ic = -F.log2(F.col("entity_docs") / total)
     pmi = F.log2(F.col("together") * total / (F.col("term_docs") * F.col("entity_docs")))
-    share = F.when(ic > 0, F.least(pmi, ic) / ic).otherwise(0)
-    kinds = F.when(F.col("share") >= REMOVE, "removed").when(F.col("share") >= GENERALISE, "general")
-    return spool(pairs.join(term_docs, "term").join(entity_docs, "entity").withColumn("share", share).select("entity", "term", kinds.alias("kind")).where("kind is not null"), "terms")
+    return F.when(ic > 0, F.least(pmi, ic) / ic).otherwise(0)
 
 
 def find_private(docs: DataFrame) -> DataFrame:
