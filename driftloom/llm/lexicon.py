@@ -183,7 +183,7 @@ class Automaton:
         """Each word's number in the sorted lexicon, or -1."""
         lengths = np.diff(bounds)
         out = np.full(len(lengths), -1, np.int64)
-        live = np.flatnonzero(lengths <= WORD_BYTES)
+        live = np.flatnonzero((lengths > 0) & (lengths <= WORD_BYTES))
         at, left = bounds[:-1][live], lengths[live]
         state, number = np.zeros(len(live), np.int32), np.zeros(len(live), np.int64)
         owner, target, skip = self.slots
