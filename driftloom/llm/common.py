@@ -29,7 +29,14 @@ def spool(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/driftloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # The shuffles of a table that is written whole are of no more use: drop their files at once.
+    drop, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
+    before = spark.conf.get(drop, None)
+    spark.conf.set(drop, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(drop, before) if before is not None else spark.conf.unset(drop)
     out = spark.read.schema(df.schema).parquet(path)
     out.spooled_at = path
     return out

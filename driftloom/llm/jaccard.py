@@ -219,6 +219,37 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_map(shipped, run, "a long, b long")
 
 
+def _short(column: str) -> Column:
+    """Tokens in 31 bits. Tokens that fall together only raise a bound, so no group is missed."""
+    return F.transform(column, lambda t: F.pmod(t, F.lit((1 << 31) - 1)).cast("int"))
+
+
+def qualifying(asks: DataFrame, nodes: DataFrame, matrix: DataFrame) -> DataFrame:
+    """(node, other) of ``asks`` where at least ``need`` of the node's tokens are in the other group's union; SHARE nodes meet a union at a time."""
+    many = spool(asks.groupBy("other").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")), "many")
+    asked = asks.join(many, "other").join(nodes, "node").select("other", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("place"), "node", "need", "tokens")
+    unions = many.join(matrix, "other").select("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("place"), F.lit(None).cast("long").alias("node"), F.lit(0).cast("long").alias("need"), "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int32)
+        for batch in batches:
+            tokens = batch.column("tokens")
+            flat, at = tokens.flatten().to_numpy(), tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
+            place, need = batch.column("place").to_numpy(), batch.column("need").to_numpy()
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                mine = flat[at[i] : at[i + 1]]
+                if place[i] == 0:
+                    held = mine
+                else:
+                    found = np.searchsorted(held, mine)
+                    keep[i] = need[i] <= 0 or len(held) and (held[np.minimum(found, len(held) - 1)] == mine).sum() >= need[i]
+            yield columns(node=batch.column("node").filter(pa.array(keep)), other=batch.column("other").filter(pa.array(keep)))
+
+    dealt = asked.unionByName(unions).repartition("other", "share").sortWithinPartitions("other", "share", "place")
+    return arrow_map(dealt, run, "node long, other long")
+
+
 def leaders(first: DataFrame, salt: int) -> DataFrame:
     """(a, b): each node with the leader it shares a first token with; leaders come first by a salted hash."""
     rank = F.struct(F.xxhash64(F.lit(salt), "node").alias("h"), "node")
@@ -237,9 +268,10 @@ def ngram_jaccard_components(docs: DataFrame) -> DataFrame:
     weight = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(1, weight / 6 * SAMPLED / RANGE_TOKENS))), 6, 24))
     staged = spool(token_runs(docs, bits), "tokens")
-    sets = staged.where("range is null").select("doc_id", "n", "sig")
+    sets = spool(staged.where("range is null").select("doc_id", "n", "sig"), "sigs")
     classes = spool(sets.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node")), "classes")
     shared = spool(shared_tokens(staged.where("range is not null").select("range", "run"), bits), "shared")
+    unspool(staged)
     named = classes.select("node", F.col("sig").substr(1, 8).alias("half"))
     alive = spool(survivors(shared, bits).withColumn("half", _le_bytes(F.col("key"))).join(named, "half").select("node", "n", "need", "sample", "first"), "alive")
     unspool(shared)
@@ -296,12 +328,9 @@ def _links(docs: DataFrame, alive: DataFrame) -> DataFrame | None:
     asks = spool(asks, "asks")
     if not asks.count():
         return found
-    # The token-group matrix, for the groups that are asked.
-    matrix = grouped.join(asks.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi").select("grp", F.explode("sample").alias("token")).distinct()
-    query = asks.join(grouped.select("node", "need", F.explode("sample").alias("token")), "node")
-    hit = query.join(matrix.withColumnRenamed("grp", "other"), ["other", "token"]).groupBy("node", "other").agg(F.count("*").alias("hit"), F.max("need").alias("need")).where("hit >= need")
-    trivial = asks.join(grouped.select("node", "need").where("need <= 0"), "node").select("node", "other")
-    opened = spool(hit.select("node", "other").unionByName(trivial).distinct(), "opened")
+    # The token-group matrix, for the groups that are asked: the tokens of each group's union.
+    matrix = grouped.join(asks.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi").select(F.col("grp").alias("other"), F.explode(_short("sample")).alias("token")).distinct().groupBy("other").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    opened = spool(qualifying(asks, grouped.select("node", "need", _short("sample").alias("tokens")), spool(matrix, "matrix")), "opened")
     member = entry.select(F.col("node").alias("b"), F.col("grp").alias("other"), "token", F.col("n").alias("nb"))
     pairs = opened.join(entry.select("node", "token", "n"), "node").join(member, ["other", "token"]).where("5 * n >= 4 * nb and 5 * nb >= 4 * n")
     pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
