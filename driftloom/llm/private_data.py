@@ -111,7 +111,8 @@ def revealing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     if n_terms <= BROADCAST_ROWS:
         terms = F.broadcast(terms)
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= TERM_LETTERS)
-    term_docs = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("term_docs"))
+    # Summed inside each task first, so that what reaches the join is a row per word, not per occurrence.
+    term_docs = words.groupBy("term").agg(F.count("*").alias("term_docs")).join(terms, "term", "left_semi")
     kinds = F.when(F.col("share") >= REMOVE, "removed").when(F.col("share") >= GENERALISE, "general")
     return spool(pairs.join(term_docs, "term").withColumn("share", disclosure(total)).select("entity", "term", kinds.alias("kind")).where("kind is not null"), "terms")
 
