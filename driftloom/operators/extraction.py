@@ -1,0 +1,126 @@
+"""Raw extraction responses to edges, response validation, edge matching and stability across repeated runs."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from driftloom.functions import text
+
+RESPONSE = "struct<edges:array<struct<subject:string,relation:string,object:string,evidence_sentences:array<int>,confidence:string>>>"
+
+
+def normalise_edges(responses: DataFrame, n_sentences: Column) -> DataFrame:
+    """(event_id, ordinal, s, r, o, evidence, confidence) from raw responses; incomplete edges go, evidence out of range goes."""
+    parsed = responses.select("event_id", F.from_json(text.lenient_json(F.col("response")), RESPONSE).alias("p"), n_sentences.alias("_n"))
+    e = parsed.select("event_id", "_n", F.posexplode("p.edges").alias("ordinal", "e"))
+    trimmed = [F.regexp_replace(F.col(f"e.{c}"), r"(?U)^\s+|\s+$", "") for c in ("subject", "relation", "object")]
+    out = e.select("event_id", "ordinal", *(t.alias(n) for t, n in zip(trimmed, "sro", strict=True)), F.filter(F.coalesce("e.evidence_sentences", F.array().cast("array<int>")), lambda i: (i >= 1) & (i <= F.col("_n"))).alias("evidence"), F.col("e.confidence").try_cast("double").alias("confidence"))
+    return out.where("s <> '' and r <> '' and o <> ''")
+
+
+def reject_reasons(edges: DataFrame, entities: DataFrame, relations: list[str]) -> DataFrame:
+    """``edges`` (doc, s, r, o, evidence) with ``reason``: the first check that fails, in a fixed order; null if none."""
+    known = entities.select("doc", "name").distinct()
+    both = edges.join(known.select("doc", F.col("name").alias("s"), F.lit(True).alias("_s")), ["doc", "s"], "left").join(known.select("doc", F.col("name").alias("o"), F.lit(True).alias("_o")), ["doc", "o"], "left")
+    reason = F.when(F.col("s").isNull() | F.col("r").isNull() | F.col("o").isNull(), "shape").when(F.col("_s").isNull() | F.col("_o").isNull(), "entity").when(~F.col("r").isin(*relations), "relation").when(F.size("evidence") < 1, "evidence")
+    return both.withColumn("reason", reason).drop("_s", "_o")
+
+
+def greedy_matches(edges: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(run_id, base_id, cf_id, score, outcome): one-to-one matches of base (side 0) and counterfactual (side 1) edges of each run.
+
+    Best scores go first, ties by id. A run is one view pair, whose edges fit a task; the consumption is sequential by definition.
+    """
+    schema = "run_id string, base_id string, cf_id string, score double, outcome string"
+
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        base, cf = rows[rows.side == 0], rows[rows.side == 1]
+        by_pair: dict[tuple, list] = {}
+        for c in cf.itertuples():
+            for key in ((c.s, c.o), (c.o, c.s)):
+                by_pair.setdefault(key, []).append(c)
+        found = []
+        for b in base.itertuples():
+            for c in {x.edge_id: x for x in by_pair.get((b.s, b.o), [])}.values():
+                straight = (c.s, c.o) == (b.s, b.o)
+                score = 1.0 if straight and c.r == b.r else 0.7 if straight else 0.6 if c.r == b.r else 0.4
+                if score >= threshold:
+                    found.append((-score, b.edge_id, c.edge_id, "EXACT_SAME" if score == 1.0 else "TYPE_FLIP" if straight else "DIRECTION_FLIP"))
+        used_b, used_c, out = set(), set(), []
+        for score, b, c, outcome in sorted(found):
+            if b not in used_b and c not in used_c:
+                used_b.add(b)
+                used_c.add(c)
+                out.append((rows.run_id.iloc[0], b, c, -score, outcome))
+        out += [(rows.run_id.iloc[0], b, None, 0.0, "DISAPPEARED") for b in base.edge_id if b not in used_b]
+        return pd.DataFrame(out, columns=["run_id", "base_id", "cf_id", "score", "outcome"])
+
+    return edges.select("run_id", "side", "edge_id", "s", "r", "o").groupBy("run_id").applyInPandas(match, schema)
+
+
+def stability(runs: DataFrame) -> DataFrame:
+    """(doc, overlap, disappearance, new, flip) averaged over all pairs of repeated runs (doc, run, s, r, o); one relation per (s, o) counts, the least."""
+    one = runs.groupBy("doc", "run", "s", "o").agg(F.min("r").alias("r"))
+    present = one.select("doc", "run").distinct()
+    pairs = present.select("doc", F.col("run").alias("a")).join(present.select("doc", F.col("run").alias("b")), "doc").where("a < b")
+    left = pairs.join(one.withColumnRenamed("run", "a").withColumnRenamed("r", "ra"), ["doc", "a"])
+    right = pairs.join(one.withColumnRenamed("run", "b").withColumnRenamed("r", "rb"), ["doc", "b"])
+    both = left.join(right, ["doc", "a", "b", "s", "o"], "full").groupBy("doc", "a", "b").agg(F.count_if(F.col("ra") == F.col("rb")).alias("same"), F.count("ra").alias("na"), F.count("rb").alias("nb"), F.count_if(F.col("ra").isNotNull() & F.col("rb").isNotNull()).alias("common"))
+    n = F.col("na") + F.col("nb") - F.col("same")
+    per = both.select("doc", (F.col("same") / n).alias("overlap"), F.when(F.col("na") > 0, 1 - F.col("same") / F.col("na")).alias("disappearance"), F.when(F.col("nb") > 0, 1 - F.col("same") / F.col("nb")).alias("new"), F.when(F.col("common") > 0, 1 - F.col("same") / F.col("common")).alias("flip"))
+    return per.groupBy("doc").agg(*(F.avg(c).alias(c) for c in ("overlap", "disappearance", "new", "flip")))
+
+
+def mask_nested(sentences: DataFrame, levels: tuple[float, ...], seed: int = 7) -> DataFrame:
+    """(doc, level, text): per level the max(1, ceil(q n)) tokens of lowest digest rank are masked, so levels nest; white space stays."""
+    from pyspark.sql.window import Window as W
+
+    t = sentences.select("doc", F.posexplode(F.regexp_extract_all("text", F.lit(r"\s+|\S+"), 0)).alias("place", "token"))
+    word = F.col("token").rlike(r"\S")
+    per_doc = W.partitionBy("doc", word)
+    ranked = t.withColumn("rank", F.when(word, F.row_number().over(per_doc.orderBy(text.digest_rank(F.lit(str(seed)), F.col("doc").cast("string"), F.col("place").cast("string")))))).withColumn("n", F.count("*").over(per_doc))
+    masked = ranked.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    shown = F.when(F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("level") * F.col("n"))), "[MASK]").otherwise(F.col("token"))
+    return masked.groupBy("doc", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", shown.alias("t")))), lambda x: x["t"]), "").alias("text"))
+
+
+def schema_variant(relations: Column, kind: str, renames: dict[str, str] | None = None, coarse: dict[str, str] | None = None, dropped: tuple[str, ...] = ()) -> Column:
+    """An array of (id, label, description) under a perturbation of the relation schema."""
+    field = lambda x, **new: F.struct(*(F.lit(new[k]).alias(k) if isinstance(new.get(k), str) else new.get(k, x[k]).alias(k) for k in ("id", "label", "description")))
+    other = F.array(F.struct(F.lit("OTHER").alias("id"), F.lit("other").alias("label"), F.lit("any other relation").alias("description")))
+    made = {
+        "full": lambda: relations,
+        "with_other": lambda: F.concat(relations, other),
+        "drop": lambda: F.filter(relations, lambda x: ~x["id"].isin(*dropped)),
+        "rename": lambda: F.transform(relations, lambda x: field(x, id=text.mapped(x["id"], renames or {}))),
+        "coarse": lambda: F.array_distinct(F.transform(relations, lambda x: F.struct(text.mapped(x["id"], coarse or {}).alias("id"), text.mapped(x["id"], coarse or {}).alias("label"), F.lit("").alias("description")))),
+        "reorder": lambda: F.reverse(relations),
+        "desc_added": lambda: F.transform(relations, lambda x: field(x, description=F.concat(x["label"], F.lit(": "), x["description"]))),
+        "desc_removed": lambda: F.transform(relations, lambda x: field(x, description="")),
+        "ambiguous": lambda: F.transform(relations, lambda x: field(x, label="related to")),
+        "hierarchical": lambda: F.transform(relations, lambda x: field(x, label=F.concat_ws("/", text.mapped(x["id"], coarse or {}), x["label"]))),
+    }
+    return made[kind]()
+
+
+def sentence_variant(sentences: DataFrame, kind: str, at: int = 0, seed: int = 7) -> DataFrame:
+    """(doc, place, text) with the sentence at ``at`` removed or masked, or all in digest order."""
+    from pyspark.sql.window import Window as W
+
+    if kind == "remove":
+        return sentences.where(F.col("place") != at)
+    if kind == "mask":
+        return sentences.withColumn("text", F.when(F.col("place") == at, "[MASK]").otherwise(F.col("text")))
+    order = W.partitionBy("doc").orderBy(text.digest_rank(F.lit(str(seed)), F.col("doc").cast("string"), F.col("place").cast("string")))
+    return sentences.withColumn("place", F.row_number().over(order) - 1)
+
+
+def alias_rewrite(x: Column, aliases: list[tuple[str, str]]) -> Column:
+    """Aliases replaced one after the other, in the given order."""
+    for old, new in aliases:
+        x = F.replace(x, F.lit(old), F.lit(new))
+    return x
+
+
