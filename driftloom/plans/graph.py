@@ -230,3 +230,18 @@ def cross_document_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = derived.lines(spark, sf_dir).select((F.col("doc") % 10).alias("packet"), F.concat(F.lit("p:"), "part").alias("s"), F.concat(F.lit("s:"), "supp").alias("o"), F.col("doc").alias("source")).distinct()
     fan = graph_queries.cross_document(e, ["packet"], "fanout").withColumn("shape", F.lit("fanout"))
     return fan.unionByName(graph_queries.cross_document(e.where("packet = 3"), ["packet"], "shared_tail").withColumn("shape", F.lit("shared_tail"))).select("shape", "packet", "key", "x", "y")
+
+
+@query(derived.SQL + f""", {UNDIRECTED}, r AS (SELECT family, doc, a, z FROM u UNION SELECT x.family, x.doc, x.a, y.z FROM u x JOIN u y ON x.family = y.family AND x.doc = y.doc AND x.z = y.a WHERE x.a <> y.z),
+k AS (SELECT doc, a, z FROM (SELECT doc, a, z, row_number() OVER (PARTITION BY doc ORDER BY sha256(a || '|' || z)) AS k FROM r WHERE family = 'base' AND a < z) WHERE k <= 50), w AS (SELECT DISTINCT family, doc FROM c)
+SELECT w.family, w.doc, round(count(r.a) / count(*)::DOUBLE, 6) AS preserved FROM w JOIN k ON k.doc = w.doc LEFT JOIN r ON r.family = w.family AND r.doc = w.doc AND r.a = k.a AND r.z = k.z GROUP BY ALL""")
+def path_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(graph_queries.path_preservation(derived.base(spark, sf_dir), derived.counterfactual(spark, sf_dir), PAIR), "preserved")
+
+
+@query()
+def component_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference of the numbers of connected components; all reachable pairs are too many for SQL on whole tables."""
+    found = graph_queries.component_counts(derived.edges(spark, sf_dir), PAIR)
+    base = found.where("family = 'base'").select("doc", F.col("n_components").alias("n"))
+    return derived.pairs(spark, sf_dir).join(base, "doc").join(found, PAIR, "left").select(*PAIR, F.abs(F.col("n") - F.coalesce("n_components", F.lit(0))).alias("change"))

@@ -106,6 +106,12 @@ def test_graph_edge_cases(spark):
     assert [r.jaccard for r in both_empty] == [1.0, 1.0]
 
 
+def test_components(spark):
+    chain = [("v", f"n{i:02d}", "r", f"n{i + 1:02d}") for i in range(20)] + [("v", "x", "r", "y"), ("v", "l", "r", "l"), ("w", "a", "r", "b")]
+    got = graph_queries.component_counts(spark.createDataFrame(chain, "view string, s string, r string, o string"), ["view"]).collect()
+    assert {r.view: r.n_components for r in got} == {"v": 3, "w": 1}
+
+
 def test_contract_rules():
     with pytest.raises(ValueError, match="already"):
         contracts.default_registry().register(contracts.CONTRACTS[0])
