@@ -6,11 +6,14 @@ Equal sets fall together by their digest; what follows works on one node per set
    sets that link share a token among their first floor(0.2 n) + 1. A task sends its sets' sampled tokens as sorted,
    packed runs per hash range; a range counts in how many sets a token occurs, and returns only tokens of two sets or
    more. A set whose unshared tokens fill its first places can link with nothing and is gone.
-2. Similar sets are partitioned into groups: each set is compared with one leader among those it shares a first token
-   with, twice with different leaders, and linked sets form a group (a connected component).
-3. Token-group matrix: (token, group) says that some set of the group holds the token. Only groups that share a first
-   token with a set of another group are looked at; of a set's sampled tokens all but floor(0.2 n) must be in the
-   group's union, else no member can link; only the members of groups that qualify are opened and compared.
+2. Similar sets are partitioned into groups: each set is compared with leaders that have the same least salted hash of
+   shared tokens, in rounds of a few salts, and linked sets form a group (a connected component).
+3. Sets that share a first token with a set of another group are ordered again, now by whole sets and by the number of
+   groups that hold a token, so what only one group holds comes first and leads nowhere, however many copies hold it.
+   Sets of n and m tokens link when they share 4 (n + m) / 9, so a token counts only where enough of both comes after it.
+4. Token-group matrix: (token, group) says that some set of the group holds the token. As many of a set's tokens
+   as a link with the group's smallest set asks for must be in the other group's union, else no member can link; only
+   the members of groups that qualify are opened and compared.
 
 Every comparison is exact, on whole sets. What a comparison needs is shipped to (leader, share of its sets), so a leader of
 many sets is many tasks.
@@ -34,6 +37,8 @@ from .lexicon import words_of
 WORDS, SAMPLED, RANGE_TOKENS, SHARE = 5, 0.5, 1 << 20, 64
 #: Rows of (node, key) up to which they are broadcast to the texts or sets.
 BROADCAST_ROWS = 2_000_000
+#: Salts of the rounds in which sets meet leaders; a round leaves out what the ones before have put into one group.
+ROUNDS = (range(3), range(3, 7))
 _rng = np.random.default_rng(20240611)
 _LETTERS = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _LETTERS[65:91] = _LETTERS[97:123]  # A-Z count as a-z
@@ -225,9 +230,9 @@ def _short(column: str) -> Column:
 
 
 def qualifying(asks: DataFrame, nodes: DataFrame, matrix: DataFrame) -> DataFrame:
-    """(node, other) of ``asks`` where at least ``need`` of the node's tokens are in the other group's union; SHARE nodes meet a union at a time."""
+    """(node, other) of ``asks`` where so many of the node's tokens are in the other group's union as a member of ``least`` tokens asks for; SHARE nodes meet a union at a time."""
     many = spool(asks.groupBy("other").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares")), "many")
-    asked = asks.join(many, "other").join(nodes, "node").select("other", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("place"), "node", "need", "tokens")
+    asked = asks.join(many, "other").join(nodes, "node").select("other", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("place"), "node", F.ceil(4 * (F.col("n") + F.col("least")) / 9).cast("long").alias("need"), "tokens")
     unions = many.join(matrix, "other").select("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("place"), F.lit(None).cast("long").alias("node"), F.lit(0).cast("long").alias("need"), "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,11 +255,41 @@ def qualifying(asks: DataFrame, nodes: DataFrame, matrix: DataFrame) -> DataFram
     return arrow_map(dealt, run, "node long, other long")
 
 
-def leaders(first: DataFrame, salt: int) -> DataFrame:
-    """(a, b): each node with the leader it shares a first token with; leaders come first by a salted hash."""
-    rank = F.struct(F.xxhash64(F.lit(salt), "node").alias("h"), "node")
-    heads = spool(first.groupBy("token").agg(F.min(rank).alias("head")), "heads")
-    return first.join(heads, "token").groupBy("node").agg(F.min("head").alias("head")).select(F.col("node").alias("a"), F.col("head.node").alias("b")).where("a <> b")
+def foreign_tokens(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, n, grp, need, tokens, room) for the sets ``nodes`` (node, n, grp) that may link with a set of another group.
+
+    ``tokens`` are those of the whole set that another group holds too, those of the fewest groups first. A set that links
+    with a set of another group shares ``need`` of its tokens with it, so a set with fewer is gone, and two such sets
+    share one among the first ``room`` of each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(raw, np.int64) for raw in batch.column("set").to_pylist()]
+            at = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield columns(node=batch.column("node"), n=batch.column("n"), grp=batch.column("grp"), tokens=pa.ListArray.from_arrays(at, np.concatenate([*found, np.zeros(0, np.int64)])))
+
+    whole = spool(arrow_map(sets.join(nodes, "node").select("node", "n", "grp", "set"), run, "node long, n long, grp long, tokens array<long>"), "whole")
+    each = whole.select("node", "grp", F.explode("tokens").alias("token"))
+    shared = spool(each.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token"), "shared")
+    each = spool(each.join(shared, "token"), "each")
+    groups = spool(each.select("token", "grp").distinct().groupBy("token").agg(F.count("*").alias("groups")), "groups")
+    held = each.join(groups, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("groups", "token"))).getField("token").alias("tokens"))
+    out = nodes.withColumn("need", F.col("n") - F.floor(F.col("n") / 5)).join(held, "node").withColumn("room", (F.size("tokens") + 1 - F.col("need")).cast("int")).where("room > 0")
+    return out.select("node", "n", "grp", "need", "tokens", "room")
+
+
+def leaders(alive: DataFrame, salts: range) -> DataFrame:
+    """(a, b): each node with a leader per salt, one with the same least hash of its shared tokens; sets agree in it as often as they are similar."""
+    held = F.concat("sample", "first")
+    salted = lambda k: F.transform(held, lambda t: F.xxhash64(F.lit(k), t))
+    least = F.array(*(F.struct(F.lit(k).alias("salt"), F.array_min(salted(k)).alias("key")) for k in salts))
+    # A set with few tokens of its own is near the middle of its copies, so it is the first to lead.
+    own = (F.col("need") + F.floor(F.col("n") / 5) - F.size("sample")).alias("own")
+    near = spool(alive.select("node", "n", own, F.explode(least).alias("x")).select("node", "n", "own", "x.salt", "x.key"), "near")
+    rank = [F.xxhash64("salt", "node").alias("h"), "node", "n"]
+    heads = near.groupBy("salt", "key").agg(F.min(F.struct(*(["own"] if 0 in salts else []), *rank)).alias("head"))
+    return near.join(heads, ["salt", "key"]).where("node <> head.node and 5 * n >= 4 * head.n and 5 * head.n >= 4 * n").select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
 
 
 def ngram_jaccard_components(docs: DataFrame) -> DataFrame:
@@ -306,32 +341,36 @@ def _links(docs: DataFrame, alive: DataFrame) -> DataFrame | None:
     wanted = alive.select(F.col("node").alias("doc_id"), F.col("n").alias("_n"))
     texts = docs.join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "doc_id").select("doc_id", "text")
     sets = spool(arrow_map(texts, shingles, "node long, set binary, n long").select("node", "set"), "sets")
-    first = spool(alive.select("node", F.explode("first").alias("token")), "first")
     found = None
     of = None
-    for salt in (1, 2):
-        pairs = leaders(first, salt)
+    for salts in ROUNDS:
+        pairs = leaders(alive, salts)
         if of is not None:  # only nodes that are not yet in their leader's group
             mine, theirs = of.select(F.col("node").alias("a"), F.col("component").alias("ca")), of.select(F.col("node").alias("b"), F.col("component").alias("cb"))
             pairs = pairs.join(mine, "a", "left").join(theirs, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
         hits = spool(compare(spool(pairs, "pairs"), sets), "hits")
         found = hits if found is None else found.unionByName(hits)
         of = spool(components(found), "groups")
-    grouped = spool(alive.join(of, "node", "left").select("node", "n", "need", "sample", "first", F.coalesce("component", "node").alias("grp")), "grouped")
-    # Groups that share a first token with a set of another group; tokens within one group lead nowhere.
-    entry = spool(grouped.select("node", "n", "grp", F.explode("first").alias("token")), "entry")
-    open_tokens = entry.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token")
-    entry = spool(entry.join(open_tokens, "token"), "entry")
-    sides = entry.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("grp", "other")
-    sides = spool(sides, "sides")
-    asks = entry.join(sides, "token").where("grp <> other and 5 * n >= 4 * least and 5 * most >= 4 * n").select("node", "other").distinct()
+    grouped = spool(alive.join(of, "node", "left").select("node", "n", "first", F.coalesce("component", "node").alias("grp")), "grouped")
+    # Only sets that share a first token with a set of another group can link with one; tokens within one group lead nowhere.
+    entry = grouped.select("node", "grp", F.explode("first").alias("token"))
+    crossing = spool(entry.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("token"), "crossing")
+    open_sets = spool(entry.join(crossing, "token", "left_semi").select("node").distinct(), "open")
+    held = spool(foreign_tokens(grouped.join(open_sets, "node", "left_semi").select("node", "n", "grp"), sets), "held")
+    # Sets of n and m tokens link when they share 4 (n + m) / 9; a shared token with ``left`` of n from it on allows m <= slack / 4.
+    entry = held.select("node", "n", "grp", F.size("tokens").alias("f"), F.posexplode(F.slice("tokens", 1, F.col("room"))).alias("at", "token"))
+    entry = entry.select("node", "n", "grp", "token", (9 * (F.col("f") - F.col("at")) - 4 * F.col("n")).alias("slack"))
+    sides = spool(entry.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("slack").alias("widest")).withColumnRenamed("grp", "other"), "sides")
+    several = spool(sides.groupBy("token").count().where("count > 1").select("token"), "several")
+    entry = spool(entry.join(several, "token"), "entry")
+    asks = entry.join(sides, "token").where("grp <> other and 4 * least <= slack and 4 * n <= widest").groupBy("node", "other").agg(F.min("least").alias("least"))
     asks = spool(asks, "asks")
     if not asks.count():
         return found
-    # The token-group matrix, for the groups that are asked: the tokens of each group's union.
-    matrix = grouped.join(asks.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi").select(F.col("grp").alias("other"), F.explode(_short("sample")).alias("token")).distinct().groupBy("other").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    opened = spool(qualifying(asks, grouped.select("node", "need", _short("sample").alias("tokens")), spool(matrix, "matrix")), "opened")
-    member = entry.select(F.col("node").alias("b"), F.col("grp").alias("other"), "token", F.col("n").alias("nb"))
-    pairs = opened.join(entry.select("node", "token", "n"), "node").join(member, ["other", "token"]).where("5 * n >= 4 * nb and 5 * nb >= 4 * n")
+    # The token-group matrix, for the groups that are asked: the foreign tokens of each group's union.
+    matrix = held.join(asks.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi").select(F.col("grp").alias("other"), F.explode(_short("tokens")).alias("token")).distinct().groupBy("other").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    opened = spool(qualifying(asks, held.select("node", "n", _short("tokens").alias("tokens")), spool(matrix, "matrix")), "opened")
+    member = entry.select(F.col("node").alias("b"), F.col("grp").alias("other"), "token", F.col("n").alias("m"), F.col("slack").alias("room"))
+    pairs = opened.join(entry.select("node", "token", "n", "slack"), "node").join(member, ["other", "token"]).where("4 * m <= slack and 4 * n <= room")
     pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     return found.unionByName(spool(compare(spool(pairs, "pairs"), sets), "hits"))
