@@ -288,7 +288,7 @@ def leaders(alive: DataFrame, salts: range) -> DataFrame:
     own = (F.col("need") + F.floor(F.col("n") / 5) - F.size("sample")).alias("own")
     near = spool(alive.select("node", "n", own, F.explode(least).alias("x")).select("node", "n", "own", "x.salt", "x.key"), "near")
     rank = [F.xxhash64("salt", "node").alias("h"), "node", "n"]
-    heads = near.groupBy("salt", "key").agg(F.min(F.struct(*(["own"] if 0 in salts else []), *rank)).alias("head"))
+    heads = spool(near.groupBy("salt", "key").agg(F.min(F.struct(*(["own"] if 0 in salts else []), *rank)).alias("head")), "heads")
     return near.join(heads, ["salt", "key"]).where("node <> head.node and 5 * n >= 4 * head.n and 5 * head.n >= 4 * n").select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
 
 
