@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,7 +55,20 @@ def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     here, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
     if here not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{here}:{env.get('PYTHONPATH', '')}".rstrip(":")
-    return df.mapInArrow(run, schema)
+
+    def run_and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(run_and_release, schema)
+
+
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system; a worker stays for later tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

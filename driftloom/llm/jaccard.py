@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, columns, spool, text_slices, unspool, utf8_view
+from .common import arrow_map, columns, release, spool, text_slices, unspool, utf8_view
 from .components import components
 from .lexicon import words_of
 
@@ -163,6 +163,7 @@ def shared_tokens(runs: DataFrame, bits: int) -> DataFrame:
         ends = np.append(cuts, len(owner))
         mine = owner[cuts]
         whole = (np.int64(r) << np.int64(32)) | token  # the token's first bits + 32 bits
+        release()
         return pa.table({"key": key[mine].view(np.int64), "n": size[mine].astype(np.int64), "sampled": sample[mine].astype(np.int64), "tokens": pa.ListArray.from_arrays(ends.astype(np.int32), whole), "sets": pa.ListArray.from_arrays(ends.astype(np.int32), sets.astype(np.int64))})
 
     return runs.groupBy("range").applyInArrow(count, "key long, n long, sampled long, tokens array<long>, sets array<long>")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, columns, spool, text_slices, utf8_view
+from .common import arrow_map, columns, release, spool, text_slices, utf8_view
 from .lexicon import words_of
 
 #: Labelled rows that the model is fitted on, about; hashed features; rounds of fitting.
@@ -217,6 +217,7 @@ def classify(docs: DataFrame, labels: DataFrame, extra: bool = False) -> DataFra
         for part in text_slices([batch], "text"):
             out[done : done + part.num_rows] = used.logits(*utf8_view(part.column(0)))
             done += part.num_rows
+        release()
         return _series(out)
 
     have = set(docs.columns)
