@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one numpy pass works on; bounds the memory of a Python worker.
 SLICE_BYTES = 6 << 20
+#: Bytes of an Arrow batch between Spark and Python; without a bound 10,000 long texts go at once, through both memories.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +54,7 @@ def unspool(df: DataFrame) -> None:
 
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` whose workers can import this package from where the driver has it (or as shipped with --py-files)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     here, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
     if here not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{here}:{env.get('PYTHONPATH', '')}".rstrip(":")
