@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 6 << 20
 #: Bytes of an Arrow batch between Spark and Python; without a bound 10,000 long texts go at once, through both memories.
 BATCH_BYTES = 8 << 20
+#: What a Python worker keeps from task to task; a task of an operator that does not use it drops it.
+WORKER_CACHE: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,7 +54,7 @@ def unspool(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, run: Callable, schema: str, keep_cache: bool = False) -> DataFrame:
     """``mapInArrow`` whose workers can import this package from where the driver has it (or as shipped with --py-files)."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     here, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
@@ -60,6 +62,8 @@ def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
         env["PYTHONPATH"] = f"{here}:{env.get('PYTHONPATH', '')}".rstrip(":")
 
     def run_and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep_cache:
+            drop_cache()
         yield from run(batches)
         release()
 
@@ -74,6 +78,13 @@ def release() -> None:
         trim(0)
 
 
+def drop_cache() -> None:
+    """Empty this worker's cache. (A nested function would be shipped with a copy of the dict.)"""
+    if WORKER_CACHE:
+        WORKER_CACHE.clear()
+        release()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

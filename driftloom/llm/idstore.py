@@ -102,7 +102,7 @@ def staged(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             )
             row += n
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, STAGED)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, STAGED, keep_cache=True)
 
 
 def references(stage: DataFrame) -> DataFrame:

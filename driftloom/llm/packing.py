@@ -105,7 +105,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int) -> Da
             seen += np.bincount(length, minlength=limit + 1)
             yield columns(doc_id=batch.column("doc_id").take(pa.array(doc)), piece=piece.astype(np.int32), start=start, length=length, ids_crc32=np.array(crc, np.int64), task=np.full(len(doc), task, np.int32), place=place)
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES, keep_cache=True)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, cap: Capacity = Capacity()) -> DataFrame:

@@ -14,7 +14,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from .common import ragged
+from .common import WORKER_CACHE, ragged
 
 #: Distinct pieces that a Python worker remembers; beyond that it starts over (results do not change).
 CACHE_PIECES = 300_000
@@ -164,14 +164,11 @@ class PieceEncoder:
         return ids, ends[np.searchsorted(cuts, offsets)]
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """One encoder for each file and Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    if path not in WORKER_CACHE:
+        WORKER_CACHE[path] = PieceEncoder(path)
+    return WORKER_CACHE[path]
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
