@@ -222,16 +222,27 @@ def catalogue_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("query").agg(F.count("*").alias("n_answers"), F.count_distinct("doc").alias("n_docs"))
 
 
+def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(packet, s, o, source): the customers' part and supplier edges, ten packets of customers."""
+    return derived.lines(spark, sf_dir).select((F.col("doc") % 10).alias("packet"), F.concat(F.lit("p:"), "part").alias("s"), F.concat(F.lit("s:"), "supp").alias("o"), F.col("doc").alias("source")).distinct()
+
+
 @query("""WITH e AS (SELECT DISTINCT o_custkey % 10 AS packet, 'p:' || l_partkey AS s, 's:' || l_suppkey AS o, o_custkey AS source FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT 'fanout' AS shape, a.packet, a.s AS key, a.o AS x, z.o AS y FROM e a JOIN e z ON a.packet = z.packet AND a.s = z.s AND a.source <> z.source AND a.o < z.o GROUP BY ALL
 UNION ALL SELECT 'shared_tail', a.packet, a.o, a.s, z.s FROM e a JOIN e z ON a.packet = z.packet AND a.o = z.o AND a.source <> z.source AND a.s < z.s WHERE a.packet = 3 GROUP BY ALL""")
 def cross_document_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joins across documents of a packet: parts with two suppliers, and for one packet suppliers of two parts."""
-    e = derived.lines(spark, sf_dir).select((F.col("doc") % 10).alias("packet"), F.concat(F.lit("p:"), "part").alias("s"), F.concat(F.lit("s:"), "supp").alias("o"), F.col("doc").alias("source")).distinct()
+    e = _packets(spark, sf_dir)
     fan = graph_queries.cross_document(e, ["packet"], "fanout").withColumn("shape", F.lit("fanout"))
     return fan.unionByName(graph_queries.cross_document(e.where("packet = 3"), ["packet"], "shared_tail").withColumn("shape", F.lit("shared_tail"))).select("shape", "packet", "key", "x", "y")
 
 
+@query()
+def cross_document_shared_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of two parts across the documents of every packet; the SQL of ``cross_document_queries`` asks for one packet."""
+    return graph_queries.cross_document(_packets(spark, sf_dir), ["packet"], "shared_tail").select("packet", "key", "x", "y")
+
+
 @query(derived.SQL + f""", {UNDIRECTED}, r AS (SELECT family, doc, a, z FROM u UNION SELECT x.family, x.doc, x.a, y.z FROM u x JOIN u y ON x.family = y.family AND x.doc = y.doc AND x.z = y.a WHERE x.a <> y.z),
 k AS (SELECT doc, a, z FROM (SELECT doc, a, z, row_number() OVER (PARTITION BY doc ORDER BY sha256(a || '|' || z)) AS k FROM r WHERE family = 'base' AND a < z) WHERE k <= 50), w AS (SELECT DISTINCT family, doc FROM c)
 SELECT w.family, w.doc, round(count(r.a) / count(*)::DOUBLE, 6) AS preserved FROM w JOIN k ON k.doc = w.doc LEFT JOIN r ON r.family = w.family AND r.doc = w.doc AND r.a = k.a AND r.z = k.z GROUP BY ALL""")
