@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
-    found = ngram_jaccard_components(docs)
+    found = ngram_jaccard_components(docs, count_links=False)
     dropped = spool(found.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
     return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, "doc_id", "left_anti").select(*docs.columns)
 

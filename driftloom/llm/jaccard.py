@@ -14,6 +14,8 @@ Equal sets fall together by their digest; what follows works on one node per set
 4. Token-group matrix: (token, group) says that some set of the group holds the token. As many of a set's tokens
    as a link with the group's smallest set asks for must be in the other group's union, else no member can link; only
    the members of groups that qualify are opened and compared.
+5. Steps 2 to 4 find links enough to join the components. All links lie inside these, so they are counted there: a
+   component's sets are dealt over blocks, and each pair of blocks is compared once, for both ends of a link.
 
 Every comparison is exact, on whole sets. What a comparison needs is shipped to (leader, share of its sets), so a leader of
 many sets is many tasks.
@@ -34,7 +36,7 @@ from .common import arrow_map, columns, release, spool, text_slices, unspool, ut
 from .components import components
 from .lexicon import words_of
 
-WORDS, SAMPLED, RANGE_TOKENS, SHARE = 5, 0.5, 1 << 20, 64
+WORDS, SAMPLED, RANGE_TOKENS, SHARE, BLOCK = 5, 0.5, 1 << 20, 64, 192
 #: Rows of (node, key) up to which they are broadcast to the texts or sets.
 BROADCAST_ROWS = 2_000_000
 #: Salts of the rounds in which sets meet leaders; a round leaves out what the ones before have put into one group.
@@ -293,11 +295,76 @@ def leaders(alive: DataFrame, salts: range) -> DataFrame:
     return near.join(heads, ["salt", "key"]).where("node <> head.node and 5 * n >= 4 * head.n and 5 * head.n >= 4 * n").select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
 
 
-def ngram_jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for every row of ``docs`` (doc_id, text).
+def alike(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Which sets of ``x`` (rows) link with which of ``y``; tokens are taken ``width`` at a time."""
+    sizes = np.array([len(s) for s in (*x, *y)], np.int64)
+    _, token = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    several = np.bincount(token) > 1
+    keep = several[token]
+    token, owner = (np.cumsum(several) - 1)[token[keep]], owner[keep]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    both = np.zeros((len(x), len(y)), np.int64)
+    for lo in range(0, int(several.sum()), width):
+        a, b = np.searchsorted(token, (lo, lo + width))
+        held = np.zeros((len(sizes), width), np.float32)
+        held[owner[a:b], token[a:b] - lo] = 1
+        both += (held[: len(x)] @ held[len(x) :].T).astype(np.int64)
+    return 100 * both >= 80 * (sizes[: len(x), None] + sizes[len(x) :] - both)
+
+
+def link_counts(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, links) for ``members`` (node, grp, docs): the documents of the other sets of the group that link with the node's."""
+    sizes = spool(members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = members.join(sizes, "grp").select("node", "grp", "docs", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = spool(dealt.select("node", "docs", "grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("right")), "dealt")
+    shipped = sets.join(F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt, "node").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").select("grp", "i", "j", "right", "node", "docs", "set")
+
+    def side(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Nodes, documents and sets by node; equal rows count once."""
+        rows = sorted({(r[1], r[2], r[3]) for r in rows})
+        return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [np.frombuffer(r[2], np.uint64) for r in rows]
+
+    def count(key: tuple, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        same = key[1] == key[2]
+        x_id, x_docs, x = side([r for r in rows if not r[0]])
+        y_id, y_docs, y = (x_id, x_docs, x) if same else side([r for r in rows if r[0]])
+        if not len(x) or not len(y):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Rows of one node are one, so a link of any of them is the node's.
+        (x_id, x_at), (y_id, y_at) = np.unique(x_id, return_index=True), np.unique(y_id, return_index=True)
+        hit = np.maximum.reduceat(np.maximum.reduceat(alike(x, y), x_at, axis=0), y_at, axis=1) & (x_id[:, None] != y_id)
+        links = hit @ y_docs[y_at]
+        return (x_id, links) if same else (np.concatenate([x_id, y_id]), np.concatenate([links, x_docs[x_at] @ hit]))
 
-    component_id is the smallest doc_id reachable by links; ``n_links`` counts the links that were compared and found, not
-    those between equal sets. A null or empty text has no shingles and links with nothing; rows with one doc_id are one
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            nodes, links = [], []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != key:
+                    if rows:
+                        done = count(key, rows)
+                        nodes.append(done[0])
+                        links.append(done[1])
+                    key, rows = row[:3], []
+                rows.append(row[3:])
+            if nodes:
+                yield columns(node=np.concatenate(nodes), links=np.concatenate(links))
+        if rows:
+            nodes, links = count(key, rows)
+            yield columns(node=nodes, links=links)
+
+    return arrow_map(shipped, run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def ngram_jaccard_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for every row of ``docs`` (doc_id, text); without n_links if not ``count_links``.
+
+    component_id is the smallest doc_id reachable by links; ``n_links`` counts the other doc_ids whose sets have the
+    similarity, equal sets among them. A null or empty text has no shingles and links with nothing; rows with one doc_id are one
     node in links, each with its own n_shingles; a row without doc_id has no component; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -305,21 +372,26 @@ def ngram_jaccard_components(docs: DataFrame) -> DataFrame:
     bits = int(np.clip(np.ceil(np.log2(max(1, weight / 6 * SAMPLED / RANGE_TOKENS))), 6, 24))
     staged = spool(token_runs(docs, bits), "tokens")
     sets = spool(staged.where("range is null").select("doc_id", "n", "sig"), "sigs")
-    classes = spool(sets.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node")), "classes")
+    classes = spool(sets.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("docs")), "classes")
     shared = spool(shared_tokens(staged.where("range is not null").select("range", "run"), bits), "shared")
     unspool(staged)
     named = classes.select("node", F.col("sig").substr(1, 8).alias("half"))
     alive = spool(survivors(shared, bits).withColumn("half", _le_bytes(F.col("key"))).join(named, "half").select("node", "n", "need", "sample", "first"), "alive")
     unspool(shared)
-    links = _links(docs, alive)
+    links, whole = _links(docs, alive)
+    copies = F.col("docs") - 1
     if links is None:
-        joined = classes.select("sig", F.col("node").alias("component"), F.lit(0).cast("long").alias("n_links"))
+        joined = classes.select("sig", F.col("node").alias("component"), copies.alias("n_links"))
     else:
-        per_node = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-        found = components(links).withColumnRenamed("node", "x")
-        joined = classes.join(found, F.col("node") == F.col("x"), "left").join(per_node, "node", "left").select("sig", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    joined = spool(joined, "joined")
-    return sets.join(joined, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        found = spool(components(links), "components").withColumnRenamed("node", "x")
+        joined = classes.join(found, F.col("node") == F.col("x"), "left").select("sig", "node", F.coalesce("component", "node").alias("component"), copies.alias("n_links"))
+        if count_links:
+            # A node of several sets is in each of its classes.
+            members = found.join(classes.groupBy("node").agg((F.sum("docs") - F.count("*") + 1).alias("docs")), F.col("x") == F.col("node")).select("node", F.col("component").alias("grp"), "docs")
+            joined = joined.join(spool(link_counts(members, whole), "counts"), "node", "left").withColumn("n_links", F.col("n_links") + F.coalesce("links", F.lit(0)))
+    joined = spool(joined.select("sig", "component", F.col("n_links").cast("long").alias("n_links")), "joined")
+    out = sets.join(joined, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return out if count_links else out.drop("n_links")
 
 
 def _le_bytes(key: Column) -> Column:
@@ -328,11 +400,11 @@ def _le_bytes(key: Column) -> Column:
     return F.unhex(F.concat(*(F.substring(big, 15 - 2 * i, 2) for i in range(8))))
 
 
-def _links(docs: DataFrame, alive: DataFrame) -> DataFrame | None:
-    """Links between nodes that leave their connected components whole; None if there are none to look for."""
+def _links(docs: DataFrame, alive: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links between nodes that leave their connected components whole, and the nodes' sets; None if there are none to look for."""
     n = alive.count()
     if not n:
-        return None
+        return None, None
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
@@ -367,11 +439,11 @@ def _links(docs: DataFrame, alive: DataFrame) -> DataFrame | None:
     asks = entry.join(sides, "token").where("grp <> other and 4 * least <= slack and 4 * n <= widest").groupBy("node", "other").agg(F.min("least").alias("least"))
     asks = spool(asks, "asks")
     if not asks.count():
-        return found
+        return found, sets
     # The token-group matrix, for the groups that are asked: the foreign tokens of each group's union.
     matrix = held.join(asks.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi").select(F.col("grp").alias("other"), F.explode(_short("tokens")).alias("token")).distinct().groupBy("other").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
     opened = spool(qualifying(asks, held.select("node", "n", _short("tokens").alias("tokens")), spool(matrix, "matrix")), "opened")
     member = entry.select(F.col("node").alias("b"), F.col("grp").alias("other"), "token", F.col("n").alias("m"), F.col("slack").alias("room"))
     pairs = opened.join(entry.select("node", "token", "n", "slack"), "node").join(member, ["other", "token"]).where("4 * m <= slack and 4 * n <= room")
     pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    return found.unionByName(spool(compare(spool(pairs, "pairs"), sets), "hits"))
+    return found.unionByName(spool(compare(spool(pairs, "pairs"), sets), "hits")), sets
