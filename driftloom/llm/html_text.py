@@ -3,7 +3,8 @@
 A page becomes a tree; elements that are boilerplate by tag, role or name are cut off. Every text block passes points, one
 and one per comma and up to three for its length, to the elements above it, less with each generation, but in full to
 the nearest article or main. Points are discounted by the share of the element's text that lies in links. The best
-element and those siblings that score near it give their blocks in page order.
+element and those siblings that score near it give their blocks in page order, and so do siblings whose text stands in
+paragraphs or headings and is hardly linked, however short they are: a title, a lead, a closing section.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ NAMES = re.compile(
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
-GENERATIONS, SIBLING_SHARE, SIBLING_LEAST = 5, 0.2, 10.0
+GENERATIONS, SIBLING_SHARE, SIBLING_LEAST, SIBLING_LINKED = 5, 0.2, 10.0, 0.25
 
 
 class Node:
@@ -144,6 +145,27 @@ def blocks(root: Node) -> list[tuple[Node, str, int]]:
     return out
 
 
+def written_siblings(best: Node, found: list[tuple[Node, str, int]]) -> set[int]:
+    """Ids of the siblings of ``best`` whose text all stands in paragraphs or headings, less than SIBLING_LINKED of it in links."""
+    if best.parent is None:
+        return set()
+    chars: dict[int, list[int]] = {}
+    of: dict[int, int | None] = {}
+    for owner, text, linked in found:
+        chain, node = [], owner
+        while node is not None and id(node) not in of and node.parent is not best.parent:
+            chain.append(node)
+            node = node.parent
+        at = None if node is None else of.setdefault(id(node), id(node))
+        of.update((id(x), at) for x in chain)
+        if at is not None:
+            sums = chars.setdefault(at, [0, 0, 0])
+            sums[0] += len(text)
+            sums[1] += linked
+            sums[2] += len(text) if owner.tag in PARAGRAPHS else 0
+    return {x for x, (whole, linked, written) in chars.items() if written == whole and linked < SIBLING_LINKED * whole}
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the main text, one a line; an empty string if there are none."""
     if not page:
@@ -178,6 +200,7 @@ def main_text(page: str | None) -> str:
     for x in best.parent.inner if best.parent else ():
         if isinstance(x, Node) and id(x) in scored and worth(x) >= least:
             kept.add(id(x))
+    kept |= written_siblings(best, found)
     inside: dict[int, bool] = {}
     out = []
     for owner, text, _ in found:
