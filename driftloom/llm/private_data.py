@@ -5,9 +5,9 @@ the places. The patterns here find what the plain ones find, but neither backtra
 and no search starts inside a run that has already failed.
 
 Information-theoretic sanitisation: an entity is a base match's value, a term a word of TERM_LETTERS letters or more.
-Corpus counts give how often a term stands within REACH characters of an entity (equal surroundings, as in copies,
-count once), in how many documents each occurs, and so the share of the entity's information that seeing the term
-gives away: PMI(term, entity) / IC(entity). In documents with the entity, terms from REMOVE on are removed and terms from
+Corpus counts give in how many texts a term stands within REACH characters of an entity, in how many each occurs, and
+so the share of the entity's information that seeing the term gives away: PMI(term, entity) / IC(entity). All counts are
+of different texts, so it makes no difference how often a text was copied. In documents with the entity, terms from REMOVE on are removed and terms from
 GENERALISE on are generalised. Pairs seen in fewer than SUPPORT different surroundings are no evidence.
 """
 
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import spool
 
+#: Rows up to which the hashes of texts with copies are broadcast.
+BROADCAST_COPIES = 1_000_000
 TERM_LETTERS, REACH, SUPPORT, GENERALISE, REMOVE = 4, 60, 3, 0.6, 0.85
 #: Rows up to which a term table is broadcast.
 BROADCAST_ROWS = 50_000
@@ -95,14 +97,17 @@ def terms_near(spans: DataFrame) -> DataFrame:
 
 
 def revealing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(entity, term, kind) of the pairs whose disclosure reaches a threshold; counts cover all of ``docs`` (_text)."""
-    total = docs.count()
+    """(entity, term, kind) of the pairs whose disclosure reaches a threshold; counts cover all different texts of ``docs`` (_text)."""
+    hashed = docs.withColumn("_hash", F.xxhash64("_text"))
+    texts = spool(hashed.groupBy("_hash").agg(F.count("*").alias("copies")), "texts")
+    total = texts.count()
     near = spool(terms_near(spans), "near")
-    entity_docs = spans.select(F.explode(F.array_distinct(F.transform("_base", lambda s: F.lower(s["value"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    held = spans.select(F.xxhash64("_text").alias("text"), F.explode(F.array_distinct(F.transform("_base", lambda s: F.lower(s["value"])))).alias("entity"))
+    entity_docs = held.groupBy("entity").agg(F.count_distinct("text").alias("entity_docs"))
     # A term occurs at least in the documents that have it near an entity. Pairs that even this few leave below the
     # thresholds cannot reach them, so only the other terms are counted in all documents.
     fewest = near.groupBy("term").agg(F.count_distinct("text").alias("term_docs"))
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("around").alias("together")).where(F.col("together") >= SUPPORT)
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("around").alias("support"), F.count_distinct("text").alias("together")).where(F.col("support") >= SUPPORT)
     pairs = spool(pairs.join(fewest, "term").join(entity_docs, "entity").where(disclosure(total) >= GENERALISE).drop("term_docs"), "pairs")
     terms = pairs.select("term").distinct()
     n_terms = terms.count()
@@ -110,9 +115,13 @@ def revealing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
         return pairs.select("entity", "term", F.lit("removed").alias("kind"))
     if n_terms <= BROADCAST_ROWS:
         terms = F.broadcast(terms)
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= TERM_LETTERS)
-    # Summed inside each task first, so that what reaches the join is a row per word, not per occurrence.
-    term_docs = words.groupBy("term").agg(F.count("*").alias("term_docs")).join(terms, "term", "left_semi")
+    copied = texts.where("copies > 1")
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_COPIES else copied
+    words = hashed.join(copied, "_hash", "left").select(F.coalesce("copies", F.lit(1)).alias("copies"), F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= TERM_LETTERS)
+    # Summed inside each task first, so that what reaches the join is a row per word and number of copies, not per
+    # occurrence. A text of c copies is among the words of c copies c times.
+    summed = words.groupBy("term", "copies").agg(F.count("*").alias("n")).join(terms, "term", "left_semi")
+    term_docs = summed.groupBy("term").agg(F.sum((F.col("n") / F.col("copies"))).alias("term_docs"))
     kinds = F.when(F.col("share") >= REMOVE, "removed").when(F.col("share") >= GENERALISE, "general")
     return spool(pairs.join(term_docs, "term").withColumn("share", disclosure(total)).select("entity", "term", kinds.alias("kind")).where("kind is not null"), "terms")
 
