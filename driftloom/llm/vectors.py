@@ -153,7 +153,7 @@ def near_duplicates(table: DataFrame, least: float = 0.95) -> DataFrame:
     counted each; an unusable row has no links and is its own component; rows with one vec_id are one node. The k-means
     is fitted on a sample of about SAMPLE vectors, but every vector is assigned: to its cell, and to all cells
     whose border is nearer than MARGIN. Pairs further apart from a common cell than that are not found; recall is
-    measured in the tests. A cell's vectors are dealt over blocks of about BLOCK, and a task compares two blocks, so a
+    measured in the tests. A pair that is found counts once for each end, from whichever cell. A cell's vectors are dealt over blocks of about BLOCK, and a task compares two blocks, so a
     crowded cell is many tasks; what leaves a task is a count per vector and a spanning forest, never the pairs.
     """
     rows = usable(table)
@@ -176,9 +176,14 @@ def near_duplicates(table: DataFrame, least: float = 0.95) -> DataFrame:
                 far = apart[home] if apart is not None else np.sqrt(np.maximum(0, 2 - 2 * centres[home] @ centres.T))
                 row, cell = np.nonzero(gap <= MARGIN * far)
                 take = pa.array(row)
-                yield columns(cell=cell.astype(np.int32), home=cell == home[row], rep=part.column("rep").take(take), n=part.column("n").take(take), raw=part.column("raw").take(take))
-
-    assigned = spool(arrow_map(same.select("rep", "n", "raw"), assign, "cell int, home boolean, rep long, n long, raw binary"), "cells")
+                mine = cell == home[row]
+                at = np.zeros(len(row) + 1, np.int32)
+                at[1:][mine] = np.bincount(row, minlength=len(x))[row[mine]]
+                # A row at home knows all its cells; elsewhere it knows its home.
+                cells = pa.ListArray.from_arrays(np.cumsum(at, dtype=np.int32), cell.astype(np.int32))
+                yield columns(cell=cell.astype(np.int32), home=mine, of=home[row].astype(np.int32), cells=cells, rep=part.column("rep").take(take), n=part.column("n").take(take), raw=part.column("raw").take(take))
+
+    assigned = spool(arrow_map(same.select("rep", "n", "raw"), assign, "cell int, home boolean, of int, cells array<int>, rep long, n long, raw binary"), "cells")
     # One row per cell, CELLS at most. A block of the cell's own vectors meets each block of all that are compared there.
     sizes = assigned.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("own"), F.ceil(F.count("*") / BLOCK).cast("int").alias("all"))
     dealt = assigned.join(F.broadcast(sizes), "cell")
@@ -189,8 +194,8 @@ def near_duplicates(table: DataFrame, least: float = 0.95) -> DataFrame:
     def every(of: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
 
-    left = dealt.where("home").select("cell", block("own").alias("i"), every("all").alias("j"), F.lit(True).alias("left"), "rep", "n", "raw")
-    right = dealt.where("own > 0").select("cell", every("own").alias("i"), block("all").alias("j"), F.lit(False).alias("left"), "rep", "n", "raw")
+    left = dealt.where("home").select("cell", block("own").alias("i"), every("all").alias("j"), F.lit(True).alias("left"), "of", "cells", "rep", "n", "raw")
+    right = dealt.where("own > 0").select("cell", every("own").alias("i"), block("all").alias("j"), F.lit(False).alias("left"), "of", F.lit(None).cast("array<int>").alias("cells"), "rep", "n", "raw")
 
     def compare(pairs: pa.Table) -> pa.Table:
         mine = pairs.column("left").to_numpy()
@@ -202,6 +207,16 @@ def near_duplicates(table: DataFrame, least: float = 0.95) -> DataFrame:
             hit = (x @ y.T >= least) & (x_id[:, None] != y_id)
             total = hit @ weight
             out += [(int(v), int(t), None) for v, t in zip(x_id, total, strict=True) if t]
+            # A visitor counts its links in its home cell, so here those with rows that are not compared there.
+            away = np.array(b.column("of"))
+            lists = a.column("cells").combine_chunks()
+            owner, cells = np.repeat(np.arange(len(x)), np.diff(np.array(lists.offsets))), np.array(lists.flatten())
+            homes, which = np.unique(away, return_inverse=True)
+            place = np.minimum(np.searchsorted(homes, cells), len(homes) - 1)
+            there = np.zeros((len(x), len(homes)), bool)
+            there[owner[same_cell := homes[place] == cells], place[same_cell]] = True
+            total = np.array(a.column("n")) @ (hit & ~there[:, which])
+            out += [(int(v), int(t), None) for v, t in zip(y_id, total, strict=True) if t]
             above: dict[int, int] = {}
 
             def root(v: int) -> int:
