@@ -1,10 +1,18 @@
 """Operator 2, the main text of web pages by tree scoring.
 
-A page becomes a tree; elements that are boilerplate by tag, role or name are cut off. Every text block passes points, one
-and one per comma and up to three for its length, to the elements above it, less with each generation, but in full to
-the nearest article or main. Points are discounted by the share of the element's text that lies in links. The best
-element and those siblings that score near it give their blocks in page order, and so do siblings whose text stands in
-paragraphs or headings and is hardly linked, however short they are: a title, a lead, a closing section.
+A page becomes a tree. Every text block passes points, one and one per comma and up to three for its length, to the elements
+above it, less with each generation, but in full to the nearest article or main. Points are discounted by the share of the
+element's text that lies in links. The best element and those siblings that score near it give their blocks in page
+order, and so do siblings whose text stands in paragraphs or headings and is hardly linked, however short they are: a
+title, a lead, a closing section.
+
+Scripts, controls and other elements without readable text are cut off while the tree is built. Elements that look like
+boilerplate by tag, role or name are only suspects: their text counts SUSPECT_WEIGHT, and they go unless the best
+element lies in them and has some text (SUBSTANCE) or is an article or main, or unless nearly all of its text lies in them (HELD). So a name never empties a page: not a form round the whole
+page, a class such as ``has-sidebar``, or an unclosed menu. An article's own ``header`` (its title) is no suspect, its
+``footer`` is one.
+
+White space is what ``str.split`` takes for it, Unicode spaces and U+001C to U+001F among it.
 """
 
 from __future__ import annotations
@@ -24,7 +32,8 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-DROPPED = RAW | frozenset("nav header footer aside form button select option noscript template svg canvas object audio video dialog menu menuitem head".split())
+DROPPED = RAW | frozenset("button select option noscript template svg canvas object audio video head".split())
+SUSPECTS = frozenset("nav header footer aside form dialog menu menuitem".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -32,41 +41,65 @@ PARAGRAPHS = frozenset("p pre blockquote li td th dd dt h1 h2 h3 h4 h5 h6 figcap
 #: Open elements that a start tag ends, and the elements beyond which it does not look.
 ENDS = {t: ("p",) for t in BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}} | {"li": ("p", "li"), "dd": ("p", "dd", "dt"), "dt": ("p", "dd", "dt"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "tr": ("p", "td", "th", "tr"), "tbody": ("p", "td", "th", "tr", "thead", "tbody"), "option": ("option",)}
 FENCE = {"p": BLOCKS - {"p"}, "li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "thead": {"table"}, "tbody": {"table"}, "option": {"select"}}
-#: Words of class and id that name boilerplate.
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|sign-?up|nav\w*|menu|breadcrumbs?|pagination|pager|sidebar|side-bar|widget\w*|related|recommend\w*|share|sharing|social|comments?|disqus|replies|respond|footer|masthead|site-header|page-header|header|toolbar|skip-link|tags|author-bio|login|search)(?:$|[\s_-])",
-    re.I,
+#: Words of class and id that name boilerplate; words before them that say otherwise; words that must follow some of them, if any does.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adbox adsbygoogle sponsor sponsored sponsors promo promos promotion promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar widget widgets related recommended recommendations share sharing social comment comments disqus replies respond footer masthead header toolbar tags login search".split()
 )
+UNNAMES = frozenset("no non not has have with without is under below above before after".split())
+FOLLOWED = {w: frozenset("posts post articles article links stories reading content news items list videos topics box block section products pages".split()) for w in ("related", "recommended")}
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 GENERATIONS, SIBLING_SHARE, SIBLING_LEAST, SIBLING_LINKED = 5, 0.2, 10.0, 0.25
+SUSPECT_WEIGHT, HELD, SUBSTANCE = 0.2, 0.8, 200
 
 
 class Node:
-    __slots__ = ("inner", "linked", "parent", "score", "tag", "text")
+    """``story``: the nearest article or main, itself included; ``weak``: whether it or an element above it is a suspect."""
 
-    def __init__(self, tag: str, parent: Node | None) -> None:
+    __slots__ = ("gone", "inner", "linked", "parent", "score", "story", "suspect", "tag", "text", "weak")
+
+    def __init__(self, tag: str, parent: Node | None, suspect: bool = False) -> None:
         self.tag, self.parent, self.inner, self.score, self.text, self.linked = tag, parent, [], 0.0, 0, 0
+        self.suspect, self.weak, self.gone = suspect, suspect or parent is not None and parent.weak, False
+        self.story: Node | None = self if tag in ("article", "main") else parent.story if parent else None
+
 
+def named(value: str) -> bool:
+    """Whether a class or id names boilerplate."""
+    for token in value.split():
+        words = [w.lower() for w in WORD.findall(token)]
+        for k, w in enumerate(words):
+            if w in UNNAMES:
+                break
+            if w in NAMES and (w not in FOLLOWED or k + 1 == len(words) or words[k + 1] in FOLLOWED[w]):
+                return True
+    return False
 
-def boilerplate(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
+
+def suspicious(tag: str, attributes: str, parent: Node) -> bool:
+    """Whether an element looks like boilerplate by tag, role, visibility or name."""
+    if tag in ("html", "body", "main"):
+        return False
+    if tag in SUSPECTS and not (tag == "header" and parent.story is not None and parent.story.tag == "article"):
         return True
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
+    if not attributes.strip():
         return False
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-    return "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in ROLES or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""))) or any(NAMES.search(found.get(k, "")) for k in ("class", "id"))
+    if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
+        return True
+    return tag != "header" and any(named(found.get(k, "")) for k in ("class", "id"))
 
 
-def parse(page: str) -> Node:
-    """Tree of the elements that are not boilerplate; texts are strings among their children."""
+def parse(page: str) -> list[Node]:
+    """The elements that may hold text, parents before children, the root first; texts are strings among their children."""
     root = Node("html", None)
-    stack, dropped, at = [root], None, 0
+    nodes, stack, dropped, at = [root], [root], None, 0
     while True:
         m = TAG.search(page, at)
         if at < (end := m.start() if m else len(page)) and dropped is None:
             stack[-1].inner.append(page[at:end])
         if not m:
-            return root
+            return nodes
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -91,16 +124,16 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].tag in fence:
                     break
-        node = Node(tag, stack[-1])
-        if dropped is None:
+        node = Node(tag, stack[-1], dropped is None and suspicious(tag, m[3], stack[-1]))
+        if dropped is None and tag not in DROPPED:
             stack[-1].inner.append(node)
+            nodes.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
             close = re.compile(f"</{tag}", re.I).search(page, at)
             at = close.start() if close else len(page)
-        if dropped is None and boilerplate(tag, m[3]):
-            stack[-1].inner.pop()
+        if dropped is None and tag in DROPPED:
             dropped = len(stack)
         stack.append(node)
 
@@ -166,54 +199,71 @@ def written_siblings(best: Node, found: list[tuple[Node, str, int]]) -> set[int]
     return {x for x, (whole, linked, written) in chars.items() if written == whole and linked < SIBLING_LINKED * whole}
 
 
+def acquitted(best: Node, nodes: list[Node]) -> set[int]:
+    """Ids of the suspects that stay: those round ``best`` if it is a story or has SUBSTANCE characters without links, and those in it if they hold nearly all of its text, are hardly linked and not far shorter than the others."""
+    out, node = set(), best if best.story is not None or best.text - best.linked >= SUBSTANCE else None
+    while node is not None:
+        out.add(id(node))
+        node = node.parent
+    inside, outermost = {id(best)}, []
+    for x in nodes:
+        if x.parent is not None and id(x.parent) in inside:
+            if x.suspect:
+                outermost.append(x)
+            else:
+                inside.add(id(x))
+    held = sum(x.text for x in outermost)
+    if held > HELD * best.text:
+        out |= {id(x) for x in outermost if x.linked < SIBLING_LINKED * x.text and x.text >= SIBLING_SHARE * held / len(outermost)}
+    return out
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the main text, one a line; an empty string if there are none."""
     if not page:
         return ""
-    root = parse(page)
-    found = blocks(root)
+    nodes = parse(page)
+    found = blocks(nodes[0])
     scored: dict[int, Node] = {}
     for owner, text, linked in found:
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
+        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (SUSPECT_WEIGHT if owner.weak else 1)
+        owner.text += len(text)
+        owner.linked += linked
         node = owner.parent if owner.tag in PARAGRAPHS and owner.parent else owner
-        generation, whole = 1, False
-        while node is not None:
-            node.text += len(text)
-            node.linked += linked
-            if node.tag in ("article", "main") and not whole:
-                node.score += points
-                whole = True
-            elif generation <= GENERATIONS and not whole:
-                node.score += points / generation
+        story, generation = node.story, 1
+        while node is not None and generation <= GENERATIONS and node is not story:
+            node.score += points / generation
             scored[id(node)] = node
             node, generation = node.parent, generation + 1
+        if story is not None:
+            story.score += points
+            scored[id(story)] = story
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.text += node.text
+            node.parent.linked += node.linked
     if not scored:
         return ""
 
     def worth(node: Node) -> float:
         return node.score * (1 - node.linked / max(1, node.text))
 
-    order = list(scored.values())
-    best = max(order, key=worth)
+    best = max(scored.values(), key=worth)
+    stay = acquitted(best, nodes)
+    for node in nodes:
+        node.gone = node.parent is not None and node.parent.gone or node.suspect and id(node) not in stay
+    found = [x for x in found if not x[0].gone]
     least = max(SIBLING_LEAST, SIBLING_SHARE * worth(best))
     kept = {id(best)}
     for x in best.parent.inner if best.parent else ():
         if isinstance(x, Node) and id(x) in scored and worth(x) >= least:
             kept.add(id(x))
     kept |= written_siblings(best, found)
-    inside: dict[int, bool] = {}
-    out = []
-    for owner, text, _ in found:
-        chain, node = [], owner
-        while node is not None and id(node) not in inside and id(node) not in kept:
-            chain.append(node)
-            node = node.parent
-        yes = node is not None and (id(node) in kept or inside[id(node)])
-        for x in chain:
-            inside[id(x)] = yes
-        if yes:
-            out.append(text)
-    return "\n".join(out)
+    chosen = set()
+    for node in nodes:
+        if id(node) in kept or node.parent is not None and id(node.parent) in chosen:
+            chosen.add(id(node))
+    return "\n".join(text for owner, text, _ in found if id(owner) in chosen)
 
 
 def extract(pages: DataFrame) -> DataFrame:
