@@ -90,8 +90,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def utf8_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; a null is an empty text."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """Bytes and offsets of a string or large binary column; a null is an empty one."""
+    column = pc.fill_null(column, b"") if pa.types.is_large_binary(column.type) else pc.fill_null(column.cast(pa.large_string()), "")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

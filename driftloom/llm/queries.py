@@ -36,7 +36,7 @@ def op6_content_addressed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import idstore
 
     idstore.write(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), path := idstore.fresh_path(spark))
-    return idstore.checksums(idstore.read(spark, path))
+    return idstore.read(spark, path, checksums=True)
 
 
 @query

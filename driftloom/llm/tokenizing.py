@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from .common import WORKER_CACHE, ragged
 
-#: Distinct pieces that a Python worker remembers; beyond that it starts over (results do not change).
+#: Distinct pieces that a Python worker remembers; beyond that it keeps those met again (results do not change).
 CACHE_PIECES = 300_000
 
 WHITE = np.zeros(256, bool)
@@ -88,6 +88,12 @@ class IdStore:
     def __init__(self) -> None:
         self.flat, self.starts, self.lengths, self.n, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0, 0
 
+    def kept(self, at: np.ndarray) -> IdStore:
+        """A store with the runs at ``at`` alone, in that order."""
+        out = IdStore()
+        out.add(self.flat[ragged(self.starts[at], self.lengths[at])], self.lengths[at])
+        return out
+
     def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -122,12 +128,20 @@ class PieceEncoder:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.store = IdStore()
+        self.store, self.met = IdStore(), np.zeros(0, np.int64)
+
+    def age(self) -> None:
+        """Keep the pieces that were met in two slices or more, and halve how often they count as met."""
+        hot = np.flatnonzero(self.met >= 2)
+        places = np.full(len(self.met), -1, np.int64)
+        places[hot] = np.arange(len(hot))
+        self.known = {p: k for p, k in zip(self.known, places[np.fromiter(self.known.values(), np.int64, len(self.known))].tolist(), strict=True) if k >= 0}
+        self.store, self.met = self.store.kept(hot), self.met[hot] // 2
 
     def runs(self, pieces: list[bytes]) -> np.ndarray:
-        """Places of the pieces' ids in the store."""
+        """Places of the pieces' ids in the store; ``pieces`` are distinct."""
         if len(self.known) > CACHE_PIECES:
-            self.forget()
+            self.age()
         get = self.known.get
         at = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
         if len(new := np.flatnonzero(at < 0)):
@@ -137,11 +151,18 @@ class PieceEncoder:
                 self.store.add(np.fromiter((x for run in ids for x in run), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
             at[new] = np.arange(self.store.n - len(fresh), self.store.n)
             self.known.update(zip(fresh, at[new].tolist(), strict=True))
+            self.met = np.concatenate([self.met, np.zeros(len(fresh), np.int64)])
+        self.met[at] += 1
         return at
 
     def fresh_ids(self, pieces: list[bytes]) -> list[list[int]]:
-        plain, tokenize, letters = self.plain, self.tokenizer.model.tokenize, self.letters
-        ids = [[t.id for t in tokenize(p.decode("latin-1").translate(letters))] if plain(p) else None for p in pieces]
+        plain, tokenize, letters, space = self.plain, self.tokenizer.model.tokenize, self.letters, chr(self.letters[32])
+
+        def shown(p: bytes) -> str:
+            # ASCII letters stand for themselves.
+            return p.decode("ascii").replace(" ", space) if p.isascii() else p.decode("latin-1").translate(letters)
+
+        ids = [[t.id for t in tokenize(shown(p))] if plain(p) else None for p in pieces]
         odd = [i for i, x in enumerate(ids) if x is None]
         for i, e in zip(odd, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in odd], add_special_tokens=False), strict=True):
             ids[i] = e.ids

@@ -202,7 +202,7 @@ def test_id_store(spark, tmp_path):
     want = [[*ids, 2] for ids in encoded(WORD, texts)]
     assert [np.frombuffer(r.ids, "<u2").tolist() for r in got] == want
     assert [r.start for r in got] == [0, *np.cumsum([len(w) for w in want])[:-1]]
-    stored = spark.read.parquet(path).where("row >= 0").collect()
+    stored = spark.read.parquet(f"{path}/data").where("row >= 0").collect()
     owned = [d for r in stored for d, o in zip(idstore.split_digests(bytes(r.recipe)), r.owned, strict=True) if o]
     assert len(owned) == len(set(owned))  # each chunk once
     idstore.write(documents(spark, []), WORD, str(tmp_path / "none"))
