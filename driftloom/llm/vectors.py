@@ -25,8 +25,8 @@ WAVE, TILE = 4096, 1024
 SAMPLE, CELL, CELLS, ROUNDS = 20_000, 512, 4096, 8
 #: Distance beyond a cell's border, as a sine, up to which a vector is compared in that cell too.
 MARGIN = 0.08
-#: Vectors of one block; a task compares two blocks of one cell.
-BLOCK = 192
+#: Vectors of one block; a group of rows is two blocks of one cell.
+BLOCK = 2048
 
 
 def usable(table: DataFrame) -> DataFrame:
@@ -153,8 +153,9 @@ def near_duplicates(table: DataFrame, least: float = 0.95) -> DataFrame:
     counted each; an unusable row has no links and is its own component; rows with one vec_id are one node. The k-means
     is fitted on a sample of about SAMPLE vectors, but every vector is assigned: to its cell, and to all cells
     whose border is nearer than MARGIN. Pairs further apart from a common cell than that are not found; recall is
-    measured in the tests. A pair that is found counts once for each end, from whichever cell. A cell's vectors are dealt over blocks of about BLOCK, and a task compares two blocks, so a
-    crowded cell is many tasks; what leaves a task is a count per vector and a spanning forest, never the pairs.
+    measured in the tests. A pair that is found counts once for each end, from whichever cell. A cell's vectors are dealt over blocks of about BLOCK, and what
+    meets is two blocks, once, so a crowded cell is dealt over many tasks; what comes out is a count per vector and a
+    spanning forest, never the pairs.
     """
     rows = usable(table)
     same = spool(rows.groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
@@ -184,53 +185,55 @@ def near_duplicates(table: DataFrame, least: float = 0.95) -> DataFrame:
                 yield columns(cell=cell.astype(np.int32), home=mine, of=home[row].astype(np.int32), cells=cells, rep=part.column("rep").take(take), n=part.column("n").take(take), raw=part.column("raw").take(take))
 
     assigned = spool(arrow_map(same.select("rep", "n", "raw"), assign, "cell int, home boolean, of int, cells array<int>, rep long, n long, raw binary"), "cells")
-    # One row per cell, CELLS at most. A block of the cell's own vectors meets each block of all that are compared there.
-    sizes = assigned.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("own"), F.ceil(F.count("*") / BLOCK).cast("int").alias("all"))
-    dealt = assigned.join(F.broadcast(sizes), "cell")
-
-    def block(of: str) -> Column:
-        return F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
-
-    def every(of: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-
-    left = dealt.where("home").select("cell", block("own").alias("i"), every("all").alias("j"), F.lit(True).alias("left"), "of", "cells", "rep", "n", "raw")
-    right = dealt.where("own > 0").select("cell", every("own").alias("i"), block("all").alias("j"), F.lit(False).alias("left"), "of", F.lit(None).cast("array<int>").alias("cells"), "rep", "n", "raw")
+    # One row per cell, CELLS at most. Home vectors are dealt over blocks 0 to own - 1, visitors over the blocks after them;
+    # block i of those at home meets every block j from itself on, so two blocks meet once.
+    sizes = assigned.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("own"), F.ceil(F.count_if(~F.col("home")) / BLOCK).cast("int").alias("away")).where("own > 0")
+    dealt = assigned.join(F.broadcast(sizes), "cell").withColumn("block", F.when(F.col("home"), F.pmod(F.xxhash64("rep"), F.col("own"))).otherwise(F.col("own") + F.pmod(F.xxhash64("rep"), F.col("away"))).cast("int"))
+    left = dealt.where("home").select("cell", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("own") + F.col("away") - 1)).alias("j"), F.lit(True).alias("left"), "home", "of", "cells", "rep", "n", "raw")
+    right = dealt.where("block > 0").select("cell", F.explode(F.sequence(F.lit(0), F.least("block", "own") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), "home", "of", F.lit(None).cast("array<int>").alias("cells"), "rep", "n", "raw")
 
     def compare(pairs: pa.Table) -> pa.Table:
         mine = pairs.column("left").to_numpy()
         a, b = pairs.filter(pa.array(mine)), pairs.filter(pa.array(~mine))
-        out: list[tuple] = []
+        alone = pairs.column("i")[0].as_py() == pairs.column("j")[0].as_py()
+        if alone:
+            b = a
+        node, links, peer = [], [], []
         if a.num_rows and b.num_rows:
-            x, y = unit(matrix(a.column("raw"))), unit(matrix(b.column("raw")))
-            x_id, y_id, weight = (np.array(t) for t in (a.column("rep"), b.column("rep"), b.column("n")))
-            hit = (x @ y.T >= least) & (x_id[:, None] != y_id)
-            total = hit @ weight
-            out += [(int(v), int(t), None) for v, t in zip(x_id, total, strict=True) if t]
-            # A visitor counts its links in its home cell, so here those with rows that are not compared there.
-            away = np.array(b.column("of"))
-            lists = a.column("cells").combine_chunks()
-            owner, cells = np.repeat(np.arange(len(x)), np.diff(np.array(lists.offsets))), np.array(lists.flatten())
-            homes, which = np.unique(away, return_inverse=True)
-            place = np.minimum(np.searchsorted(homes, cells), len(homes) - 1)
-            there = np.zeros((len(x), len(homes)), bool)
-            there[owner[same_cell := homes[place] == cells], place[same_cell]] = True
-            total = np.array(a.column("n")) @ (hit & ~there[:, which])
-            out += [(int(v), int(t), None) for v, t in zip(y_id, total, strict=True) if t]
-            above: dict[int, int] = {}
-
-            def root(v: int) -> int:
-                while (p := above.get(v, v)) != v:
-                    above[v] = above.get(p, p)
-                    v = p
-                return v
-
-            for r, c in zip(*(z.tolist() for z in np.nonzero(hit)), strict=True):
-                u, v = root(int(x_id[r])), root(int(y_id[c]))
-                if u != v:
-                    above[max(u, v)] = min(u, v)
-                    out.append((u, None, v))
-        return pa.table({"rep": pa.array([o[0] for o in out], pa.int64()), "links": pa.array([o[1] for o in out], pa.int64()), "peer": pa.array([o[2] for o in out], pa.int64())})
+            x = unit(matrix(a.column("raw")))
+            y = x if alone else unit(matrix(b.column("raw")))
+            (x_id, x_n), (y_id, y_n) = ((np.array(t.column("rep")), np.array(t.column("n"))) for t in (a, b))
+            row, col = np.nonzero(x @ y.T >= least)
+            row, col = row[other := x_id[row] != y_id[col]], col[other]
+            node.append(x_id)
+            links.append(np.bincount(row, y_n[col], len(x)).astype(np.int64))
+            if not alone:
+                counted = np.ones(len(row), bool)
+                away = np.flatnonzero(~b.column("home").to_numpy())
+                if len(away):
+                    # A visitor counts its links in its home cell, so here those with rows that are not compared there.
+                    lists = a.column("cells").combine_chunks()
+                    owner, cells = np.repeat(np.arange(len(x)), np.diff(np.array(lists.offsets))), np.array(lists.flatten()).astype(np.int64)
+                    span = 1 + int(max(cells.max(initial=0), np.array(b.column("of")).max()))
+                    there = np.isin(row * span + np.array(b.column("of")).astype(np.int64)[col], owner * span + cells)
+                    counted = ~(there & ~b.column("home").to_numpy()[col])
+                node.append(y_id)
+                links.append(np.bincount(col[counted], x_n[row[counted]], len(y)).astype(np.int64))
+            # Nodes that hang together here, each joined to the least of them.
+            ids, at = np.unique(np.concatenate([x_id[row], y_id[col]]), return_inverse=True)
+            u, v, label = at[: len(row)], at[len(row) :], np.arange(len(ids))
+            while (label[u] != label[v]).any():
+                low = np.minimum(label[u], label[v])
+                np.minimum.at(label, u, low)
+                np.minimum.at(label, v, low)
+                label = label[label]
+            below = np.flatnonzero(label < np.arange(len(ids)))
+            peer = [(ids[below], ids[label[below]])]
+        counts, ends = (np.concatenate([*z, np.zeros(0, np.int64)]) for z in (node, links))
+        some = ends > 0
+        u, v = peer[0] if peer else (np.zeros(0, np.int64),) * 2
+        none = pa.nulls
+        return pa.table({"rep": np.concatenate([counts[some], u]), "links": pa.concat_arrays([pa.array(ends[some], pa.int64()), none(len(u), pa.int64())]), "peer": pa.concat_arrays([none(int(some.sum()), pa.int64()), pa.array(v, pa.int64())])})
 
     found = spool(left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(compare, "rep long, links long, peer long"), "links")
     links = found.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
