@@ -1,9 +1,10 @@
 """A lineage derived from the star-schema tables: base views, counterfactual views, gold edges, pairs.
 
 A document is a customer. Its base view holds, per order line, order -[R<flag><status>]-> part and order -[SUPPLIED_BY]->
-supplier, and per order, customer -[priority]-> order. Four counterfactual families perturb it: ``evidence`` loses first
-lines, ``schema`` renames a relation, ``stochastic`` swaps parts of every seventh order, ``prompt`` adds TAXED edges.
-Every fiftieth customer's counterfactual views are empty, which is legal. SQL below derives the same for DuckDB.
+supplier, and per order, customer -[priority]-> order. Five counterfactual families perturb it: ``evidence`` loses first
+lines, ``schema`` renames a relation, ``stochastic`` swaps parts of every seventh order, ``prompt`` adds TAXED edges,
+``model`` loses a fifth of the lines. Every fiftieth customer's counterfactual views are empty, which is legal. The edges are
+written once per session, with a bitmap of the views that hold them. SQL below derives the same for DuckDB.
 """
 
 from __future__ import annotations
@@ -11,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FAMILIES = ("evidence", "schema", "stochastic", "prompt")
+from driftloom.operators import views
+from driftloom.sources.store import kept
+
+FAMILIES = ("evidence", "schema", "stochastic", "prompt", "model")
 #: The renamed relation and its alias, and the coarse bucket of the line relations.
 RENAMED = {"alias_NO": "RNO"}
 COARSE = {"RNO": "line", "RNF": "line", "RAF": "line", "RRF": "line", "RRO": "line", "RAO": "line"}
@@ -29,42 +33,52 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _edge(family: str, s: Column, r: Column, o: Column) -> Column:
-    return F.struct(F.lit(family).alias("family"), s.alias("s"), r.alias("r"), o.alias("o"))
+def _bits(**present: Column | bool) -> Column:
+    """The base bit and those of the named families, if the document is live."""
+    out = F.lit(views.BASE if present.pop("base", False) else 0).cast("long")
+    for i, f in enumerate(FAMILIES):
+        if f in present:
+            out = out + F.when(F.col("doc") % 50 != 0, F.when(F.lit(True) if present[f] is True else present[f], views.bit(i)).otherwise(0)).otherwise(0)
+    return out
+
+
+def _edge(s: Column, r: Column, o: Column, mask: Column) -> Column:
+    return F.struct(s.alias("s"), r.alias("r"), o.alias("o"), mask.alias("mask"))
+
+
+def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, s, r, o, mask) of all views; each line is read once."""
+    return kept(spark, "elements", [f"{sf_dir}/lineitem.parquet", f"{sf_dir}/orders.parquet"], lambda: _elements(spark, sf_dir))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(family, doc, s, r, o) of all views, family ``base`` or a counterfactual one; each line is read once."""
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     order, part, supp = F.concat(F.lit("o:"), F.col("k").cast("string")), F.concat(F.lit("p:"), F.col("part").cast("string")), F.concat(F.lit("s:"), F.col("supp").cast("string"))
-    swapped = F.when(F.col("k") % 7 == 0, F.concat(F.lit("p:"), ((F.col("part") * 31) % 997).cast("string"))).otherwise(part)
-    alias = F.when(F.col("rel") == "RNO", "alias_NO").otherwise(F.col("rel"))
-    by, live = F.lit("SUPPLIED_BY"), F.col("doc") % 50 != 0
-    made = [_edge("base", order, F.col("rel"), part), _edge("base", order, by, supp)]
-    cf = [
-        F.when(F.col("ln") != 1, _edge("evidence", order, F.col("rel"), part)), F.when(F.col("ln") != 1, _edge("evidence", order, by, supp)),
-        _edge("schema", order, alias, part), _edge("schema", order, by, supp), _edge("stochastic", order, F.col("rel"), swapped), _edge("stochastic", order, by, supp),
-        _edge("prompt", order, F.col("rel"), part), _edge("prompt", order, by, supp), F.when(F.col("tax") > 0.06, _edge("prompt", order, F.lit("TAXED"), part)),
+    swapped = F.concat(F.lit("p:"), ((F.col("part") * 31) % 997).cast("string"))
+    rel, ordinary, kept_first, kept_model = F.col("rel"), F.col("rel") != "RNO", F.col("ln") != 1, (F.col("k") + F.col("ln")) % 5 != 0
+    made = [
+        _edge(order, rel, part, _bits(base=True, evidence=kept_first, schema=ordinary, stochastic=F.col("k") % 7 != 0, prompt=True, model=kept_model)),
+        _edge(order, F.lit("SUPPLIED_BY"), supp, _bits(base=True, evidence=kept_first, schema=True, stochastic=True, prompt=True, model=kept_model)),
+        _edge(order, F.lit("alias_NO"), part, _bits(schema=~ordinary)), _edge(order, rel, swapped, _bits(stochastic=F.col("k") % 7 == 0)), _edge(order, F.lit("TAXED"), part, _bits(prompt=F.col("tax") > 0.06)),
     ]
-    of_lines = lines(spark, sf_dir).select("doc", F.explode(F.filter(F.when(live, F.array(*made, *cf)).otherwise(F.array(*made)), lambda e: e.isNotNull())).alias("e"))
-    doc = F.col("o_custkey")
-    heads = [_edge(f, F.concat(F.lit("c:"), doc.cast("string")), F.col("o_orderpriority"), F.concat(F.lit("o:"), F.col("o_orderkey").cast("string"))) for f in ("base", *FAMILIES)]
-    of_orders = table(spark, sf_dir, "orders").select(doc.alias("doc"), F.explode(F.when(doc % 50 != 0, F.array(*heads)).otherwise(F.array(heads[0]))).alias("e"))
-    return of_lines.unionByName(of_orders).select("e.family", "doc", "e.s", "e.r", "e.o").distinct()
+    of_lines = lines(spark, sf_dir).select("doc", F.explode(F.filter(F.array(*made), lambda e: e["mask"] != 0)).alias("e")).select("doc", "e.*")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), "o_orderpriority", "o_orderkey")
+    of_orders = orders.select("doc", F.concat(F.lit("c:"), F.col("doc").cast("string")).alias("s"), F.col("o_orderpriority").alias("r"), F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("o"), _bits(base=True, **dict.fromkeys(FAMILIES, True)).alias("mask"))
+    return views.masked(of_lines.unionByName(of_orders), ["s", "r", "o"])
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, s, r, o) of the base views."""
-    return edges(spark, sf_dir).where("family = 'base'").drop("family")
+    return views.view(elements(spark, sf_dir), views.BASE)
 
 
-def counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(family, doc, s, r, o) of the counterfactual views."""
-    return edges(spark, sf_dir).where("family <> 'base'")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc): every document, with all families' views, empty ones too."""
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc")).distinct()
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(family, doc): every document with every family, empty views too."""
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc")).distinct().select(F.explode(F.array(*map(F.lit, FAMILIES))).alias("family"), "doc")
+def args(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, tuple[str, ...]]:
+    """What metrics of all pairs ask for: documents, elements, families."""
+    return documents(spark, sf_dir), elements(spark, sf_dir), FAMILIES
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +90,8 @@ SQL = """
 WITH l AS (SELECT o_custkey AS doc, o_orderkey AS k, 'R' || l_returnflag || l_linestatus AS rel, l_partkey AS part, l_suppkey AS supp, l_linenumber AS ln, l_discount AS disc, l_tax AS tax
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 h AS (SELECT o_custkey AS doc, 'c:' || o_custkey AS s, o_orderpriority AS r, 'o:' || o_orderkey AS o FROM orders),
-b AS (SELECT DISTINCT * FROM (SELECT doc, 'o:' || k AS s, rel AS r, 'p:' || part AS o FROM l UNION ALL SELECT doc, 'o:' || k, 'SUPPLIED_BY', 's:' || supp FROM l UNION ALL SELECT * FROM h)),
-c AS (SELECT DISTINCT * FROM (
+b AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT doc, 'o:' || k AS s, rel AS r, 'p:' || part AS o FROM l UNION ALL SELECT doc, 'o:' || k, 'SUPPLIED_BY', 's:' || supp FROM l UNION ALL SELECT * FROM h)),
+c AS MATERIALIZED (SELECT DISTINCT * FROM (
   SELECT 'evidence' AS family, doc, 'o:' || k AS s, rel AS r, 'p:' || part AS o FROM l WHERE ln <> 1
   UNION ALL SELECT 'evidence', doc, 'o:' || k, 'SUPPLIED_BY', 's:' || supp FROM l WHERE ln <> 1
   UNION ALL SELECT 'evidence', doc, s, r, o FROM h
@@ -86,8 +100,11 @@ c AS (SELECT DISTINCT * FROM (
   UNION ALL SELECT 'stochastic', doc, 'o:' || k, 'SUPPLIED_BY', 's:' || supp FROM l
   UNION ALL SELECT 'stochastic', doc, s, r, o FROM h
   UNION ALL SELECT 'prompt', doc, s, r, o FROM b
-  UNION ALL SELECT 'prompt', doc, 'o:' || k, 'TAXED', 'p:' || part FROM l WHERE tax > 0.06) WHERE doc % 50 <> 0),
-f AS (SELECT unnest(['evidence', 'schema', 'stochastic', 'prompt']) AS family),
+  UNION ALL SELECT 'prompt', doc, 'o:' || k, 'TAXED', 'p:' || part FROM l WHERE tax > 0.06
+  UNION ALL SELECT 'model', doc, 'o:' || k, rel, 'p:' || part FROM l WHERE (k + ln) % 5 <> 0
+  UNION ALL SELECT 'model', doc, 'o:' || k, 'SUPPLIED_BY', 's:' || supp FROM l WHERE (k + ln) % 5 <> 0
+  UNION ALL SELECT 'model', doc, s, r, o FROM h) WHERE doc % 50 <> 0),
+f AS (SELECT unnest(['evidence', 'schema', 'stochastic', 'prompt', 'model']) AS family),
 p AS (SELECT family, doc FROM f, (SELECT DISTINCT o_custkey AS doc FROM orders)),
 g AS (SELECT DISTINCT doc, 'o:' || k AS s, rel AS r, 'p:' || part AS o FROM l WHERE disc <= 0.05),
 v AS (SELECT 'base' AS family, * FROM b UNION ALL SELECT * FROM c)

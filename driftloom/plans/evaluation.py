@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.operators import contracts, graph_queries, lineage, sets, statistics
+from driftloom.operators import contracts, lineage, statistics, views
+
+from driftloom.sources.store import kept
 
 from . import derived
 from .derived import table
@@ -116,17 +118,16 @@ y AS (SELECT g0.family, g0.doc, gd, qd FROM gd g0 JOIN qd USING (family, doc))
 
 def _drifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(family, doc, gd, qd): graph drift and fan-out query drift."""
-    p, b, c = derived.pairs(spark, sf_dir), derived.base(spark, sf_dir), derived.counterfactual(spark, sf_dir)
-    graph = sets.jaccard(p, b, c, ["s", "r", "o"]).select(*PAIR, (1 - F.col("jaccard")).alias("gd"))
-    queries = sets.jaccard(p, graph_queries.fanout_join(b, ["doc"]), graph_queries.fanout_join(c, PAIR), ["h", "r", "o", "r2", "o2"]).select(*PAIR, (1 - F.col("jaccard")).alias("qd"))
-    return graph.join(queries, PAIR)
+    args = derived.args(spark, sf_dir)
+    graph = views.jaccard(*args).select(*PAIR, (1 - F.col("jaccard")).alias("gd"))
+    return graph.join(views.fanout_jaccard(*args).select(*PAIR, (1 - F.col("fanout")).alias("qd")), PAIR)
 
 
 @query(GATE + """SELECT family, count(*) AS n_pairs, round(avg(gd), 6) AS graph_drift, round(avg(qd), 6) AS query_drift, round(avg(qd / (gd + 0.05)), 6) AS amplification, round(avg(qd) / (avg(gd) + 0.05), 6) AS ratio_of_means FROM y GROUP BY ROLLUP (family)""")
 def amplification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per family and overall, in grouping sets."""
     d = _drifts(spark, sf_dir)
-    return d.rollup("family").agg(F.count("*").alias("n_pairs"), F.round(F.avg("gd"), 6).alias("graph_drift"), F.round(F.avg("qd"), 6).alias("query_drift"), F.round(F.avg(sets.amplification(F.col("qd"), F.col("gd"))), 6).alias("amplification"), F.round(sets.amplification(F.avg("qd"), F.avg("gd")), 6).alias("ratio_of_means"))
+    return d.rollup("family").agg(F.count("*").alias("n_pairs"), F.round(F.avg("gd"), 6).alias("graph_drift"), F.round(F.avg("qd"), 6).alias("query_drift"), F.round(F.avg(views.amplification(F.col("qd"), F.col("gd"))), 6).alias("amplification"), F.round(views.amplification(F.avg("qd"), F.avg("gd")), 6).alias("ratio_of_means"))
 
 
 @query(GATE + """, z AS (SELECT *, gd >= 0.2 OR qd >= 0.3 AS blocked, qd > 0.25 AS harmful, 1 - qd AS fidelity FROM y)
@@ -147,26 +148,98 @@ def threshold_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(*(F.round(c, 6).alias(c) for c in ("tg", "tq", "coverage", "harm_rate")))
 
 
-RECORDS = GATE + """, w AS (SELECT family || ':' || doc AS run_id, family AS cause_family, CASE WHEN family = 'stochastic' THEN 'none' ELSE 'presentation' END AS semantic_class, CASE WHEN family = 'schema' THEN 'Rename relations' ELSE family END AS description, 1 - gd AS canonical, 1 - qd AS fanout FROM y),
-o AS (SELECT 'K1' AS contract, 0.85 AS t, canonical AS value FROM w WHERE cause_family = 'schema' AND semantic_class = 'presentation' AND lower(description) LIKE '%rename%'
-UNION ALL SELECT 'K2', 0.80, canonical FROM w WHERE cause_family = 'prompt' UNION ALL SELECT 'K3', 0.80, canonical FROM w WHERE cause_family = 'evidence' UNION ALL SELECT 'K4', 0.70, fanout FROM w WHERE semantic_class = 'presentation' UNION ALL SELECT 'K6', 0.85, canonical FROM w WHERE cause_family = 'stochastic')
+#: Canonical views: the renamed relation under its own name, as all contracts compare them.
+CANONICAL = derived.SQL + """, cc AS MATERIALIZED (SELECT DISTINCT family, doc, s, CASE WHEN r = 'alias_NO' THEN 'RNO' ELSE r END AS r, o FROM c),
+sc AS (SELECT family, doc, s, r, o, max(b) AS b, max(c) AS c FROM (SELECT p.family, p.doc, s, r, o, 1 AS b, 0 AS c FROM p JOIN b q ON q.doc = p.doc UNION ALL SELECT family, doc, s, r, o, 0, 1 FROM cc) GROUP BY ALL),
+canonical AS (SELECT p.family, p.doc, coalesce(sum(x.b * x.c) / nullif(count(x.b), 0)::DOUBLE, 1.0) AS v FROM p LEFT JOIN sc x ON x.family = p.family AND x.doc = p.doc GROUP BY p.family, p.doc),
+sf AS (SELECT family, doc, h, r, o, r2, o2, max(b) AS b, max(c) AS c FROM (SELECT p.family, p.doc, h, r, o, r2, o2, 1 AS b, 0 AS c FROM p JOIN """ + FANOUT_B + """ q ON q.doc = p.doc UNION ALL SELECT family, doc, h, r, o, r2, o2, 0, 1 FROM """ + FANOUT_C.replace("FROM c a JOIN c z", "FROM cc a JOIN cc z") + """) GROUP BY ALL),
+fanout AS (SELECT p.family, p.doc, coalesce(sum(x.b * x.c) / nullif(count(x.b), 0)::DOUBLE, 1.0) AS v FROM p LEFT JOIN sf x ON x.family = p.family AND x.doc = p.doc GROUP BY p.family, p.doc),
+e AS (SELECT 'base' AS family, doc, s, r, o FROM b UNION ALL SELECT * FROM cc), g1 AS (SELECT family, doc, s AS node, count(*) AS n FROM e GROUP BY ALL),
+t3 AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family, doc ORDER BY n DESC, node) AS k FROM g1) WHERE k <= 3),
+st AS (SELECT family, doc, node, max(b) AS b, max(c) AS c FROM (SELECT p.family, p.doc, node, 1 AS b, 0 AS c FROM p JOIN t3 q ON q.doc = p.doc AND q.family = 'base' UNION ALL SELECT family, doc, node, 0, 1 FROM t3 WHERE family <> 'base') GROUP BY ALL),
+top AS (SELECT p.family, p.doc, coalesce(sum(x.b * x.c) / nullif(count(x.b), 0)::DOUBLE, 1.0) AS v FROM p LEFT JOIN st x ON x.family = p.family AND x.doc = p.doc GROUP BY p.family, p.doc),
+u AS MATERIALIZED (SELECT DISTINCT family, doc, s AS a, o AS z FROM e WHERE s <> o UNION SELECT DISTINCT family, doc, o, s FROM e WHERE s <> o), seed AS (SELECT doc, node FROM t3 WHERE family = 'base' AND k = 1),
+n0 AS (SELECT family, doc, node FROM (SELECT family, doc, s AS node FROM e UNION SELECT family, doc, o FROM e) JOIN seed USING (doc, node)), n1 AS (SELECT * FROM n0 UNION SELECT u.family, u.doc, u.z FROM n0 JOIN u ON u.family = n0.family AND u.doc = n0.doc AND u.a = n0.node),
+n2 AS (SELECT * FROM n1 UNION SELECT u.family, u.doc, u.z FROM n1 JOIN u ON u.family = n1.family AND u.doc = n1.doc AND u.a = n1.node),
+ee AS (SELECT e.* FROM e JOIN n2 x ON x.family = e.family AND x.doc = e.doc AND x.node = e.s JOIN n2 y ON y.family = e.family AND y.doc = e.doc AND y.node = e.o),
+se AS (SELECT family, doc, s, r, o, max(b) AS b, max(c) AS c FROM (SELECT p.family, p.doc, s, r, o, 1 AS b, 0 AS c FROM p JOIN ee q ON q.doc = p.doc AND q.family = 'base' UNION ALL SELECT family, doc, s, r, o, 0, 1 FROM ee WHERE family <> 'base') GROUP BY ALL),
+ego AS (SELECT p.family, p.doc, coalesce(sum(x.b * x.c) / nullif(count(x.b), 0)::DOUBLE, 1.0) AS v FROM p LEFT JOIN se x ON x.family = p.family AND x.doc = p.doc GROUP BY p.family, p.doc),
+m1 AS (SELECT DISTINCT family, doc, s AS a, o AS z FROM e WHERE s <> o), m2 AS MATERIALIZED (SELECT DISTINCT x.family, x.doc, x.a AS h, y.z AS t, x.z AS node FROM m1 x JOIN m1 y ON y.family = x.family AND y.doc = x.doc AND y.a = x.z WHERE x.a <> y.z),
+q5 AS (SELECT doc, h, t FROM (SELECT doc, h, t, row_number() OVER (PARTITION BY doc ORDER BY h, t) AS k FROM (SELECT DISTINCT doc, h, t FROM m2 WHERE family = 'base')) WHERE k <= 6),
+s5 AS (SELECT family, doc, h, t, node, max(b) AS b, max(c) AS c FROM (SELECT p.family, p.doc, h, t, node, 1 AS b, 0 AS c FROM p JOIN m2 q ON q.doc = p.doc AND q.family = 'base' UNION ALL SELECT family, doc, h, t, node, 0, 1 FROM m2 WHERE family <> 'base') GROUP BY ALL),
+j5 AS (SELECT p.family, p.doc, q5.h, q5.t, coalesce(sum(x.b * x.c) / nullif(count(x.b), 0)::DOUBLE, 1.0) AS j FROM p JOIN q5 ON q5.doc = p.doc LEFT JOIN s5 x ON x.family = p.family AND x.doc = p.doc AND x.h = q5.h AND x.t = q5.t GROUP BY ALL),
+paths AS (SELECT family, doc, avg(j) AS v FROM j5 GROUP BY ALL),
+hit AS (SELECT e.family, e.doc, count(*) AS n FROM e JOIN g ON g.doc = e.doc AND g.s = e.s AND g.r = e.r AND g.o = e.o GROUP BY ALL), ng AS (SELECT doc, count(*) AS n FROM g GROUP BY doc),
+recall AS (SELECT p.family, p.doc, coalesce(x.n / ng.n::DOUBLE, 0.0) AS base_recall, coalesce(y.n / ng.n::DOUBLE, 0.0) AS recall FROM p LEFT JOIN ng ON ng.doc = p.doc LEFT JOIN hit x ON x.family = 'base' AND x.doc = p.doc LEFT JOIN hit y ON y.family = p.family AND y.doc = p.doc),
+w AS MATERIALIZED (SELECT p.family || ':' || p.doc AS run_id, p.family AS cause_family, CASE WHEN p.family IN ('stochastic', 'model') THEN 'none' ELSE 'presentation' END AS semantic_class,
+  CASE WHEN p.family = 'schema' THEN ['schema ''rename''', 'schema ''desc_added''', 'schema ''hierarchical'''][p.doc % 3 + 1] ELSE p.family END AS description, canonical.v AS canonical, fanout.v AS fanout, paths.v AS paths, top.v AS top_degree, ego.v AS ego, abs(base_recall - recall) AS recall_difference
+  FROM p JOIN canonical USING (family, doc) JOIN fanout USING (family, doc) JOIN top USING (family, doc) JOIN ego USING (family, doc) LEFT JOIN paths USING (family, doc) JOIN recall USING (family, doc))
+"""
+RECORDS = CANONICAL + """, o AS (SELECT 'K1' AS contract, 0.85 AS t, canonical AS value, run_id, cause_family FROM w WHERE cause_family = 'schema' AND description LIKE '%''rename''%'
+UNION ALL SELECT 'K1b', 0.80, canonical, run_id, cause_family FROM w WHERE cause_family = 'schema' AND description LIKE '%''desc_added''%' UNION ALL SELECT 'K1c', 0.50, canonical, run_id, cause_family FROM w WHERE cause_family = 'schema' AND description LIKE '%''hierarchical''%'
+UNION ALL SELECT 'K2', 0.80, canonical, run_id, cause_family FROM w WHERE cause_family = 'prompt' UNION ALL SELECT 'K3', 0.80, canonical, run_id, cause_family FROM w WHERE cause_family = 'evidence'
+UNION ALL SELECT 'K4', 0.70, fanout, run_id, cause_family FROM w WHERE semantic_class = 'presentation' UNION ALL SELECT 'K4b', 0.70, paths, run_id, cause_family FROM w WHERE semantic_class = 'presentation' AND paths IS NOT NULL
+UNION ALL SELECT 'K4c', 0.70, top_degree, run_id, cause_family FROM w WHERE semantic_class = 'presentation' UNION ALL SELECT 'K4d', 0.70, ego, run_id, cause_family FROM w WHERE semantic_class = 'presentation'
+UNION ALL SELECT 'K6', 0.85, canonical, run_id, cause_family FROM w WHERE cause_family = 'stochastic' UNION ALL SELECT 'K5', 0.20, recall_difference, run_id, cause_family FROM w WHERE cause_family = 'model'),
+z AS (SELECT *, round(value, 9) AS v, CASE WHEN contract = 'K5' THEN round(value, 9) > t ELSE round(value, 9) < t END AS failed, abs(t - round(value, 9)) AS short FROM (SELECT contract, t::DOUBLE AS t, value, run_id, cause_family FROM o))
 """
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _drifts(spark, sf_dir)
-    return d.select(F.concat_ws(":", "family", "doc").alias("run_id"), F.col("family").alias("cause_family"), F.when(F.col("family") == "stochastic", "none").otherwise("presentation").alias("semantic_class"), F.col("family").alias("operator"), F.when(F.col("family") == "schema", "Rename relations").otherwise(F.col("family")).alias("description"), (1 - F.col("gd")).alias("canonical"), (1 - F.col("qd")).alias("fanout"))
-
-
-@query(RECORDS + """, s AS (SELECT contract, count(*) AS n, count(*) FILTER (value < t) / count(*)::DOUBLE AS rate, avg(t - value) FILTER (value < t) AS sev, avg(value) AS mean, quantile_cont(value, 0.5) AS median FROM o GROUP BY contract), k AS (SELECT unnest(['K1', 'K1b', 'K1c', 'K2', 'K3', 'K4', 'K4b', 'K4c', 'K4d', 'K5', 'K6']) AS contract)
-SELECT contract, coalesce(n, 0) AS n, round(coalesce(rate, 0.0), 6) AS violation_rate, round(coalesce(sev, 0.0), 6) AS severity_mean, round(mean, 6) AS mean, round(median, 6) AS median, CASE WHEN n IS NULL THEN 'INCONCLUSIVE' WHEN rate > 0.2 THEN 'VIOLATED' ELSE 'SATISFIED' END AS verdict FROM k LEFT JOIN s USING (contract)""")
+    """A record per pair with the metric of every contract; written once."""
+    return kept(spark, "records", [f"{sf_dir}/lineitem.parquet", f"{sf_dir}/orders.parquet"], lambda: _make_records(spark, sf_dir))
+
+
+def _make_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, elements, families = derived.args(spark, sf_dir)
+    own = views.renamed(elements, derived.RENAMED)
+    top = views.as_masks(views.top_nodes(views.out_degrees(own, families), families, 3), families, ["node"])
+    seeds = views.top_nodes(views.out_degrees(own.where(views.has(views.BASE)), ()), (), 1)
+    parts = [
+        views.canonical_jaccard(docs, own, families, derived.COARSE), views.fanout_jaccard(docs, own, families), views.nonempty(views.jaccard(docs, top, families, "top_degree"), own),
+        views.nonempty(views.jaccard(docs, views.ego_edges(own, seeds.select("doc", "node")), families, "ego"), own), views.path_similarity(own, families, 3),
+        views.gold_recall(docs, own, derived.gold(spark, sf_dir), families, ["s", "r", "o"]).select(*PAIR, F.col("difference").alias("recall_difference")),
+    ]
+    d = parts[0]
+    for p in parts[1:]:
+        d = d.join(p, PAIR, "left")
+    kind = F.element_at(F.array(*(F.lit(f"schema '{k}'") for k in ("rename", "desc_added", "hierarchical"))), (F.col("doc") % 3 + 1).cast("int"))
+    metrics = ("canonical", "fanout", "top_degree", "ego", "paths", "recall_difference")
+    return d.select(
+        F.concat_ws(":", "family", "doc").alias("run_id"), F.col("family").alias("cause_family"), F.when(F.col("family").isin("stochastic", "model"), "none").otherwise("presentation").alias("semantic_class"), F.col("family").alias("operator"),
+        F.when(F.col("family") == "schema", kind).otherwise(F.col("family")).alias("description"), *(F.round(m, 9).alias(m) for m in metrics),
+    )
+
+
+@query(RECORDS + """, s AS (SELECT contract, count(*) AS n, count(*) FILTER (failed) / count(*)::DOUBLE AS rate, avg(short) FILTER (failed) AS sev, avg(v) AS mean, quantile_cont(v, 0.5) AS median FROM z GROUP BY contract), k AS (SELECT unnest(['K1', 'K1b', 'K1c', 'K2', 'K3', 'K4', 'K4b', 'K4c', 'K4d', 'K5', 'K6']) AS contract),
+p95 AS (SELECT contract, short FROM (SELECT contract, short, row_number() OVER (PARTITION BY contract ORDER BY short) AS i, count(*) OVER (PARTITION BY contract) AS m FROM z WHERE failed) WHERE i = floor(0.95 * (m - 1)) + 1)
+SELECT contract, coalesce(n, 0) AS n, round(coalesce(rate, 0.0), 6) AS violation_rate, round(coalesce(sev, 0.0), 6) AS severity_mean, round(coalesce(short, 0.0), 6) AS severity_p95, round(mean, 6) AS mean, round(median, 6) AS median, CASE WHEN n IS NULL THEN 'INCONCLUSIVE' WHEN rate > 0.2 THEN 'VIOLATED' ELSE 'SATISFIED' END AS verdict FROM k LEFT JOIN s USING (contract) LEFT JOIN p95 USING (contract)""")
 def contract_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All registered contracts in one job; those without pairs are inconclusive."""
     out = contracts.evaluate(_records(spark, sf_dir))
-    return out.select("contract", F.col("n").cast("long").alias("n"), *(F.round(c, 6).alias(c) for c in ("violation_rate", "severity_mean", "mean", "median")), "verdict")
+    return out.select("contract", F.col("n").cast("long").alias("n"), *(F.round(c, 6).alias(c) for c in ("violation_rate", "severity_mean", "severity_p95", "mean", "median")), "verdict")
+
+
+@query(RECORDS + """SELECT contract, cause_family, count(*) AS n, count(*) FILTER (failed) AS failed, round(avg(v), 6) AS mean FROM z GROUP BY ALL""")
+def contract_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each contract found in each cause family."""
+    found = contracts.evaluate(_records(spark, sf_dir)).select("contract", F.explode("by_family").alias("cause_family", "x"))
+    return found.select("contract", "cause_family", "x.n", "x.failed", F.round("x.mean", 6).alias("mean"))
+
+
+@query(RECORDS + """SELECT contract, rank, run_id, round(v, 6) AS value, round(short, 6) AS shortfall FROM (SELECT *, row_number() OVER (PARTITION BY contract ORDER BY round(short, 9) DESC, run_id) AS rank FROM z WHERE failed) WHERE rank <= 5""")
+def contract_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five worst pairs of each contract."""
+    return contracts.worst_examples(_records(spark, sf_dir)).select("contract", F.col("rank").cast("long").alias("rank"), "run_id", F.round("value", 6).alias("value"), F.round("shortfall", 6).alias("shortfall"))
+
+
+@query(RECORDS + """, s AS (SELECT contract, count(*) FILTER (failed) / count(*)::DOUBLE AS rate FROM z GROUP BY contract), k AS (SELECT unnest(['K1', 'K1b', 'K1c', 'K2', 'K3', 'K4', 'K4b', 'K4c', 'K4d', 'K5', 'K6']) AS contract)
+SELECT CASE WHEN rate IS NULL THEN 'INCONCLUSIVE' WHEN rate > 0.2 THEN 'VIOLATED' ELSE 'SATISFIED' END AS verdict, count(*) AS n FROM k LEFT JOIN s USING (contract) GROUP BY ALL""")
+def contract_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.roll_up(contracts.evaluate(_records(spark, sf_dir)))
 
 
-@query(RECORDS + """SELECT contract, h.h AS threshold, round(count(*) FILTER (value < h.h) / count(*)::DOUBLE, 6) AS violation_rate FROM o, (SELECT unnest([0.5::DOUBLE, 0.7::DOUBLE, 0.8::DOUBLE, 0.9::DOUBLE]) AS h) h GROUP BY ALL""")
+@query(RECORDS + """SELECT contract, h.h AS threshold, round(count(*) FILTER (CASE WHEN contract = 'K5' THEN v > h.h ELSE v < h.h END) / count(*)::DOUBLE, 6) AS violation_rate FROM z, (SELECT unnest([0.5::DOUBLE, 0.7::DOUBLE, 0.8::DOUBLE, 0.9::DOUBLE]) AS h) h GROUP BY ALL""")
 def contract_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.sensitivity(_records(spark, sf_dir)).withColumn("violation_rate", F.round("violation_rate", 6))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.operators import catalogue, graph_queries, sets
+from driftloom.operators import catalogue, graph_queries, views
+
+from driftloom.sources.store import kept
 
 from . import derived
 from .registry import query
@@ -39,19 +41,19 @@ y AS (SELECT p.family, p.doc, 1 - coalesce(sum(x.b * x.c) / nullif(count(x.b), 0
 SELECT family, count(*) AS n_pairs, round(avg(drift), 6) AS mean_drift, count(*) FILTER (drift = 0) AS identical, count(*) FILTER (drift = 1) AS disjoint FROM y GROUP BY family""")
 def drift_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drift of the fan-out join's answers, averaged per cause family."""
-    base, cf = (graph_queries.fanout_join(e, by) for e, by in ((derived.base(spark, sf_dir), ["doc"]), (derived.counterfactual(spark, sf_dir), PAIR)))
-    drift = sets.jaccard(derived.pairs(spark, sf_dir), base, cf, ["h", "r", "o", "r2", "o2"]).withColumn("drift", 1 - F.col("jaccard"))
+    drift = views.fanout_jaccard(*derived.args(spark, sf_dir)).withColumn("drift", 1 - F.col("fanout"))
     return drift.groupBy("family").agg(F.count("*").alias("n_pairs"), F.round(F.avg("drift"), 6).alias("mean_drift"), F.count_if(F.expr("drift = 0")).alias("identical"), F.count_if(F.expr("drift = 1")).alias("disjoint"))
 
 
 @query(jaccard_sql("b", "c", "s, r, o"))
 def edge_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(sets.jaccard(derived.pairs(spark, sf_dir), derived.base(spark, sf_dir), derived.counterfactual(spark, sf_dir), ["s", "r", "o"]), "jaccard")
+    return _rounded(views.jaccard(*derived.args(spark, sf_dir)), "jaccard")
 
 
 @query(jaccard_sql("(SELECT DISTINCT doc, s, o FROM b)", "(SELECT DISTINCT family, doc, s, o FROM c)", "s, o"))
 def entity_pair_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(sets.jaccard(derived.pairs(spark, sf_dir), derived.base(spark, sf_dir), derived.counterfactual(spark, sf_dir), ["s", "o"]), "jaccard")
+    docs, elements, families = derived.args(spark, sf_dir)
+    return _rounded(views.jaccard(docs, views.masked(elements, ["s", "o"]), families), "jaccard")
 
 
 @query(derived.SQL + """, cc AS (SELECT DISTINCT family, doc, s, CASE WHEN r = 'alias_NO' THEN 'RNO' WHEN family = 'prompt' AND r IN ('RNO', 'RNF') THEN 'line' ELSE r END AS r, o FROM c),
@@ -62,27 +64,30 @@ SELECT p.family, p.doc, round(CASE WHEN coalesce(nb + nc, 0) = 0 THEN 1.0 ELSE (
 FROM p LEFT JOIN t USING (family, doc) LEFT JOIN m USING (family, doc)""")
 def canonical_edge_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Renames undone; the prompt family reports two relations by their bucket."""
-    cf = derived.counterfactual(spark, sf_dir).withColumn("r", F.when((F.col("family") == "prompt") & F.col("r").isin("RNO", "RNF"), "line").otherwise(F.col("r"))).distinct()
-    return _rounded(sets.canonical_jaccard(derived.pairs(spark, sf_dir), derived.base(spark, sf_dir), cf, derived.RENAMED, derived.COARSE), "canonical")
+    docs, elements, families = derived.args(spark, sf_dir)
+    prompt = views.bit(families.index("prompt"))
+    coarse = F.col("r").isin("RNO", "RNF") & views.any_of(prompt)
+    split = F.when(coarse, F.array(F.struct(F.lit("line").alias("r"), F.lit(prompt).cast("long").alias("mask")), F.struct("r", F.col("mask").bitwiseAND(F.lit(~prompt)).alias("mask")))).otherwise(F.array(F.struct("r", "mask")))
+    reported = views.renamed(elements, derived.RENAMED).select("doc", "s", "o", F.explode(split).alias("x")).select("doc", "s", "x.r", "o", "x.mask").where("mask <> 0")
+    return _rounded(views.canonical_jaccard(docs, views.masked(reported, ["s", "r", "o"]), families, derived.COARSE), "canonical")
 
 
 @query(derived.SQL + """, x AS (SELECT family, doc, r, sum(b) AS nb, sum(c) AS nc FROM (SELECT p.family, p.doc, r, 1 AS b, 0 AS c FROM p JOIN b q ON q.doc = p.doc UNION ALL SELECT family, doc, r, 0, 1 FROM c) GROUP BY ALL),
-y AS (SELECT *, nb / greatest(sum(nb) OVER (PARTITION BY family, doc), 1)::DOUBLE AS pb, nc / greatest(sum(nc) OVER (PARTITION BY family, doc), 1)::DOUBLE AS pc FROM x)
-SELECT p.family, p.doc, round(coalesce(1 - sum(abs(pb - pc)) / 2, 1.0), 6) AS relation_l1, round(coalesce(sum((pb + 1e-9) * ln((pb + 1e-9) / (pc + 1e-9))), 0.0), 6) AS kl FROM p LEFT JOIN y USING (family, doc) GROUP BY p.family, p.doc""")
+y AS (SELECT *, nb / greatest(sum(nb) OVER w, 1)::DOUBLE AS pb, nc / greatest(sum(nc) OVER w, 1)::DOUBLE AS pc, (nb + 1e-9) / (sum(nb) OVER w + 1e-9 * count(*) OVER w) AS sb, (nc + 1e-9) / (sum(nc) OVER w + 1e-9 * count(*) OVER w) AS sc FROM x WINDOW w AS (PARTITION BY family, doc))
+SELECT p.family, p.doc, round(coalesce(1 - sum(abs(pb - pc)) / 2, 1.0), 6) AS relation_l1, round(coalesce(sum(sb * ln(sb / sc)), 0.0), 6) AS kl, round(coalesce(count(*) FILTER (nb > 0 AND nc > 0) / nullif(count(y.r), 0)::DOUBLE, 1.0), 6) AS relation_set FROM p LEFT JOIN y USING (family, doc) GROUP BY p.family, p.doc""")
 def relation_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    args = derived.pairs(spark, sf_dir), derived.base(spark, sf_dir), derived.counterfactual(spark, sf_dir)
-    return _rounded(sets.relation_l1(*args).join(sets.relation_kl(*args), PAIR), "relation_l1", "kl")
+    return _rounded(views.relation_distances(*derived.args(spark, sf_dir)), "relation_l1", "kl", "relation_set")
 
 
 @query(derived.SQL + """, x AS (SELECT doc, s, o, max(r) AS rb FROM b GROUP BY ALL), y AS (SELECT family, doc, s, o, max(r) AS rc FROM c GROUP BY ALL)
 SELECT p.family, p.doc, round(coalesce(avg((rb <> rc)::INT), 0.0), 6) AS flip FROM p LEFT JOIN (SELECT * FROM x JOIN y USING (doc, s, o)) z ON z.family = p.family AND z.doc = p.doc GROUP BY p.family, p.doc""")
 def type_flip_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(sets.type_flip(derived.pairs(spark, sf_dir), derived.base(spark, sf_dir), derived.counterfactual(spark, sf_dir)), "flip")
+    return _rounded(views.type_flip(*derived.args(spark, sf_dir)), "flip")
 
 
 @query(derived.SQL + """SELECT p.family, q.r AS rb, coalesce(c.r, '<DROPPED>') AS rc, count(*) AS n FROM p JOIN b q ON q.doc = p.doc LEFT JOIN c ON c.family = p.family AND c.doc = p.doc AND c.s = q.s AND c.o = q.o GROUP BY ALL""")
 def relation_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sets.confusion_matrix(derived.pairs(spark, sf_dir), derived.base(spark, sf_dir), derived.counterfactual(spark, sf_dir))
+    return views.confusion_matrix(derived.elements(spark, sf_dir), derived.FAMILIES)
 
 
 @query(derived.SQL + """, d AS (SELECT family, doc, node, count(*) AS degree FROM (SELECT family, doc, s AS node FROM v UNION ALL SELECT family, doc, o FROM v) GROUP BY ALL),
@@ -90,7 +95,7 @@ x AS (SELECT family, doc, degree, sum(b) AS nb, sum(c) AS nc FROM (SELECT p.fami
 y AS (SELECT *, nb / greatest(sum(nb) OVER (PARTITION BY family, doc), 1)::DOUBLE AS pb, nc / greatest(sum(nc) OVER (PARTITION BY family, doc), 1)::DOUBLE AS pc FROM x)
 SELECT p.family, p.doc, round(coalesce(sum(abs(pb - pc)) / 2, 0.0), 6) AS degree_shift FROM p LEFT JOIN y USING (family, doc) GROUP BY p.family, p.doc""")
 def degree_distribution_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(sets.degree_shift(derived.pairs(spark, sf_dir), derived.base(spark, sf_dir), derived.counterfactual(spark, sf_dir)), "degree_shift")
+    return _rounded(views.degree_shift(*derived.args(spark, sf_dir)), "degree_shift")
 
 
 @query(derived.SQL + """, d AS (SELECT family, doc, node, count(*) AS degree FROM (SELECT family, doc, s AS node FROM v UNION ALL SELECT family, doc, o FROM v) GROUP BY ALL),
@@ -99,7 +104,7 @@ y AS (SELECT family, doc, rank() OVER (PARTITION BY family, doc ORDER BY x) + (c
 z AS (SELECT family, doc, CASE WHEN count(*) >= 3 AND min(rx) < max(rx) AND min(ry) < max(ry) THEN corr(rx, ry) ELSE 1.0 END AS rho FROM y GROUP BY ALL)
 SELECT p.family, p.doc, round(coalesce(rho, 1.0), 6) AS centrality FROM p LEFT JOIN z USING (family, doc)""")
 def centrality_rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(sets.centrality_correlation(derived.pairs(spark, sf_dir), derived.base(spark, sf_dir), derived.counterfactual(spark, sf_dir)), "centrality")
+    return _rounded(views.centrality_correlation(*derived.args(spark, sf_dir)), "centrality")
 
 
 @query(derived.SQL + f""", {sided("b", "c", "s, r, o")}, y AS (SELECT family, doc, s, o, sum(b * c) AS both_, count(*) AS any_, sum(b) AS nb, sum(c) AS nc FROM x GROUP BY ALL),
@@ -107,7 +112,7 @@ t AS (SELECT family, doc, sum(both_) AS both_, sum(any_) AS any_, sum(nb) AS nb,
 SELECT p.family, p.doc, round(coalesce(both_ / any_::DOUBLE, 1.0), 6) AS overlap, round(coalesce(pb / pa::DOUBLE, 1.0), 6) AS pair_overlap, round(coalesce(rel, 1.0), 6) AS relation_overlap,
 round((coalesce(nb, 0) - coalesce(both_, 0)) / greatest(coalesce(nb, 0), 1)::DOUBLE, 6) AS disappeared, round((coalesce(nc, 0) - coalesce(both_, 0)) / greatest(coalesce(nb, 0), 1)::DOUBLE, 6) AS "new" FROM p LEFT JOIN t USING (family, doc)""")
 def drift_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(sets.decomposition(derived.pairs(spark, sf_dir), derived.base(spark, sf_dir), derived.counterfactual(spark, sf_dir)), "overlap", "pair_overlap", "relation_overlap", "disappeared", "new")
+    return _rounded(views.decomposition(*derived.args(spark, sf_dir)), "overlap", "pair_overlap", "relation_overlap", "disappeared", "new")
 
 
 @query(derived.SQL + f""", {sided("g", "(SELECT family, doc, s, r, o FROM c WHERE o LIKE 'p:%')", "s, r, o")}, t AS (SELECT family, doc, sum(b * c) AS hit, sum(b) AS nt, sum(c) AS np FROM x GROUP BY ALL),
@@ -116,53 +121,61 @@ SELECT family, doc, round(CASE WHEN nt = 0 AND np = 0 THEN 1.0 WHEN np = 0 THEN
 round(CASE WHEN nt = 0 AND np = 0 THEN 1.0 WHEN nt = 0 OR np = 0 THEN 0.0 ELSE 2 * hit / (nt + np)::DOUBLE END, 6) AS f1 FROM u""")
 def extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 of the views' part edges against all gold edges."""
-    cf = derived.counterfactual(spark, sf_dir).where(F.col("o").startswith("p:"))
-    return _rounded(sets.f1(derived.pairs(spark, sf_dir), derived.gold(spark, sf_dir), cf, ["s", "r", "o"]), "precision", "recall", "f1")
+    docs, elements, families = derived.args(spark, sf_dir)
+    parts = views.against(elements.where(F.col("o").startswith("p:")), derived.gold(spark, sf_dir), ["s", "r", "o"])
+    return _rounded(views.f1(docs, parts, families), "precision", "recall", "f1")
 
 
 @query(jaccard_sql("(SELECT DISTINCT a.doc, a.s, z.o AS t FROM b a JOIN b z ON a.doc = z.doc AND a.o = z.s AND a.s <> z.o)", "(SELECT DISTINCT a.family, a.doc, a.s, z.o AS t FROM c a JOIN c z ON a.family = z.family AND a.doc = z.doc AND a.o = z.s AND a.s <> z.o)", "s, t"))
 def two_hop_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, c = graph_queries.two_hop_endpoints(derived.base(spark, sf_dir), ["doc"]), graph_queries.two_hop_endpoints(derived.counterfactual(spark, sf_dir), PAIR)
-    return _rounded(sets.jaccard(derived.pairs(spark, sf_dir), b, c, ["s", "t"]), "jaccard")
+    docs, elements, families = derived.args(spark, sf_dir)
+    return _rounded(views.jaccard(docs, views.two_hop_endpoints(elements), families), "jaccard")
 
 
-@query(derived.SQL + "SELECT a.doc, a.s, a.r, z.s AS s2, z.r AS r2, a.o FROM b a JOIN b z ON a.doc = z.doc AND a.o = z.o AND (a.s < z.s OR (a.s = z.s AND a.r < z.r))")
+@query(derived.SQL + "SELECT a.doc, a.s, a.r, z.s AS s2, z.r AS r2, a.o FROM b a JOIN b z ON a.doc = z.doc AND a.o = z.o AND (a.s, a.r) < (z.s, z.r)")
 def shared_tail_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_queries.shared_tail_pairs(derived.base(spark, sf_dir), ["doc"])
 
 
+def _per_view(rows: DataFrame, name: str, more) -> DataFrame:
+    """(family, doc, ``name``, …) over the rows of each view, base views too."""
+    return views.long_form(rows, derived.FAMILIES, "base").groupBy(*PAIR).agg(F.count("*").alias(name), more)
+
+
 UNDIRECTED = "u AS (SELECT DISTINCT family, doc, s AS a, o AS z FROM v WHERE s <> o UNION SELECT DISTINCT family, doc, o, s FROM v WHERE s <> o)"
 
 
 @query(derived.SQL + """, d AS (SELECT family, doc, s AS node, count(*) AS degree FROM v GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family, doc ORDER BY degree DESC, node)::INT AS rank FROM d) WHERE rank <= 3""")
 def top_out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_queries.top_out_degree(derived.edges(spark, sf_dir), PAIR)
+    return views.top_nodes(views.out_degrees(derived.elements(spark, sf_dir), derived.FAMILIES), derived.FAMILIES, 3)
 
 
 @query(derived.SQL + f""", {UNDIRECTED}, n AS (SELECT family, doc, s AS node FROM v UNION SELECT family, doc, o FROM v), d AS (SELECT n.family, n.doc, node, count(u.a) AS degree FROM n LEFT JOIN u ON u.family = n.family AND u.doc = n.doc AND u.a = n.node GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family, doc ORDER BY degree DESC, node)::INT AS rank FROM d) WHERE rank <= 5""")
 def top_undirected_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_queries.top_undirected_degree(derived.edges(spark, sf_dir), PAIR)
+    return views.top_nodes(views.neighbour_degrees(derived.elements(spark, sf_dir), derived.FAMILIES), derived.FAMILIES, 5)
 
 
 @query(derived.SQL + f""", {UNDIRECTED}, r AS (SELECT family, doc, a, z FROM u UNION SELECT x.family, x.doc, x.a, y.z FROM u x JOIN u y ON x.family = y.family AND x.doc = y.doc AND x.z = y.a WHERE x.a <> y.z)
-SELECT family, doc, count(*) AS n_pairs FROM r WHERE a < z GROUP BY ALL""")
+SELECT family, doc, count(*) AS n_pairs, sum(('0x' || left(md5(a || '|' || z), 8))::BIGINT)::BIGINT AS checksum FROM r WHERE a < z GROUP BY ALL""")
 def short_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_queries.short_connectivity(derived.edges(spark, sf_dir), PAIR).groupBy(*PAIR).agg(F.count("*").alias("n_pairs"))
+    """Number of pairs of each view, and a checksum over the pairs."""
+    near = views.short_connectivity(derived.elements(spark, sf_dir)).withColumn("h", F.conv(F.substring(F.md5(F.concat_ws("|", "a", "b")), 1, 8), 16, 10).cast("long"))
+    return _per_view(near, "n_pairs", F.sum("h").alias("checksum"))
 
 
 @query(derived.SQL + f""", {UNDIRECTED}, d AS (SELECT doc, s AS node, count(*) AS degree FROM b GROUP BY ALL), t AS (SELECT doc, arg_min(node, (-degree, node)) AS node FROM d GROUP BY ALL),
 n AS (SELECT family, doc, s AS node FROM v UNION SELECT family, doc, o FROM v), k0 AS (SELECT n.family, n.doc, n.node FROM n JOIN t ON t.doc = n.doc AND t.node = n.node),
 k1 AS (SELECT * FROM k0 UNION SELECT u.family, u.doc, u.z FROM k0 JOIN u ON u.family = k0.family AND u.doc = k0.doc AND u.a = k0.node),
 k2 AS (SELECT * FROM k1 UNION SELECT u.family, u.doc, u.z FROM k1 JOIN u ON u.family = k1.family AND u.doc = k1.doc AND u.a = k1.node)
-SELECT v.family, v.doc, count(*) AS n_edges FROM v JOIN k2 x ON x.family = v.family AND x.doc = v.doc AND x.node = v.s JOIN k2 y ON y.family = v.family AND y.doc = v.doc AND y.node = v.o GROUP BY ALL""")
+SELECT v.family, v.doc, count(*) AS n_edges, sha256(string_agg(v.s || '|' || r || '|' || o, ',' ORDER BY v.s || '|' || r || '|' || o)) AS edges FROM v JOIN k2 x ON x.family = v.family AND x.doc = v.doc AND x.node = v.s JOIN k2 y ON y.family = v.family AND y.doc = v.doc AND y.node = v.o GROUP BY ALL""")
 def ego_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges around each base view's node of highest out-degree, in the base and in the counterfactual views."""
-    e = derived.edges(spark, sf_dir)
-    seeds = graph_queries.top_out_degree(derived.base(spark, sf_dir), ["doc"], 1).select("doc", "node")
-    seeds = seeds.withColumn("family", F.explode(F.array(*map(F.lit, ("base", *derived.FAMILIES)))))
-    return graph_queries.ego_edges(e, seeds, PAIR).groupBy(*PAIR).agg(F.count("*").alias("n_edges"))
+    """Edges around each base view's node of highest out-degree, in the base and in the counterfactual views, as a digest."""
+    elements = derived.elements(spark, sf_dir)
+    seeds = views.top_nodes(views.out_degrees(elements.where(views.has(views.BASE)), ()), (), 1)
+    ego = views.ego_edges(elements, seeds.select("doc", "node"))
+    return _per_view(ego.withColumn("e", F.concat_ws("|", "s", "r", "o")), "n_edges", F.sha2(F.array_join(F.sort_array(F.collect_list("e")), ","), 256).alias("edges"))
 
 
 PATHS = """, e AS (SELECT DISTINCT doc, s AS a, o AS z FROM b WHERE s <> o), d1 AS (SELECT doc, a AS h, z AS t FROM e),
@@ -175,8 +188,8 @@ q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY h, t
 @query(derived.SQL + PATHS + """SELECT DISTINCT q.doc, q.h, q.t, x.z AS node FROM q JOIN e x ON x.doc = q.doc AND x.a = q.h JOIN e y ON y.doc = q.doc AND y.a = x.z AND y.z = q.t WHERE q.d = 2
 UNION SELECT q.doc, q.h, q.t, unnest([x.z, y.z]) FROM q JOIN e x ON x.doc = q.doc AND x.a = q.h JOIN e y ON y.doc = q.doc AND y.a = x.z JOIN e w ON w.doc = q.doc AND w.a = y.z AND w.z = q.t WHERE q.d = 3""")
 def shortest_path_intermediates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived.base(spark, sf_dir)
-    return graph_queries.path_intermediates(e, graph_queries.path_queries(e, ["doc"]), ["doc"], 3)
+    base = derived.elements(spark, sf_dir).where(views.has(views.BASE)).withColumn("mask", F.lit(1).cast("long"))
+    return views.path_nodes(base, views.path_queries(base), 3).drop("mask")
 
 
 CATALOGUE = """, k1 AS (SELECT DISTINCT doc, s AS h, r FROM g), k2 AS (SELECT doc, s AS h FROM g GROUP BY ALL HAVING count(*) >= 2),
@@ -198,28 +211,46 @@ UNION ALL SELECT doc, 'neighbor', sha256('{"family":"neighbor","parameters":{"h"
 UNION ALL SELECT doc, 'shared_tail_join', sha256('{"family":"shared_tail_join","parameters":{"h1":"' || h1 || '","h2":"' || h2 || '","r1":"' || r1 || '","r2":"' || r2 || '"}}') FROM k3
 UNION ALL SELECT doc, 'typed_two_hop', sha256('{"family":"typed_two_hop","parameters":{"h":"' || h || '","r1":"' || r1 || '","r2":"' || r2 || '"}}') FROM k4""")
 def query_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = catalogue.build_queries(_gold(spark, sf_dir))
-    return built.select("doc", "family", catalogue.query_id(F.col("family"), catalogue.PARAMETERS).alias("query_id"))
-
-
-def _answers(asked: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
-    """(…, family, h, r, h1, r1, h2, r2, a): answers of all instances, absent parameters null."""
-    one = graph_queries.lookup(asked.where("family = 'lookup'").select(*by, "h", "r"), edges, by).select(*by, F.lit("lookup").alias("query"), "h", "r", F.col("o").alias("a"))
-    two = graph_queries.neighbours(asked.where("family = 'neighbor'").select(*by, "h"), edges, by).select(*by, F.lit("neighbor").alias("query"), "h", F.concat_ws("|", "r", "o").alias("a"))
-    three = graph_queries.shared_tails(asked.where("family = 'shared_tail_join'").select(*by, "h1", "r1", "h2", "r2"), edges, by).select(*by, F.lit("shared_tail_join").alias("query"), "h1", "r1", "h2", "r2", F.col("o").alias("a"))
-    four = graph_queries.typed_two_hop(asked.where("family = 'typed_two_hop'").select(*by, "h", "r1", "r2"), edges, by).select(*by, F.lit("typed_two_hop").alias("query"), "h", "r1", "r2", F.col("t").alias("a"))
-    return one.unionByName(two, True).unionByName(three, True).unionByName(four, True)
+    return _catalogue(spark, sf_dir).select("doc", "family", F.col("id.q").alias("query_id"))
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, doc, family, h, r, h1, r1, h2, r2) of all instances; id is the query's within its document."""
+    built = kept(spark, "catalogue", [f"{sf_dir}/lineitem.parquet", f"{sf_dir}/orders.parquet"], lambda: catalogue.build_queries(_gold(spark, sf_dir)))
+    return built.withColumn("id", F.struct("doc", catalogue.query_id(F.col("family"), catalogue.PARAMETERS).alias("q")))
+
+
+def _answers(asked: DataFrame, elements: DataFrame) -> DataFrame:
+    """(id, a, mask): the distinct answers of all instances, each with the views that give it."""
+    e = elements.select("doc", "s", "r", "o", "mask")
+    of = lambda family, *columns: asked.where(F.col("family") == family).select("id", "doc", *columns, F.lit(-1).cast("long").alias("mask"))
+    one = views.joined(of("lookup", "h", "r"), e.withColumnRenamed("s", "h"), ["doc", "h", "r"]).select("id", F.col("o").alias("a"), "mask")
+    two = views.joined(of("neighbor", "h"), e.withColumnRenamed("s", "h"), ["doc", "h"]).select("id", F.concat_ws("|", "r", "o").alias("a"), "mask")
+    first, second = e.withColumnsRenamed({"s": "h1", "r": "r1"}), e.withColumnsRenamed({"s": "h2", "r": "r2"})
+    three = views.joined(views.joined(of("shared_tail_join", "h1", "r1", "h2", "r2"), first, ["doc", "h1", "r1"]), second, ["doc", "h2", "r2", "o"]).select("id", F.col("o").alias("a"), "mask")
+    step, last = e.withColumnsRenamed({"s": "h", "r": "r1", "o": "m"}), e.withColumnsRenamed({"s": "m", "r": "r2", "o": "a"})
+    four = views.joined(views.joined(of("typed_two_hop", "h", "r1", "r2"), step, ["doc", "h", "r1"]), last, ["doc", "m", "r2"]).select("id", "a", "mask")
+    return one.unionByName(two).unionByName(three).unionByName(four).groupBy("id", "a").agg(F.bit_or("mask").alias("mask"))
+
+
+ANSWERS = """, i AS (SELECT doc, 'lookup' AS family, h, r, NULL AS h1, NULL AS r1, NULL AS h2, NULL AS r2 FROM k1 UNION ALL SELECT doc, 'neighbor', h, NULL, NULL, NULL, NULL, NULL FROM k2
+UNION ALL SELECT doc, 'shared_tail_join', NULL, NULL, h1, r1, h2, r2 FROM k3 UNION ALL SELECT doc, 'typed_two_hop', h, NULL, NULL, r1, NULL, r2 FROM k4),
+e AS (SELECT 'base' AS view, * FROM b UNION ALL SELECT * FROM c),
+w AS (SELECT DISTINCT i.doc, view, family, h, NULL AS r, NULL AS h1, NULL AS r1, NULL AS h2, NULL AS r2, e.r || '|' || e.o AS a FROM i JOIN e ON e.doc = i.doc AND e.s = h WHERE family = 'neighbor'
+UNION ALL SELECT DISTINCT i.doc, view, family, h, i.r, NULL, NULL, NULL, NULL, e.o FROM i JOIN e ON e.doc = i.doc AND e.s = h AND e.r = i.r WHERE family = 'lookup'
+UNION ALL SELECT DISTINCT i.doc, x.view, i.family, NULL, NULL, h1, r1, h2, r2, x.o FROM i JOIN e x ON x.doc = i.doc AND x.s = h1 AND x.r = r1 JOIN e y ON y.doc = i.doc AND y.view = x.view AND y.s = h2 AND y.r = r2 AND y.o = x.o WHERE i.family = 'shared_tail_join'
+UNION ALL SELECT DISTINCT i.doc, x.view, i.family, h, NULL, NULL, r1, NULL, r2, y.o FROM i JOIN e x ON x.doc = i.doc AND x.s = h AND x.r = r1 JOIN e y ON y.doc = i.doc AND y.view = x.view AND y.s = x.o AND y.r = r2 WHERE i.family = 'typed_two_hop')
+"""
 
 
-@query(CATALOGUED + """SELECT query, count(*) AS n_answers, count(DISTINCT doc) AS n_docs FROM (
-SELECT DISTINCT 'lookup' AS query, k.doc, k.h, k.r, '' AS x, '' AS y, b.o FROM k1 k JOIN b ON b.doc = k.doc AND b.s = k.h AND b.r = k.r
-UNION ALL SELECT DISTINCT 'neighbor', k.doc, k.h, '', '', '', b.r || '|' || b.o FROM k2 k JOIN b ON b.doc = k.doc AND b.s = k.h
-UNION ALL SELECT DISTINCT 'shared_tail_join', k.doc, k.h1, k.r1, k.h2, k.r2, a.o FROM k3 k JOIN b a ON a.doc = k.doc AND a.s = k.h1 AND a.r = k.r1 JOIN b z ON z.doc = k.doc AND z.s = k.h2 AND z.r = k.r2 AND z.o = a.o
-UNION ALL SELECT DISTINCT 'typed_two_hop', k.doc, k.h, k.r1, k.r2, '', z.o FROM k4 k JOIN b a ON a.doc = k.doc AND a.s = k.h AND a.r = k.r1 JOIN b z ON z.doc = k.doc AND z.s = a.o AND z.r = k.r2) GROUP BY query""")
+@query(CATALOGUED + ANSWERS + """SELECT i.doc, i.family, i.h, i.r, i.h1, i.r1, i.h2, i.r2, count(a) AS n_answers, sha256('[' || coalesce(string_agg('"' || a || '"', ',' ORDER BY '"' || a || '"'), '') || ']') AS answers
+FROM i LEFT JOIN w ON w.doc = i.doc AND w.view = 'base' AND w.family = i.family AND w.h IS NOT DISTINCT FROM i.h AND w.r IS NOT DISTINCT FROM i.r AND w.h1 IS NOT DISTINCT FROM i.h1 AND w.r1 IS NOT DISTINCT FROM i.r1 AND w.h2 IS NOT DISTINCT FROM i.h2 AND w.r2 IS NOT DISTINCT FROM i.r2 GROUP BY ALL""")
 def catalogue_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of the whole catalogue on the base views, in one job."""
-    found = _answers(catalogue.build_queries(_gold(spark, sf_dir)), derived.base(spark, sf_dir), ["doc"])
-    return found.groupBy("query").agg(F.count("*").alias("n_answers"), F.count_distinct("doc").alias("n_docs"))
+    """Each instance's answers on the base view, as a number and a digest, in one job."""
+    asked = _catalogue(spark, sf_dir)
+    found = _answers(asked, derived.elements(spark, sf_dir).where(views.has(views.BASE))).groupBy("id").agg(F.collect_list("a").alias("a"))
+    digest = catalogue.answer_digest(F.coalesce("a", F.array().cast("array<string>")))
+    return asked.join(found, "id", "left").select("doc", "family", *catalogue.PARAMETERS, F.coalesce(F.size("a"), F.lit(0)).cast("long").alias("n_answers"), digest.alias("answers"))
 
 
 def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,30 +260,26 @@ def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT DISTINCT o_custkey % 10 AS packet, 'p:' || l_partkey AS s, 's:' || l_suppkey AS o, o_custkey AS source FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT 'fanout' AS shape, a.packet, a.s AS key, a.o AS x, z.o AS y FROM e a JOIN e z ON a.packet = z.packet AND a.s = z.s AND a.source <> z.source AND a.o < z.o GROUP BY ALL
-UNION ALL SELECT 'shared_tail', a.packet, a.o, a.s, z.s FROM e a JOIN e z ON a.packet = z.packet AND a.o = z.o AND a.source <> z.source AND a.s < z.s WHERE a.packet = 3 GROUP BY ALL""")
+UNION ALL SELECT 'shared_tail', a.packet, a.o, a.s, z.s FROM e a JOIN e z ON a.packet = z.packet AND a.o = z.o AND a.source <> z.source AND a.s < z.s GROUP BY ALL""")
 def cross_document_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joins across documents of a packet: parts with two suppliers, and for one packet suppliers of two parts."""
+    """Joins across documents of a packet: parts with two suppliers, and suppliers of two parts."""
     e = _packets(spark, sf_dir)
     fan = graph_queries.cross_document(e, ["packet"], "fanout").withColumn("shape", F.lit("fanout"))
-    return fan.unionByName(graph_queries.cross_document(e.where("packet = 3"), ["packet"], "shared_tail").withColumn("shape", F.lit("shared_tail"))).select("shape", "packet", "key", "x", "y")
-
-
-@query()
-def cross_document_shared_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of two parts across the documents of every packet; the SQL of ``cross_document_queries`` asks for one packet."""
-    return graph_queries.cross_document(_packets(spark, sf_dir), ["packet"], "shared_tail").select("packet", "key", "x", "y")
+    return fan.unionByName(graph_queries.cross_document(e, ["packet"], "shared_tail").withColumn("shape", F.lit("shared_tail"))).select("shape", "packet", "key", "x", "y")
 
 
 @query(derived.SQL + f""", {UNDIRECTED}, r AS (SELECT family, doc, a, z FROM u UNION SELECT x.family, x.doc, x.a, y.z FROM u x JOIN u y ON x.family = y.family AND x.doc = y.doc AND x.z = y.a WHERE x.a <> y.z),
-k AS (SELECT doc, a, z FROM (SELECT doc, a, z, row_number() OVER (PARTITION BY doc ORDER BY sha256(a || '|' || z)) AS k FROM r WHERE family = 'base' AND a < z) WHERE k <= 50), w AS (SELECT DISTINCT family, doc FROM c)
-SELECT w.family, w.doc, round(count(r.a) / count(*)::DOUBLE, 6) AS preserved FROM w JOIN k ON k.doc = w.doc LEFT JOIN r ON r.family = w.family AND r.doc = w.doc AND r.a = k.a AND r.z = k.z GROUP BY ALL""")
+k AS (SELECT doc, a, z FROM (SELECT doc, a, z, row_number() OVER (PARTITION BY doc ORDER BY sha256(a || '|' || z)) AS k FROM r WHERE family = 'base' AND a < z) WHERE k <= 50)
+SELECT p.family, p.doc, round(coalesce(count(r.a) / nullif(count(k.a), 0)::DOUBLE, 1.0), 6) AS preserved FROM p LEFT JOIN k ON k.doc = p.doc LEFT JOIN r ON r.family = p.family AND r.doc = p.doc AND r.a = k.a AND r.z = k.z GROUP BY ALL""")
 def path_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(graph_queries.path_preservation(derived.base(spark, sf_dir), derived.counterfactual(spark, sf_dir), PAIR), "preserved")
+    return _rounded(views.path_preservation(*derived.args(spark, sf_dir)), "preserved")
 
 
 @query()
 def component_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference of the numbers of connected components; all reachable pairs are too many for SQL on whole tables."""
-    found = graph_queries.component_counts(derived.edges(spark, sf_dir), PAIR)
+    docs, elements, families = derived.args(spark, sf_dir)
+    found = graph_queries.component_counts(views.long_form(elements, families, "base"), PAIR)
     base = found.where("family = 'base'").select("doc", F.col("n_components").alias("n"))
-    return derived.pairs(spark, sf_dir).join(base, "doc").join(found, PAIR, "left").select(*PAIR, F.abs(F.col("n") - F.coalesce("n_components", F.lit(0))).alias("change"))
+    pairs = docs.select(F.explode(F.array(*map(F.lit, families))).alias("family"), "doc")
+    return pairs.join(base, "doc").join(found, PAIR, "left").select(*PAIR, F.abs(F.col("n") - F.coalesce("n_components", F.lit(0))).alias("change"))
\ No newline at end of file

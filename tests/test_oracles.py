@@ -49,5 +49,5 @@ def test_query_without_oracle_has_rows(spark, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert {r.family for r in __spark_entry__.entry(spark).collect()} == {"evidence", "schema", "stochastic", "prompt"}
+    assert {r.family for r in __spark_entry__.entry(spark).collect()} == {"evidence", "schema", "stochastic", "prompt", "model"}
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom.functions import text
-from driftloom.operators import contracts, extraction, graph_queries, lineage, planning, sets, statistics
+from driftloom.operators import contracts, extraction, graph_queries, lineage, planning, statistics, views
 from driftloom.sources import corpora
 from driftloom.streaming.monitor import violation_windows
 
@@ -94,16 +94,31 @@ def test_planners(spark):
 
 
 def test_graph_edge_cases(spark):
-    loop = spark.createDataFrame([("v", "a", "r", "a"), ("v", "b", "r", "c"), ("v", "b", "q", "c")], "view string, s string, r string, o string")
-    got = {r.node: r.degree for r in graph_queries.top_undirected_degree(loop, ["view"]).collect()}
-    assert got == {"a": 0, "b": 1, "c": 1}
+    loop = spark.createDataFrame([("v", "a", "r", "a", 1), ("v", "b", "r", "c", 3), ("v", "b", "q", "c", 2)], "doc string, s string, r string, o string, mask long")
+    top = views.top_nodes(views.neighbour_degrees(loop, ("f",)), ("f",), 5).collect()
+    assert {(r.family, r.node): r.degree for r in top} == {("base", "a"): 0, ("base", "b"): 1, ("base", "c"): 1, ("f", "b"): 1, ("f", "c"): 1}
     with pytest.raises(ValueError, match="negative"):
-        graph_queries.top_undirected_degree(loop, ["view"], -1)
-    assert graph_queries.short_connectivity(loop, ["view"]).count() == 1
-    pairs = spark.createDataFrame([("f", 1), ("f", 2)], "family string, doc int")
-    none = spark.createDataFrame([], "doc int, s string, r string, o string")
-    both_empty = sets.jaccard(pairs, none, none.withColumn("family", F.lit("f")), ["s", "r", "o"]).collect()
-    assert [r.jaccard for r in both_empty] == [1.0, 1.0]
+        views.top_nodes(loop, ("f",), -1)
+    assert [(r.a, r.b, r.mask) for r in views.short_connectivity(loop).collect()] == [("b", "c", 3)]
+    docs = spark.createDataFrame([("v",), ("w",)], "doc string")
+    assert {(r.family, r.doc): r.jaccard for r in views.jaccard(docs, loop, ("f",)).collect()} == {("f", "v"): 1 / 3, ("f", "w"): 1.0}
+    assert {r.doc: r.preserved for r in views.path_preservation(docs, loop, ("f",)).collect()} == {"v": 1.0, "w": 1.0}
+
+
+def test_distances_end_by_themselves(spark):
+    chain = [("v", f"n{i:02d}", "r", f"n{i + 1:02d}", 1 if i == 5 else 3) for i in range(9)] + [("v", "n09", "r", "n00", 3), ("v", "n00", "r", "n07", 2)]
+    elements = spark.createDataFrame(chain, "doc string, s string, r string, o string, mask long")
+    sources = spark.createDataFrame([("v", "n00")], "doc string, source string")
+    got = {(r.node, r.hops): r.mask for r in views.distances(elements, sources).collect() if r.hops}
+    assert got[("n05", 5)] == 3 and got[("n06", 6)] == 1 and got[("n07", 7)] == 1 and got[("n07", 1)] == 2 and got[("n09", 9)] == 1 and got[("n09", 3)] == 2 and len(got) == 12
+
+
+def test_gold_recall_without_gold(spark):
+    docs = spark.createDataFrame([("v",), ("w",)], "doc string")
+    elements = spark.createDataFrame([("v", "a", "r", "b", 3), ("v", "a", "r", "c", 1)], "doc string, s string, r string, o string, mask long")
+    gold = spark.createDataFrame([("v", "a", "r", "b"), ("v", "a", "r", "c")], "doc string, s string, r string, o string")
+    got = {r.doc: (r.base_recall, r.recall, r.difference) for r in views.gold_recall(docs, elements, gold, ("f",), ["s", "r", "o"]).collect()}
+    assert got == {"v": (1.0, 0.5, 0.5), "w": (0.0, 0.0, 0.0)}
 
 
 def test_components(spark):
