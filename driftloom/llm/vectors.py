@@ -1,7 +1,7 @@
 """Operators 4 and 10 on embedding tables: exact top-k by int8 tiles with error bounds, and near-duplicate groups by cells.
 
 In both, vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of another
-length than the most frequent one (ties: the longer).
+length than the most frequent one (ties: the longer) of the table, or of the candidates.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql.window import Window as W
 from .common import arrow_map, columns, spool
 from .components import components
 
-#: Queries of one wave, gathered on the driver and sent to all tasks; candidates of one tile.
-WAVE, TILE = 4096, 1024
+#: Queries of one block, bytes of candidates of one block, candidates of one tile, dimensions whose int8 products float32 holds.
+ASKED, CANDIDATES, TILE, EXACT = 4096, 32 << 20, 1024, 1024
 #: k-means: rows of the sample, vectors a cell should hold, most cells, rounds.
 SAMPLE, CELL, CELLS, ROUNDS = 20_000, 512, 4096, 8
 #: Distance beyond a cell's border, as a sine, up to which a vector is compared in that cell too.
@@ -29,20 +29,28 @@ MARGIN = 0.08
 BLOCK = 2048
 
 
-def usable(table: DataFrame) -> DataFrame:
-    """(vec_id, raw): usable vectors as little-endian float32 bytes."""
+def sound(table: DataFrame) -> DataFrame:
     e = F.col("embedding")
-    sound = table.where(e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0))
-    common = sound.groupBy(F.size(e).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return table.where(e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0))
+
+
+def common_width(table: DataFrame) -> int:
+    """The most frequent number of components of sound vectors; 0 without any."""
+    common = sound(table).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return common[0] if common else 0
+
+
+def usable(table: DataFrame, width: int | None = None) -> DataFrame:
+    """(vec_id, raw): sound vectors of ``width`` components, the common one unless given, as little-endian float32 bytes."""
+    e, width = F.col("embedding"), common_width(table) if width is None else width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = pc.list_flatten(batch.column("embedding")).to_numpy(zero_copy_only=False).astype("<f4")
-            width = len(flat) // max(1, batch.num_rows)
             bytes_ = pa.Array.from_buffers(pa.binary(4 * width), batch.num_rows, [None, pa.py_buffer(flat)]).cast(pa.binary()) if batch.num_rows else pa.array([], pa.binary())
             yield columns(vec_id=batch.column("vec_id"), raw=bytes_)
 
-    return arrow_map(sound.where(F.size(e) == (common[0] if common else 0)).select(F.col("vec_id").cast("long"), e.cast("array<float>").alias("embedding")), run, "vec_id long, raw binary")
+    return arrow_map(sound(table).where(F.size(e) == width).select(F.col("vec_id").cast("long"), e.cast("array<float>").alias("embedding")), run, "vec_id long, raw binary")
 
 
 def matrix(raw: pa.Array) -> np.ndarray:
@@ -69,59 +77,74 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of ``candidates`` with the largest inner product with each query.
 
     Both have (vec_id, embedding). A query never finds a row of its own vec_id; ties go to the smaller vec_id; with fewer
-    candidates all are returned; an unusable query has no rows and repeated queries count once. Queries go in waves of about WAVE, each
-    sent to all tasks; a task bounds int8 products of a tile, recomputes in double precision what the bounds leave, and
-    keeps one heap per query.
+    candidates all are returned; an unusable query, one of another length than the candidates among them, has no rows;
+    repeated queries count once, the row with the least bytes, and repeated candidates each. Queries are dealt over blocks of about ASKED and candidates over
+    blocks of about CANDIDATES bytes, and each two blocks meet in a group: int8 products of a tile are bounded, what
+    the bounds leave is recomputed in double precision, and a heap per query keeps k. The driver has two counts.
     """
-    rows, asked = usable(candidates), usable(queries).dropDuplicates(["vec_id"])
-    waves = max(1, -(-asked.count() // WAVE))
-    found = None
-    for w in range(waves):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == w).orderBy("vec_id").toArrow()  # about WAVE rows
-        near = arrow_map(rows, _tiles(np.array(part.column("vec_id")), matrix(part.column("raw")) if part.num_rows else np.zeros((0, 1), np.float32), k), "query_id long, vec_id long, score double")
-        found = near if found is None else found.unionByName(near)
+    width = common_width(candidates)
+    rows = spool(usable(candidates, width).withColumn("place", F.monotonically_increasing_id()), "candidates")
+    asked = spool(usable(queries, width).groupBy("vec_id").agg(F.min("raw").alias("raw")), "queries")
+    blocks, of = max(1, -(-asked.count() // ASKED)), max(1, -(-rows.count() * 4 * max(1, width) // CANDIDATES))
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("i"), every(of).alias("j"), F.lit(True).alias("asks"), "vec_id", "raw")
+    right = rows.select(every(blocks).alias("i"), F.pmod("place", F.lit(of)).cast("int").alias("j"), F.lit(False).alias("asks"), "vec_id", "raw")
+
+    def meet(pair: pa.Table) -> pa.Table:
+        asks = pair.column("asks").to_numpy()
+        q, c = pair.filter(pa.array(asks)), pair.filter(pa.array(~asks))
+        found = nearest(*((np.array(t.column("vec_id")), matrix(t.column("raw"))) for t in (q, c)), k) if q.num_rows and c.num_rows else []
+        return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array([f[2] for f in found], pa.float64())})
+
+    met = left.unionByName(right).groupBy("i", "j").applyInArrow(meet, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _tiles(query_ids: np.ndarray, q: np.ndarray, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not len(q):
-            return
-        codes, scale, total = quantised(q)
-        as_float = codes.astype(np.float32)  # products of int8 codes are whole numbers that float32 holds
-        heaps: list[list[tuple[float, int]]] = [[] for _ in q]
-        least = np.full(len(q), -np.inf)
-        width = q.shape[1]
-        for batch in batches:
-            ids, x = batch.column("vec_id").to_numpy(), matrix(batch.column("raw"))
-            for lo in range(0, len(ids), TILE):
-                tile, tile_ids = x[lo : lo + TILE], ids[lo : lo + TILE]
-                c, s, t = quantised(tile)
-                est = (as_float @ c.astype(np.float32).T).astype(np.float64)
-                err = 0.5 * total[:, None] + 0.5 * t + 0.25 * width
-                both = scale[:, None] * s
-                upper, lower = (est + err) * both, (est - err) * both
-                slack = 1e-9 * np.abs(upper) + 1e-300
-                floor = least.copy()
-                if len(tile) > k + 1:  # one row may be the query's own
-                    floor = np.maximum(floor, np.partition(lower, -(k + 1), axis=1)[:, -(k + 1)])
-                row, col = np.nonzero(upper + slack >= (floor - 1e-9 * np.abs(floor))[:, None])
-                row, col = row[own := query_ids[row] != tile_ids[col]], col[own]
-                score = np.concatenate([inner_products(q[row[i : i + 100_000]], tile[col[i : i + 100_000]]) for i in range(0, len(row), 100_000)] or [np.zeros(0)])
-                for r, v, i in zip(row.tolist(), score.tolist(), tile_ids[col].tolist(), strict=True):
-                    heap = heaps[r]
-                    if len(heap) < k:
-                        heapq.heappush(heap, (v, -i))
-                    elif (v, -i) > heap[0]:
-                        heapq.heapreplace(heap, (v, -i))
-                for r in np.unique(row).tolist():
-                    if len(heaps[r]) == k:
-                        least[r] = heaps[r][0][0]
-        out = [(i, -n, v) for i, heap in zip(query_ids.tolist(), heaps, strict=True) for v, n in heap]
-        yield columns(query_id=np.array([x[0] for x in out], np.int64), vec_id=np.array([x[1] for x in out], np.int64), score=np.array([x[2] for x in out], np.float64))
-
-    return run
+def int8_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of int8 codes, exact: float32 holds the sums over EXACT components, which are added in float64."""
+    total = np.zeros((len(x), len(y)))
+    for lo in range(0, x.shape[1], EXACT):
+        total += x[:, lo : lo + EXACT] @ y[:, lo : lo + EXACT].T
+    return total
+
+
+def nearest(asked: tuple[np.ndarray, np.ndarray], candidates: tuple[np.ndarray, np.ndarray], k: int) -> list[tuple[int, int, float]]:
+    """(query, candidate, score) of the k best candidates of each query; both are (ids, vectors)."""
+    (query_ids, q), (ids, x) = asked, candidates
+    codes, scale, total = quantised(q)
+    as_float = codes.astype(np.float32)
+    heaps: list[list[tuple[float, int]]] = [[] for _ in q]
+    least = np.full(len(q), -np.inf)
+    for lo in range(0, len(ids), TILE):
+        tile, tile_ids = x[lo : lo + TILE], ids[lo : lo + TILE]
+        c, s, t = quantised(tile)
+        est = int8_products(as_float, c.astype(np.float32))
+        err = 0.5 * total[:, None] + 0.5 * t + 0.25 * q.shape[1]
+        both = scale[:, None] * s
+        upper, lower = (est + err) * both, (est - err) * both
+        slack = 1e-9 * np.abs(upper) + 1e-300
+        floor = least.copy()
+        if len(tile) > k + 1:  # rows of the query's own id do not count; there may be many
+            own = (query_ids[:, None] == tile_ids).sum(axis=1).max(initial=0)
+            if len(tile) > k + own:
+                floor = np.maximum(floor, np.partition(lower, -(k + own), axis=1)[:, -(k + own)])
+        row, col = np.nonzero(upper + slack >= (floor - 1e-9 * np.abs(floor))[:, None])
+        row, col = row[other := query_ids[row] != tile_ids[col]], col[other]
+        score = np.concatenate([inner_products(q[row[i : i + 100_000]], tile[col[i : i + 100_000]]) for i in range(0, len(row), 100_000)] or [np.zeros(0)])
+        for r, v, i in zip(row.tolist(), score.tolist(), tile_ids[col].tolist(), strict=True):
+            heap = heaps[r]
+            if len(heap) < k:
+                heapq.heappush(heap, (v, -i))
+            elif (v, -i) > heap[0]:
+                heapq.heapreplace(heap, (v, -i))
+        for r in np.unique(row).tolist():
+            if len(heaps[r]) == k:
+                least[r] = heaps[r][0][0]
+    return [(i, -n, v) for i, heap in zip(query_ids.tolist(), heaps, strict=True) for v, n in heap]
 
 
 def unit(x: np.ndarray) -> np.ndarray:

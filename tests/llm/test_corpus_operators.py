@@ -135,7 +135,12 @@ def some_vectors():
     return [*x.tolist(), None, [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] * 16, [None] + [1.0] * 15, [1.0, 2.0]], x
 
 
-def test_search(spark):
+@pytest.mark.parametrize("blocks", [False, True])
+def test_search(spark, monkeypatch, blocks):
+    if blocks:  # several of each
+        monkeypatch.setattr(vectors, "ASKED", 4)
+        monkeypatch.setattr(vectors, "CANDIDATES", 64 * 70)
+        monkeypatch.setattr(vectors, "TILE", 32)
     rows, x = some_vectors()
     frame = table_of_vectors(spark, rows)
     got = vectors.search(frame, frame.where("vec_id % 20 = 0"), 7).collect()
@@ -150,6 +155,21 @@ def test_search(spark):
     assert vectors.search(frame.limit(0), frame.limit(0), 7).count() == 0
 
 
+def test_search_repeated_rows_and_other_lengths(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 2)).tolist()
+    candidates = spark.createDataFrame([(i % 20, v) for i, v in enumerate(x)] + [(7, x[7])] * 30 + [(99, [1.0, 2.0, 3.0])], "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([(7, x[7]), (7, x[7]), (8, [1.0, 2.0, 3.0]), (9, None), (50, [0.0, 0.0]), (51, [3.0, 1.0])], "vec_id long, embedding array<float>")
+    got = vectors.search(candidates, queries, 5).collect()
+    assert {r.query_id for r in got} == {7, 51} and len(got) == 10 and all(r.vec_id != 7 for r in got if r.query_id == 7)
+    wide = rng.normal(size=(60, 3000)).astype(np.float32) * 50
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(wide)], "vec_id long, embedding array<float>")
+    score = wide.astype(np.float64) @ wide.astype(np.float64).T
+    np.fill_diagonal(score, -np.inf)
+    found = {(r.query_id, r.rank): r.vec_id for r in vectors.search(frame, frame, 3).collect()}
+    assert all(found[i, 1] == score[i].argmax() for i in range(60)) and len(found) == 180
+
+
 def test_near_duplicates(spark):
     rows, x = some_vectors()
     got = {r.vec_id: r for r in vectors.near_duplicates(table_of_vectors(spark, rows)).collect()}
