@@ -4,7 +4,7 @@ A logistic model over hashed words, word beginnings and shape features gives eac
 rejected (low quality or toxic). Hosts (``source`` up to its first slash) and paths below them (the whole ``source`` and
 ``lang``) have rates of their own: the expected number of rejections of a path is shrunk towards its host's rate, the
 host's towards the global rate, each by a strength that the spread of the rates gives. Posterior odds are the document's
-likelihood ratio by the odds of its path's shrunken rate.
+likelihood ratio by the odds of its path's shrunken rate, from which the document itself is left out.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ TRAIN_ROWS, BITS, ROUNDS = 10_000, 18, 60
 #: Path rates up to which their table is broadcast.
 BROADCAST_ROWS = 100_000
 SHAPES, SIGNIFICANT = 11, 4.0
+#: Bytes beyond which a word counts as a text without spaces, whose runs of PIECE characters are features too; text bytes of one pass.
+LONG, PIECE, PASS_BYTES = 32, 3, 2 << 20
 LEVELS = (0.002, 0.01, 0.03, 0.1, 0.3, 0.6)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -37,36 +39,63 @@ _UPPER, _DIGIT = np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[65:91] = _DIGIT[48:58] = True
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of lower-cased words without ASCII punctuation, and of the first four bytes of longer ones."""
+_SPREAD = np.random.default_rng(20250312).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(max(n, 1), base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of whole lower-cased words without ASCII punctuation, of the first four bytes of longer ones, and of pieces.
+
+    Pieces are the runs of PIECE characters in words of more than LONG bytes; they come with their word's number.
+    """
     keep = ~_PUNCTUATION[data]
     place = np.concatenate([[0], np.cumsum(keep)])
     data, bounds = _LOWER[data[keep]], place[bounds]
     n = np.diff(bounds)
-    full, start = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-    live, k = np.flatnonzero(n > 0), 0
-    while len(live):
-        full[live] = (full[live] ^ data[bounds[live] + k]) * np.uint64(0x100000001B3) + np.uint64(k + 1)
-        k += 1
-        if k == 4:
-            start[:] = full
-            start[n < 5] = 0
-        live = live[n[live] > k] if k < 64 else live[:0]
-    return full, start
+    total = np.concatenate([[np.uint64(0)], np.cumsum(_SPREAD[data] * _powers(_BASE, len(data))[: len(data)], dtype=np.uint64)])
+    back = _powers(_BACK, len(data) + 1)
+
+    def between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h = (total[b] - total[a]) * back[a] + (b - a).astype(np.uint64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(31))) | np.uint64(1)
+
+    full, start = between(bounds[:-1], bounds[1:]), between(bounds[:-1], np.minimum(bounds[:-1] + 4, bounds[1:]))
+    full[n == 0] = 0
+    start[n < 5] = 0
+    none = np.zeros(0, np.int64)
+    if not (n > LONG).any():
+        return full, start, none.astype(np.uint64), none
+    # Places of characters of long words, and of their ends.
+    word = np.repeat(np.arange(len(n)), n)
+    lead = np.flatnonzero(((data & 0xC0) != 0x80) & (n > LONG)[word])
+    whole = np.arange(len(lead)) + PIECE <= len(lead)
+    first, last = lead[whole], lead[np.flatnonzero(whole) + PIECE - 1]
+    after = np.append(lead[1:], len(data))[np.flatnonzero(whole) + PIECE - 1]
+    same = word[first] == word[last]
+    first, after, of = first[same], after[same], word[first[same]]
+    return full, start, between(first, np.minimum(after, bounds[of + 1])), of
 
 
 def features(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashed features of each text (of those ``chosen``), one text after the other, with offsets, and SHAPES numbers per text."""
     ink, bounds, first = words_of(data, offsets)
-    full, start = word_hashes(ink, bounds)
+    full, start, pieces, of = word_hashes(ink, bounds)
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
-    mixed = np.concatenate([full * np.uint64(0x9E3779B97F4A7C15), (start + np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F)])
+    mixed = np.concatenate([full * np.uint64(0x9E3779B97F4A7C15), (start + np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F), (pieces + np.uint64(11)) * np.uint64(0x165667B19E3779F9)])
     code = (mixed >> np.uint64(64 - BITS)).astype(np.int64)
-    used = np.concatenate([full != 0, start != 0])
+    used = np.concatenate([full != 0, start != 0, np.ones(len(pieces), bool)])
     if chosen is not None:
         used &= chosen[code]
-    codes = np.sort((np.concatenate([row, row])[used] << BITS) | code[used])
+    codes = np.sort((np.concatenate([row, row, row[of]])[used] << BITS) | code[used])
     codes = codes[np.concatenate([[True], codes[1:] != codes[:-1]])] if len(codes) else codes
     at = np.searchsorted(codes >> BITS, np.arange(len(first)))
     # Shapes: shares of bytes and of words of certain kinds.
@@ -153,7 +182,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share)  # about ``most`` rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", PASS_BYTES):
             codes, at, shapes = features(*utf8_view(batch.column("text")))
             yield columns(doc_id=batch.column("doc_id"), reject=batch.column("reject"), codes=pa.ListArray.from_arrays(at.astype(np.int32), codes), shapes=pa.ListArray.from_arrays((np.arange(len(shapes) + 1) * SHAPES).astype(np.int32), shapes.ravel()))
 
@@ -171,18 +200,25 @@ def logit(p: Column) -> Column:
 
 
 def rates(scored: DataFrame) -> DataFrame:
-    """(_host, _path, prior): each path's rejection rate, shrunk towards its host's, and that towards the global one."""
+    """(_host, _path, n, s, host_n, host_s, all_n, all_s, k_host, k_path): expected rejections of each path, its host and all, with the strengths of the priors."""
     paths = scored.groupBy("_host", "_path").agg(F.count("*").cast("double").alias("n"), F.sum("_p").alias("s"))
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
-    world = hosts.agg(F.sum("host_n").alias("all_n"), F.sum("host_s").alias("all_s")).select((F.col("all_s") / F.col("all_n")).alias("mean"))
+    world = hosts.agg(F.sum("host_n").alias("all_n"), F.sum("host_s").alias("all_s"))
 
-    rate = F.col("host_s") / F.col("host_n")
+    mean = F.col("all_s") / F.col("all_n")
     of_hosts = hosts.crossJoin(world)  # one row on the right
-    over_hosts = of_hosts.groupBy("mean").agg(strength(rate, F.col("mean"), F.col("host_n")).alias("k_host"))
-    shrunk = of_hosts.join(over_hosts, "mean").select("_host", ((F.col("host_s") + F.col("k_host") * F.col("mean")) / (F.col("host_n") + F.col("k_host"))).alias("host_rate"))
-    of_paths = paths.join(shrunk, "_host")
-    over_paths = of_paths.agg(strength(F.col("s") / F.col("n"), F.col("host_rate"), F.col("n")).alias("k_path"))
-    return of_paths.crossJoin(over_paths).select("_host", "_path", ((F.col("s") + F.col("k_path") * F.col("host_rate")) / (F.col("n") + F.col("k_path"))).alias("prior"))
+    over_hosts = of_hosts.groupBy("all_n", "all_s").agg(strength(F.col("host_s") / F.col("host_n"), mean, F.col("host_n")).alias("k_host"))
+    of_paths = paths.join(of_hosts.join(over_hosts, ["all_n", "all_s"]), "_host")
+    host_rate = (F.col("host_s") + F.col("k_host") * mean) / (F.col("host_n") + F.col("k_host"))
+    over_paths = of_paths.agg(strength(F.col("s") / F.col("n"), host_rate, F.col("n")).alias("k_path"))
+    return of_paths.crossJoin(over_paths)  # one row on the right
+
+
+def prior(p: Column) -> Column:
+    """The shrunken rate of a document's path, from all other documents: ``p``, its own part, is taken out of its path, its host and all."""
+    mean = (F.col("all_s") - p) / F.greatest(F.col("all_n") - 1, F.lit(1.0))
+    host = (F.col("host_s") - p + F.col("k_host") * mean) / (F.col("host_n") - 1 + F.col("k_host"))
+    return (F.col("s") - p + F.col("k_path") * host) / (F.col("n") - 1 + F.col("k_path"))
 
 
 def strength(rate: Column, centre: Column, n: Column) -> Column:
@@ -198,8 +234,24 @@ def classify(docs: DataFrame, labels: DataFrame, extra: bool = False) -> DataFra
     ``extra``: keep all columns of ``docs``; otherwise doc_id alone. Rejected are rows with p_reject of a half or more. A null
     text is an empty one; a null source or lang is a host or path of its own; repeated rows are judged each; without
     usable labels all weights are zero and every row is accepted; an empty table gives no rows. The new columns replace
-    columns of these names.
+    columns of these names; ``accepted_rows`` keeps them.
     """
+    kept = [c for c in docs.columns if extra and c not in NEW] if extra else ["doc_id"]
+    judged, inner = _judged(docs, labels, kept)
+    return judged.select(*(F.col(i).alias(c) for c, i in inner.items()), *NEW)
+
+
+NEW = ("logit", "prior", "p_reject", "accepted")
+
+
+def accepted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The accepted rows of ``docs`` with all their columns, whatever their names, and no others."""
+    judged, inner = _judged(docs, labels, docs.columns)
+    return judged.where("accepted").select(*(F.col(i).alias(c) for c, i in inner.items()))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, kept: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """NEW columns and those ``kept``, under inner names that nothing clashes with."""
     codes, at, shapes, reject = training_rows(docs, labels)
     model = Model().fit(codes, at, shapes, reject) if len(reject) and 0 < reject.mean() < 1 else None
     words, shape = (model.words.astype(np.float32), model.shape) if model else (None, None)
@@ -214,7 +266,7 @@ def classify(docs: DataFrame, labels: DataFrame, extra: bool = False) -> DataFra
         used.words, used.shape = words.astype(np.float64), shape
         batch = pa.RecordBatch.from_arrays([pa.array(text, pa.large_string())], names=["text"])
         done = 0
-        for part in text_slices([batch], "text"):
+        for part in text_slices([batch], "text", PASS_BYTES):
             out[done : done + part.num_rows] = used.logits(*utf8_view(part.column(0)))
             done += part.num_rows
         release()
@@ -223,14 +275,15 @@ def classify(docs: DataFrame, labels: DataFrame, extra: bool = False) -> DataFra
     have = set(docs.columns)
     source = F.coalesce(F.col("source").cast("string"), F.lit("\0")) if "source" in have else F.lit("")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("\0")) if "lang" in have else F.lit("")
-    kept = [c for c in docs.columns if c not in ("logit", "prior", "p_reject", "accepted", "_host", "_path", "_p")] if extra else ["doc_id"]
-    scored = docs.select(*kept, F.substring_index(source, "/", 1).alias("_host"), F.concat_ws("\1", source, lang).alias("_path"), evidence(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("logit"))
+    inner = {c: f"_in_{i}" for i, c in enumerate(kept)}
+    scored = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in inner.items()), F.substring_index(source, "/", 1).alias("_host"), F.concat_ws("\1", source, lang).alias("_path"), evidence(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("logit"))
     scored = spool(scored.withColumn("_p", 1 / (1 + F.exp(-F.col("logit")))), "scored")
-    prior = spool(rates(scored), "rates")
-    few = prior.count() <= BROADCAST_ROWS
-    joined = scored.join(F.broadcast(prior) if few else prior, ["_host", "_path"])
+    of_paths = spool(rates(scored), "rates")
+    few = of_paths.count() <= BROADCAST_ROWS
+    joined = scored.join(F.broadcast(of_paths) if few else of_paths, ["_host", "_path"]).withColumn("prior", prior(F.col("_p")))
     combined = F.col("logit") - float(np.log(base / (1 - base))) + logit(F.col("prior"))
-    return joined.withColumn("p_reject", 1 / (1 + F.exp(-combined))).withColumn("accepted", F.col("p_reject") < 0.5).select(*kept, "logit", "prior", "p_reject", "accepted")
+    out = joined.withColumn("p_reject", 1 / (1 + F.exp(-combined))).withColumn("accepted", F.col("p_reject") < 0.5)
+    return out.select(*inner.values(), *NEW), inner
 
 
 def _series(values: np.ndarray):

@@ -284,9 +284,43 @@ def test_quality(spark):
 
 
 def test_shared_rates(spark):
-    rows = spark.createDataFrame([("a", f"a{i % 40}", float(i % 4 == 0)) for i in range(4000)] + [("b", "b", 1.0)], "_host string, _path string, _p double")
-    prior = {r._path: r.prior for r in quality.rates(rows).collect()}
-    assert prior["b"] < 1 and all(0.0 <= p <= 1.0 for p in prior.values())
+    """Against plain shrinkage: each row's prior comes from all other rows."""
+    rows = [("a", f"a{i % 40}", float(i % 4 == 0)) for i in range(400)] + [("b", "b", 1.0)] + [("c", f"c{i % 3}", 0.1 * (i % 7)) for i in range(50)]
+    scored = spark.createDataFrame(rows, "_host string, _path string, _p double")
+    got = scored.join(quality.rates(scored), ["_host", "_path"]).select("_host", "_path", "_p", quality.prior(scored["_p"]).alias("prior")).collect()
+
+    def strength(groups):  # of (n, rate, centre)
+        total = sum(n for n, _, _ in groups)
+        noise = sum(n * c * (1 - c) for n, _, c in groups) / total
+        spread = sum(n * (r - c) ** 2 for n, r, c in groups) / total - noise * len(groups) / total
+        return min(max(noise / max(spread, 1e-6), 1.0), 1e6)
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for h, q, p in rows:
+        hosts[h].append(p)
+        paths[h, q].append(p)
+    everything = [p for _, _, p in rows]
+    mean = sum(everything) / len(everything)
+    k_host = strength([(len(v), sum(v) / len(v), mean) for v in hosts.values()])
+    rate = {h: (sum(v) + k_host * mean) / (len(v) + k_host) for h, v in hosts.items()}
+    k_path = strength([(len(v), sum(v) / len(v), rate[h]) for (h, _), v in paths.items()])
+
+    def plain(h, q, p):
+        world = (sum(everything) - p) / (len(everything) - 1)
+        host = (sum(hosts[h]) - p + k_host * world) / (len(hosts[h]) - 1 + k_host)
+        return (sum(paths[h, q]) - p + k_path * host) / (len(paths[h, q]) - 1 + k_path)
+
+    assert len(got) == len(rows) and all(abs(r.prior - plain(r._host, r._path, r._p)) < 1e-9 for r in got)
+
+
+def test_long_runs_are_judged_whole():
+    """A script without spaces: what tells bad from good lies far beyond the first bytes of the run."""
+    rng = np.random.default_rng(2)
+    letters = list("的一是在不了有和人这中大为上个国我以要他")
+    texts = ["".join(rng.choice(letters, 120)) + ("坏事物" * 2 if i % 2 else "好天气" * 2) + "".join(rng.choice(letters, 40)) for i in range(400)]
+    reject = np.array([float(i % 2) for i in range(400)])
+    model = quality.Model().fit(*quality.features(*arrays(texts[:300])), reject[:300])
+    assert (((model.logits(*arrays(texts[300:])) > 0) == (reject[300:] > 0)).mean()) > 0.97
 
 
 def test_pipeline(spark):
