@@ -66,25 +66,54 @@ SOUND = {
 SPAN = "array<struct<kind:string,start:long,stop:long,value:string>>"
 
 
-def places(text: Column, pattern: Column, kind: str, sound) -> Column:
-    """Spans of a pattern's matches that are sound, in order."""
-    matches, pieces = F.regexp_extract_all(text, pattern, 0), F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
+def running(xs: Column, most: bool = False) -> Column:
+    """Running sums of longs, or running maxima if ``most``.
+
+    Of runs of about the square root of their number each, since a step copies what it has: n to the power of 1.5, not 2.
+    """
+    joined = (lambda a, x: F.greatest(a, x)) if most else (lambda a, x: a + x)
+    zero = F.lit(0).cast("long")
+
+    def plain(part: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), F.array().cast("array<long>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            at = joined(acc["at"], x)
+            return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+        return F.aggregate(part, begin, step, lambda acc: acc["out"])
+
+    size = F.greatest(F.ceil(F.sqrt(F.size(xs))), F.lit(1)).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), size), lambda k: F.slice(xs, k + 1, size))
+    totals = F.transform(runs, lambda r: F.aggregate(r, zero, joined))
+    starts = F.concat(F.array(zero), plain(totals, zero))
+    return F.flatten(F.zip_with(runs, F.slice(starts, 1, F.size(runs)), plain))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        stop = start + F.length(x["match"])
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), stop.alias("stop"), x["match"].alias("value")))).alias("out"))
 
-    pairs = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: F.struct(m.alias("match"), p.alias("piece")))
-    found = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, F.filter(found, lambda s: sound(s["value"]))).otherwise(F.array().cast(SPAN))
+def with_places(rows: DataFrame, kinds: dict[str, tuple[Column, Column, object]]) -> DataFrame:
+    """``rows`` (_text, …) with an array of spans for each kind: (whether to search, pattern, whether a match is sound), in order.
 
+    Each step is a column of its own, so that a pattern is searched once, and once more only where it was found.
+    """
+    # Matches and the pieces between them have lengths, and the running sum of both gives the places.
+    out = rows.withColumns({f"_m_{k}": F.when(gate, F.regexp_extract_all("_text", pattern, 0)) for k, (gate, pattern, _) in kinds.items()})
+    some = {k: F.coalesce(F.size(f"_m_{k}"), F.lit(0)) > 0 for k in kinds}
+    out = out.withColumns({f"_l_{k}": F.when(some[k], F.zip_with(F.slice(F.split("_text", pattern, -1), 1, F.size(f"_m_{k}")), f"_m_{k}", lambda p, m: (F.length(p) + F.length(m)).cast("long"))) for k, (_, pattern, _) in kinds.items()})
+    out = out.withColumns({f"_e_{k}": F.when(some[k], running(F.col(f"_l_{k}"))) for k in kinds})
+
+    def spans(k: str, sound) -> Column:
+        made = F.zip_with(f"_e_{k}", f"_m_{k}", lambda e, m: F.struct(F.lit(k).alias("kind"), (e - F.length(m)).alias("start"), e.alias("stop"), m.alias("value")))
+        return F.when(some[k], F.filter(made, lambda s: sound(s["value"]))).otherwise(F.array().cast(SPAN))
+
+    return out.select(*rows.columns, *(spans(k, sound).alias(f"_{k}") for k, (_, _, sound) in kinds.items()))
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """Spans of each base kind; a text without the marks of a kind is not searched for it."""
+
+def with_base(texts: DataFrame) -> DataFrame:
+    """``texts`` (_text, …) with ``_base``, the spans of the base kinds; a text without the marks of a kind is not searched for it."""
+    text = F.col("_text")
     marks = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]++\.[0-9]"), "card": text.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]"), "phone": F.contains(text, F.lit("+"))}
-    return {k: F.when(marks[k], places(text, F.lit(PATTERNS[k]), k, SOUND[k])).otherwise(F.array().cast(SPAN)) for k in BASE}
+    found = with_places(texts, {k: (marks[k], F.lit(PATTERNS[k]), SOUND[k]) for k in BASE})
+    return found.select(*texts.columns, F.concat(*(f"_{k}" for k in BASE)).alias("_base"))
 
 
 def terms_near(spans: DataFrame) -> DataFrame:
@@ -118,9 +147,9 @@ def revealing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     copied = texts.where("copies > 1")
     copied = F.broadcast(copied) if copied.count() <= BROADCAST_COPIES else copied
     words = hashed.join(copied, "_hash", "left").select(F.coalesce("copies", F.lit(1)).alias("copies"), F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= TERM_LETTERS)
-    # Summed inside each task first, so that what reaches the join is a row per word and number of copies, not per
-    # occurrence. A text of c copies is among the words of c copies c times.
-    summed = words.groupBy("term", "copies").agg(F.count("*").alias("n")).join(terms, "term", "left_semi")
+    # Summed first, so that what reaches the join is a row per word and number of copies, not per occurrence. (A semi-join
+    # would be pushed below the sum.) A text of c copies is among the words of c copies c times.
+    summed = words.groupBy("term", "copies").agg(F.count("*").alias("n")).join(terms, "term")
     term_docs = summed.groupBy("term").agg(F.sum((F.col("n") / F.col("copies"))).alias("term_docs"))
     kinds = F.when(F.col("share") >= REMOVE, "removed").when(F.col("share") >= GENERALISE, "general")
     return spool(pairs.join(term_docs, "term").withColumn("share", disclosure(total)).select("entity", "term", kinds.alias("kind")).where("kind is not null"), "terms")
@@ -140,10 +169,10 @@ def find_private(docs: DataFrame) -> DataFrame:
     table gives no rows; a column ``spans`` of ``docs`` is replaced. Kinds beyond the base ones are ``removed`` and ``general``.
     """
     kept = [c for c in docs.columns if c != "spans"]
-    texts = docs.select(*kept, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    found = base_spans(F.col("_text"))
-    with_base = texts.withColumn("_base", F.concat(*(found[k] for k in BASE)))
-    hits = spool(with_base.where(F.size("_base") > 0).select("_text", "_base"), "hits")
+    inner = {c: f"_in_{i}" for i, c in enumerate(kept)}
+    texts = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in inner.items()), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    texts = spool(with_base(texts), "base")
+    hits = spool(texts.where(F.size("_base") > 0).select("_text", "_base"), "hits")
     pairs = revealing_terms(texts.select("_text"), hits)
     # Terms for each text that holds an entity of theirs; the text's hash stands for the text.
     key = F.xxhash64("_text", F.md5("_text"))
@@ -153,33 +182,43 @@ def find_private(docs: DataFrame) -> DataFrame:
     n = per_text.count()
     if n:
         few = n <= BROADCAST_ROWS
-        marked = with_base.withColumn("_key", F.when(F.size("_base") > 0, key)).join(F.broadcast(per_text) if few else per_text, "_key", "left")
+        marked = texts.withColumn("_key", F.when(F.size("_base") > 0, key)).join(F.broadcast(per_text) if few else per_text, "_key", "left")
 
-        def of(kind: str) -> Column:
-            terms = F.col("_removed" if kind == "removed" else "_general")
+        def of(terms: str) -> tuple:
             pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(terms, "|"), F.lit(r")(?!\p{L})"))
-            return F.when(F.coalesce(F.size(terms), F.lit(0)) > 0, places(F.col("_text"), pattern, kind, lambda m: F.lit(True))).otherwise(F.array().cast(SPAN))
+            return F.coalesce(F.size(terms), F.lit(0)) > 0, pattern, lambda m: F.lit(True)
 
-        everything = F.concat("_base", of("removed"), of("general"))
+        marked = with_places(marked.withColumnsRenamed({"_removed": "_out", "_general": "_wide"}), {"removed": of("_out"), "general": of("_wide")})
+        everything = F.concat("_base", "_removed", "_general")
     else:
-        marked, everything = with_base, F.col("_base")
+        marked, everything = texts, F.col("_base")
     place = {k: i for i, k in enumerate(KINDS)}
     rank = F.create_map(*(F.lit(x) for kv in place.items() for x in kv))
     ordered = F.transform(F.array_sort(F.transform(everything, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["value"].alias("value")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value")))
-    return marked.select(*kept, F.when(F.size(everything) > 0, ordered).otherwise(F.array().cast(SPAN)).alias("spans"))
-
+    return marked.select(*(F.col(i).alias(c) for c, i in inner.items()), F.when(F.size(everything) > 0, ordered).otherwise(F.array().cast(SPAN)).alias("spans"))
 
-def sanitised(text: Column, spans: Column) -> Column:
-    """Text with base spans and generalised terms replaced by their kind in brackets and removed terms left out; of overlapping spans the first counts."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        mark = F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.array(gap, mark)).alias("out"))).otherwise(acc)
+def sanitise(rows: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
+    """``rows`` with base spans and generalised terms in ``text`` replaced by their kind in brackets and removed terms left out.
 
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(text)
+    Spans that overlap are one, of the kind of the first. A null text becomes an empty one.
+    """
+    out = rows.withColumn("_stop", F.when(F.size(spans) > 0, running(F.transform(spans, lambda s: s["stop"]), most=True)))
+    # ``before``: where the spans so far end; a span that starts earlier lies in them.
+    zipped = F.zip_with(spans, F.concat(F.array(F.lit(0).cast("long")), F.slice("_stop", 1, F.size("_stop") - 1)), lambda s, b: F.struct(b.alias("before"), s["start"].alias("start"), s["kind"].alias("kind")))
+    out = out.withColumn("_cut", F.when(F.size(spans) > 0, F.filter(zipped, lambda z: z["start"] >= z["before"])))
+    # Text is taken in runs of cuts, and each gap from its run, so no gap is looked for from the start of the text.
+    size = F.ceil(F.sqrt(F.size("_cut"))).cast("int")
+    cut = F.col("_cut")
+    runs = F.transform(F.sequence(F.lit(0), F.size(cut) - 1, size), lambda k: F.slice(cut, k + 1, size))
+    piece = lambda r: F.substring(F.col(text), (r[0]["before"] + 1).cast("int"), (F.element_at(r, -1)["start"] - r[0]["before"]).cast("int"))
+    out = out.withColumn("_run", F.when(F.size("_cut") > 0, F.transform(runs, lambda r: F.struct(r.alias("cuts"), piece(r).alias("piece")))))
+    mark = lambda c: F.when(c["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(c["kind"]), F.lit("]")))
+    gap = lambda z, c: F.substring(z["piece"], (c["before"] - z["cuts"][0]["before"] + 1).cast("int"), (c["start"] - c["before"]).cast("int"))
+    filled = F.transform("_run", lambda z: F.array_join(F.transform(z["cuts"], lambda c: F.concat(gap(z, c), mark(c))), ""))
+    rest = F.substring(F.col(text), (F.element_at("_stop", -1) + 1).cast("int"), F.length(text))
+    clean = F.when(F.size(spans) > 0, F.concat(F.array_join(filled, ""), rest)).otherwise(F.coalesce(text, F.lit("")))
+    return out.withColumn(text, clean).drop("_stop", "_cut", "_run")
 
 
 def listing(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
