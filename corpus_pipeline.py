@@ -10,31 +10,56 @@ from pyspark.sql import functions as F
 from driftloom.llm.common import shared_dir, spool, table
 from driftloom.llm.jaccard import BROADCAST_ROWS, ngram_jaccard_components
 from driftloom.llm.packing import pack
-from driftloom.llm.private_data import find_private, sanitised
-from driftloom.llm.quality import classify
+from driftloom.llm.private_data import find_private, sanitise
+from driftloom.llm.quality import accepted_rows
 from driftloom.llm.queries import tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    return classify(docs, table(spark, sf_dir, "labels"), extra=True).where("accepted").select(*docs.columns)
+    """Rows that the quality classifier accepts, with all their columns.
+
+    A null text is an empty one; a null source or lang is a host or path of its own; repeated rows are judged each, and
+    alike; an empty table gives no rows; no column's name clashes with the classifier's.
+    """
+    return accepted_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
-    found = ngram_jaccard_components(docs, count_links=False)
-    dropped = spool(found.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
-    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: that with the smallest doc_id (a null one last), of those the first row.
+
+    Rows are what is compared, so of repeated rows one stays, a row without doc_id takes part, and a doc_id with two
+    different texts loses only the row that has a duplicate. A null or empty text is no duplicate of anything; an empty
+    table gives no rows; other columns may have any names.
+    """
+    inner = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
+    rows = spool(docs.select(*(F.col(f"`{c}`").alias(i) for c, i in inner.items())).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = spool(ngram_jaccard_components(rows.select(F.col("_row").alias("doc_id"), F.col(inner["text"]).alias("text")), count_links=False).select(F.col("doc_id").alias("_row"), "component_id"), "found")
+    # Only rows of groups of two or more are looked at further.
+    groups = found.where("component_id <> _row").select("component_id").distinct()
+    members = spool(found.join(groups, "component_id").join(rows.select("_row", F.col(inner["doc_id"]).alias("_id")), "_row"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).getField("_row").alias("first"))
+    dropped = spool(members.join(first, "component_id").where("_row <> first").select("_row"), "dropped")
+    left = rows.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, "_row", "left_anti")
+    return left.select(*(F.col(i).alias(c) for c, i in inner.items()))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their personal data and the terms that give it away; n_chars is the new length."""
-    clean = find_private(docs).withColumn("text", sanitised(F.coalesce("text", F.lit("")), F.col("spans")))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Rows without their personal data and the terms that give it away; ``n_chars``, if there, is the new length.
+
+    A null text becomes an empty one; very long texts are cleaned whole; repeated rows come out alike; an empty table
+    gives no rows; other columns, a column ``spans`` among them, stay as they are.
+    """
+    inner = {c: f"_of_{i}" for i, c in enumerate(docs.columns)} | {"text": "text"}
+    clean = sanitise(find_private(docs.select(*(F.coalesce("text", F.lit("")).alias("text") if c == "text" else F.col(f"`{c}`").alias(i) for c, i in inner.items()))))
+    return clean.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(i).alias(c) for c, i in inner.items()))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
+    """Token pieces and their places in sequences, of every row.
+
+    A null text is an empty one, whose end id is packed; repeated rows are packed each; ties between sequences go to the
+    first; texts of any length are cut, not dropped; an empty table gives no rows; other columns are not looked at.
+    """
     return pack(docs, tokenizer("byte_bpe_50k.json"))
 
 
