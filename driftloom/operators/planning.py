@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from driftloom.operators.extraction import grouped_map
+
 
 def _take(candidates: DataFrame, budget: int, *order: Column) -> DataFrame:
     ranked = candidates.withColumn("rank", F.row_number().over(W.partitionBy("document_id").orderBy(*order)))
@@ -50,52 +51,81 @@ def round_robin(candidates: DataFrame, budget: int, seed: int = 0) -> DataFrame:
     return _take(turn, budget, F.col("_turn"), F.col("cause_family")).drop("_turn")
 
 
-def adaptive(candidates: DataFrame, budget: int, power: float = 1.5) -> DataFrame:
-    """Probe each family, then share the rest by (yield + 0.001)^1.5, rounded half to even, leftovers one by one; within a family by group yield.
+PROBE_SHARE, LEAST_TO_PROBE, YIELD_PRIOR, YIELD_POWER = 0.34, 4, 1e-3, 1.5
+
+
+def allot(candidates: list[dict], budget: int) -> list[dict]:
+    """A document's choice: probe, allot the rest by yield, refine by group yield.
 
-    ``candidates`` carry family_yield and group_yield. Below four there is no probing. A document's candidates are one group.
+    ``candidates`` have cause_family, family_yield, group_yield, cost (1 where it is null or 0) and draw, and come in order. With a budget below
+    LEAST_TO_PROBE the families of the highest yield come first, then the cheapest. Otherwise about PROBE_SHARE of the budget
+    goes to the cheapest candidate of the first families by name. The rest is shared by (yield + YIELD_PRIOR) ** YIELD_POWER, each
+    share rounded half to even, what is left over one by one from the heaviest family on, and what is too much taken back likewise.
     """
+    if budget < LEAST_TO_PROBE:
+        return sorted(candidates, key=lambda c: (-c["family_yield"], c["cost"], c["draw"]))[: max(budget, 0)]
+    families: dict[str, list[dict]] = {}
+    for c in candidates:
+        families.setdefault(c["cause_family"], []).append(c)
+    probed = sorted(families)[: max(1, min(len(families), round(budget * PROBE_SHARE)))]
+    chosen = [min(families[f], key=lambda c: c["cost"]) for f in probed]
+    rest = budget - len(chosen)
+    weight = {f: (of[0]["family_yield"] + YIELD_PRIOR) ** YIELD_POWER for f, of in families.items()}
+    whole = sum(weight.values()) or 1.0
+    heaviest = sorted(families, key=lambda f: -weight[f])
+    share = {f: round(rest * weight[f] / whole) for f in families}
+    over, k = rest - sum(share.values()), 0
+    while over:
+        f = heaviest[k % len(heaviest)]
+        if over > 0 or share[f] > 0:
+            share[f] += 1 if over > 0 else -1
+            over += -1 if over > 0 else 1
+        k += 1
+    used = {c["intervention_id"] for c in chosen}
+    for f, of in families.items():
+        pool = sorted((c for c in of if c["intervention_id"] not in used), key=lambda c: (-c["group_yield"], c["cost"], c["draw"]))
+        chosen += pool[: share[f]]
+    return chosen[:budget]
+
+
+def adaptive(candidates: DataFrame, budget: int, seed: int = 0) -> DataFrame:
+    """``allot`` for every document; ``candidates`` carry family_yield and group_yield. Ties go by a hash draw. A document's candidates are what a task holds."""
     columns = candidates.columns
+    cost = F.when(F.coalesce("estimated_cost", F.lit(0)) == 0, 1.0).otherwise(F.col("estimated_cost").cast("double"))
+    rows = candidates.withColumns({"cost": cost, "draw": _draw(seed), "cause_family": F.coalesce("cause_family", *(["target_type"] if "target_type" in columns else []), F.lit("unknown")), "family_yield": F.coalesce("family_yield", F.lit(0.0)), "group_yield": F.coalesce("group_yield", F.lit(0.0))})
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*columns).schema) + ", rank int"
+    return grouped_map(rows, "document_id", ["intervention_id"], lambda of: [{**c, "rank": k} for k, c in enumerate(allot(of, budget), 1)], schema)
+
+
+LEAST_SEEN = 25
+
+
+def select_pairs(pairs: list[dict], budget: float, threshold: float, least_seen: int) -> list[dict]:
+    """Pairs in order of priority while they fit, past those that do not; a family whose Wilson lower bound of violations exceeds the threshold is left."""
+    spent, seen, bad, stopped, out = 0.0, {}, {}, set(), []
+    for p in sorted(pairs, key=lambda p: -p["priority"]):
+        f = p["family"]
+        taken = spent + p["cost"] <= budget and f not in stopped
+        if taken:
+            spent += p["cost"]
+            seen[f], bad[f] = seen.get(f, 0) + 1, bad.get(f, 0) + int(p["violated"])
+            n, share = seen[f], bad[f] / seen[f]
+            low = (share + Z * Z / (2 * n) - Z * (share * (1 - share) / n + Z * Z / (4 * n * n)) ** 0.5) / (1 + Z * Z / n)
+            if n >= least_seen and low > threshold:
+                stopped.add(f)
+        out.append({"stream": p["stream"], "run_id": p["run_id"], "taken": taken, "spent": spent})
+    return out
+
 
-    def allot(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["group_yield", "intervention_id"], ascending=[False, True])
-        if budget < 4:
-            chosen = rows.sort_values(["family_yield", "group_yield", "intervention_id"], ascending=[False, False, True]).head(budget)
-        else:
-            families = {f: list(g.index) for f, g in sorted(rows.groupby("cause_family"))}
-            picked = [families[f].pop(0) for f in list(families)[:budget] if families[f]]
-            left = budget - len(picked)
-            weight = {f: (float(rows[rows.cause_family == f].family_yield.iloc[0]) + 1e-3) ** power for f in families}
-            for f in families:
-                share = min(round(left * weight[f] / sum(weight.values())), len(families[f]), budget - len(picked))
-                picked += [families[f].pop(0) for _ in range(share)]
-            while len(picked) < budget and any(families.values()):
-                for f in families:
-                    if families[f] and len(picked) < budget:
-                        picked.append(families[f].pop(0))
-            chosen = rows.loc[picked]
-        return chosen.assign(rank=range(1, len(chosen) + 1))[[*columns, "rank"]]
-
-    return candidates.groupBy("document_id").applyInPandas(allot, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema) + ", rank int")
-
-
-def budgeted_stream(pairs: DataFrame, budget: float, alpha: float = 0.2, z: float = 1.96) -> DataFrame:
-    """Take pairs in order while they fit (those that do not are passed over), stop once the Wilson interval of violations leaves alpha out."""
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        spent, n, bad, out = 0.0, 0, 0, []
-        for r in rows.sort_values(["priority", "run_id"], ascending=[False, True]).itertuples():
-            if spent + r.cost > budget:
-                continue
-            spent, n, bad = spent + r.cost, n + 1, bad + int(r.violated)
-            out.append((r.stream, r.run_id, n, spent))
-            p, scale = bad / n, 1 + z * z / n
-            centre, half = (p + z * z / (2 * n)) / scale, z * ((p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / scale
-            if centre - half > alpha or centre + half < alpha:
-                break
-        return pd.DataFrame(out, columns=["stream", "run_id", "taken", "spent"])
-
-    return pairs.groupBy("stream").applyInPandas(walk, "stream string, run_id string, taken int, spent double")
+Z = 1.96
+
+
+def budgeted_stream(pairs: DataFrame, budget: float, threshold: float = 0.20, least_seen: int = LEAST_SEEN) -> DataFrame:
+    """(stream, run_id, taken, spent) for ``pairs`` (stream, run_id, family, priority, cost, violated): ``select_pairs`` of each stream; ties by run_id.
+
+    What follows depends on what was seen before, so a stream goes through one task.
+    """
+    return grouped_map(pairs, "stream", ["run_id"], lambda of: select_pairs(of, budget, threshold, least_seen), "stream string, run_id string, taken boolean, spent double")
 
 
 PLANNERS = {"exhaustive": exhaustive, "random": random, "span_only": only("sentence"), "prompt_only": only("prompt"), "schema_only": only("schema"), "cheapest": cheapest_first, "coarse_to_fine": coarse_to_fine, "round_robin": round_robin}

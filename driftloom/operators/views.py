@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from driftloom.sources.store import written
+
 BASE = 1
 Families = tuple[str, ...]
 
@@ -310,12 +312,12 @@ def short_connectivity(elements: DataFrame, max_hops: int = 2) -> DataFrame:
 
 def ego_edges(elements: DataFrame, seeds: DataFrame, radius: int = 2) -> DataFrame:
     """(doc, s, r, o, mask): edges among the nodes within ``radius`` undirected hops of the seeds (doc, node); a seed that is not in a view has none there."""
-    step = undirected(elements).withColumnRenamed("a", "node")
+    step = written(undirected(elements).withColumnRenamed("a", "node"), "neighbours")
     ball = frontier = joined(presence(elements), seeds.select("doc", "node", F.lit(-1).cast("long").alias("mask")), ["doc", "node"]).select("doc", "node", "mask")
     for _ in range(radius):
         frontier = masked(joined(frontier, step, ["doc", "node"]).select("doc", F.col("b").alias("node"), "mask"), ["node"])
         ball = ball.unionByName(frontier)
-    ball = masked(ball, ["node"])
+    ball = written(masked(ball, ["node"]), "ball")
     with_head = joined(elements, ball.withColumnRenamed("node", "s"), ["doc", "s"])
     return joined(with_head, ball.withColumnRenamed("node", "o"), ["doc", "o"]).select("doc", "s", "r", "o", "mask")
 
@@ -323,24 +325,22 @@ def ego_edges(elements: DataFrame, seeds: DataFrame, radius: int = 2) -> DataFra
 def distances(elements: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(doc, source, node, hops, mask): directed hop counts from the sources (doc, source), with the views in which they hold.
 
-    Breadth first over all views at once; only what a view reaches for the first time is carried on. Without
-    ``max_hops`` the walk ends when nothing new is reached, and each level is written.
+    Breadth first over all views at once; only what a view reaches for the first time is carried on. Each level is
+    written, so that it is made once; the walk ends at ``max_hops`` or when nothing new is reached.
     """
-    from driftloom.sources.store import written
-
     step = masked(elements.where("s <> o").select("doc", F.col("s").alias("node"), F.col("o").alias("next"), "mask"), ["node", "next"])
+    step = written(step, "steps")
     frontier = sources.distinct().select("doc", "source", F.col("source").alias("node"), F.lit(0).alias("hops"), F.lit(-1).cast("long").alias("mask"))
     found, hop = frontier, 0
     while max_hops is None or hop < max_hops:
         hop += 1
-        reached = masked(joined(frontier, step, ["doc", "node"]).select("doc", "source", F.col("next").alias("node"), "mask"), ["source", "node"])
-        before = masked(found.select("doc", "source", "node", "mask"), ["source", "node"]).withColumnRenamed("mask", "seen")
-        fresh = reached.join(before, ["doc", "source", "node"], "left").withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("long"))))).where("mask <> 0")
-        frontier = fresh.select("doc", "source", "node", F.lit(hop).alias("hops"), "mask")
-        if max_hops is None:
-            frontier = written(frontier, "level")
-            if not frontier.limit(1).count():
-                break
+        reached = joined(frontier, step, ["doc", "node"]).select("doc", "source", F.col("next").alias("node"), "mask", F.lit(0).cast("long").alias("seen"))
+        before = found.select("doc", "source", "node", F.lit(0).cast("long").alias("mask"), F.col("mask").alias("seen"))
+        both = reached.unionByName(before).groupBy("doc", "source", "node").agg(F.bit_or("mask").alias("mask"), F.bit_or("seen").alias("seen"))
+        fresh = both.withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not("seen"))).where("mask <> 0")
+        frontier = written(fresh.select("doc", "source", "node", F.lit(hop).alias("hops"), "mask"), "level")
+        if frontier.isEmpty():
+            break
         found = found.unionByName(frontier)
     return found
 
@@ -349,7 +349,7 @@ def path_queries(elements: DataFrame, most: int = 6, lengths: tuple[int, int] =
     """(doc, h, t, d): of each base view the first ``most`` node pairs, by name, whose directed distance is within ``lengths``."""
     base = elements.where(has(BASE)).withColumn("mask", F.lit(BASE).cast("long"))
     found = distances(base, base.select("doc", F.col("s").alias("source")), lengths[1]).where(F.col("hops").between(*lengths))
-    return found.withColumn("k", F.row_number().over(W.partitionBy("doc").orderBy("source", "node"))).where(F.col("k") <= most).select("doc", F.col("source").alias("h"), F.col("node").alias("t"), F.col("hops").alias("d"))
+    return written(found.withColumn("k", F.row_number().over(W.partitionBy("doc").orderBy("source", "node"))).where(F.col("k") <= most).select("doc", F.col("source").alias("h"), F.col("node").alias("t"), F.col("hops").alias("d")), "paths")
 
 
 def path_nodes(elements: DataFrame, asked: DataFrame, max_hops: int | None = None) -> DataFrame:

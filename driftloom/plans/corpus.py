@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.functions import text
@@ -45,10 +45,20 @@ def run_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def greedy_edge_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders' lines matched with themselves after a change of flags; sequential by definition, so without SQL."""
+    """Orders' lines matched with themselves after a change of flags; some mentions have no id. Sequential by definition, so without SQL."""
     l = table(spark, sf_dir, "lineitem")
-    edge = lambda side, r: l.select(F.col("l_orderkey").cast("string").alias("run_id"), F.lit(side).alias("side"), F.concat_ws(":", F.lit(side), "l_linenumber").alias("edge_id"), F.col("l_partkey").cast("string").alias("s"), r.alias("r"), F.col("l_suppkey").cast("string").alias("o"))
-    return extraction.greedy_matches(edge(0, F.col("l_returnflag")).unionByName(edge(1, F.when(F.col("l_linenumber") == 1, "X").otherwise(F.col("l_returnflag")))))
+    part, supp = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+
+    def edges(side: int, r: Column) -> DataFrame:
+        linked = F.col("l_linenumber") % 3 != side
+        return l.select(
+            F.col("l_orderkey").cast("string").alias("run_id"), F.lit(side).alias("side"), F.col("l_linenumber").alias("ordinal"), F.concat_ws(":", F.lit(side), "l_linenumber").alias("edge_id"),
+            F.when(linked, part).alias("s_id"), F.concat(F.lit("Part "), part).alias("s"), r.alias("r"), F.when(linked, supp).alias("o_id"), F.concat(F.lit("supplier "), supp).alias("o"),
+        )
+
+    flag = F.col("l_returnflag")
+    after = F.when(F.col("l_linenumber") == 1, "X").when(flag == "R", "returned").otherwise(flag)
+    return extraction.greedy_matches(edges(0, flag).unionByName(edges(1, after)), {"returned": "R"})
 
 
 CANDIDATES = """WITH c AS (SELECT l_orderkey::VARCHAR AS document_id, l_orderkey || ':' || l_linenumber AS intervention_id, CASE l_linenumber % 3 WHEN 0 THEN 'schema' WHEN 1 THEN 'prompt' ELSE 'sentence' END AS target_type, CASE WHEN l_returnflag = 'R' THEN 'mask' ELSE 'remove' END AS operator, l_returnflag AS cause_family, l_quantity AS estimated_cost FROM lineitem)
@@ -80,6 +90,14 @@ def adaptive_planner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.adaptive(c, 4).select("document_id", "intervention_id", "rank")
 
 
+@query()
+def budgeted_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a nation's suppliers as a stream of pairs, by price under a budget; what is taken depends on what was seen."""
+    l, supp = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("string").alias("stream"))
+    pairs = l.join(supp, "l_suppkey").select("stream", F.concat_ws(":", "l_orderkey", "l_linenumber").alias("run_id"), F.col("l_returnflag").alias("family"), F.col("l_extendedprice").alias("priority"), F.col("l_quantity").alias("cost"), (F.col("l_discount") > 0.06).alias("violated"))
+    return planning.budgeted_stream(pairs, 20_000.0)
+
+
 @query()
 def nested_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.mask_nested(table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc"), "text"), (0.1, 0.3, 0.6))
