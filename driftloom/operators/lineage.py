@@ -52,9 +52,12 @@ def missing_cells(records: DataFrame, documents: DataFrame, conditions: list[str
     return grid.join(records.select("doc", "condition").distinct(), ["doc", "condition"], "left_anti")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new``, and those of ``old`` that it does not replace; of several new rows of a key one stays."""
-    new = new.dropDuplicates(keys)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows of ``new``, and those of ``old`` that it does not replace; of several new rows of a key the last by ``order`` stays.
+
+    Without ``order`` repeated keys in ``new`` must be equal rows.
+    """
+    new = latest(new, keys, order) if order else new.distinct()
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 

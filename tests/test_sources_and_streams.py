@@ -16,10 +16,10 @@ def test_docred(spark, tmp_path):
     doc = {"title": "A b/c", "sents": [["Ann", "met", "Bob", "."]], "vertexSet": [[{"name": "Ann", "type": "PER", "sent_id": 0, "pos": [0, 1]}, {"name": "Annie", "type": "PER", "sent_id": 0, "pos": [0, 1]}], [{"name": "Bob", "type": "PER", "sent_id": 0, "pos": [2, 3]}]], "labels": [{"h": 0, "t": 1, "r": "P1", "evidence": [0]}, {"h": 0, "t": 9, "r": "P2", "evidence": []}]}
     (tmp_path / "d.json").write_text(json.dumps([doc]))
     docs = corpora.read_docred(spark, str(tmp_path / "d.json"))
-    assert [r.document_id for r in docs.collect()] == ["docred-dev-A_b_c"]
+    assert [r.document_id for r in docs.collect()] == ["docred-dev-000000-A_b_c"]
     assert [(r.canonical_name, r.aliases) for r in corpora.entities(docs).orderBy("entity_id").collect()] == [("Ann", ["Ann", "Annie"]), ("Bob", ["Bob"])]
     assert corpora.sentence_rows(docs).first().text == "Ann met Bob."
-    assert [(r.head_name, r.tail_name, r.tail_entity_id) for r in corpora.gold_edges(docs).orderBy("gold_edge_id").collect()] == [("Ann", "Bob", "docred-dev-A_b_c::e1"), ("Ann", "#9", None)]
+    assert [(r.head_name, r.tail_name, r.tail_entity_id) for r in corpora.gold_edges(docs).orderBy("gold_edge_id").collect()] == [("Ann", "Bob", "docred-dev-000000-A_b_c::e1"), ("Ann", "#9", None)]
 
 
 def test_pubtator(spark, tmp_path):
@@ -168,3 +168,65 @@ def test_schema_variants(spark):
     assert [x[0] for x in ids("coarse", coarse={"P17": "place", "P131": "place"})] == ["place", "P50", "OTHER"] and ids("coarse", coarse={"P17": "place", "P131": "place"})[0][2] == "Coarse bucket of P17, P131"
     assert [x[0] for x in ids("drop", dropped=("P17",))] == ["P131", "P50", "OTHER"] and [x[0] for x in ids("reorder")] == ["OTHER", "P50", "P131", "P17"]
     assert ids("rename", renames={"P17": "in"})[0] == ("in", "country", "d1") and {x[2] for x in ids("desc_removed")} == {""}
+
+
+EXAMPLE = {"title": "A b", "sents": [["x", "."]], "vertexSet": [[{"name": "", "type": "T", "sent_id": 0, "pos": [0, 1]}], [{"name": "x", "type": "T", "sent_id": 0, "pos": [0, 1]}]], "labels": [{"h": 0, "t": 1, "r": "P1", "evidence": [0]}, {"h": 0, "t": 0, "r": "P2"}]}
+
+
+def test_docred_shapes(spark, tmp_path):
+    columns = EXAMPLE | {"labels": {"head": [0, 0], "tail": [1, 0], "relation_id": ["P1", "P2"], "relation_text": ["P1", "P2"], "evidence": [[0], []]}}
+    (tmp_path / "array.json").write_text("\n " + json.dumps([EXAMPLE] * 3, indent=1))
+    (tmp_path / "lines.jsonl").write_text("\n".join(json.dumps(x) for x in (EXAMPLE, columns, EXAMPLE | {"title": "last"})))
+    array, lines = (corpora.read_docred(spark, str(tmp_path / n)) for n in ("array.json", "lines.jsonl"))
+    assert array.count() == 3 and [r.title for r in lines.orderBy("idx").collect()] == ["A b", "A b", "last"]
+    assert {r.document_id for r in lines.collect()} == {"docred-dev-000000-A_b", "docred-dev-000001-A_b", "docred-dev-000002-last"}
+    assert lines.select("labels").distinct().count() == 1 and lines.first().labels.evidence == [[0], []]
+    assert corpora.read_docred(spark, str(tmp_path / "lines.jsonl"), limit=2).count() == 2
+    corpora.write_lines(lines.drop("idx", "document_id"), str(tmp_path / "mirror"))
+    assert corpora.read_docred(spark, str(tmp_path / "mirror")).count() == 3
+    lines.select("title", "sents", "vertexSet", "labels").write.parquet(str(tmp_path / "branch/default/validation/part.parquet"))
+    assert corpora.read_docred(spark, str(tmp_path / "branch/default/validation/part.parquet")).first().labels.head == [0, 0]
+    # The cluster without a name is no entity, and labels count the named ones.
+    assert [(r.gold_edge_id[-2:], r.head_name, r.head_entity_id, r.tail_name) for r in corpora.gold_edges(lines.where("idx = 0")).collect()] == [("g0", "x", "docred-dev-000000-A_b::e1", "#1"), ("g1", "x", "docred-dev-000000-A_b::e1", "x")]
+
+
+def test_scierc_and_cdr(spark, tmp_path):
+    doc = {"doc_key": "k", "sentences": [["We", "use", "deep", "nets", "."], ["They", "win", "."]], "ner": [[[2, 3, "Method"]], [[5, 5, "Generic"], [5, 5, "Generic"]]], "clusters": [[[2, 3], [5, 5]]], "relations": [[[2, 3, 0, 0, "USED-FOR"]], [[5, 5, 6, 6, "X"]]]}
+    alone = doc | {"doc_key": None, "clusters": [], "relations": [[[2, 3, 5, 5, "USED-FOR"], [2, 3, 2, 3, "SELF"]], []]}
+    (tmp_path / "s.json").write_text(json.dumps(doc) + "\n" + json.dumps(alone) + "\n")
+    one, two = corpora.read_scierc(spark, str(tmp_path / "s.json")).orderBy("idx").collect()
+    assert [[(m.name, m.type, m.sent_id, m.pos) for m in c] for c in one.vertexSet] == [[("deep nets", "Method", 0, [2, 4]), ("They", "Method", 1, [0, 1])]] and one.labels.head == []
+    assert two.title == "scierc_1" and [c[0].type for c in two.vertexSet] == ["Method", "Generic"] and (two.labels.head, two.labels.tail, two.labels.evidence) == ([0], [1], [[0]])
+    block = "7|t|Aspirin harms.\n7|a|It causes ulcer pain. Aspirin again.\n7\t0\t7\tAspirin\tChemical\tD1\n7\t25\t35\tulcer pain\tDisease\tD2|D3\n7\t37\t44\tAspirin\tChemical\tD1\n7\t8\t13\tharms\tDisease\t-1\n7\tCID\tD1\tD2\n7\tCID\tD1\tD9\n"
+    (tmp_path / "c.txt").write_text(block + "\n")
+    cdr = corpora.read_cdr(spark, str(tmp_path / "c.txt")).first()
+    assert cdr.title == "7" and cdr.sents == [["Aspirin", "harms", "."], ["It", "causes", "ulcer", "pain", "."], ["Aspirin", "again", "."]]
+    assert [[(m.name, m.sent_id, m.pos) for m in c] for c in cdr.vertexSet] == [[("Aspirin", 0, [0, 1]), ("Aspirin", 2, [0, 1])], [("ulcer pain", 1, [2, 4])], [("ulcer pain", 1, [2, 4])]]
+    assert (cdr.labels.head, cdr.labels.tail, cdr.labels.evidence) == ([0], [1], [[0, 1, 2]])
+
+
+def test_database_guard(spark, tmp_path):
+    path = str(tmp_path / "g.db")
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE t (k TEXT PRIMARY KEY, v INTEGER) WITHOUT ROWID")
+        con.execute("INSERT INTO t VALUES ('a', 1), ('b', 2)")
+    con.close()
+    spark.dataSource.register(corpora.SqliteSource)
+    with corpora.unchanged(path):
+        assert sorted(tuple(r) for r in spark.read.format("sqlite").option("path", path).option("table", "t").load().collect()) == [("a", 1), ("b", 2)]
+    with pytest.raises(RuntimeError, match="changed"), corpora.unchanged(path), sqlite3.connect(path) as con:
+        con.execute("INSERT INTO t VALUES ('c', 3)")
+    con.close()
+    con = sqlite3.connect(path)
+    con.execute("PRAGMA journal_mode=WAL")
+    con.execute("INSERT INTO t VALUES ('d', 4)")
+    con.commit()
+    with pytest.raises(RuntimeError, match="log"), corpora.unchanged(path):
+        pass
+    con.close()
+
+
+def test_upsert_keeps_the_last(spark):
+    old = spark.createDataFrame([("a", 0, "old"), ("z", 0, "old")], "k string, n int, v string")
+    new = spark.createDataFrame([("a", 1, "first"), ("a", 2, "last"), ("b", 1, "new")], "k string, n int, v string")
+    assert sorted((r.k, r.v) for r in lineage.upsert(old, new, ["k"], ["n"]).collect()) == [("a", "last"), ("b", "new"), ("z", "old")]

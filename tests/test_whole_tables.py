@@ -60,7 +60,7 @@ def test_greedy_matches_of_every_order(spark, small):
     want = [w for order, of in by_order(lines).items() for w in plain_matches(order, of)]
     got = [tuple(r) for r in registry.QUERIES["greedy_edge_matches"](spark, path).select("run_id", "base_id", "outcome", "cf_id", "relation_after", "score").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
-    assert {w[2] for w in want} >= {"EXACT_SAME", "TYPE_FLIP", "DISAPPEARED"}
+    assert {w[2] for w in want} >= {"EXACT_SAME", "TYPE_FLIP", "AMBIGUOUS"}
 
 
 def plain_plan(rows, budget):
