@@ -2,8 +2,9 @@ r"""Operator 5, chat formatting by columnar byte assembly.
 
 Template, per turn: ``### ``, the role, a line feed, the text, ``</turn>`` and a line feed. In texts a backslash goes before
 each backslash, ``#`` and ``<``, in roles also before a line feed, so no text can hold a mark and dropping the backslashes
-gives it back. Output rows are (conv_id, part, n_turns, formatted, loss): ``loss`` holds the spans of assistant texts in code
-points of the part. A conversation is one part unless its parts reach PART_BYTES; parts follow each other without a gap.
+gives it back. Output rows are (conv_id, part, more, n_turns, formatted, loss); ``more``: whether another part follows; ``loss`` holds the spans of assistant texts in code
+points of the part. A conversation is one row, part 0, up to PART_BYTES; a longer one goes on in further parts, without a gap,
+cut between turns, since a row of Spark must fit into memory. The ``formatted`` column is the assembled buffer itself.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_slices, utf8_view
+from .common import arrow_map, columns, text_slices, utf8_view
 
-PART_BYTES = 8 << 20
+#: Bytes from which a conversation goes on in a further row.
+PART_BYTES = 64 << 20
 HEAD, CLOSE = np.frombuffer(b"### ", np.uint8), np.frombuffer(b"</turn>\n", np.uint8)
 BACKSLASH, HASH, ANGLE, FEED = b"\\#<\n"
 IN_TEXT = np.zeros(256, bool)
@@ -26,9 +29,6 @@ IN_TEXT[[BACKSLASH, HASH, ANGLE]] = True
 IN_ROLE = IN_TEXT.copy()
 IN_ROLE[FEED] = True
 
-FORMATTED = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
-
-
 def _sizes(data: np.ndarray, at: np.ndarray, escapes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which bytes get a backslash, and each row's length with them."""
     marked = escapes[data]
@@ -65,46 +65,101 @@ def assemble(role: tuple[np.ndarray, np.ndarray], text: tuple[np.ndarray, np.nda
     return out, turn, text_at, text_to
 
 
-def format_chat(conversations: DataFrame, learn: str = "assistant") -> DataFrame:
-    """(conv_id, part, n_turns, formatted, loss) for ``conversations`` (conv_id, turn, role, text).
+def changes(column: pa.Array) -> np.ndarray:
+    """Places at which a column of longs has another value, or null, than the one before."""
+    value, null = pc.fill_null(column, 0).to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
+    return np.flatnonzero((value[1:] != value[:-1]) | (null[1:] != null[:-1])) + 1
+
+
+class Held:
+    """The conversation that may go on: its bytes so far, turns, characters and spans."""
+
+    def __init__(self, conv: pa.Scalar, part: int) -> None:
+        self.conv, self.part, self.more, self.turns, self.chars, self.bytes, self.spans = conv, part, False, 0, 0, [], []
+
+    def add(self, data: np.ndarray, turns: int, spans: np.ndarray, chars: int) -> None:
+        self.bytes.append(data)
+        self.spans.append(spans + self.chars)
+        self.turns, self.chars = self.turns + turns, self.chars + chars
+
+
+def format_chat(conversations: DataFrame, learn: str = "assistant", part_bytes: int = PART_BYTES) -> DataFrame:
+    """(conv_id, part, more, n_turns, formatted, loss) for ``conversations`` (conv_id, turn, role, text).
 
     Turns go in order of turn (null first), then role, then text, so ties and repeated rows keep a fixed order; a null
     role or text is empty; a null conv_id is a conversation too; an empty table gives no rows; other columns are not
-    looked at. Turns stream through a task, which holds one part, however long a conversation is.
+    looked at. A conversation of ``part_bytes`` or more goes on in a further part after the turn that reaches them. Turns
+    stream through a task, which holds one part, however long a conversation is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict | None = None
-
-        def flush() -> pa.RecordBatch:
-            row = {"conv_id": held["conv_id"], "part": held["part"], "n_turns": held["n_turns"], "formatted": b"".join(held["bytes"]).decode(), "loss": held["loss"]}
-            return pa.RecordBatch.from_pylist([row], FORMATTED)
-
+        held: Held | None = None
         for batch in text_slices(batches, "text"):
             out, turn, text_at, text_to = assemble(utf8_view(batch.column("role")), utf8_view(batch.column("text")))
             chars = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80)])
-            ids = batch.column("conv_id").to_pylist()
-            learned = np.array([r == learn for r in batch.column("role").to_pylist()], bool)
-            cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if held is not None and (held["conv_id"] != ids[lo] or held["size"] >= PART_BYTES):
-                    yield flush()
-                    held = {"conv_id": ids[lo], "part": held["part"] + 1, "n_turns": 0, "bytes": [], "size": 0, "chars": 0, "loss": []} if held["conv_id"] == ids[lo] else None
-                if held is None:
-                    held = {"conv_id": ids[lo], "part": 0, "n_turns": 0, "bytes": [], "size": 0, "chars": 0, "loss": []}
-                base = held["chars"] - int(chars[turn[lo]])
-                mine = lo + np.flatnonzero(learned[lo:hi])
-                held["loss"] += [{"start": a, "stop": b} for a, b in zip((chars[text_at[mine]] + base).tolist(), (chars[text_to[mine]] + base).tolist(), strict=True)]
-                held["bytes"].append(out[turn[lo] : turn[hi]].tobytes())
-                held["n_turns"] += hi - lo
-                held["size"] += int(turn[hi] - turn[lo])
-                held["chars"] += int(chars[turn[hi]] - chars[turn[lo]])
+            ids = batch.column("conv_id")
+            learned = np.flatnonzero(pc.fill_null(pc.equal(batch.column("role"), learn), False).to_numpy(zero_copy_only=False))
+            spans = np.stack([chars[text_at[learned]], chars[text_to[learned]]], axis=1)
+            # Rows of this slice: a new one at another conversation, and after a turn that brings a part to its size.
+            cuts = changes(ids)
+            goes_on = held is not None and ids[0].equals(held.conv)
+            size = sum(map(len, held.bytes)) if goes_on else 0
+            starts = np.concatenate([[0], cuts]).astype(np.int64)
+            if turn[-1] + size >= part_bytes:
+                more, begin = [], -size
+                at = set(cuts.tolist())
+                for i in range(batch.num_rows):
+                    begin = turn[i] if i in at else begin
+                    if i and i not in at and turn[i] - begin >= part_bytes:
+                        more.append(i)
+                        begin = turn[i]
+                starts = np.sort(np.concatenate([starts, np.array(more, np.int64)]))
+            stops = np.append(starts[1:], batch.num_rows)
+            fresh = np.isin(starts, np.append(cuts, 0 if not goes_on else -1))
+            done: list[Held] = []
+            if goes_on and size >= part_bytes:
+                held.more = True
+                done.append(held)
+                held = Held(held.conv, held.part + 1)
+            elif held is not None and not goes_on:
+                done.append(held)
+                held = None
+            part, ready = (held.part if held else 0), []
+            for k, (lo, hi) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
+                part = 0 if fresh[k] else part + (k > 0)
+                a, b = np.searchsorted(learned, (lo, hi))
+                own = spans[a:b] - chars[turn[lo]]
+                if k == 0 and held is not None:
+                    held.add(out[: turn[hi]], hi, own, int(chars[turn[hi]]))
+                    row = held
+                else:
+                    row = Held(ids[lo], part)
+                    row.add(out[turn[lo] : turn[hi]], hi - lo, own, int(chars[turn[hi]] - chars[turn[lo]]))
+                row.more = k + 1 < len(starts) and not fresh[k + 1]
+                ready.append(row)
+            held = ready.pop()
+            if done or ready:
+                yield packed([*done, *ready])
         if held is not None:
-            yield flush()
+            yield packed([held])
 
     turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return arrow_map(ordered, run, "conv_id long, part int, n_turns long, formatted string, loss array<struct<start:long,stop:long>>")
+    return arrow_map(ordered, run, "conv_id long, part int, more boolean, n_turns long, formatted string, loss array<struct<start:long,stop:long>>")
+
+
+def packed(rows: list[Held]) -> pa.RecordBatch:
+    """Rows over one buffer of bytes and one of spans."""
+    data = np.concatenate([x for r in rows for x in r.bytes])
+    spans = np.concatenate([x for r in rows for x in r.spans])
+    at = np.cumsum([0, *(sum(map(len, r.bytes)) for r in rows)])
+    ends = np.cumsum([0, *(sum(map(len, r.spans)) for r in rows)]).astype(np.int32)
+    text = pa.Array.from_buffers(pa.large_string(), len(rows), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
+    loss = pa.StructArray.from_arrays([pa.array(spans[:, 0], pa.int64()), pa.array(spans[:, 1], pa.int64())], ["start", "stop"])
+    return columns(
+        conv_id=pa.array([r.conv.as_py() for r in rows], pa.int64()), part=pa.array([r.part for r in rows], pa.int32()), more=pa.array([bool(r.more) for r in rows]), n_turns=pa.array([r.turns for r in rows], pa.int64()),
+        formatted=text.cast(pa.string()), loss=pa.ListArray.from_arrays(pa.array(ends), loss),
+    )
 
 
 def read_turns(formatted: bytes) -> list[tuple[bytes, bytes]]:
@@ -140,7 +195,16 @@ def unescape(text: str) -> str:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What can be read back from ``format_chat``'s rows: turns and loss text of each conversation, as lengths and SHA-256."""
+    """What can be read back from ``format_chat``'s rows: turns and loss text of each conversation, as lengths and SHA-256.
+
+    Rows may come in any order; only conversations of several parts are brought together, and stream through a task.
+    """
+    whole = F.expr("part = 0 and not more")
+    several = formatted.where(~whole).repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return _digests(formatted.where(whole)).unionByName(_digests(several))
+
+
+def _digests(formatted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict | None = None
