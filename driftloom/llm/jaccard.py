@@ -113,13 +113,19 @@ def token_runs(docs: DataFrame, bits: int) -> DataFrame:
             sent = np.maximum(sampled, size // 5 + 1)
             tokens = np.concatenate([sets[i][:k] for i, k in zip(at, sent.tolist(), strict=True)]) if at else np.zeros(0, np.uint64)
             owner = np.repeat(np.arange(len(at)), sent)
+            # What follows sees the first bits + 32 bits of a token. Tokens of one set that fall together there are one, and
+            # so they are counted: a set and another share as many fewer at most as either has fewer, so prefixes stay as long.
+            short = tokens >> np.uint64(32 - bits)
+            again = np.flatnonzero((short[1:] == short[:-1]) & (owner[1:] == owner[:-1])) + 1
+            sampled -= np.bincount(owner[again[tokens[again] < _CUT]], minlength=len(at))
             order = np.argsort(tokens)
             tokens, owner = tokens[order], owner[order].astype(np.uint32)
-            cuts = np.searchsorted(tokens >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            of_range = (tokens >> np.uint64(64 - bits)).astype(np.int64)
+            cuts = [*np.flatnonzero(np.diff(of_range, prepend=-1)).tolist(), len(tokens)]
             low = ((tokens << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
             runs, ranges = [], []
-            for r in np.flatnonzero(np.diff(cuts)).tolist():
-                a, b = cuts[r], cuts[r + 1]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                r = int(of_range[a])
                 held, local = np.unique(owner[a:b], return_inverse=True)
                 wide = np.uint16 if len(held) < 1 << 16 else np.uint32
                 keys = b"".join(sig[at[i]][:8] for i in held)
@@ -369,7 +375,7 @@ def ngram_jaccard_components(docs: DataFrame, count_links: bool = True) -> DataF
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     weight = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(1, weight / 6 * SAMPLED / RANGE_TOKENS))), 6, 24))
+    bits = int(np.clip(np.ceil(np.log2(max(1, weight / 6 * SAMPLED / RANGE_TOKENS))), 6, 30))
     staged = spool(token_runs(docs, bits), "tokens")
     sets = spool(staged.where("range is null").select("doc_id", "n", "sig"), "sigs")
     classes = spool(sets.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("docs")), "classes")

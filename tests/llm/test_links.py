@@ -30,3 +30,27 @@ def test_jaccard_counts_every_link(spark, monkeypatch):
     got = jaccard.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows) and max(want.values()) > 16
     assert {r.doc_id: r.n_links for r in got} == want
+
+
+def test_tokens_that_fall_together_lose_no_link(spark, monkeypatch):
+    """Shingle hashes of few bits: many tokens of a set are one in the first stage."""
+    plain = jaccard.shingle_sets
+
+    def coarse(data, offsets):
+        # Whole hashes stay apart in their last bits, which the first stage does not see.
+        return [np.sort((s & np.uint64(0x7F << 57)) | (s & np.uint64((1 << 20) - 1))) for s in plain(data, offsets)]
+
+    monkeypatch.setattr(jaccard, "shingle_sets", coarse)
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(25):
+        base = rng.choice(words, 100).tolist()
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.integers(0, 4)):
+                copy[rng.integers(100)] = str(rng.choice(words))
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    got = jaccard.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_links for r in got} == brute_links(rows)
