@@ -73,3 +73,24 @@ def witness_yield(runs: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(cause_family, yield, change_rate): changed outcomes per token, tokens counted per joined outcome as they fan out."""
     changed = (F.col("outcome_type") != "EXACT_SAME").cast("double")
     return runs.join(outcomes, "run_id").groupBy("cause_family").agg((F.sum(changed) / F.greatest(F.sum("tokens"), F.lit(1))).alias("yield"), F.avg(changed).alias("change_rate"))
+
+
+def paired(pairs: DataFrame, events: DataFrame, candidates: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs`` with cause_family and semantic_class of their intervention, ``unknown`` without one, and ``columns`` of both events, null where there is none."""
+    of = lambda side: events.select(F.col("event_id").alias(f"{side}_event_id"), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+    named = pairs.join(candidates.select("intervention_id", "cause_family", "semantic_class"), "intervention_id", "left")
+    named = named.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("cause_family", "semantic_class")})
+    return named.join(of("base"), "base_event_id", "left").join(of("cf"), "cf_event_id", "left")
+
+
+def listed(documents: DataFrame, column: str, values: tuple[str, ...], order: str, limit: int | None = None) -> DataFrame:
+    """Documents with one of the values, in order, the first ``limit`` if given."""
+    out = documents.where(F.col(column).isin(*values)).orderBy(order)
+    return out if limit is None else out.limit(limit)
+
+
+def eligible(gold: DataFrame, schema: DataFrame, relation: str, by: list[str]) -> DataFrame:
+    """(…, n_gold, eligible, excluded): gold edges by whether ``schema`` has their relation."""
+    known = schema.select(relation).distinct().withColumn("_known", F.lit(True))
+    marked = gold.join(F.broadcast(known), relation, "left")  # a schema is a few relations
+    return marked.groupBy(*by).agg(F.count("*").alias("n_gold"), F.count("_known").alias("eligible"), F.count_if(F.col("_known").isNull()).alias("excluded"))

@@ -148,3 +148,26 @@ def monotone_share(rows: DataFrame, unit: str, x: str, y: str, by: list[str]) ->
     """Share of units whose y never falls from one level of x to the next."""
     step = rows.withColumn("_ok", F.coalesce(F.lead(y).over(W.partitionBy(*by, unit).orderBy(x)) >= F.col(y), F.lit(True)))
     return step.groupBy(*by, unit).agg(F.bool_and("_ok").alias("ok")).groupBy(*by).agg((F.count_if("ok") / F.count("*")).alias("monotone"))
+
+
+def mean_rank(n: Column, by: list[str], value: str) -> Column:
+    """Rank of a value among ``n``-fold rows, equal values sharing their mean rank."""
+    up = W.partitionBy(*by).orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow)
+    return F.sum(n).over(up) - (F.sum(n).over(W.partitionBy(*by, value)) - 1) / 2.0
+
+
+def iid_bootstrap(rows: DataFrame, row_id: str, value: str, replicates: int, by: str) -> DataFrame:
+    """(by, mean, low, high): percentile intervals of the mean over rows drawn with replacement, by group.
+
+    The j-th draw of a replicate is row number md5(group | replicate | j) modulo n, in order of ``row_id``. Draws are counted per
+    row first, so what is joined with the rows is a multiplicity.
+    """
+    whole = W.partitionBy(by)
+    placed = rows.select(by, F.col(value).alias("v"), (F.row_number().over(whole.orderBy(row_id)) - 1).cast("long").alias("i"))
+    sizes = placed.groupBy(by).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    draws = sizes.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select(by, "n", "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    hit = F.conv(F.substring(F.md5(F.concat_ws("|", by, "replicate", "j")), 1, 8), 16, 10).cast("long") % F.col("n")
+    times = draws.groupBy(by, "replicate", hit.alias("i")).agg(F.count("*").alias("w"))
+    means = times.join(placed, [by, "i"]).groupBy(by, "replicate").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    interval = means.groupBy(by).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
+    return sizes.select(by, "mean").join(interval, by)
