@@ -11,14 +11,14 @@ Equal sets fall together by their digest; what follows works on one node per set
 3. Sets that share a first token with a set of another group are ordered again, now by whole sets and by the number of
    groups that hold a token, so what only one group holds comes first and leads nowhere, however many copies hold it.
    Sets of n and m tokens link when they share 4 (n + m) / 9, so a token counts only where enough of both comes after it.
-4. Token-group matrix: (token, group) says that some set of the group holds the token. As many of a set's tokens
-   as a link with the group's smallest set asks for must be in the other group's union, else no member can link; only
-   the members of groups that qualify are opened and compared.
+4. Token-group matrix: (token, group) says that some set of the group holds the token. The sets of the smaller of two
+   groups ask the larger: as many of a set's tokens as a link with the group's smallest set asks for must be in that group's
+   union, else no member can link. Only groups that qualify are opened, and their members compared with the askers in blocks.
 5. Steps 2 to 4 find links enough to join the components. All links lie inside these, so they are counted there: a
    component's sets are dealt over blocks, and each pair of blocks is compared once, for both ends of a link.
 
-Every comparison is exact, on whole sets. What a comparison needs is shipped to (leader, share of its sets), so a leader of
-many sets is many tasks.
+Every comparison is exact, on whole sets. What a comparison needs is shipped to (leader, share of its sets), or (group, share
+of those who ask, block of its members), so a leader of many sets or a large group is many tasks.
 """
 
 from __future__ import annotations
@@ -320,6 +320,56 @@ def alike(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.nda
     return 100 * both >= 80 * (sizes[: len(x), None] + sizes[len(x) :] - both)
 
 
+def _side(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Nodes, documents and sets of rows (side, node, documents, set) by node; equal rows count once."""
+    rows = sorted({(r[1], r[2], r[3]) for r in rows})
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [np.frombuffer(r[2], np.uint64) for r in rows]
+
+
+def _by_block(batches: Iterator[pa.RecordBatch], make, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    """``make`` (key, rows) of the rows with equal first three columns, which follow each other; two columns of longs."""
+    key, rows = None, []
+    for batch in batches:
+        done = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:3] != key:
+                if rows:
+                    done.append(make(key, rows))
+                key, rows = row[:3], []
+            rows.append(row[3:])
+        if done:
+            yield columns(**{n: np.concatenate([d[i] for d in done]) for i, n in enumerate(names)})
+    if rows:
+        yield columns(**dict(zip(names, make(key, rows), strict=True)))
+
+
+def group_links(opened: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): a link of each ``opened`` (node, other) with a member of the other group, if there is any, per block of ``members`` (node, grp).
+
+    A group hangs together already, so one link is enough. SHARE askers meet a block of members at a time.
+    """
+    asked = opened.groupBy("other").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    sizes = members.groupBy(F.col("grp").alias("other")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    both = spool(asked.join(sizes, "other"), "sizes")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    asks = opened.join(both, "other").select("node", "other", deal("shares").alias("share"), every("blocks").alias("block"), F.lit(True).alias("asks"))
+    has = members.withColumnRenamed("grp", "other").join(both, "other").select("node", "other", every("shares").alias("share"), deal("blocks").alias("block"), F.lit(False).alias("asks"))
+    roles = spool(asks.unionByName(has), "roles")
+    shipped = sets.join(F.broadcast(roles) if roles.count() <= BROADCAST_ROWS else roles, "node").repartition("other", "share", "block").sortWithinPartitions("other", "share", "block").select("other", "share", "block", "asks", "node", F.lit(1).alias("docs"), "set")
+
+    def find(_: tuple, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        a_id, _, a = _side([r for r in rows if r[0]])
+        b_id, _, b = _side([r for r in rows if not r[0]])
+        if not len(a) or not len(b):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        hit = alike(a, b)
+        found = hit.any(axis=1)
+        return a_id[found], b_id[hit.argmax(axis=1)[found]]
+
+    return arrow_map(shipped, lambda batches: _by_block(batches, find, ("a", "b")), "a long, b long")
+
+
 def link_counts(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, links) for ``members`` (node, grp, docs): the documents of the other sets of the group that link with the node's."""
     sizes = spool(members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
@@ -328,15 +378,10 @@ def link_counts(members: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = spool(dealt.select("node", "docs", "grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("right")), "dealt")
     shipped = sets.join(F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt, "node").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").select("grp", "i", "j", "right", "node", "docs", "set")
 
-    def side(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Nodes, documents and sets by node; equal rows count once."""
-        rows = sorted({(r[1], r[2], r[3]) for r in rows})
-        return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), [np.frombuffer(r[2], np.uint64) for r in rows]
-
     def count(key: tuple, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         same = key[1] == key[2]
-        x_id, x_docs, x = side([r for r in rows if not r[0]])
-        y_id, y_docs, y = (x_id, x_docs, x) if same else side([r for r in rows if r[0]])
+        x_id, x_docs, x = _side([r for r in rows if not r[0]])
+        y_id, y_docs, y = (x_id, x_docs, x) if same else _side([r for r in rows if r[0]])
         if not len(x) or not len(y):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         # Rows of one node are one, so a link of any of them is the node's.
@@ -345,25 +390,7 @@ def link_counts(members: DataFrame, sets: DataFrame) -> DataFrame:
         links = hit @ y_docs[y_at]
         return (x_id, links) if same else (np.concatenate([x_id, y_id]), np.concatenate([links, x_docs[x_at] @ hit]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-        for batch in batches:
-            nodes, links = [], []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != key:
-                    if rows:
-                        done = count(key, rows)
-                        nodes.append(done[0])
-                        links.append(done[1])
-                    key, rows = row[:3], []
-                rows.append(row[3:])
-            if nodes:
-                yield columns(node=np.concatenate(nodes), links=np.concatenate(links))
-        if rows:
-            nodes, links = count(key, rows)
-            yield columns(node=nodes, links=links)
-
-    return arrow_map(shipped, run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return arrow_map(shipped, lambda batches: _by_block(batches, count, ("node", "links")), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def ngram_jaccard_components(docs: DataFrame, count_links: bool = True) -> DataFrame:
@@ -437,19 +464,19 @@ def _links(docs: DataFrame, alive: DataFrame) -> tuple[DataFrame | None, DataFra
     open_sets = spool(entry.join(crossing, "token", "left_semi").select("node").distinct(), "open")
     held = spool(foreign_tokens(grouped.join(open_sets, "node", "left_semi").select("node", "n", "grp"), sets), "held")
     # Sets of n and m tokens link when they share 4 (n + m) / 9; a shared token with ``left`` of n from it on allows m <= slack / 4.
-    entry = held.select("node", "n", "grp", F.size("tokens").alias("f"), F.posexplode(F.slice("tokens", 1, F.col("room"))).alias("at", "token"))
-    entry = entry.select("node", "n", "grp", "token", (9 * (F.col("f") - F.col("at")) - 4 * F.col("n")).alias("slack"))
-    sides = spool(entry.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("slack").alias("widest")).withColumnRenamed("grp", "other"), "sides")
+    # Of two groups the smaller asks: a link is found from either end, and a large group's sets need not ask for each small one.
+    weights = spool(held.groupBy("grp").agg(F.count("*").alias("members")), "weights")
+    held = spool(held.join(weights, "grp"), "weighed")
+    entry = held.select("node", "n", "grp", "members", F.size("tokens").alias("f"), F.posexplode(F.slice("tokens", 1, F.col("room"))).alias("at", "token"))
+    entry = entry.select("node", "n", "grp", "members", "token", (9 * (F.col("f") - F.col("at")) - 4 * F.col("n")).alias("slack"))
+    sides = spool(entry.groupBy("token", F.col("grp").alias("other")).agg(F.first("members").alias("others"), F.min("n").alias("least"), F.max("slack").alias("widest")), "sides")
     several = spool(sides.groupBy("token").count().where("count > 1").select("token"), "several")
     entry = spool(entry.join(several, "token"), "entry")
-    asks = entry.join(sides, "token").where("grp <> other and 4 * least <= slack and 4 * n <= widest").groupBy("node", "other").agg(F.min("least").alias("least"))
+    asks = entry.join(sides, "token").where("(members < others or members = others and grp < other) and 4 * least <= slack and 4 * n <= widest").groupBy("node", "other").agg(F.min("least").alias("least"))
     asks = spool(asks, "asks")
     if not asks.count():
         return found, sets
     # The token-group matrix, for the groups that are asked: the foreign tokens of each group's union.
     matrix = held.join(asks.select(F.col("other").alias("grp")).distinct(), "grp", "left_semi").select(F.col("grp").alias("other"), F.explode(_short("tokens")).alias("token")).distinct().groupBy("other").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
     opened = spool(qualifying(asks, held.select("node", "n", _short("tokens").alias("tokens")), spool(matrix, "matrix")), "opened")
-    member = entry.select(F.col("node").alias("b"), F.col("grp").alias("other"), "token", F.col("n").alias("m"), F.col("slack").alias("room"))
-    pairs = opened.join(entry.select("node", "token", "n", "slack"), "node").join(member, ["other", "token"]).where("4 * m <= slack and 4 * n <= room")
-    pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    return found.unionByName(spool(compare(spool(pairs, "pairs"), sets), "hits")), sets
+    return found.unionByName(spool(group_links(opened, held.select("node", "grp"), sets), "hits")), sets
