@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import shared_dir, spool, table
+from driftloom.llm.common import session_dir, spool, table
 from driftloom.llm.jaccard import BROADCAST_ROWS, ngram_jaccard_components
 from driftloom.llm.packing import pack
 from driftloom.llm.private_data import find_private, sanitise
@@ -71,7 +71,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written as Parquet and read again."""
-    docs, at = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/driftloom/pipeline-{uuid.uuid4().hex}"
+    docs, at = table(spark, sf_dir, "documents"), f"{session_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from driftloom.sources.store import shared_dir
+
 #: Text bytes that one numpy pass works on; bounds the memory of a Python worker.
 SLICE_BYTES = 6 << 20
 #: Bytes of an Arrow batch between Spark and Python; without a bound 10,000 long texts go at once, through both memories.
@@ -21,19 +22,13 @@ BATCH_BYTES = 8 << 20
 WORKER_CACHE: dict = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fresh one where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="driftloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def spool(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` as Parquet into the session's part of the shared folder and read it back, which cuts its lineage.
+
+    Results may read such tables until they are used; ``drop_tables`` deletes all of a session's when nothing needs them.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/driftloom/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
     # The shuffles of a table that is written whole are of no more use: drop their files at once.
     drop, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
     before = spark.conf.get(drop, None)
@@ -47,16 +42,35 @@ def spool(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def session_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/driftloom/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete every table that this session's operators have written; results that were not yet used can't be read after."""
+    _delete(spark, session_dir(spark))
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def unspool(df: DataFrame) -> None:
     """Delete a spooled table that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.spooled_at)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _delete(df.sparkSession, df.spooled_at)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by BATCH_BYTES, unless the session has a bound of its own. (Spark reads it when the plan runs, so it stays set.)"""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def arrow_map(df: DataFrame, run: Callable, schema: str, keep_cache: bool = False) -> DataFrame:
     """``mapInArrow`` whose workers can import this package from where the driver has it (or as shipped with --py-files)."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bound_batches(df.sparkSession)
     here, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
     if here not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{here}:{env.get('PYTHONPATH', '')}".rstrip(":")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import arrow_map, binary_array, columns, ragged, shared_dir, spool, text_slices, unspool, utf8_view
+from .common import arrow_map, binary_array, columns, ragged, session_dir, spool, text_slices, unspool, utf8_view
 from .tokenizing import encoder, with_end
 
 WINDOW, LEAST, MASK, MOST, DIGEST = 16, 64, 255, 2048, 16  # WINDOW is a power of two
@@ -328,4 +328,4 @@ def has_byte(column: str, value: int) -> Column:
 
 
 def fresh_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/driftloom/idstore-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/idstore-{uuid.uuid4().hex}"

@@ -30,12 +30,16 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 
 @dataclass(frozen=True)
 class Capacity:
-    """What one sequence holds, how the three resources weigh in the score, and which score selects."""
+    """What one sequence holds, how the three resources weigh in the score, and which score selects.
+
+    With these defaults, pieces of up to ``tokens`` tokens fill no sequence by their number or attention cost before its
+    tokens are full, so only tokens bind; the other residuals still have a say in which sequence a piece goes to.
+    """
 
     tokens: int = 1024
     documents: int = 1024
     attention: int = 1024 * 1024
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.05)
+    weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
     score: str = "norm"
 
 
