@@ -112,17 +112,32 @@ def stability(runs: DataFrame) -> DataFrame:
     return per.groupBy("doc").agg(*(F.avg(c).alias(c) for c in ("overlap", "disappearance", "new", "flip")))
 
 
-def mask_nested(sentences: DataFrame, levels: tuple[float, ...], seed: int = 7) -> DataFrame:
-    """(doc, level, text): per level the max(1, ceil(q n)) tokens of lowest digest rank are masked, so levels nest; white space stays."""
+SPACE, SEPARATOR = r"[ \t\n\x0B\f\r]", "\x1f"
+
+
+def mask_nested(texts: DataFrame, levels: tuple[float, ...], seed: str = "7", strict: bool = False) -> DataFrame:
+    """(doc, level, changed, eligible, magnitude, digest, text) for ``texts`` (doc, text): per level min(n, max(1, ceil(q n))) words masked, white space kept.
+
+    Words go by the digest of (seed, doc, place), so levels nest; ``digest`` is over the sorted places of the masked ones.
+    Texts without words have no rows. ``strict``: two levels that mask equally many words are an error.
+    """
     from pyspark.sql.window import Window as W
 
-    t = sentences.select("doc", F.posexplode(F.regexp_extract_all("text", F.lit(r"\s+|\S+"), 0)).alias("place", "token"))
-    word = F.col("token").rlike(r"\S")
+    pieces = texts.select("doc", F.posexplode(F.regexp_extract_all("text", F.lit(rf"{SPACE}+|[^ \t\n\x0B\f\r]+"), 0)).alias("at", "piece"))
+    word = ~F.col("piece").rlike(f"^{SPACE}")
     per_doc = W.partitionBy("doc", word)
-    ranked = t.withColumn("rank", F.when(word, F.row_number().over(per_doc.orderBy(text.digest_rank(F.lit(str(seed)), F.col("doc").cast("string"), F.col("place").cast("string")))))).withColumn("n", F.count("*").over(per_doc))
-    masked = ranked.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
-    shown = F.when(F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("level") * F.col("n"))), "[MASK]").otherwise(F.col("token"))
-    return masked.groupBy("doc", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", shown.alias("t")))), lambda x: x["t"]), "").alias("text"))
+    placed = pieces.withColumn("k", F.when(word, F.row_number().over(per_doc.orderBy("at")) - 1)).withColumn("n", F.count("*").over(per_doc))
+    rank = F.row_number().over(per_doc.orderBy(F.sha2(F.concat_ws(SEPARATOR, F.lit(seed), F.col("doc").cast("string"), F.col("k").cast("string")), 256), "k"))
+    ranked = placed.withColumn("rank", F.when(word, rank)).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    gone = F.col("rank") <= F.least(F.col("n"), F.greatest(F.lit(1), F.ceil(F.col("level") * F.col("n"))))
+    out = ranked.groupBy("doc", "level").agg(
+        F.count_if(gone).alias("changed"), F.count("k").alias("eligible"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.when(gone, F.col("k").cast("string")))), "\n"), 256).alias("digest"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(gone, "[MASK]").otherwise(F.col("piece")).alias("t")))), lambda x: x["t"]), "").alias("text"),
+    ).where("eligible > 0")
+    if strict:
+        before = F.lag("changed").over(W.partitionBy("doc").orderBy("level"))
+        out = out.withColumn("changed", F.when(before >= F.col("changed"), F.raise_error(F.concat(F.lit("levels mask equally many words in "), F.col("doc").cast("string"))).cast("long")).otherwise(F.col("changed")))
+    return out.select("doc", "level", "changed", "eligible", (F.col("changed") / F.col("eligible")).alias("magnitude"), "digest", "text")
 
 
 def schema_variant(relations: Column, kind: str, renames: dict[str, str] | None = None, coarse: dict[str, str] | None = None, dropped: tuple[str, ...] = ()) -> Column:

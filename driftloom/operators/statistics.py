@@ -56,10 +56,18 @@ def flags_at_count(rows: DataFrame, score: str, row_id: str, share: float, by: l
     return rows.withColumn("flag", F.row_number().over(order) <= F.bround(n * F.lit(share)))
 
 
-def digest_split(rows: DataFrame, document: str) -> DataFrame:
-    """``rows`` with ``calibration``: documents at even places of the order of their MD5."""
-    place = rows.select(document).distinct().withColumn("calibration", (F.row_number().over(W.orderBy(F.md5(F.col(document).cast("string")), document)) - 1) % 2 == 0)
-    return rows.join(place, document)
+def digest_split(rows: DataFrame, document: str, ranges: int = 4096) -> DataFrame:
+    """``rows`` with ``calibration``: documents at even places of the order of their MD5.
+
+    Digests are evenly spread, so their first bits cut the order into ranges; places are counted within a range, and a
+    range adds what lies before it. One number per range meets in one place.
+    """
+    digest = F.md5(F.col(document).cast("string"))
+    cut = F.floor(F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") * ranges / (1 << 24)).cast("int")
+    each = rows.select(document).distinct().withColumn("_digest", digest).withColumn("_range", cut)
+    before = each.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(F.sum("n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = each.withColumn("_k", F.row_number().over(W.partitionBy("_range").orderBy("_digest", document)) - 1).join(F.broadcast(before), "_range")  # ``ranges`` rows at most
+    return rows.join(place.select(document, ((F.col("_k") + F.col("_before")) % 2 == 0).alias("calibration")), document)
 
 
 def multiplicity(unit: Column, replicate: Column, seed: int = 20260811) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.functions import text
-from driftloom.operators import extraction, planning
+from driftloom.operators import extraction, interventions, pairing, planning
 from driftloom.streaming.monitor import violation_windows
 
 from .derived import table
@@ -98,9 +98,81 @@ def budgeted_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.budgeted_stream(pairs, 20_000.0)
 
 
-@query()
+@query(r"""WITH p AS (SELECT doc, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM (SELECT conv_id || ':' || turn AS doc, regexp_extract_all(text, '[ \t\n\x0B\f\r]+|[^ \t\n\x0B\f\r]+') AS pieces FROM conversations)),
+k AS (SELECT doc, i, row_number() OVER (PARTITION BY doc ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY doc) AS n FROM p WHERE NOT regexp_matches(piece, '^[ \t\n\x0B\f\r]')),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY sha256('7' || chr(31) || doc || chr(31) || k), k) AS rank FROM k), l AS (SELECT unnest([0.1::DOUBLE, 0.3::DOUBLE, 0.6::DOUBLE]) AS level),
+m AS (SELECT r.doc, l.level, count(*) FILTER (rank <= least(n, greatest(1, ceil(level * n)))) AS changed, count(*) AS eligible, sha256(coalesce(string_agg(k::VARCHAR, chr(10) ORDER BY k::VARCHAR) FILTER (rank <= least(n, greatest(1, ceil(level * n)))), '')) AS digest FROM r CROSS JOIN l GROUP BY ALL),
+x AS (SELECT p.doc, l.level, string_agg(CASE WHEN r.rank <= least(r.n, greatest(1, ceil(l.level * r.n))) THEN '[MASK]' ELSE p.piece END, '' ORDER BY p.i) AS text FROM p CROSS JOIN l LEFT JOIN r ON r.doc = p.doc AND r.i = p.i GROUP BY ALL)
+SELECT m.doc, m.level, changed, eligible, round(changed / eligible::DOUBLE, 6) AS magnitude, digest, sha256(text) AS text FROM m JOIN x ON x.doc = m.doc AND x.level = m.level""")
 def nested_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.mask_nested(table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc"), "text"), (0.1, 0.3, 0.6))
+    out = extraction.mask_nested(table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("doc"), "text"), (0.1, 0.3, 0.6))
+    return out.withColumn("magnitude", F.round("magnitude", 6)).withColumn("text", F.sha2("text", 256))
+
+
+MENTIONS = """WITH e AS (SELECT l_orderkey AS run_id, l_linenumber % 2 AS side, l_linenumber AS edge_id, CASE WHEN l_linenumber % 3 <> 0 THEN 'i' || (l_partkey % 40) END AS s_id, 'Part ' || (l_partkey % 40) AS s, l_returnflag AS r,
+  CASE WHEN l_linenumber % 4 <> 0 THEN 'j' || (l_suppkey % 30) END AS o_id, ' supplier ' || (l_suppkey % 30) AS o, l_discount AS disc FROM lineitem),
+u AS (SELECT run_id, lower(trim(s)) AS k FROM e WHERE s_id IS NULL UNION SELECT run_id, lower(trim(o)) FROM e WHERE o_id IS NULL)
+"""
+
+
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as edges of an order's two views; some mentions have no id, and some names lie within others."""
+    n, part, supp = F.col("l_linenumber"), (F.col("l_partkey") % 40).cast("string"), (F.col("l_suppkey") % 30).cast("string")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("run_id"), (n % 2).alias("side"), n.alias("edge_id"), F.when(n % 3 != 0, F.concat(F.lit("i"), part)).alias("s_id"), F.concat(F.lit("Part "), part).alias("s"),
+        F.col("l_returnflag").alias("r"), F.when(n % 4 != 0, F.concat(F.lit("j"), supp)).alias("o_id"), F.concat(F.lit(" supplier "), supp).alias("o"), F.col("l_discount").alias("disc"),
+    )
+
+
+@query(MENTIONS + """, n AS (SELECT DISTINCT run_id, k, id FROM (SELECT run_id, s_id AS id, lower(trim(s)) AS k FROM e UNION ALL SELECT run_id, o_id, lower(trim(o)) FROM e) WHERE id IS NOT NULL),
+d AS (SELECT run_id, k, min(id) AS id FROM n GROUP BY ALL HAVING count(*) = 1), c AS (SELECT u.run_id, u.k, min(n.id) AS id FROM u JOIN n ON n.run_id = u.run_id AND (contains(n.k, u.k) OR contains(u.k, n.k)) GROUP BY ALL HAVING count(DISTINCT n.id) = 1),
+x AS (SELECT u.run_id, u.k, coalesce('id:' || d.id, 'id:' || c.id, 'name:' || u.k) AS key FROM u LEFT JOIN d USING (run_id, k) LEFT JOIN c USING (run_id, k))
+SELECT e.run_id, side, edge_id, coalesce('id:' || s_id, a.key) AS s, r, coalesce('id:' || o_id, z.key) AS o FROM e LEFT JOIN x a ON a.run_id = e.run_id AND a.k = lower(trim(s)) LEFT JOIN x z ON z.run_id = e.run_id AND z.k = lower(trim(o))""")
+def paired_entity_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges under keys that both views share: ids, names known by an id in the pair, names within such names."""
+    return pairing.paired_triples(_mentions(spark, sf_dir).drop("disc"))
+
+
+@query(MENTIONS + """, g AS (SELECT DISTINCT run_id, 'i' || regexp_extract(s, '\\d+') AS h, r, 'j' || regexp_extract(o, '\\d+') AS t, lower(trim(s)) AS hk, lower(trim(o)) AS tk FROM e WHERE disc <= 0.05), n AS (SELECT DISTINCT run_id, k, id FROM (SELECT run_id, h AS id, hk AS k FROM g UNION ALL SELECT run_id, t, tk FROM g)),
+d AS (SELECT run_id, k, min(id) AS id, count(*) AS c FROM n GROUP BY ALL), c AS (SELECT u.run_id, u.k, min(n.id) AS id FROM u JOIN n ON n.run_id = u.run_id AND (contains(n.k, u.k) OR contains(u.k, n.k)) WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.run_id = u.run_id AND d.k = u.k) GROUP BY ALL HAVING count(DISTINCT n.id) = 1),
+x AS (SELECT u.run_id, u.k, coalesce(CASE WHEN d.c = 1 THEN d.id END, c.id) AS id FROM u LEFT JOIN d USING (run_id, k) LEFT JOIN c USING (run_id, k)),
+f AS (SELECT DISTINCT e.run_id, coalesce(s_id, a.id) AS h, r, coalesce(o_id, z.id) AS t FROM e LEFT JOIN x a ON a.run_id = e.run_id AND a.k = lower(trim(s)) LEFT JOIN x z ON z.run_id = e.run_id AND z.k = lower(trim(o)) WHERE side = 1),
+y AS (SELECT g.run_id, count(f.h) / count(*)::DOUBLE AS recall FROM (SELECT DISTINCT run_id, h, r, t FROM g) g LEFT JOIN f ON f.run_id = g.run_id AND f.h = g.h AND f.r = g.r AND f.t = g.t GROUP BY g.run_id)
+SELECT k.run_id, round(coalesce(recall, 0.0), 6) AS recall FROM (SELECT DISTINCT run_id FROM e WHERE side = 1) k LEFT JOIN y USING (run_id)""")
+def gold_recall_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of one view's edges against gold; mentions without an id are looked for among the gold names."""
+    e = _mentions(spark, sf_dir)
+    number = lambda kind, c: F.concat(F.lit(kind), F.regexp_extract(c, r"\d+", 0))
+    gold = e.where("disc <= 0.05").select("run_id", number("i", "s").alias("head_id"), F.col("s").alias("head"), "r", number("j", "o").alias("tail_id"), F.col("o").alias("tail"))
+    return pairing.gold_recall(e.where("side = 1"), gold).withColumn("recall", F.round("recall", 6))
+
+
+@query("""WITH s AS (SELECT 'd' || conv_id AS d, turn AS i, 'd' || conv_id || '::s' || turn AS sid FROM conversations), r AS (SELECT 'd' || conv_id AS d, role, count(*) AS n FROM conversations WHERE role <> 'OTHER' AND role <> '' GROUP BY ALL),
+k AS (SELECT d, role, row_number() OVER (PARTITION BY d ORDER BY n DESC, role) AS k FROM r), a AS (SELECT d, string_agg(role, ',' ORDER BY k) AS rels FROM k WHERE k <= 3 GROUP BY d), docs AS (SELECT DISTINCT d FROM s)
+SELECT d AS document_id, d || '::iv::sent::' || sid || '::' || o.o AS intervention_id, o.o AS operator, 'evidence' AS cause_family, 'semantic' AS semantic_class FROM s, (SELECT unnest(['remove', 'mask']) AS o) o
+UNION ALL SELECT d, d || '::iv::' || f.x.t, f.x.o, f.x.f, f.x.c FROM docs, (SELECT unnest([{'t': 'sent::doc::para_swap', 'o': 'para_swap', 'f': 'evidence', 'c': 'presentation'}, {'t': 'sent::doc::entity_alias', 'o': 'entity_alias', 'f': 'entity_alias', 'c': 'presentation'}, {'t': 'noop::repeat::0', 'o': 'repeat', 'f': 'stochastic', 'c': 'stochastic'}, {'t': 'noop::repeat::1', 'o': 'repeat', 'f': 'stochastic', 'c': 'stochastic'}, {'t': 'model::swap::m2', 'o': 'swap', 'f': 'model', 'c': 'model'},
+  {'t': 'schema::S::with_other', 'o': 'switch_schema', 'f': 'schema', 'c': 'semantic'}, {'t': 'schema::S::coarse', 'o': 'switch_schema', 'f': 'schema', 'c': 'semantic'}]) AS x) f
+UNION ALL SELECT d, d || '::iv::prompt::P::drop::' || c.c, 'remove', 'prompt', 'semantic' FROM docs, (SELECT unnest(['C1_evidence_only', 'C2_infer_implicit', 'C3_use_schema', 'C4_allow_other', 'C5_cite_evidence', 'C6_return_confidence']) AS c) c
+UNION ALL SELECT d, d || '::iv::prompt::P::tone::' || c.c, 'tone', 'prompt', 'presentation' FROM docs, (SELECT unnest(['strict', 'permissive', 'terse']) AS c) c UNION ALL SELECT d, d || '::iv::prompt::P::role::' || c.c, 'role_swap', 'prompt', 'presentation' FROM docs, (SELECT unnest(['expert', 'novice', 'auditor']) AS c) c
+UNION ALL SELECT d, d || '::iv::schema::S::' || c.c, 'switch_schema', 'schema', 'presentation' FROM docs, (SELECT unnest(['rename', 'reorder', 'desc_added', 'desc_removed', 'hierarchical']) AS c) c
+UNION ALL SELECT d, d || '::iv::schema::S::ambiguous' || coalesce(':' || rels, ''), 'switch_schema', 'schema', 'semantic' FROM docs LEFT JOIN a USING (d) UNION ALL SELECT d, d || '::iv::schema::S::drop::' || role, 'switch_schema', 'schema', 'semantic' FROM k WHERE k <= 3""")
+def intervention_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that may be changed about the extraction of each conversation; its turns stand for sentences, its roles for relations."""
+    c = table(spark, sf_dir, "conversations").withColumn("document_id", F.concat(F.lit("d"), "conv_id"))
+    sentences = c.select("document_id", F.concat_ws("::s", "document_id", "turn").alias("sentence_id"), F.col("turn").alias("sentence_index"))
+    relations = interventions.relation_candidates(c.select("document_id", F.col("role").alias("relation")), spark.createDataFrame([], "document_id string, relation string"))
+    found = interventions.candidates(c.select("document_id").distinct(), sentences, relations, "P", "S", models=("m2",))
+    return found.select("document_id", "intervention_id", "operator", "cause_family", "semantic_class")
+
+
+@query("""WITH t AS (SELECT conv_id AS doc, turn AS place, text FROM conversations)
+SELECT 'remove' AS kind, doc, place, text FROM t WHERE place <> 1 UNION ALL SELECT 'mask', doc, place, CASE WHEN place = 1 THEN '[MASK]' ELSE text END FROM t
+UNION ALL SELECT 'shuffle', doc, row_number() OVER (PARTITION BY doc ORDER BY sha256('7|' || doc || '|' || place)) - 1, text FROM t""")
+def sentence_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents, turns as sentences: one removed, one masked, all in another order."""
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").cast("long").alias("place"), "text")
+    parts = [extraction.sentence_variant(t, kind, 1).select(F.lit(kind).alias("kind"), "doc", F.col("place").cast("long").alias("place"), "text") for kind in ("remove", "mask", "shuffle")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("""WITH e AS (SELECT date_trunc('hour', ts) AS start, event_type AS cause_family, value FROM events)

@@ -230,3 +230,22 @@ def test_upsert_keeps_the_last(spark):
     old = spark.createDataFrame([("a", 0, "old"), ("z", 0, "old")], "k string, n int, v string")
     new = spark.createDataFrame([("a", 1, "first"), ("a", 2, "last"), ("b", 1, "new")], "k string, n int, v string")
     assert sorted((r.k, r.v) for r in lineage.upsert(old, new, ["k"], ["n"]).collect()) == [("a", "last"), ("b", "new"), ("z", "old")]
+
+
+def test_prompt_variants(spark):
+    from driftloom.operators import interventions
+
+    clauses = [("C0_role", "old"), ("C1_evidence_only", "a"), ("C2_infer_implicit", "b")]
+    frame = spark.createDataFrame([(clauses,)], "c array<struct<id:string,text:string>>")
+    ids = lambda *a, **k: [tuple(x) for x in frame.select(interventions.prompt_variant(F.col("c"), *a, **k).alias("v")).first().v]
+    assert [x for x, _ in ids("drop", ("C1_evidence_only", "C9"))] == ["C0_role", "C2_infer_implicit"]
+    assert ids("add", "C7", text="new")[-1] == ("C7", "new") and len(ids("add", "C7", text="new")) == 4
+    assert ids("role", "novice")[0] == ("C0_role", interventions.ROLES["novice"]) and len(ids("role", "novice")) == 3
+    assert ids("tone", "nothing like it")[-1] == ("C9_tone", interventions.TONES["terse"])
+
+
+def test_levels_that_mask_alike_are_an_error(spark):
+    frame = spark.createDataFrame([("d", "a b c")], "doc string, text string")
+    with pytest.raises(Exception, match="equally many"):
+        extraction.mask_nested(frame, (0.1, 0.2), strict=True).collect()
+    assert [r.changed for r in extraction.mask_nested(frame, (0.1, 0.5), strict=True).orderBy("level").collect()] == [1, 2]
