@@ -21,8 +21,10 @@ from .components import components
 
 #: Queries of one block, bytes of candidates of one block, candidates of one tile, dimensions whose int8 products float32 holds.
 ASKED, CANDIDATES, TILE, EXACT = 4096, 32 << 20, 1024, 1024
-#: k-means: rows of the sample, vectors a cell should hold, most cells, rounds.
+#: k-means: rows of the sample, vectors a cell should hold, most cells of one level, rounds.
 SAMPLE, CELL, CELLS, ROUNDS = 20_000, 512, 4096, 8
+#: Rows from which a cell is cut into cells of its own, and cells that a vector may lie in on average where one is cut.
+CROWDED, COPIES = 16_384, 8
 #: Distance beyond a cell's border, as a sine, up to which a vector is compared in that cell too.
 MARGIN = 0.08
 #: Vectors of one block; a group of rows is two blocks of one cell.
@@ -169,14 +171,87 @@ def spherical_kmeans(sample: np.ndarray, cells: int, rounds: int = ROUNDS, seed:
     return centres
 
 
+#: A cell's id is its number shifted by LEVEL, plus the number of the cell that it was cut into.
+LEVEL = 20
+ASSIGNED = "cell long, home boolean, of long, cells array<long>, rep long, n long, raw binary"
+#: Cells up to which their sizes are broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def within_margin(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and centres that belong together: each row's nearest centre and those whose border is nearer than MARGIN; and the nearest ones."""
+    near = x @ centres.T
+    home = near.argmax(axis=1)
+    far = np.sqrt(np.maximum(0, 2 - 2 * centres[home] @ centres.T))
+    row, cell = np.nonzero(near.max(axis=1)[:, None] - near <= MARGIN * far)
+    return row, cell, home
+
+
+def cell_centres(x: np.ndarray, cells: int) -> np.ndarray:
+    """Centres of a crowded cell; fewer, or one, where vectors lie so close together that each would be in more than COPIES cells."""
+    while cells > 1:
+        centres = spherical_kmeans(x, cells)
+        if len(within_margin(x[:4096], centres)[0]) <= COPIES * len(x[:4096]):
+            return centres
+        cells //= 4
+    return x[:1]
+
+
+def cut_crowded(assigned: DataFrame) -> DataFrame:
+    """``assigned`` with cells of more than CROWDED rows cut by k-means of their own, by the same margin.
+
+    Centres are fitted in a task per cell, on about SAMPLE of its home vectors; its rows meet them in shares, so a cell is
+    many tasks. A second level takes CELLS times CELLS cells; near copies that no cut parts stay in one cell, which blocks deal out.
+    """
+    crowded = assigned.groupBy("cell").agg(F.count("*").alias("m"), F.count_if("home").alias("own")).where((F.col("m") > CROWDED) & (F.col("own") > CELL))
+    crowded = spool(crowded.select("cell", "own", F.ceil(F.col("m") / (4 * CROWDED)).cast("int").alias("shares")), "crowded")  # CELLS rows at most
+    if crowded.isEmpty():
+        return assigned
+    sampled = assigned.where("home").join(F.broadcast(crowded), "cell").where(F.pmod(F.xxhash64("raw"), F.lit(1_000_003)) < 1_000_003 * F.lit(SAMPLE) / F.col("own"))
+
+    def fit(rows: pa.Table) -> pa.Table:
+        centres = cell_centres(unit(matrix(rows.sort_by("raw").column("raw"))), max(1, min(CELLS, rows.column("own")[0].as_py() // CELL)))
+        return pa.table({"cell": rows.column("cell").slice(0, 1), "centres": pa.array([centres.astype("<f8").tobytes()], pa.binary())})
+
+    fitted = spool(sampled.select("cell", "own", "raw").groupBy("cell").applyInArrow(fit, "cell long, centres binary"), "centres")
+    cut = crowded.join(fitted.select("cell"), "cell")
+    shares = cut.join(fitted, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("place"), F.col("centres").alias("raw"))
+    rows = assigned.join(F.broadcast(cut), "cell").select("cell", F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("place"), "home", "rep", "n", "raw")
+    dealt = rows.unionByName(shares, allowMissingColumns=True).repartition("cell", "share").sortWithinPartitions("cell", "share", "place").select("cell", "place", "home", "rep", "n", "raw")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, np.ndarray] | None = None
+        for batch in batches:
+            first = np.flatnonzero(batch.column("place").to_numpy() == 0)
+            for lo, hi in zip([0, *first.tolist()], [*first.tolist(), batch.num_rows], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if part.num_rows and part.column("place")[0].as_py() == 0:
+                    held = part.column("cell")[0].as_py(), np.frombuffer(part.column("raw")[0].as_py(), "<f8")
+                    part = part.slice(1)
+                for at in range(0, part.num_rows, 2048):
+                    some = part.slice(at, 2048)
+                    if held is None or some.column("cell")[0].as_py() != held[0]:
+                        raise ValueError("a vector came before its cell's centres")
+                    x = unit(matrix(some.column("raw")))
+                    row, cell, home = within_margin(x, held[1].reshape(-1, x.shape[1]))
+                    take = pa.array(row)
+                    yield columns(cell=held[0] + cell, home=some.column("home").to_numpy(zero_copy_only=False)[row] & (cell == home[row]), rep=some.column("rep").take(take), n=some.column("n").take(take), raw=some.column("raw").take(take))
+
+    parts = arrow_map(dealt, place, "cell long, home boolean, rep long, n long, raw binary")
+    parts = spool(assigned.join(F.broadcast(cut), "cell", "left_anti").select("cell", "home", "rep", "n", "raw").unionByName(parts), "parts")
+    # A vector is in tens of cells at most.
+    lists = parts.groupBy("rep").agg(F.collect_list("cell").alias("all"), F.max(F.when(F.col("home"), F.col("cell"))).alias("of"))
+    return spool(parts.join(lists, "rep").select("cell", "home", "of", F.when(F.col("home"), F.col("all")).otherwise(F.array().cast("array<long>")).alias("cells"), "rep", "n", "raw"), "cells")
+
+
 def near_duplicates(table: DataFrame, least: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``table`` (vec_id, embedding).
 
     Rows link when their cosine in double precision is ``least`` or more. Rows with equal bytes are compared once and
     counted each; an unusable row has no links and is its own component; rows with one vec_id are one node. The k-means
     is fitted on a sample of about SAMPLE vectors, but every vector is assigned: to its cell, and to all cells
-    whose border is nearer than MARGIN. Pairs further apart from a common cell than that are not found; recall is
-    measured in the tests. A pair that is found counts once for each end, from whichever cell. A cell's vectors are dealt over blocks of about BLOCK, and what
+    whose border is nearer than MARGIN. A crowded cell is cut into cells of its own. Pairs further apart from a common cell than
+    that are not found; recall is measured in the tests. A pair that is found counts once for each end, from whichever cell. A cell's vectors are dealt over blocks of about BLOCK, and what
     meets is two blocks, once, so a crowded cell is dealt over many tasks; what comes out is a count per vector and a
     spanning forest, never the pairs.
     """
@@ -204,16 +279,19 @@ def near_duplicates(table: DataFrame, least: float = 0.95) -> DataFrame:
                 at = np.zeros(len(row) + 1, np.int32)
                 at[1:][mine] = np.bincount(row, minlength=len(x))[row[mine]]
                 # A row at home knows all its cells; elsewhere it knows its home.
-                cells = pa.ListArray.from_arrays(np.cumsum(at, dtype=np.int32), cell.astype(np.int32))
-                yield columns(cell=cell.astype(np.int32), home=mine, of=home[row].astype(np.int32), cells=cells, rep=part.column("rep").take(take), n=part.column("n").take(take), raw=part.column("raw").take(take))
+                cell, of = cell.astype(np.int64) << LEVEL, home[row].astype(np.int64) << LEVEL
+                cells = pa.ListArray.from_arrays(np.cumsum(at, dtype=np.int32), cell)
+                yield columns(cell=cell, home=mine, of=of, cells=cells, rep=part.column("rep").take(take), n=part.column("n").take(take), raw=part.column("raw").take(take))
 
-    assigned = spool(arrow_map(same.select("rep", "n", "raw"), assign, "cell int, home boolean, of int, cells array<int>, rep long, n long, raw binary"), "cells")
-    # One row per cell, CELLS at most. Home vectors are dealt over blocks 0 to own - 1, visitors over the blocks after them;
+    assigned = spool(arrow_map(same.select("rep", "n", "raw"), assign, ASSIGNED), "cells")
+    assigned = cut_crowded(assigned)
+    # One row per cell. Home vectors are dealt over blocks 0 to own - 1, visitors over the blocks after them;
     # block i of those at home meets every block j from itself on, so two blocks meet once.
     sizes = assigned.groupBy("cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("own"), F.ceil(F.count_if(~F.col("home")) / BLOCK).cast("int").alias("away")).where("own > 0")
-    dealt = assigned.join(F.broadcast(sizes), "cell").withColumn("block", F.when(F.col("home"), F.pmod(F.xxhash64("rep"), F.col("own"))).otherwise(F.col("own") + F.pmod(F.xxhash64("rep"), F.col("away"))).cast("int"))
+    sizes = spool(sizes, "sizes")
+    dealt = assigned.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "cell").withColumn("block", F.when(F.col("home"), F.pmod(F.xxhash64("rep"), F.col("own"))).otherwise(F.col("own") + F.pmod(F.xxhash64("rep"), F.col("away"))).cast("int"))
     left = dealt.where("home").select("cell", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("own") + F.col("away") - 1)).alias("j"), F.lit(True).alias("left"), "home", "of", "cells", "rep", "n", "raw")
-    right = dealt.where("block > 0").select("cell", F.explode(F.sequence(F.lit(0), F.least("block", "own") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), "home", "of", F.lit(None).cast("array<int>").alias("cells"), "rep", "n", "raw")
+    right = dealt.where("block > 0").select("cell", F.explode(F.sequence(F.lit(0), F.least("block", "own") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), "home", "of", F.lit(None).cast("array<long>").alias("cells"), "rep", "n", "raw")
 
     def compare(pairs: pa.Table) -> pa.Table:
         mine = pairs.column("left").to_numpy()

@@ -54,3 +54,31 @@ def test_tokens_that_fall_together_lose_no_link(spark, monkeypatch):
     rows = list(enumerate(texts))
     got = jaccard.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.n_links for r in got} == brute_links(rows)
+
+
+def test_fragments_and_shared_passages(spark, monkeypatch):
+    """With one salt near copies end in many groups, so links are found by asking and opening groups, in several blocks."""
+    for name, value in (("ROUNDS", (range(1),)), ("BLOCK", 8), ("SHARE", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(31)
+    words = [f"w{i}" for i in range(900)]
+    passage = " ".join(rng.choice(words, 70))
+    texts = [f"{passage} {' '.join(rng.choice(words, n))}" for n in (2, 3, 8, 11, 12, 13, 14, 15, 16, 17, 18, 30, 60, 200) for _ in range(3)]
+    for copies in (40, 25, 6):
+        base = rng.choice(words, 110).tolist()
+        for _ in range(copies):  # a chain: each is a copy of the one before
+            base = list(base)
+            for _ in range(int(rng.integers(1, 4))):
+                base[rng.integers(110)] = str(rng.choice(words))
+            texts.append(" ".join(base))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    want = brute_links(rows)
+    got = jaccard.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+    label = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    while any(label[i] != label[j] for i, j in links):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    assert {r.doc_id: r.component_id for r in got} == label and len(set(label.values())) < len(texts) - 30
