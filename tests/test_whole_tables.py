@@ -19,7 +19,7 @@ def small(spark, tmp_path_factory):
     orders = [(k, i % 20) for i, k in enumerate((1, 499, 500, 1999, 2000, *range(7000, 7075)))]
     lines = [(k, int(rng.integers(1, 9)), int(rng.integers(1, 5)), n, float(rng.integers(1, 50)), str(rng.choice(list("ANR"))), "O", 0.0, 0.0) for k, _ in orders for n in range(1, int(rng.integers(2, 9)))]
     path = str(tmp_path_factory.mktemp("small"))
-    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame([(*o, "1-URGENT") for o in orders], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{path}/orders.parquet")
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string, l_discount double, l_tax double").write.parquet(f"{path}/lineitem.parquet")
     return path, dict(orders), lines
 
@@ -133,3 +133,49 @@ def test_shared_tails_of_every_packet(spark, small):
     want = {(packet, tail, *sorted((x, y))) for (packet, tail), of in held.items() for (x, a), (y, b) in combinations(of, 2) if x != y and a != b}
     got = [tuple(r) for r in registry.QUERIES["cross_document_queries"](spark, path).where("shape = 'shared_tail'").select("packet", "key", "x", "y").collect()]
     assert len({w[0] for w in want}) == 10 and sorted(got) == sorted(want)
+
+
+def test_bundle_has_the_single_metrics(spark):
+    data = "/root/testdata/sf0.001"
+    bundle = {(r.family, r.doc): r for r in registry.QUERIES["drift_bundle"](spark, data).collect()}
+    for name, column, own in (("edge_jaccard", "edge", "jaccard"), ("entity_pair_jaccard", "entity_pair", "jaccard"), ("degree_distribution_shift", "degree_shift", "degree_shift"), ("path_preservation", "preserved", "preserved"), ("centrality_rank_correlation", "centrality", "centrality"), ("type_flip_rate", "flip", "flip")):
+        single = registry.QUERIES[name](spark, data).collect()
+        assert len(single) == len(bundle) and all(abs(bundle[r.family, r.doc][column] - r[own]) < 1e-6 for r in single)
+
+
+def test_component_change_equals_plain_search(spark, small):
+    path, customer, lines = small
+    docs = defaultdict(list)
+    for order, part, supp, n, *_ in lines:
+        docs[customer[order]].append((order, part, supp, n))
+
+    def count(edges):
+        above = {}
+
+        def root(x):
+            while above.setdefault(x, x) != x:
+                x = above[x]
+            return x
+
+        for a, b in edges:
+            above[root(a)] = root(b)
+        return len({root(x) for x in list(above)})
+
+    got = {(r.family, r.doc): r.change for r in registry.QUERIES["component_change"](spark, path).collect()}
+    for doc, of in docs.items():
+        heads = [(f"c{doc}", f"o{k}") for k in {x[0] for x in of} | {k for k, c in customer.items() if c == doc}]
+        base = heads + [(f"o{k}", e) for k, p, s, _ in of for e in (f"p{p}", f"s{s}")]
+        lost = heads + [(f"o{k}", e) for k, p, s, n in of if n != 1 for e in (f"p{p}", f"s{s}")] if doc % 50 else []
+        assert got["evidence", doc] == abs(count(base) - (count(lost) if lost else 0))
+
+
+def test_cluster_bootstrap_interval_covers(spark):
+    rng = np.random.default_rng(8)
+    rows = [(c, float(v)) for c in range(120) for v in rng.normal(rng.normal(5, 2), 1, 4)]
+    from driftloom.operators import statistics
+
+    got = statistics.cluster_bootstrap(spark.createDataFrame(rows, "c long, v double"), "c", "v", 300).first()
+    means = np.array([np.mean([v for c, v in rows if c == k]) for k in range(120)])
+    draws = [means[rng.integers(0, 120, 120)].mean() for _ in range(2000)]
+    low, high = np.percentile(draws, [2.5, 97.5])
+    assert abs(got["mean"] - means.mean()) < 1e-9 and abs(got.low - low) < 0.15 and abs(got.high - high) < 0.15
