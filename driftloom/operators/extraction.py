@@ -99,17 +99,34 @@ def greedy_matches(edges: DataFrame, renames: dict[str, str] | None = None) -> D
     return grouped_map(projected, "run_id", ["side", "ordinal"], make, "run_id string, base_id string, outcome string, cf_id string, relation_after string, score double")
 
 
-def stability(runs: DataFrame) -> DataFrame:
-    """(doc, overlap, disappearance, new, flip) averaged over all pairs of repeated runs (doc, run, s, r, o); one relation per (s, o) counts, the least."""
-    one = runs.groupBy("doc", "run", "s", "o").agg(F.min("r").alias("r"))
-    present = one.select("doc", "run").distinct()
-    pairs = present.select("doc", F.col("run").alias("a")).join(present.select("doc", F.col("run").alias("b")), "doc").where("a < b")
-    left = pairs.join(one.withColumnRenamed("run", "a").withColumnRenamed("r", "ra"), ["doc", "a"])
-    right = pairs.join(one.withColumnRenamed("run", "b").withColumnRenamed("r", "rb"), ["doc", "b"])
-    both = left.join(right, ["doc", "a", "b", "s", "o"], "full").groupBy("doc", "a", "b").agg(F.count_if(F.col("ra") == F.col("rb")).alias("same"), F.count("ra").alias("na"), F.count("rb").alias("nb"), F.count_if(F.col("ra").isNotNull() & F.col("rb").isNotNull()).alias("common"))
-    n = F.col("na") + F.col("nb") - F.col("same")
-    per = both.select("doc", (F.col("same") / n).alias("overlap"), F.when(F.col("na") > 0, 1 - F.col("same") / F.col("na")).alias("disappearance"), F.when(F.col("nb") > 0, 1 - F.col("same") / F.col("nb")).alias("new"), F.when(F.col("common") > 0, 1 - F.col("same") / F.col("common")).alias("flip"))
-    return per.groupBy("doc").agg(*(F.avg(c).alias(c) for c in ("overlap", "disappearance", "new", "flip")))
+def stability(runs: DataFrame, present: DataFrame | None = None, order: str = "r") -> DataFrame:
+    """(doc, overlap, disappearance, new, flip, agreement) over all pairs of the repeated runs (doc, run, s, r, o) of a document.
+
+    The first four are means over the pairs for which they are defined, 0 if there are none: Jaccard of the edges (two empty
+    runs agree), what the first run has and the second lacks and the other way round, and among common (s, o) those with
+    another relation. ``agreement`` is the share of the (s, o) of all runs that have one relation throughout. Of several
+    relations of an (s, o) the first by ``order`` counts. ``present`` (doc, run) names runs that may have no edges.
+    """
+    edges = runs.select("doc", "run", "s", "r", "o").distinct()
+    all_runs = (present if present is not None else runs).select("doc", "run").distinct()
+    sizes = all_runs.join(edges.groupBy("doc", "run").agg(F.count("*").alias("n")), ["doc", "run"], "left").fillna(0)
+    side = lambda df, name, *keep: df.select("doc", F.col("run").alias(name), *keep)
+    pairs = side(sizes, "a", F.col("n").alias("na")).join(side(sizes, "b", F.col("n").alias("nb")), "doc").where("a < b")
+    both = side(edges, "a", "s", "r", "o").join(side(edges, "b", "s", "r", "o"), ["doc", "s", "r", "o"]).where("a < b").groupBy("doc", "a", "b").agg(F.count("*").alias("both"))
+    first = runs.groupBy("doc", "run", "s", "o").agg(F.min_by("r", order).alias("r"))
+    flips = side(first, "a", "s", "o", F.col("r").alias("ra")).join(side(first, "b", "s", "o", F.col("r").alias("rb")), ["doc", "s", "o"]).where("a < b").groupBy("doc", "a", "b").agg(F.avg((F.col("ra") != F.col("rb")).cast("double")).alias("flip"))
+    per = pairs.join(both, ["doc", "a", "b"], "left").fillna(0, ["both"]).join(flips, ["doc", "a", "b"], "left")
+    union = F.col("na") + F.col("nb") - F.col("both")
+    lost = lambda n: F.when(F.col(n) > 0, 1 - F.col("both") / F.col(n))
+    means = per.select("doc", F.when(union == 0, 1.0).otherwise(F.col("both") / union).alias("overlap"), lost("na").alias("disappearance"), lost("nb").alias("new"), "flip").groupBy("doc").agg(*(F.avg(c).alias(c) for c in ("overlap", "disappearance", "new", "flip")))
+    n_runs = all_runs.groupBy("doc").agg(F.count("*").alias("runs"))
+    held = first.groupBy("doc", "s", "o").agg(F.count("*").alias("n"), F.count_distinct("r").alias("kinds")).join(n_runs, "doc").where("n = runs").groupBy("doc").agg(F.avg((F.col("kinds") == 1).cast("double")).alias("agreement"))
+    return n_runs.select("doc").join(means, "doc", "left").join(held, "doc", "left").fillna(0.0)
+
+
+def stochastic_variance(outcomes: DataFrame, edge: str = "base_id") -> DataFrame:
+    """(edge, variance): the share of the other runs in which an edge was not found exactly."""
+    return outcomes.groupBy(edge).agg(F.avg((F.col("outcome") != "EXACT_SAME").cast("double")).alias("variance"))
 
 
 SPACE, SEPARATOR = r"[ \t\n\x0B\f\r]", "\x1f"

@@ -34,15 +34,46 @@ def only(target: str):
     return plan
 
 
+def _cost() -> Column:
+    """What a candidate costs; 1 if that is unknown or 0."""
+    return F.when(F.coalesce("estimated_cost", F.lit(0)) == 0, 1.0).otherwise(F.col("estimated_cost"))
+
+
 def cheapest_first(candidates: DataFrame, budget: int, seed: int = 0) -> DataFrame:
-    return _take(candidates, budget, F.col("estimated_cost"), _draw(seed))
+    return _take(candidates, budget, _cost(), _draw(seed))
+
 
+# What a clause is worth.
+CLAUSE_WORTH = {"C1_evidence_only": 5.0, "C2_infer_implicit": 5.0, "C3_use_schema": 4.0, "C4_allow_other": 4.0}
 
-def coarse_to_fine(candidates: DataFrame, budget: int, seed: int = 0) -> DataFrame:
-    """Schema before prompt before sentence; masks first within a tier; then utility per cost; then a draw."""
-    tier = F.when(F.col("target_type") == "schema", 0).when(F.col("target_type") == "prompt", 1).otherwise(2)
-    utility = F.coalesce(F.col("utility"), F.lit(1.0)) if "utility" in candidates.columns else F.lit(1.0)
-    return _take(candidates, budget, tier, (~F.col("operator").startswith("mask")).cast("int"), -utility / F.greatest(F.col("estimated_cost"), F.lit(1e-9)), _draw(seed))
+
+def coarse_to_fine(candidates: DataFrame, budget: int, seed: int = 0, evidence: DataFrame | None = None) -> DataFrame:
+    """Schema, then prompt clauses, then sentences that edges rest on, then other sentences; masks before removals; then worth per cost; then a draw.
+
+    ``evidence`` (document_id, sentence_id) has a row per edge and sentence that it cites.
+    """
+    known = candidates
+    if evidence is not None:
+        cited = evidence.groupBy("document_id", F.col("sentence_id").alias("target_id")).agg(F.count("*").alias("_cited"))
+        known = candidates.join(cited, ["document_id", "target_id"], "left")
+    cited = F.col("_cited") if evidence is not None else F.lit(None).cast("long")
+    kind, target = F.col("target_type"), F.col("target_id")
+    schema, clause, sentence = kind == "schema", kind == "prompt_clause", kind == "sentence"
+    rest = sentence & cited.isNotNull()
+    tier = F.when(schema, 0).when(clause, 1).when(rest, 2).when(sentence, 3).otherwise(9)
+    removal = F.when(sentence, (F.col("operator") != "mask").cast("int")).otherwise(0)
+    worth = (
+        F.when(schema, F.when(target.startswith("drop:") | target.startswith("ambiguous:"), 8.0).otherwise(6.0)).when(clause, F.coalesce(F.create_map(*(F.lit(x) for kv in CLAUSE_WORTH.items() for x in kv))[target], F.lit(2.0)))
+        .when(rest, 3.0 + cited).when(sentence, 0.5).otherwise(0.0)
+    )
+    return _take(known, budget, tier, removal, -worth / _cost(), _draw(seed)).select(*candidates.columns, "rank")
+
+
+def budget_curve(ranked: DataFrame, budgets: tuple[int, ...], found: str) -> DataFrame:
+    """(budget, selected, found, share): how many of the ``found`` (boolean) the first ``budget`` of each document's ranked candidates hold."""
+    steps = ranked.withColumn("budget", F.explode(F.array(*map(F.lit, budgets)))).where(F.col("rank") <= F.col("budget")).groupBy("budget").agg(F.count("*").alias("selected"), F.count_if(found).alias("found"))
+    whole = ranked.agg(F.count_if(found).alias("_all"))  # one row
+    return steps.crossJoin(whole).select("budget", "selected", "found", F.when(F.col("_all") > 0, F.col("found") / F.col("_all")).otherwise(0.0).alias("share"))
 
 
 def round_robin(candidates: DataFrame, budget: int, seed: int = 0) -> DataFrame:
@@ -128,7 +159,7 @@ def budgeted_stream(pairs: DataFrame, budget: float, threshold: float = 0.20, le
     return grouped_map(pairs, "stream", ["run_id"], lambda of: select_pairs(of, budget, threshold, least_seen), "stream string, run_id string, taken boolean, spent double")
 
 
-PLANNERS = {"exhaustive": exhaustive, "random": random, "span_only": only("sentence"), "prompt_only": only("prompt"), "schema_only": only("schema"), "cheapest": cheapest_first, "coarse_to_fine": coarse_to_fine, "round_robin": round_robin}
+PLANNERS = {"exhaustive": exhaustive, "random": random, "span_only": only("sentence"), "prompt_only": only("prompt_clause"), "schema_only": only("schema"), "cheapest": cheapest_first, "coarse_to_fine": coarse_to_fine, "round_robin": round_robin}
 
 
 def planner(name: str):

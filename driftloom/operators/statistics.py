@@ -164,8 +164,8 @@ def mean_rank(n: Column, by: list[str], value: str) -> Column:
     return F.sum(n).over(up) - (F.sum(n).over(W.partitionBy(*by, value)) - 1) / 2.0
 
 
-def iid_bootstrap(rows: DataFrame, row_id: str, value: str, replicates: int, by: str) -> DataFrame:
-    """(by, mean, low, high): percentile intervals of the mean over rows drawn with replacement, by group.
+def resampled(rows: DataFrame, row_id: str, value: str, replicates: int, by: str) -> DataFrame:
+    """(by, replicate, m, mean): means over rows drawn with replacement, by group, and the mean of the group itself.
 
     The j-th draw of a replicate is row number md5(group | replicate | j) modulo n, in order of ``row_id``. Draws are counted per
     row first, so what is joined with the rows is a multiplicity.
@@ -177,5 +177,30 @@ def iid_bootstrap(rows: DataFrame, row_id: str, value: str, replicates: int, by:
     hit = F.conv(F.substring(F.md5(F.concat_ws("|", by, "replicate", "j")), 1, 8), 16, 10).cast("long") % F.col("n")
     times = draws.groupBy(by, "replicate", hit.alias("i")).agg(F.count("*").alias("w"))
     means = times.join(placed, [by, "i"]).groupBy(by, "replicate").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
-    interval = means.groupBy(by).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
-    return sizes.select(by, "mean").join(interval, by)
+    return means.join(sizes.select(by, "mean"), by)
+
+
+def iid_bootstrap(rows: DataFrame, row_id: str, value: str, replicates: int, by: str) -> DataFrame:
+    """(by, mean, low, high): percentile intervals of the mean over rows drawn with replacement, by group."""
+    return resampled(rows, row_id, value, replicates, by).groupBy(by).agg(F.first("mean").alias("mean"), F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
+
+
+def proportion_verdict(rows: DataFrame, row_id: str, exceeds: str, budget: float, replicates: int = 200) -> DataFrame:
+    """(n, share, low, high, verdict): share of rows that exceed a tolerance, with the sorted replicates' int(0.025 B)-th and int(0.975 B)-th.
+
+    VIOLATED if the interval lies above the budget, SATISFIED below it, INCONCLUSIVE otherwise.
+    """
+    one = rows.select(F.lit("").alias("g"), row_id, F.col(exceeds).cast("double").alias("x"))
+    means = resampled(one, row_id, "x", replicates, "g")
+    ends = means.agg(F.sort_array(F.collect_list("m")).alias("m")).select(F.col("m")[int(0.025 * replicates)].alias("low"), F.col("m")[int(0.975 * replicates)].alias("high"))  # as many as replicates
+    whole = one.agg(F.count("*").alias("n"), F.avg("x").alias("share"))
+    return whole.crossJoin(ends).withColumn("verdict", F.when(F.col("low") > budget, "VIOLATED").when(F.col("high") < budget, "SATISFIED").otherwise("INCONCLUSIVE"))
+
+
+def cell_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Per cell: attempts, failures by kind, mean and median drift of what succeeded, and the mean with each failure as full drift."""
+    ok = F.col("status") == "ok"
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("attempted"), F.count_if(ok).alias("valid"), F.count_if(F.col("status") == "parse_error").alias("parse_failures"), F.count_if(~F.coalesce("status", F.lit("")).isin("ok", "parse_error")).alias("other_failures"),
+        F.avg(F.when(ok, F.col("drift"))).alias("mean_drift"), F.expr("percentile(case when status = 'ok' then drift end, 0.5)").alias("median_drift"), F.avg(F.when(ok, F.col("drift")).otherwise(1.0)).alias("failure_as_harm"),
+    )

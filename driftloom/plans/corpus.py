@@ -31,16 +31,18 @@ def lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object(text.lenient_json(broken), "$.k").cast("long"), F.lit(-1).cast("long")).alias("k"))
 
 
-@query("""WITH r AS (SELECT l_orderkey AS doc, l_suppkey % 3 AS run, 'p' || l_partkey % 5 AS s, min(l_returnflag) AS r, l_linestatus AS o FROM lineitem GROUP BY ALL), n AS (SELECT DISTINCT doc, run FROM r), p AS (SELECT a.doc, a.run AS a, b.run AS b FROM n a JOIN n b ON a.doc = b.doc AND a.run < b.run),
-x AS (SELECT p.doc, p.a, p.b, s, o, r AS ra FROM p JOIN r ON r.doc = p.doc AND r.run = p.a), y AS (SELECT p.doc, p.a, p.b, s, o, r AS rb FROM p JOIN r ON r.doc = p.doc AND r.run = p.b),
-z AS (SELECT doc, a, b, count(*) FILTER (ra = rb) AS same, count(ra) AS na, count(rb) AS nb, count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) AS common FROM x FULL JOIN y USING (doc, a, b, s, o) GROUP BY ALL)
-SELECT doc, round(avg(same / (na + nb - same)::DOUBLE), 6) AS overlap, round(avg(1 - same / na::DOUBLE), 6) AS disappearance, round(avg(1 - same / nb::DOUBLE), 6) AS "new", round(avg(CASE WHEN common > 0 THEN 1 - same / common::DOUBLE END), 6) AS flip FROM z GROUP BY doc""")
+@query("""WITH r AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey % 3 AS run, 'p' || l_partkey % 5 AS s, l_returnflag AS r, l_linestatus AS o FROM lineitem), n AS (SELECT doc, run, count(*) AS n FROM r GROUP BY ALL), f AS (SELECT doc, run, s, o, min(r) AS r FROM r GROUP BY ALL),
+p AS (SELECT a.doc, a.run AS a, b.run AS b, a.n AS na, b.n AS nb FROM n a JOIN n b ON a.doc = b.doc AND a.run < b.run), t AS (SELECT x.doc, x.run AS a, y.run AS b, count(*) AS same FROM r x JOIN r y ON x.doc = y.doc AND x.s = y.s AND x.r = y.r AND x.o = y.o AND x.run < y.run GROUP BY ALL),
+k AS (SELECT x.doc, x.run AS a, y.run AS b, avg((x.r <> y.r)::INT) AS flip FROM f x JOIN f y ON x.doc = y.doc AND x.s = y.s AND x.o = y.o AND x.run < y.run GROUP BY ALL), z AS (SELECT p.*, coalesce(same, 0) AS same, flip FROM p LEFT JOIN t USING (doc, a, b) LEFT JOIN k USING (doc, a, b)),
+m AS (SELECT doc, avg(same / (na + nb - same)::DOUBLE) AS overlap, avg(1 - same / na::DOUBLE) AS disappearance, avg(1 - same / nb::DOUBLE) AS "new", avg(flip) AS flip FROM z GROUP BY doc), c AS (SELECT doc, count(*) AS runs FROM n GROUP BY doc),
+g AS (SELECT doc, avg((kinds = 1)::INT) AS agreement FROM (SELECT doc, s, o, count(*) AS n, count(DISTINCT r) AS kinds FROM f GROUP BY ALL) JOIN c USING (doc) WHERE n = runs GROUP BY doc)
+SELECT doc, round(coalesce(overlap, 0.0), 6) AS overlap, round(coalesce(disappearance, 0.0), 6) AS disappearance, round(coalesce("new", 0.0), 6) AS "new", round(coalesce(flip, 0.0), 6) AS flip, round(coalesce(agreement, 0.0), 6) AS agreement FROM c LEFT JOIN m USING (doc) LEFT JOIN g USING (doc)""")
 def run_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as edges of three repeated runs."""
     l = table(spark, sf_dir, "lineitem")
     runs = l.select(F.col("l_orderkey").alias("doc"), (F.col("l_suppkey") % 3).alias("run"), F.concat(F.lit("p"), (F.col("l_partkey") % 5).cast("string")).alias("s"), F.col("l_returnflag").alias("r"), F.col("l_linestatus").alias("o"))
     out = extraction.stability(runs)
-    return out.withColumns({c: F.round(c, 6) for c in ("overlap", "disappearance", "new", "flip")})
+    return out.withColumns({c: F.round(c, 6) for c in ("overlap", "disappearance", "new", "flip", "agreement")})
 
 
 @query()
@@ -61,29 +63,49 @@ def greedy_edge_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.greedy_matches(edges(0, flag).unionByName(edges(1, after)), {"returned": "R"})
 
 
-CANDIDATES = """WITH c AS (SELECT l_orderkey::VARCHAR AS document_id, l_orderkey || ':' || l_linenumber AS intervention_id, CASE l_linenumber % 3 WHEN 0 THEN 'schema' WHEN 1 THEN 'prompt' ELSE 'sentence' END AS target_type, CASE WHEN l_returnflag = 'R' THEN 'mask' ELSE 'remove' END AS operator, l_returnflag AS cause_family, l_quantity AS estimated_cost FROM lineitem)
+CANDIDATES = """WITH c AS (SELECT l_orderkey::VARCHAR AS document_id, l_orderkey || ':' || l_linenumber AS intervention_id, CASE l_linenumber % 3 WHEN 0 THEN 'schema' WHEN 1 THEN 'prompt_clause' ELSE 'sentence' END AS target_type,
+  CASE l_linenumber % 3 WHEN 0 THEN CASE WHEN l_returnflag = 'A' THEN 'drop:P1' ELSE 'coarse' END WHEN 1 THEN CASE WHEN l_returnflag = 'A' THEN 'C1_evidence_only' WHEN l_returnflag = 'R' THEN 'C3_use_schema' ELSE 'C9' END ELSE 's' || l_linenumber END AS target_id,
+  CASE WHEN l_returnflag = 'R' THEN 'mask' ELSE 'remove' END AS operator, l_returnflag AS cause_family, l_quantity AS estimated_cost, (l_orderkey + l_linenumber) % 4 = 0 AS changed FROM lineitem),
+v AS (SELECT l_orderkey::VARCHAR AS document_id, 's' || l_linenumber AS target_id, count(*) AS cited FROM lineitem WHERE l_tax > 0.03 GROUP BY ALL),
+cf AS (SELECT c.*, CASE WHEN target_type = 'schema' THEN 0 WHEN target_type = 'prompt_clause' THEN 1 WHEN cited IS NOT NULL THEN 2 ELSE 3 END AS tier, CASE WHEN target_type = 'sentence' THEN (operator <> 'mask')::INT ELSE 0 END AS removal,
+  CASE WHEN target_type = 'schema' THEN CASE WHEN target_id LIKE 'drop:%' THEN 8.0 ELSE 6.0 END WHEN target_type = 'prompt_clause' THEN CASE target_id WHEN 'C1_evidence_only' THEN 5.0 WHEN 'C3_use_schema' THEN 4.0 ELSE 2.0 END WHEN cited IS NOT NULL THEN 3.0 + cited ELSE 0.5 END::DOUBLE AS worth FROM c LEFT JOIN v USING (document_id, target_id))
 """
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("l_linenumber") % 3
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("document_id"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("intervention_id"), F.when(n == 0, "schema").when(n == 1, "prompt").otherwise("sentence").alias("target_type"), F.when(F.col("l_returnflag") == "R", "mask").otherwise("remove").alias("operator"), F.col("l_returnflag").alias("cause_family"), F.col("l_quantity").alias("estimated_cost"))
+    n, flag = F.col("l_linenumber") % 3, F.col("l_returnflag")
+    target = F.when(n == 0, F.when(flag == "A", "drop:P1").otherwise("coarse")).when(n == 1, F.when(flag == "A", "C1_evidence_only").when(flag == "R", "C3_use_schema").otherwise("C9")).otherwise(F.concat(F.lit("s"), "l_linenumber"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("document_id"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("intervention_id"), F.when(n == 0, "schema").when(n == 1, "prompt_clause").otherwise("sentence").alias("target_type"), target.alias("target_id"),
+        F.when(flag == "R", "mask").otherwise("remove").alias("operator"), flag.alias("cause_family"), F.col("l_quantity").alias("estimated_cost"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 4 == 0).alias("changed"),
+    )
 
 
 @query(CANDIDATES + """SELECT * FROM (SELECT 'random' AS planner, document_id, intervention_id, row_number() OVER (PARTITION BY document_id ORDER BY sha256('0|' || intervention_id)) AS rank FROM c
 UNION ALL SELECT 'cheapest', document_id, intervention_id, row_number() OVER (PARTITION BY document_id ORDER BY estimated_cost, sha256('0|' || intervention_id)) FROM c
 UNION ALL SELECT 'schema_only', document_id, intervention_id, row_number() OVER (PARTITION BY document_id ORDER BY sha256('0|' || intervention_id)) FROM c WHERE target_type = 'schema'
-UNION ALL SELECT 'coarse_to_fine', document_id, intervention_id, row_number() OVER (PARTITION BY document_id ORDER BY CASE target_type WHEN 'schema' THEN 0 WHEN 'prompt' THEN 1 ELSE 2 END, (operator <> 'mask')::INT, -1.0 / greatest(estimated_cost, 1e-9), sha256('0|' || intervention_id)) FROM c
+UNION ALL SELECT 'coarse_to_fine', document_id, intervention_id, row_number() OVER (PARTITION BY document_id ORDER BY tier, removal, -worth / estimated_cost, sha256('0|' || intervention_id)) FROM cf
 UNION ALL SELECT 'round_robin', document_id, intervention_id, row_number() OVER (PARTITION BY document_id ORDER BY t, cause_family) FROM (SELECT *, row_number() OVER (PARTITION BY document_id, cause_family ORDER BY sha256('0|' || intervention_id)) AS t FROM c)) WHERE rank <= 2""")
 def budget_planners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five planners with a budget of two per document."""
     c, out = _candidates(spark, sf_dir), None
+    cited = table(spark, sf_dir, "lineitem").where("l_tax > 0.03").select(F.col("l_orderkey").cast("string").alias("document_id"), F.concat(F.lit("s"), "l_linenumber").alias("sentence_id"))
     for name in ("random", "cheapest", "schema_only", "coarse_to_fine", "round_robin"):
-        part = planning.planner(name)(c, 2).select(F.lit(name).alias("planner"), "document_id", "intervention_id", F.col("rank").cast("long").alias("rank"))
+        made = planning.coarse_to_fine(c, 2, evidence=cited) if name == "coarse_to_fine" else planning.planner(name)(c, 2)
+        part = made.select(F.lit(name).alias("planner"), "document_id", "intervention_id", F.col("rank").cast("long").alias("rank"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+@query(CANDIDATES + """, k AS (SELECT 'random' AS planner, changed, row_number() OVER (PARTITION BY document_id ORDER BY sha256('0|' || intervention_id)) AS rank FROM c UNION ALL SELECT 'cheapest', changed, row_number() OVER (PARTITION BY document_id ORDER BY estimated_cost, sha256('0|' || intervention_id)) FROM c)
+SELECT planner, b.b AS budget, count(*) AS selected, count(*) FILTER (changed) AS found, round(count(*) FILTER (changed) / (SELECT count(*) FROM c WHERE changed)::DOUBLE, 6) AS share FROM k JOIN (SELECT unnest([1, 2, 3, 5]) AS b) b ON rank <= b.b GROUP BY ALL""")
+def budget_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What share of the changes two planners find, by budget per document."""
+    c = _candidates(spark, sf_dir)
+    parts = [planning.budget_curve(planning.planner(name)(c, 1 << 30), (1, 2, 3, 5), "changed").select(F.lit(name).alias("planner"), "budget", "selected", "found", F.round("share", 6).alias("share")) for name in ("random", "cheapest")]
+    return parts[0].unionByName(parts[1])
+
+
 @query()
 def adaptive_planner(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _candidates(spark, sf_dir).withColumn("family_yield", F.when(F.col("cause_family") == "R", 0.5).otherwise(0.1)).withColumn("group_yield", F.col("estimated_cost") / 50)

@@ -258,3 +258,34 @@ def eligible_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("documents"), F.coalesce(F.sum("value"), F.lit(0.0)).cast("decimal(38,2)").cast("double").alias("total"), F.round(F.coalesce(F.avg("value"), F.lit(0.0)), 6).alias("mean"), F.count_if(F.col("event_type").like("p%")).alias("matching"))
+
+
+@query(CANONICAL + """, mr AS (SELECT doc, round(base_recall, 9) AS a, round(recall, 9) AS b, row_number() OVER (ORDER BY doc) - 1 AS i, count(*) OVER () AS n FROM recall WHERE family = 'model'), mx AS (SELECT *, (round(abs(a - b), 9) > 0.2)::INT::DOUBLE AS over FROM mr),
+mq AS (SELECT r.r, ('0x' || left(md5('' || '|' || r.r || '|' || mx.i), 8))::BIGINT % mx.n AS i FROM mx CROSS JOIN (SELECT unnest(range(0, 60)) AS r) r), mm AS (SELECT r, avg(over) AS m FROM mq JOIN mx USING (i) GROUP BY r), ms AS (SELECT list_sort(list(m)) AS m FROM mm)
+SELECT (SELECT count(*) FROM mx) AS n, (SELECT round(avg(a), 6) FROM mx) AS base_recall, (SELECT round(avg(b), 6) FROM mx) AS recall, (SELECT round(avg(abs(a - b)), 6) FROM mx) AS difference, (SELECT round(avg(over), 6) FROM mx) AS share, round(m[2], 6) AS low, round(m[59], 6) AS high,
+CASE WHEN m[2] > 0.2 THEN 'VIOLATED' WHEN m[59] < 0.2 THEN 'SATISFIED' ELSE 'INCONCLUSIVE' END AS verdict FROM ms""")
+def cross_model_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold recall of two models on the documents of both: how often it differs by more than 0.2, with a resampled interval and its verdict."""
+    docs, elements, families = derived.args(spark, sf_dir)
+    own = views.renamed(elements, derived.RENAMED)
+    both = views.gold_recall(docs, own, derived.gold(spark, sf_dir), families, ["s", "r", "o"]).where("family = 'model'").withColumns({"a": F.round("base_recall", 9), "b": F.round("recall", 9)})
+    both = both.withColumn("over", F.round(F.abs(F.col("a") - F.col("b")), 9) > 0.2)
+    means = both.agg(F.round(F.avg("a"), 6).alias("base_recall"), F.round(F.avg("b"), 6).alias("recall"), F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 6).alias("difference"))
+    found = statistics.proportion_verdict(both, "doc", "over", 0.2, 60)
+    return _rounded(found.crossJoin(means), "share", "low", "high")  # one row each
+
+
+@query("""WITH r AS (SELECT user_id % 10 AS corpus, CASE event_id % 7 WHEN 0 THEN 'parse_error' WHEN 1 THEN 'api_error' ELSE 'ok' END AS status, event_type AS family, value / 1000 AS drift FROM events)
+SELECT corpus, family, count(*) AS attempted, count(*) FILTER (status = 'ok') AS valid, count(*) FILTER (status = 'parse_error') AS parse_failures, count(*) FILTER (status = 'api_error') AS other_failures, round(avg(drift) FILTER (status = 'ok'), 6) AS mean_drift,
+round(quantile_cont(drift, 0.5) FILTER (status = 'ok'), 6) AS median_drift, round(avg(CASE WHEN status = 'ok' THEN drift ELSE 1.0 END), 6) AS failure_as_harm FROM r GROUP BY ALL""")
+def magnitude_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 7
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("corpus"), F.when(k == 0, "parse_error").when(k == 1, "api_error").otherwise("ok").alias("status"), F.col("event_type").alias("family"), (F.col("value") / 1000).alias("drift"))
+    return _rounded(statistics.cell_summary(rows, ["corpus", "family"]), "mean_drift", "median_drift", "failure_as_harm")
+
+
+@query("""SELECT l_partkey AS part, count(DISTINCT o_custkey) AS n_documents, count(DISTINCT l_suppkey) AS n_tails FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL HAVING count(DISTINCT o_custkey) >= 2""")
+def shared_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads that two documents or more have, with how many and how many tails."""
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    return l.join(o, l.l_orderkey == o.o_orderkey).groupBy(F.col("l_partkey").alias("part")).agg(F.count_distinct("o_custkey").alias("n_documents"), F.count_distinct("l_suppkey").alias("n_tails")).where("n_documents >= 2")

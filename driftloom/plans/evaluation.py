@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftloom.operators import contracts, lineage, statistics, views
 
-from driftloom.sources.store import kept
+from driftloom.sources.store import kept, written
 
 from . import derived
 from .derived import table
@@ -192,7 +192,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _make_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, elements, families = derived.args(spark, sf_dir)
-    own = views.renamed(elements, derived.RENAMED)
+    own = written(views.renamed(elements, derived.RENAMED), "canonical")
     top = views.as_masks(views.top_nodes(views.out_degrees(own, families), families, 3), families, ["node"])
     seeds = views.top_nodes(views.out_degrees(own.where(views.has(views.BASE)), ()), (), 1)
     parts = [
