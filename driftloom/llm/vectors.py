@@ -20,7 +20,7 @@ from .common import arrow_map, columns, spool
 from .components import components
 
 #: Queries of one block, bytes of candidates of one block, candidates of one tile, dimensions whose int8 products float32 holds.
-ASKED, CANDIDATES, TILE, EXACT = 4096, 32 << 20, 1024, 1024
+ASKED, CANDIDATES, TILE, EXACT = 4096, 8 << 20, 1024, 1024
 #: k-means: rows of the sample, vectors a cell should hold, most cells of one level, rounds.
 SAMPLE, CELL, CELLS, ROUNDS = 20_000, 512, 4096, 8
 #: Rows from which a cell is cut into cells of its own, and cells that a vector may lie in on average where one is cut.
