@@ -1,7 +1,7 @@
 """Operators 4 and 10 on embedding tables: exact top-k by int8 tiles with error bounds, and near-duplicate groups by cells.
 
-In both, vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of another
-length than the most frequent one (ties: the longer) of the table, or of the candidates.
+In both, vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without vec_id and
+vectors of another length than the most frequent one (ties: the longer) of the table, or of the candidates.
 """
 
 from __future__ import annotations
@@ -31,9 +31,14 @@ MARGIN = 0.08
 BLOCK = 2048
 
 
-def sound(table: DataFrame) -> DataFrame:
+def is_sound() -> Column:
     e = F.col("embedding")
-    return table.where(e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0))
+    whole = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
+    return F.coalesce(F.col("vec_id").isNotNull() & e.isNotNull() & whole, F.lit(False))
+
+
+def sound(table: DataFrame) -> DataFrame:
+    return table.where(is_sound())
 
 
 def common_width(table: DataFrame) -> int:
@@ -255,7 +260,8 @@ def near_duplicates(table: DataFrame, least: float = 0.95) -> DataFrame:
     meets is two blocks, once, so a crowded cell is dealt over many tasks; what comes out is a count per vector and a
     spanning forest, never the pairs.
     """
-    rows = usable(table)
+    width = common_width(table)
+    rows = usable(table, width)
     same = spool(rows.groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
     n = same.count()
     if not n:
@@ -341,5 +347,6 @@ def near_duplicates(table: DataFrame, least: float = 0.95) -> DataFrame:
     joined = components(found.where("peer is not null").select(F.col("rep").alias("a"), F.col("peer").alias("b")))
     classes = same.join(links, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select("raw", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     known = spool(rows.join(classes, "raw").select("vec_id", "n_links", "component_id"), "linked")
-    whole = known.unionByName(table.select(F.col("vec_id").cast("long")).join(known.select("vec_id"), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    others = table.where(~(is_sound() & F.coalesce(F.size("embedding") == width, F.lit(False)))).select(F.col("vec_id").cast("long"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
+    whole = known.unionByName(others)
     return whole.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
