@@ -37,6 +37,8 @@ from .components import components
 from .lexicon import words_of
 
 WORDS, SAMPLED, RANGE_TOKENS, SHARE, BLOCK = 5, 0.5, 1 << 20, 64, 192
+#: Tokens from which a range is not one group; hash ranges hold about RANGE_TOKENS, and more where very many sets hold one token.
+HEAVY = 4 * RANGE_TOKENS
 #: Rows of (node, key) up to which they are broadcast to the texts or sets.
 BROADCAST_ROWS = 2_000_000
 #: Salts of the rounds in which sets meet leaders; a round leaves out what the ones before have put into one group.
@@ -99,7 +101,7 @@ _CUT = np.uint64(int(SAMPLED * 2**64))
 
 
 def token_runs(docs: DataFrame, bits: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, sig) per document, and (range, run) with the packed sampled tokens of a slice."""
+    """Rows of two kinds: (doc_id, n, sig) per document, and (range, m, run) with the m packed sampled tokens of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -123,7 +125,7 @@ def token_runs(docs: DataFrame, bits: int) -> DataFrame:
             of_range = (tokens >> np.uint64(64 - bits)).astype(np.int64)
             cuts = [*np.flatnonzero(np.diff(of_range, prepend=-1)).tolist(), len(tokens)]
             low = ((tokens << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-            runs, ranges = [], []
+            runs, ranges, amounts = [], [], []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 r = int(of_range[a])
                 held, local = np.unique(owner[a:b], return_inverse=True)
@@ -132,34 +134,41 @@ def token_runs(docs: DataFrame, bits: int) -> DataFrame:
                 head = np.array([b - a, len(held), np.dtype(wide).itemsize], np.uint32).tobytes()
                 runs.append(pack(head + keys + size[held].astype(np.uint32).tobytes() + sampled[held].astype(np.uint32).tobytes() + np.diff(low[a:b], prepend=np.uint32(0)).tobytes() + local.astype(wide).tobytes()))
                 ranges.append(r)
+                amounts.append(b - a)
             m = len(runs)
-            yield columns(doc_id=pa.concat_arrays([batch.column("doc_id"), pa.nulls(m, pa.int64())]), n=pa.array([len(s) for s in sets] + [None] * m, pa.int64()), sig=pa.array(sig + [None] * m, pa.binary()), range=pa.array([None] * len(sets) + ranges, pa.int32()), run=pa.array([None] * len(sets) + runs, pa.binary()))
+            yield columns(doc_id=pa.concat_arrays([batch.column("doc_id"), pa.nulls(m, pa.int64())]), n=pa.array([len(s) for s in sets] + [None] * m, pa.int64()), sig=pa.array(sig + [None] * m, pa.binary()), range=pa.array([None] * len(sets) + ranges, pa.int32()), m=pa.array([None] * len(sets) + amounts, pa.int64()), run=pa.array([None] * len(sets) + runs, pa.binary()))
 
-    return arrow_map(docs, run, "doc_id long, n long, sig binary, range int, run binary")
+    return arrow_map(docs, run, "doc_id long, n long, sig binary, range int, m long, run binary")
 
 
-def shared_tokens(runs: DataFrame, bits: int) -> DataFrame:
-    """(key, n, sampled, tokens, sets): per set and range its tokens that two sets or more hold, with how many hold each."""
+def unpacked(run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, sizes and numbers of sampled tokens of a run's sets; its tokens within their range, and whose they are."""
+    raw = zstandard.ZstdDecompressor().decompress(run)
+    m, k, w = np.frombuffer(raw, np.uint32, 3).tolist()
+    at = 12
+    low = np.cumsum(np.frombuffer(raw, np.uint32, m, at + 16 * k), dtype=np.uint32)
+    who = np.frombuffer(raw, np.uint16 if w == 2 else np.uint32, m, at + 16 * k + 4 * m).astype(np.int64)
+    return np.frombuffer(raw, np.uint64, k, at), np.frombuffer(raw, np.uint32, k, at + 8 * k), np.frombuffer(raw, np.uint32, k, at + 12 * k), low, who
+
+
+SHARED = "key long, n long, sampled long, tokens array<long>, sets array<long>"
+
+
+def shared_tokens(runs: DataFrame) -> DataFrame:
+    """(key, n, sampled, tokens, sets): per set and range its tokens that two sets or more hold, with how many hold each. ``runs``: (range, m, run)."""
 
     def count(rows: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
         r = rows.column("range")[0].as_py()
-        keys, sizes, samples, low, who, base = [], [], [], [], [], 0
+        parts, base = [], 0
         for raw in rows.column("run").to_pylist():
-            raw = unpack(raw)
-            m, k, w = np.frombuffer(raw, np.uint32, 3).tolist()
-            at = 12
-            keys.append(np.frombuffer(raw, np.uint64, k, at))
-            sizes.append(np.frombuffer(raw, np.uint32, k, at + 8 * k))
-            samples.append(np.frombuffer(raw, np.uint32, k, at + 12 * k))
-            low.append(np.cumsum(np.frombuffer(raw, np.uint32, m, at + 16 * k), dtype=np.uint32))
-            who.append(np.frombuffer(raw, np.uint16 if w == 2 else np.uint32, m, at + 16 * k + 4 * m).astype(np.int64) + base)
-            base += k
-        key, size, sample = np.concatenate(keys), np.concatenate(sizes), np.concatenate(samples)
+            key, size, sample, low, who = unpacked(raw)
+            parts.append((key, size, sample, low, who + base))
+            base += len(key)
+        key, size, sample, low, who = (np.concatenate(x) for x in zip(*parts, strict=True))
         # One number per distinct set: copies from different slices are one.
         key, first, number = np.unique(key, return_index=True, return_inverse=True)
         size, sample = size[first], sample[first]
-        code = np.unique((np.concatenate(low).astype(np.uint64) << np.uint64(32)) | number[np.concatenate(who)].astype(np.uint64))
+        code = np.unique((low.astype(np.uint64) << np.uint64(32)) | number[who].astype(np.uint64))
         token, owner = (code >> np.uint64(32)).astype(np.int64), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         held = np.diff(np.append(starts, len(token)))
@@ -174,7 +183,29 @@ def shared_tokens(runs: DataFrame, bits: int) -> DataFrame:
         release()
         return pa.table({"key": key[mine].view(np.int64), "n": size[mine].astype(np.int64), "sampled": sample[mine].astype(np.int64), "tokens": pa.ListArray.from_arrays(ends.astype(np.int32), whole), "sets": pa.ListArray.from_arrays(ends.astype(np.int32), sets.astype(np.int64))})
 
-    return runs.groupBy("range").applyInArrow(count, "key long, n long, sampled long, tokens array<long>, sets array<long>")
+    heavy = spool(runs.groupBy("range").agg(F.sum("m").alias("m")).where(F.col("m") > HEAVY).select("range"), "heavy")
+    if heavy.isEmpty():
+        return runs.groupBy("range").applyInArrow(count, SHARED)
+    # At most as many rows as ranges, 2 ** 30 in all and few that are heavy.
+    light = runs.join(F.broadcast(heavy), "range", "left_anti").select("range", "m", "run")
+    return light.groupBy("range").applyInArrow(count, SHARED).unionByName(heavy_tokens(runs.join(F.broadcast(heavy), "range").select("range", "run")))
+
+
+def heavy_tokens(runs: DataFrame) -> DataFrame:
+    """The same for ranges that are too large for a group: a row per token and set, counted and joined in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, raw in zip(batch.column("range").to_pylist(), batch.column("run").to_pylist(), strict=True):
+                key, size, sample, low, who = unpacked(raw)
+                for at in range(0, len(low), 1 << 18):
+                    of = who[at : at + (1 << 18)]
+                    yield columns(token=(np.int64(r) << np.int64(32)) | low[at : at + (1 << 18)].astype(np.int64), key=key[of].view(np.int64), range=np.full(len(of), r, np.int32), n=size[of].astype(np.int64), sampled=sample[of].astype(np.int64))
+
+    each = spool(arrow_map(runs, run, "token long, key long, range int, n long, sampled long").distinct(), "each")
+    held = spool(each.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "held")
+    lists = each.join(held, "token").groupBy("key", "range").agg(F.max("n").alias("n"), F.max("sampled").alias("sampled"), F.collect_list(F.struct("token", "sets")).alias("x"))
+    return lists.select("key", "n", "sampled", F.col("x.token").alias("tokens"), F.col("x.sets").alias("sets"))
 
 
 def survivors(shared: DataFrame, bits: int) -> DataFrame:
@@ -406,7 +437,7 @@ def ngram_jaccard_components(docs: DataFrame, count_links: bool = True) -> DataF
     staged = spool(token_runs(docs, bits), "tokens")
     sets = spool(staged.where("range is null").select("doc_id", "n", "sig"), "sigs")
     classes = spool(sets.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("docs")), "classes")
-    shared = spool(shared_tokens(staged.where("range is not null").select("range", "run"), bits), "shared")
+    shared = spool(shared_tokens(staged.where("range is not null").select("range", "m", "run")), "shared")
     unspool(staged)
     named = classes.select("node", F.col("sig").substr(1, 8).alias("half"))
     alive = spool(survivors(shared, bits).withColumn("half", _le_bytes(F.col("key"))).join(named, "half").select("node", "n", "need", "sample", "first"), "alive")

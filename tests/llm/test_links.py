@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pytest
 
 from driftloom.llm import jaccard
 
@@ -56,9 +57,10 @@ def test_tokens_that_fall_together_lose_no_link(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in got} == brute_links(rows)
 
 
-def test_fragments_and_shared_passages(spark, monkeypatch):
+@pytest.mark.parametrize("heavy", [None, 150])
+def test_fragments_and_shared_passages(spark, monkeypatch, heavy):
     """With one salt near copies end in many groups, so links are found by asking and opening groups, in several blocks."""
-    for name, value in (("ROUNDS", (range(1),)), ("BLOCK", 8), ("SHARE", 4)):
+    for name, value in (("ROUNDS", (range(1),)), ("BLOCK", 8), ("SHARE", 4), *([("HEAVY", heavy)] if heavy else [])):  # some ranges are larger than 150 tokens
         monkeypatch.setattr(jaccard, name, value)
     rng = np.random.default_rng(31)
     words = [f"w{i}" for i in range(900)]
