@@ -35,10 +35,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = spool(docs.select(*(F.col(f"`{c}`").alias(i) for c, i in inner.items())).withColumn("_row", F.monotonically_increasing_id()), "rows")
     found = spool(ngram_jaccard_components(rows.select(F.col("_row").alias("doc_id"), F.col(inner["text"]).alias("text")), count_links=False).select(F.col("doc_id").alias("_row"), "component_id"), "found")
     # Only rows of groups of two or more are looked at further.
-    groups = found.where("component_id <> _row").select("component_id").distinct()
-    members = spool(found.join(groups, "component_id").join(rows.select("_row", F.col(inner["doc_id"]).alias("_id")), "_row"), "members")
+    groups = spool(found.where("component_id <> _row").select("component_id").distinct(), "groups")
+    few = groups.count() <= BROADCAST_ROWS
+    members = spool(found.join(F.broadcast(groups) if few else groups, "component_id").join(rows.select("_row", F.col(inner["doc_id"]).alias("_id")), "_row"), "members")
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).getField("_row").alias("first"))
-    dropped = spool(members.join(first, "component_id").where("_row <> first").select("_row"), "dropped")
+    dropped = spool(members.join(F.broadcast(first) if few else first, "component_id").where("_row <> first").select("_row"), "dropped")
     left = rows.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, "_row", "left_anti")
     return left.select(*(F.col(i).alias(c) for c, i in inner.items()))
 
