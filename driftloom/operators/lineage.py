@@ -94,3 +94,29 @@ def eligible(gold: DataFrame, schema: DataFrame, relation: str, by: list[str]) -
     known = schema.select(relation).distinct().withColumn("_known", F.lit(True))
     marked = gold.join(F.broadcast(known), relation, "left")  # a schema is a few relations
     return marked.groupBy(*by).agg(F.count("*").alias("n_gold"), F.count("_known").alias("eligible"), F.count_if(F.col("_known").isNull()).alias("excluded"))
+
+
+def load(runs: DataFrame, edges: DataFrame, gold: DataFrame, outcomes: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What an evaluation reads of a lineage: runs, linked edges, gold edges.
+
+    Runs are the successful ones (run_id, document_id, base_event_id, cf_event_id, cause_family). The event of a run's first matched
+    edge by ordinal counts before the recorded one, and a run without a matched edge keeps its own, so empty views stay;
+    a family that is not known is ``unknown``. Edges (event_id, s, r, o) and gold (document_id, s, r, o) are distinct.
+    """
+    matched = outcomes.where("matched_edge_id is not null and matched_edge_id <> ''")
+    first = matched.groupBy("run_id").agg(F.min_by(F.regexp_extract("matched_edge_id", "^(.*)::", 1), "ordinal").alias("_event"))
+    families = candidates.select("intervention_id", "cause_family")
+    found = runs.where("status = 'ok'").join(first, "run_id", "left").join(families, "intervention_id", "left")
+    chosen = found.select("run_id", "document_id", "base_event_id", F.coalesce("_event", "cf_event_id").alias("cf_event_id"), F.coalesce("cause_family", F.lit("unknown")).alias("cause_family"))
+    linked = edges.where("subject_entity_id is not null and object_entity_id is not null").select("event_id", F.col("subject_entity_id").alias("s"), F.col("relation").alias("r"), F.col("object_entity_id").alias("o")).distinct()
+    truth = gold.select("document_id", F.col("head_entity_id").alias("s"), F.col("relation_base").alias("r"), F.col("tail_entity_id").alias("o")).distinct()
+    return chosen, linked, truth
+
+
+def completed_keys(records: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Keys whose last record succeeded."""
+    return latest(records, keys, order).where("status = 'ok'").select(*keys)
+
+
+def event_counts(events: DataFrame) -> DataFrame:
+    return events.groupBy("document_id").agg(F.count("*").alias("n"))

@@ -397,3 +397,29 @@ AMPLIFICATION_EPS = 0.05
 
 def amplification(query_drift: Column, graph_drift: Column) -> Column:
     return query_drift / (graph_drift + AMPLIFICATION_EPS)
+
+
+#: Counterfactual views of one key of ``docs``.
+SLOTS = 62
+
+
+def indexed(runs: DataFrame, edges: DataFrame, slots: int = SLOTS) -> tuple[DataFrame, DataFrame, Families, DataFrame]:
+    """A lineage's runs (run_id, base_event_id, cf_event_id) and edges (event_id, s, r, o) as documents, elements, families and an index.
+
+    A base event's runs take the bits of its key in order of run_id, ``slots`` of them; further ones make a key of their own. Families are the
+    slots in use, ``index`` has (run_id, doc, family), and ``per_run`` puts results back. Views without edges stay.
+    """
+    place = F.row_number().over(W.partitionBy("base_event_id").orderBy("run_id")) - 1
+    placed = runs.withColumn("_k", place).select("run_id", "base_event_id", "cf_event_id", F.concat_ws("#", "base_event_id", F.floor(F.col("_k") / slots).cast("string")).alias("doc"), (F.col("_k") % slots).cast("int").alias("slot"))
+    placed = written(placed, "index")
+    used = placed.agg(F.max("slot")).first()[0]  # one number
+    families = tuple(str(i) for i in range((used if used is not None else -1) + 1))
+    base = placed.select("doc", F.col("base_event_id").alias("event_id")).distinct().withColumn("mask", F.lit(BASE).cast("long"))
+    other = placed.select("doc", F.col("cf_event_id").alias("event_id"), F.call_function("shiftleft", F.lit(2).cast("long"), "slot").alias("mask"))
+    elements = masked(base.unionByName(other).join(edges, "event_id"), ["s", "r", "o"])
+    return placed.select("doc").distinct(), elements, families, placed.select("run_id", "doc", F.col("slot").cast("string").alias("family"))
+
+
+def per_run(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows (family, doc, …) of a metric as (run_id, …)."""
+    return index.join(rows, ["doc", "family"]).drop("doc", "family")

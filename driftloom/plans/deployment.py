@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftloom.functions import prompts
 from driftloom.operators import lineage, statistics, views
 from driftloom.sources.store import kept
 
@@ -289,3 +290,37 @@ def shared_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heads that two documents or more have, with how many and how many tails."""
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     return l.join(o, l.l_orderkey == o.o_orderkey).groupBy(F.col("l_partkey").alias("part")).agg(F.count_distinct("o_custkey").alias("n_documents"), F.count_distinct("l_suppkey").alias("n_tails")).where("n_documents >= 2")
+
+
+@query("""WITH m AS (SELECT l_orderkey AS run_id, arg_min('ev' || l_suppkey, l_linenumber * 100000 + l_suppkey) AS event FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_orderkey), k AS (SELECT * FROM (VALUES ('1-URGENT', 'schema'), ('2-HIGH', 'prompt')) t(kind, family))
+SELECT o_orderkey AS run_id, 'c' || o_custkey AS document_id, 'base' || o_custkey AS base_event_id, coalesce(event, 'own' || o_orderkey) AS cf_event_id, coalesce(family, 'unknown') AS cause_family FROM orders LEFT JOIN m ON run_id = o_orderkey LEFT JOIN k ON kind = o_orderpriority WHERE o_orderstatus = 'F'""")
+def loaded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished orders as successful runs; the event of a run's first matched edge comes before the recorded one."""
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    runs = o.select(F.col("o_orderkey").alias("run_id"), text("c", "o_custkey").alias("document_id"), text("base", "o_custkey").alias("base_event_id"), text("own", "o_orderkey").alias("cf_event_id"), F.col("o_orderpriority").alias("intervention_id"), F.when(F.col("o_orderstatus") == "F", "ok").otherwise("failed").alias("status"))
+    outcomes = l.select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_returnflag") != "N", F.concat_ws("::", text("ev", "l_suppkey"), F.lit("x"))).alias("matched_edge_id"), (F.col("l_linenumber") * 100_000 + F.col("l_suppkey")).alias("ordinal"))
+    candidates = spark.createDataFrame([("1-URGENT", "schema"), ("2-HIGH", "prompt")], "intervention_id string, cause_family string")
+    none = spark.createDataFrame([], "event_id string, document_id string, subject_entity_id string, relation string, object_entity_id string, head_entity_id string, relation_base string, tail_entity_id string")
+    return lineage.load(runs, none, none, outcomes, candidates)[0]
+
+
+@query(derived.SQL + """, x AS (SELECT family, doc, s, r, o, max(b) AS b, max(c) AS c FROM (SELECT p.family, p.doc, s, r, o, 1 AS b, 0 AS c FROM p JOIN b q ON q.doc = p.doc UNION ALL SELECT family, doc, s, r, o, 0, 1 FROM c) GROUP BY ALL)
+SELECT p.family || ':' || p.doc AS run_id, round(coalesce(sum(x.b * x.c) / nullif(count(x.b), 0)::DOUBLE, 1.0), 6) AS jaccard FROM p LEFT JOIN x ON x.family = p.family AND x.doc = p.doc GROUP BY p.family, p.doc""")
+def run_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge Jaccard of every run of a lineage in rows of (event, edge), two views to a key."""
+    edges = views.long_form(derived.elements(spark, sf_dir), derived.FAMILIES, "base").select(F.concat_ws(":", "family", "doc").alias("event_id"), "s", "r", "o")
+    runs = derived.documents(spark, sf_dir).select("doc", F.explode(F.array(*map(F.lit, derived.FAMILIES))).alias("family")).select(F.concat_ws(":", "family", "doc").alias("run_id"), F.concat_ws(":", F.lit("base"), "doc").alias("base_event_id"), F.concat_ws(":", "family", "doc").alias("cf_event_id"))
+    docs, elements, families, index = views.indexed(runs, edges, slots=2)
+    return _rounded(views.per_run(views.jaccard(docs, elements, families), index), "jaccard")
+
+
+@query("""WITH d AS (SELECT conv_id, string_agg('[' || (turn + 1) || '] ' || coalesce(text, ''), chr(10) ORDER BY turn, role, text) AS body FROM conversations GROUP BY conv_id), p AS (SELECT conv_id, 'Rules:' || chr(10) || '- be exact' || chr(10) || '- cite' || chr(10) || chr(10) || body || chr(10) || '{clauses}?' AS prompt FROM d)
+SELECT conv_id, sha256(prompt) AS prompt, sha256('m=m1|t=0.0|s=7' || chr(10) || prompt) AS cache_key FROM p""")
+def rendered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents of a prompt, with the keys under which responses would be kept."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", F.struct(F.col("turn").alias("sentence_index"), "role", F.coalesce("text", F.lit("")).alias("text")).alias("s"))
+    d = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    clauses = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(x).alias("text")) for i, x in (("C1", "be exact"), ("C2", "hidden"), ("C3", "cite"))))
+    prompt = prompts.filled(F.lit("Rules:\n{clauses}\n\n{document}\n{other}"), clauses=prompts.clauses_text(clauses, ("C1", "C3")), document=prompts.document_text(F.col("s")), other=F.lit("{clauses}?"))
+    return d.withColumn("p", prompt).select("conv_id", F.sha2("p", 256).alias("prompt"), prompts.cache_key(F.lit("m1"), F.lit(0.0), F.lit(7), F.col("p")).alias("cache_key"))

@@ -249,3 +249,22 @@ def test_levels_that_mask_alike_are_an_error(spark):
     with pytest.raises(Exception, match="equally many"):
         extraction.mask_nested(frame, (0.1, 0.2), strict=True).collect()
     assert [r.changed for r in extraction.mask_nested(frame, (0.1, 0.5), strict=True).orderBy("level").collect()] == [1, 2]
+
+
+def test_prompt_parts(spark):
+    from driftloom.functions import prompts
+
+    frame = spark.createDataFrame([([("P1", "in", " where "), ("P2", "of", None)], [("Ann", None, "e1"), ("Bob", "PER", "e2")])], "r array<struct<id:string,label:string,description:string>>, e array<struct<canonical_name:string,entity_type:string,entity_id:string>>")
+    row = frame.select(prompts.schema_text(F.lit("S"), F.lit(None).cast("string"), F.col("r")).alias("s"), prompts.entities_text(F.col("e")).alias("e"), prompts.cache_key(F.lit("m"), F.lit(0.5), F.lit(None), F.lit("p")).alias("k")).first()
+    assert row.s == "Schema id: S\nDescription: \nRelations:\n  - P1 (in): where\n  - P2 (of): " and row.e == "- Ann (type=ENT, id=e1)\n- Bob (type=PER, id=e2)"
+    import hashlib
+
+    assert row.k == hashlib.sha256(b"m=m|t=0.5|s=None\np").hexdigest()
+
+
+def test_completed_keys_and_empty_lineage(spark):
+    records = spark.createDataFrame([("a", 1, "ok"), ("a", 2, "failed"), ("b", 1, "failed"), ("b", 2, "ok")], "k string, n int, status string")
+    assert [r.k for r in lineage.completed_keys(records, ["k"], ["n"]).collect()] == ["b"]
+    none = spark.createDataFrame([], "run_id string, base_event_id string, cf_event_id string")
+    docs, elements, families, index = views.indexed(none, spark.createDataFrame([], "event_id string, s string, r string, o string"))
+    assert families == () and docs.count() == elements.count() == index.count() == 0
