@@ -164,6 +164,13 @@ def mean_rank(n: Column, by: list[str], value: str) -> Column:
     return F.sum(n).over(up) - (F.sum(n).over(W.partitionBy(*by, value)) - 1) / 2.0
 
 
+def draws(sizes: DataFrame, replicates: int, by: str) -> DataFrame:
+    """(by, replicate, i, w): how often row i of a group of ``n`` rows is drawn with replacement, where it is."""
+    each = sizes.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select(by, "n", "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    hit = F.conv(F.substring(F.md5(F.concat_ws("|", by, "replicate", "j")), 1, 8), 16, 10).cast("long") % F.col("n")
+    return each.groupBy(by, "replicate", hit.alias("i")).agg(F.count("*").alias("w"))
+
+
 def resampled(rows: DataFrame, row_id: str, value: str, replicates: int, by: str) -> DataFrame:
     """(by, replicate, m, mean): means over rows drawn with replacement, by group, and the mean of the group itself.
 
@@ -173,9 +180,7 @@ def resampled(rows: DataFrame, row_id: str, value: str, replicates: int, by: str
     whole = W.partitionBy(by)
     placed = rows.select(by, F.col(value).alias("v"), (F.row_number().over(whole.orderBy(row_id)) - 1).cast("long").alias("i"))
     sizes = placed.groupBy(by).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    draws = sizes.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select(by, "n", "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    hit = F.conv(F.substring(F.md5(F.concat_ws("|", by, "replicate", "j")), 1, 8), 16, 10).cast("long") % F.col("n")
-    times = draws.groupBy(by, "replicate", hit.alias("i")).agg(F.count("*").alias("w"))
+    times = draws(sizes, replicates, by)
     means = times.join(placed, [by, "i"]).groupBy(by, "replicate").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
     return means.join(sizes.select(by, "mean"), by)
 
@@ -204,3 +209,17 @@ def cell_summary(rows: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").alias("attempted"), F.count_if(ok).alias("valid"), F.count_if(F.col("status") == "parse_error").alias("parse_failures"), F.count_if(~F.coalesce("status", F.lit("")).isin("ok", "parse_error")).alias("other_failures"),
         F.avg(F.when(ok, F.col("drift"))).alias("mean_drift"), F.expr("percentile(case when status = 'ok' then drift end, 0.5)").alias("median_drift"), F.avg(F.when(ok, F.col("drift")).otherwise(1.0)).alias("failure_as_harm"),
     )
+
+
+def auc_difference(rows: DataFrame, cluster: str, one: str, other: str, label: str, replicates: int) -> DataFrame:
+    """(mean, low, high, used): the difference of two scores' areas under the ROC curve over resampled clusters; replicates of one class are left out."""
+    placed = rows.select(F.lit("").alias("g"), cluster).distinct().withColumn("i", (F.row_number().over(W.partitionBy("g").orderBy(cluster)) - 1).cast("long"))  # one row per cluster
+    times = draws(placed.groupBy("g").agg(F.count("*").alias("n")), replicates, "g")
+    drawn = rows.join(placed, cluster).join(times, ["g", "i"])
+    each = drawn.select("replicate", "w", F.col(label).alias("y"), F.explode(F.array(F.struct(F.lit("one").alias("k"), F.col(one).alias("x")), F.struct(F.lit("other").alias("k"), F.col(other).alias("x")))).alias("s")).select("replicate", "w", "y", "s.*")
+    per = each.groupBy("k", "replicate", "x").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("p"))
+    below = F.coalesce(F.sum("n").over(W.partitionBy("k", "replicate").orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    total = per.withColumn("rank", below + (F.col("n") + 1) / 2.0).groupBy("replicate", "k").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(F.col("p") * F.col("rank")).alias("r"))
+    area = F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * (F.col("n") - F.col("p"))))
+    gap = total.withColumn("a", area).groupBy("replicate").agg((F.max(F.when(F.col("k") == "one", F.col("a"))) - F.max(F.when(F.col("k") == "other", F.col("a")))).alias("d")).where("d is not null")
+    return gap.agg(F.avg("d").alias("mean"), F.expr("percentile(d, 0.025)").alias("low"), F.expr("percentile(d, 0.975)").alias("high"), F.count("*").alias("used"))
