@@ -66,10 +66,11 @@ STATES = ("both_empty", "base_only", "cf_only", "both_nonempty")
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    # Means of small fractions may lie just at a half; both engines then round up, whichever way they summed.
+    return df.withColumns({n: F.round(F.col(n) + 1e-9, 6) for n in names})
 
 
-@query(INSTANCES + f"""SELECT p.family AS cause_family, p.doc, k.query, count(d.iid) AS n_queries, round(avg(drift), 6) AS mean_drift, round(max(drift), 6) AS max_drift, {", ".join(f"count(*) FILTER (state = '{s}') AS {s}" for s in STATES)}
+@query(INSTANCES + f"""SELECT p.family AS cause_family, p.doc, k.query, count(d.iid) AS n_queries, round(avg(drift) + 1e-9, 6) AS mean_drift, round(max(drift) + 1e-9, 6) AS max_drift, {", ".join(f"count(*) FILTER (state = '{s}') AS {s}" for s in STATES)}
 FROM p CROSS JOIN (SELECT unnest({list(QUERIES)}) AS query) k LEFT JOIN d ON d.cause_family = p.family AND d.doc = p.doc AND d.query = k.query GROUP BY ALL""")
 def deployment_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drift of each pair in each query family; a family without queries in a document has no drift, not a drift of 0."""
@@ -79,7 +80,7 @@ def deployment_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(INSTANCES + """, pair AS (SELECT cause_family, doc, query, count(*) AS n, avg(drift) AS m, sum(drift) AS s FROM d GROUP BY ALL)
-SELECT query, cause_family, count(*) AS n_pairs, count(DISTINCT doc) AS n_documents, sum(n)::BIGINT AS n_evaluations, round(avg(m), 6) AS pair_mean, round(quantile_cont(m, 0.5), 6) AS pair_median, round(sum(s) / sum(n), 6) AS instance_mean FROM pair GROUP BY GROUPING SETS ((query), (query, cause_family))""")
+SELECT query, cause_family, count(*) AS n_pairs, count(DISTINCT doc) AS n_documents, sum(n)::BIGINT AS n_evaluations, round(avg(m) + 1e-9, 6) AS pair_mean, round(quantile_cont(m, 0.5) + 1e-9, 6) AS pair_median, round(sum(s) / sum(n) + 1e-9, 6) AS instance_mean FROM pair GROUP BY GROUPING SETS ((query), (query, cause_family))""")
 def deployment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per query family, overall and by cause family: means weighted by pair and by instance."""
     pair = _instances(spark, sf_dir).groupBy("cause_family", "doc", "query").agg(F.count("*").alias("n"), F.avg("drift").alias("m"), F.sum("drift").alias("s"))
@@ -89,7 +90,7 @@ def deployment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, "pair_mean", "pair_median", "instance_mean")
 
 
-@query(INSTANCES + """SELECT cause_family, doc, count(*) AS n_queries, round(avg(f1_base), 6) AS f1_base, round(avg(f1_cf), 6) AS f1_cf, round(avg(abs(f1_base - f1_cf)), 6) AS delta_f1_abs, round(avg(f1_base - f1_cf), 6) AS delta_f1_signed, round(max(drift), 6) AS max_drift, round(avg(drift), 6) AS mean_drift,
+@query(INSTANCES + """SELECT cause_family, doc, count(*) AS n_queries, round(avg(f1_base) + 1e-9, 6) AS f1_base, round(avg(f1_cf) + 1e-9, 6) AS f1_cf, round(avg(abs(f1_base - f1_cf)) + 1e-9, 6) AS delta_f1_abs, round(avg(f1_base - f1_cf) + 1e-9, 6) AS delta_f1_signed, round(max(drift) + 1e-9, 6) AS max_drift, round(avg(drift) + 1e-9, 6) AS mean_drift,
 bool_or(base_n + cf_n > 0) AS any_answer FROM d GROUP BY ALL""")
 def utility_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 of a pair's answers against the gold answers, and how it changes; beside the drift, which needs no gold."""
@@ -102,7 +103,7 @@ def utility_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(INSTANCES + """, per AS (SELECT cause_family, doc, query, avg(f1_cf) AS f, sum(gold_n) AS g FROM d GROUP BY ALL)
-SELECT cause_family, doc, count(*) FILTER (g > 0) AS active, round(avg(f) FILTER (g > 0), 6) AS macro_f1 FROM per GROUP BY ALL""")
+SELECT cause_family, doc, count(*) FILTER (g > 0) AS active, round(avg(f) FILTER (g > 0) + 1e-9, 6) AS macro_f1 FROM per GROUP BY ALL""")
 def macro_query_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean over the query families that have gold answers in the document."""
     per = _instances(spark, sf_dir).groupBy("cause_family", "doc", "query").agg(F.avg("f1_cf").alias("f"), F.sum("gold_n").alias("g"))
@@ -110,7 +111,7 @@ def macro_query_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(INSTANCES + """, x AS (SELECT cause_family, doc, max(drift) AS m, bool_or(base_n + cf_n > 0) AS active FROM d GROUP BY ALL)
-SELECT cause_family, count(*) AS n, round(avg(m), 6) AS mean_max, round(quantile_cont(m, 0.5), 6) AS median_max, round(avg((m > 0.2)::INT), 6) AS above_20, round(avg((m > 0.3)::INT), 6) AS above_30, round(avg(active::INT), 6) AS active_rate FROM x GROUP BY ALL""")
+SELECT cause_family, count(*) AS n, round(avg(m) + 1e-9, 6) AS mean_max, round(quantile_cont(m, 0.5) + 1e-9, 6) AS median_max, round(avg((m > 0.2)::INT) + 1e-9, 6) AS above_20, round(avg((m > 0.3)::INT) + 1e-9, 6) AS above_30, round(avg(active::INT) + 1e-9, 6) AS active_rate FROM x GROUP BY ALL""")
 def axis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest drift of each pair, per cause family: mean, median, how often it exceeds tolerances, and how many pairs have answers at all."""
     x = _instances(spark, sf_dir).groupBy("cause_family", "doc").agg(F.max("drift").alias("m"), F.bool_or(F.col("base_n") + F.col("cf_n") > 0).alias("active"))
@@ -120,7 +121,7 @@ def axis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(INSTANCES + """, x AS (SELECT cause_family, doc, CASE WHEN query IN ('lookup', 'neighbor') THEN 'local' ELSE 'multihop' END AS regime, query, count(*) AS n, avg(drift) AS m, bool_or(base_n + cf_n > 0) AS active FROM d GROUP BY ALL)
-SELECT cause_family, regime, sum(n)::BIGINT AS n, round(sum(m * n) / sum(n), 6) AS drift FROM x WHERE active GROUP BY ALL""")
+SELECT cause_family, regime, sum(n)::BIGINT AS n, round(sum(m * n) / sum(n) + 1e-9, 6) AS drift FROM x WHERE active GROUP BY ALL""")
 def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means weighted by queries of local and of multi-hop queries, over pairs with any answer."""
     regime = F.when(F.col("query").isin("lookup", "neighbor"), "local").otherwise("multihop")
@@ -129,7 +130,7 @@ def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(CANONICAL + """, x AS (SELECT cause_family, 'Q5' AS q, round(1 - paths, 9) AS drift FROM w WHERE paths IS NOT NULL UNION ALL SELECT cause_family, 'Q6', round(1 - top_degree, 9) FROM w UNION ALL SELECT cause_family, 'Q7', round(1 - ego, 9) FROM w)
-SELECT q, cause_family, count(*) AS n, round(avg(drift), 6) AS mean_drift, round(avg((drift > 0.3 + 1e-12)::INT), 6) AS violation_rate FROM x GROUP BY ALL""")
+SELECT q, cause_family, count(*) AS n, round(avg(drift) + 1e-9, 6) AS mean_drift, round(avg((drift > 0.3 + 1e-12)::INT) + 1e-9, 6) AS violation_rate FROM x GROUP BY ALL""")
 def extended_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drift of the path, hub and neighbourhood queries."""
     each = _records(spark, sf_dir).select("cause_family", F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.round(1 - F.col(c), 9).alias("drift")) for q, c in (("Q5", "paths"), ("Q6", "top_degree"), ("Q7", "ego"))))).alias("x")).where("x.drift is not null")
@@ -138,7 +139,7 @@ def extended_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(CANONICAL + """, x AS (SELECT cause_family, round(canonical, 9) AS m, round(recall_difference, 9) AS r FROM w)
-SELECT CASE WHEN m >= 0.95 THEN 'strict' WHEN m >= 0.8 THEN 'soft' ELSE 'ablation' END AS bucket, cause_family, count(*) AS n, round(avg(m), 6) AS similarity, round(avg((r > 0.2)::INT), 6) AS recall_violations FROM x GROUP BY ALL""")
+SELECT CASE WHEN m >= 0.95 THEN 'strict' WHEN m >= 0.8 THEN 'soft' ELSE 'ablation' END AS bucket, cause_family, count(*) AS n, round(avg(m) + 1e-9, 6) AS similarity, round(avg((r > 0.2)::INT) + 1e-9, 6) AS recall_violations FROM x GROUP BY ALL""")
 def stability_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, r = F.col("canonical"), F.col("recall_difference")
     bucket = F.when(m >= 0.95, "strict").when(m >= 0.8, "soft").otherwise("ablation")
@@ -147,7 +148,7 @@ def stability_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CANONICAL + """, x AS (SELECT cause_family, round(canonical, 9) AS m, round(recall_difference, 9) AS r FROM w),
 k AS (SELECT cause_family, m, r, rank() OVER (PARTITION BY cause_family ORDER BY m) + (count(*) OVER (PARTITION BY cause_family, m) - 1) / 2.0 AS rm, rank() OVER (PARTITION BY cause_family ORDER BY r) + (count(*) OVER (PARTITION BY cause_family, r) - 1) / 2.0 AS rr FROM x)
-SELECT cause_family, count(*) FILTER (m < 0.85) AS violating, round(avg(r) FILTER (m < 0.85), 6) AS loss_violating, round(avg(r) FILTER (m >= 0.85), 6) AS loss_satisfied, round(CASE WHEN min(rm) < max(rm) AND min(rr) < max(rr) THEN corr(rm, rr) END, 6) AS rho FROM k GROUP BY ALL""")
+SELECT cause_family, count(*) FILTER (m < 0.85) AS violating, round(avg(r) FILTER (m < 0.85) + 1e-9, 6) AS loss_violating, round(avg(r) FILTER (m >= 0.85) + 1e-9, 6) AS loss_satisfied, round(CASE WHEN min(rm) < max(rm) AND min(rr) < max(rr) THEN corr(rm, rr) END + 1e-9, 6) AS rho FROM k GROUP BY ALL""")
 def accuracy_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss of recall of pairs that violate the invariance threshold and of those that do not, and the rank correlation of both. Ranks come from counts of equal values."""
     m, r = F.col("m"), F.col("r")
@@ -167,14 +168,14 @@ def accuracy_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(derived.SQL + """, t AS (SELECT family, doc, s, r, o FROM c), x AS (SELECT family, doc, s, r, o, max(b) AS b, max(c) AS c FROM (SELECT p.family, p.doc, s, r, o, 1 AS b, 0 AS c FROM p JOIN b q ON q.doc = p.doc UNION ALL SELECT family, doc, s, r, o, 0, 1 FROM t) GROUP BY ALL),
 so AS (SELECT family, doc, s, o, max(b) AS b, max(c) AS c FROM x GROUP BY ALL), rr AS (SELECT family, doc, r, sum(b) AS nb, sum(c) AS nc FROM x GROUP BY ALL),
 e AS (SELECT family, doc, 1 - sum(b * c) / count(*)::DOUBLE AS v FROM x GROUP BY ALL), q AS (SELECT family, doc, 1 - sum(b * c) / count(*)::DOUBLE AS v FROM so GROUP BY ALL), z AS (SELECT family, doc, 1 - count(*) FILTER (nb > 0 AND nc > 0) / count(*)::DOUBLE AS v FROM rr GROUP BY ALL)
-SELECT p.family, p.doc, round(coalesce(e.v, 0.0), 6) AS edge_distance, round(coalesce(q.v, 0.0), 6) AS pair_distance, round(coalesce(z.v, 0.0), 6) AS relation_set_distance, round((coalesce(e.v, 0.0) + coalesce(q.v, 0.0) + coalesce(z.v, 0.0)) / 3, 6) AS distance FROM p LEFT JOIN e USING (family, doc) LEFT JOIN q USING (family, doc) LEFT JOIN z USING (family, doc)""")
+SELECT p.family, p.doc, round(coalesce(e.v, 0.0) + 1e-9, 6) AS edge_distance, round(coalesce(q.v, 0.0) + 1e-9, 6) AS pair_distance, round(coalesce(z.v, 0.0) + 1e-9, 6) AS relation_set_distance, round((coalesce(e.v, 0.0) + coalesce(q.v, 0.0) + coalesce(z.v, 0.0)) / 3 + 1e-9, 6) AS distance FROM p LEFT JOIN e USING (family, doc) LEFT JOIN q USING (family, doc) LEFT JOIN z USING (family, doc)""")
 def schema_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge, pair and relation-set distance of each pair, and their mean."""
     docs, elements, families = derived.args(spark, sf_dir)
     parts = [views.jaccard(docs, elements, families, "e"), views.jaccard(docs, views.masked(elements, ["s", "o"]), families, "q"), views.jaccard(docs, views.masked(elements, ["r"]), families, "z")]
     both = reduce(lambda a, b: a.join(b, PAIR), parts)
     e, q, z = (1 - F.col(c) for c in "eqz")
-    return both.select(*PAIR, F.round(e, 6).alias("edge_distance"), F.round(q, 6).alias("pair_distance"), F.round(z, 6).alias("relation_set_distance"), F.round((e + q + z) / 3, 6).alias("distance"))
+    return both.select(*PAIR, F.round(e + 1e-9, 6).alias("edge_distance"), F.round(q + 1e-9, 6).alias("pair_distance"), F.round(z + 1e-9, 6).alias("relation_set_distance"), F.round((e + q + z) / 3 + 1e-9, 6).alias("distance"))
 
 
 @query()
@@ -187,14 +188,14 @@ def drift_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT DISTINCT o_custkey % 10 AS packet, 'p:' || l_partkey AS s, 's:' || l_suppkey AS o, o_custkey AS source, l_linenumber % 2 AS side FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 f AS (SELECT packet, s, o, source, max(1 - side) AS b, max(side) AS c FROM e GROUP BY ALL), t AS (SELECT packet, s, o, max(b) AS b, max(c) AS c FROM f GROUP BY ALL)
-SELECT packet, round(1 - x.j, 6) AS semantic_drift, round(1 - y.j, 6) AS provenance_drift FROM (SELECT packet, sum(b * c) / count(*)::DOUBLE AS j FROM t GROUP BY packet) x JOIN (SELECT packet, sum(b * c) / count(*)::DOUBLE AS j FROM f GROUP BY packet) y USING (packet)""")
+SELECT packet, round(1 - x.j + 1e-9, 6) AS semantic_drift, round(1 - y.j + 1e-9, 6) AS provenance_drift FROM (SELECT packet, sum(b * c) / count(*)::DOUBLE AS j FROM t GROUP BY packet) x JOIN (SELECT packet, sum(b * c) / count(*)::DOUBLE AS j FROM f GROUP BY packet) y USING (packet)""")
 def provenance_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drift between odd and even lines of a packet, of edges alone and of edges with their documents."""
     l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     rows = l.join(o, l.l_orderkey == o.o_orderkey).select((F.col("o_custkey") % 10).alias("doc"), F.concat(F.lit("p:"), "l_partkey").alias("s"), F.concat(F.lit("s:"), "l_suppkey").alias("o"), F.col("o_custkey").alias("source"), F.when(F.col("l_linenumber") % 2 == 0, views.BASE).otherwise(views.bit(0)).cast("long").alias("mask"))
     docs, four = rows.select("doc").distinct(), views.masked(rows, ["s", "o", "source"])
     semantic, whole = views.jaccard(docs, views.masked(four, ["s", "o"]), ("odd",), "s"), views.jaccard(docs, four, ("odd",), "w")
-    return semantic.join(whole, PAIR).select(F.col("doc").alias("packet"), F.round(1 - F.col("s"), 6).alias("semantic_drift"), F.round(1 - F.col("w"), 6).alias("provenance_drift"))
+    return semantic.join(whole, PAIR).select(F.col("doc").alias("packet"), F.round(1 - F.col("s") + 1e-9, 6).alias("semantic_drift"), F.round(1 - F.col("w") + 1e-9, 6).alias("provenance_drift"))
 
 
 @query("""WITH e AS (SELECT DISTINCT o_custkey AS doc, l_partkey AS part, l_suppkey AS supp FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
@@ -210,7 +211,7 @@ def cohort_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH v AS (SELECT lang, doc_id, n_chars::DOUBLE AS x, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents JOIN labels USING (doc_id)),
 q AS (SELECT lang, n, r.r, j.j, ('0x' || left(md5(lang || '|' || r.r || '|' || j.j), 8))::BIGINT % n AS i FROM (SELECT DISTINCT lang, n FROM v) k CROSS JOIN (SELECT unnest(range(0, 40)) AS r) r JOIN (SELECT unnest(range(0, (SELECT max(n) FROM v))) AS j) j ON j.j < n),
 m AS (SELECT q.lang, q.r, avg(v.x) AS m FROM q JOIN v ON v.lang = q.lang AND v.i = q.i GROUP BY ALL)
-SELECT lang, (SELECT round(avg(x), 6) FROM v WHERE v.lang = m.lang) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY lang""")
+SELECT lang, (SELECT round(avg(x) + 1e-9, 6) FROM v WHERE v.lang = m.lang) AS mean, round(quantile_cont(m, 0.025) + 1e-9, 6) AS low, round(quantile_cont(m, 0.975) + 1e-9, 6) AS high FROM m GROUP BY lang""")
 def resampled_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means with percentile intervals from resampled rows; draws are digests, so that they can be repeated anywhere."""
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("lang", "doc_id", F.col("n_chars").cast("double").alias("x"))
@@ -234,7 +235,7 @@ def paired_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH x AS (SELECT o_custkey AS unit, extract(year FROM o_orderdate) AS y, count(*) AS v FROM orders GROUP BY ALL), k AS (SELECT unit, y, v, lead(v) OVER (PARTITION BY unit ORDER BY y) AS n FROM x), u AS (SELECT unit, bool_and(coalesce(n >= v, TRUE)) AS ok FROM k GROUP BY unit)
-SELECT c_nationkey AS nation, round(avg(ok::INT), 6) AS monotone FROM u JOIN customer ON c_custkey = unit GROUP BY ALL""")
+SELECT c_nationkey AS nation, round(avg(ok::INT) + 1e-9, 6) AS monotone FROM u JOIN customer ON c_custkey = unit GROUP BY ALL""")
 def monotone_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of customers whose number of orders never falls from one year to the next."""
     x = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("y")).agg(F.count("*").alias("v"))
@@ -255,15 +256,15 @@ def eligible_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.eligible(derived.gold(spark, sf_dir), schema, "r", ["doc"])
 
 
-@query("""SELECT count(*) AS events, count(DISTINCT user_id) AS documents, coalesce(sum(value), 0.0)::DECIMAL(38, 2)::DOUBLE AS total, round(coalesce(avg(value), 0.0), 6) AS mean, count(*) FILTER (event_type LIKE 'p%') AS matching FROM events""")
+@query("""SELECT count(*) AS events, count(DISTINCT user_id) AS documents, coalesce(sum(value), 0.0)::DECIMAL(38, 2)::DOUBLE AS total, round(coalesce(avg(value), 0.0) + 1e-9, 6) AS mean, count(*) FILTER (event_type LIKE 'p%') AS matching FROM events""")
 def manifest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("documents"), F.coalesce(F.sum("value"), F.lit(0.0)).cast("decimal(38,2)").cast("double").alias("total"), F.round(F.coalesce(F.avg("value"), F.lit(0.0)), 6).alias("mean"), F.count_if(F.col("event_type").like("p%")).alias("matching"))
+    return e.agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("documents"), F.coalesce(F.sum("value"), F.lit(0.0)).cast("decimal(38,2)").cast("double").alias("total"), F.round(F.coalesce(F.avg("value"), F.lit(0.0)) + 1e-9, 6).alias("mean"), F.count_if(F.col("event_type").like("p%")).alias("matching"))
 
 
 @query(CANONICAL + """, mr AS (SELECT doc, round(base_recall, 9) AS a, round(recall, 9) AS b, row_number() OVER (ORDER BY doc) - 1 AS i, count(*) OVER () AS n FROM recall WHERE family = 'model'), mx AS (SELECT *, (round(abs(a - b), 9) > 0.2)::INT::DOUBLE AS over FROM mr),
 mq AS (SELECT r.r, ('0x' || left(md5('' || '|' || r.r || '|' || mx.i), 8))::BIGINT % mx.n AS i FROM mx CROSS JOIN (SELECT unnest(range(0, 60)) AS r) r), mm AS (SELECT r, avg(over) AS m FROM mq JOIN mx USING (i) GROUP BY r), ms AS (SELECT list_sort(list(m)) AS m FROM mm)
-SELECT (SELECT count(*) FROM mx) AS n, (SELECT round(avg(a), 6) FROM mx) AS base_recall, (SELECT round(avg(b), 6) FROM mx) AS recall, (SELECT round(avg(abs(a - b)), 6) FROM mx) AS difference, (SELECT round(avg(over), 6) FROM mx) AS share, round(m[2], 6) AS low, round(m[59], 6) AS high,
+SELECT (SELECT count(*) FROM mx) AS n, (SELECT round(avg(a) + 1e-9, 6) FROM mx) AS base_recall, (SELECT round(avg(b) + 1e-9, 6) FROM mx) AS recall, (SELECT round(avg(abs(a - b)) + 1e-9, 6) FROM mx) AS difference, (SELECT round(avg(over) + 1e-9, 6) FROM mx) AS share, round(m[2] + 1e-9, 6) AS low, round(m[59] + 1e-9, 6) AS high,
 CASE WHEN m[2] > 0.2 THEN 'VIOLATED' WHEN m[59] < 0.2 THEN 'SATISFIED' ELSE 'INCONCLUSIVE' END AS verdict FROM ms""")
 def cross_model_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold recall of two models on the documents of both: how often it differs by more than 0.2, with a resampled interval and its verdict."""
@@ -271,14 +272,14 @@ def cross_model_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = views.renamed(elements, derived.RENAMED)
     both = views.gold_recall(docs, own, derived.gold(spark, sf_dir), families, ["s", "r", "o"]).where("family = 'model'").withColumns({"a": F.round("base_recall", 9), "b": F.round("recall", 9)})
     both = both.withColumn("over", F.round(F.abs(F.col("a") - F.col("b")), 9) > 0.2)
-    means = both.agg(F.round(F.avg("a"), 6).alias("base_recall"), F.round(F.avg("b"), 6).alias("recall"), F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 6).alias("difference"))
+    means = both.agg(F.round(F.avg("a") + 1e-9, 6).alias("base_recall"), F.round(F.avg("b") + 1e-9, 6).alias("recall"), F.round(F.avg(F.abs(F.col("a") - F.col("b"))) + 1e-9, 6).alias("difference"))
     found = statistics.proportion_verdict(both, "doc", "over", 0.2, 60)
     return _rounded(found.crossJoin(means), "share", "low", "high")  # one row each
 
 
 @query("""WITH r AS (SELECT user_id % 10 AS corpus, CASE event_id % 7 WHEN 0 THEN 'parse_error' WHEN 1 THEN 'api_error' ELSE 'ok' END AS status, event_type AS family, value / 1000 AS drift FROM events)
-SELECT corpus, family, count(*) AS attempted, count(*) FILTER (status = 'ok') AS valid, count(*) FILTER (status = 'parse_error') AS parse_failures, count(*) FILTER (status = 'api_error') AS other_failures, round(avg(drift) FILTER (status = 'ok'), 6) AS mean_drift,
-round(quantile_cont(drift, 0.5) FILTER (status = 'ok'), 6) AS median_drift, round(avg(CASE WHEN status = 'ok' THEN drift ELSE 1.0 END), 6) AS failure_as_harm FROM r GROUP BY ALL""")
+SELECT corpus, family, count(*) AS attempted, count(*) FILTER (status = 'ok') AS valid, count(*) FILTER (status = 'parse_error') AS parse_failures, count(*) FILTER (status = 'api_error') AS other_failures, round(avg(drift) FILTER (status = 'ok') + 1e-9, 6) AS mean_drift,
+round(quantile_cont(drift, 0.5) FILTER (status = 'ok') + 1e-9, 6) AS median_drift, round(avg(CASE WHEN status = 'ok' THEN drift ELSE 1.0 END) + 1e-9, 6) AS failure_as_harm FROM r GROUP BY ALL""")
 def magnitude_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 7
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("corpus"), F.when(k == 0, "parse_error").when(k == 1, "api_error").otherwise("ok").alias("status"), F.col("event_type").alias("family"), (F.col("value") / 1000).alias("drift"))
@@ -306,7 +307,7 @@ def loaded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(derived.SQL + """, x AS (SELECT family, doc, s, r, o, max(b) AS b, max(c) AS c FROM (SELECT p.family, p.doc, s, r, o, 1 AS b, 0 AS c FROM p JOIN b q ON q.doc = p.doc UNION ALL SELECT family, doc, s, r, o, 0, 1 FROM c) GROUP BY ALL)
-SELECT p.family || ':' || p.doc AS run_id, round(coalesce(sum(x.b * x.c) / nullif(count(x.b), 0)::DOUBLE, 1.0), 6) AS jaccard FROM p LEFT JOIN x ON x.family = p.family AND x.doc = p.doc GROUP BY p.family, p.doc""")
+SELECT p.family || ':' || p.doc AS run_id, round(coalesce(sum(x.b * x.c) / nullif(count(x.b), 0)::DOUBLE, 1.0) + 1e-9, 6) AS jaccard FROM p LEFT JOIN x ON x.family = p.family AND x.doc = p.doc GROUP BY p.family, p.doc""")
 def run_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge Jaccard of every run of a lineage in rows of (event, edge), two views to a key."""
     edges = views.long_form(derived.elements(spark, sf_dir), derived.FAMILIES, "base").select(F.concat_ws(":", "family", "doc").alias("event_id"), "s", "r", "o")
