@@ -32,20 +32,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` from a Parquet table in the shared folder: its lineage is cut, and a lost executor costs a scan."""
     path = f"{shared_dir(df.sparkSession)}/driftloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def _at(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
 
 def file_marks(spark: SparkSession, path: str) -> tuple:
     """Name, size and time of change of a file, or of what a folder holds."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    found = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(at)
+    files, at = _at(spark, path)
+    found = files.listStatus(at)
     return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found)
 
 
 def kept(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
-    """The written result of ``make``, made once per application as long as the ``inputs`` stay as they are."""
+    """The written result of ``make``, made once per application as long as the ``inputs`` stay as they are and the result is there."""
     key = (spark.sparkContext.applicationId, name, *(file_marks(spark, p) for p in inputs))
-    if key not in _KEPT:
+    files, at = _at(spark, _KEPT[key].written_at) if key in _KEPT else (None, None)
+    if files is None or not files.exists(at):
         _KEPT[key] = written(make(), name)
     return _KEPT[key]

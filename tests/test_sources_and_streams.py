@@ -268,3 +268,22 @@ def test_completed_keys_and_empty_lineage(spark):
     none = spark.createDataFrame([], "run_id string, base_event_id string, cf_event_id string")
     docs, elements, families, index = views.indexed(none, spark.createDataFrame([], "event_id string, s string, r string, o string"))
     assert families == () and docs.count() == elements.count() == index.count() == 0
+
+
+def test_kept_tables_are_made_again_when_inputs_change_or_they_are_gone(spark, tmp_path):
+    import shutil
+
+    from driftloom.sources import store
+
+    path, made = str(tmp_path / "in.parquet"), []
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(path)
+
+    spark.range(3).write.parquet(path)
+    assert store.kept(spark, "k", [path], make).count() == store.kept(spark, "k", [path], make).count() == 3 and len(made) == 1
+    shutil.rmtree(store.kept(spark, "k", [path], make).written_at)
+    assert store.kept(spark, "k", [path], make).count() == 3 and len(made) == 2
+    spark.range(5).write.mode("append").parquet(path)
+    assert store.kept(spark, "k", [path], make).count() == 8 and len(made) == 3
