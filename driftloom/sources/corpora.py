@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructType
 from pyspark.sql.window import Window as W
 
-from driftloom.sources.store import written
+from driftloom.sources.store import hadoop_path, written
 
 MENTIONS = "array<array<struct<name:string,type:string,sent_id:int,pos:array<int>>>>"
 #: Labels as columns of equal length, the shape that all readers give.
@@ -341,3 +341,53 @@ def write_upsert(new: DataFrame, path: str, keys: list[str], to: str) -> None:
     from driftloom.operators.lineage import upsert
 
     upsert(new.sparkSession.read.parquet(path), new, keys).write.parquet(to)
+
+
+class Versioned:
+    """A table under a folder, one subfolder per version; outcomes, candidates and edges are put into it by key.
+
+    A version counts once Spark has marked it as complete, so readers see the one before until then, and a lost job leaves
+    nothing half replaced. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def latest(self) -> int:
+        """The number of the last complete version; 0 if there is none."""
+        files, at = hadoop_path(self.spark, self.folder)
+        if not files.exists(at):
+            return 0
+        names = [f.getPath().getName() for f in files.listStatus(at)]
+        done = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and files.exists(hadoop_path(self.spark, f"{self.folder}/{n}/_SUCCESS")[1])]
+        return max(done, default=0)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/v{self.latest()}")
+
+    def put(self, new: DataFrame, keys: list[str], order: list[str] | None = None) -> int:
+        """Rows of ``new`` in place of those with their keys; of several of one key the last by ``order``. Returns the new version."""
+        from driftloom.operators.lineage import upsert
+
+        n = self.latest()
+        old = self.read() if n else self.spark.createDataFrame([], new.schema)
+        upsert(old, new, keys, order).write.mode("overwrite").parquet(f"{self.folder}/v{n + 1}")
+        return n + 1
+
+
+def read_registered(spark: SparkSession, path: str, sha256: str) -> DataFrame:
+    """A JSON artifact whose bytes have the registered digest; another digest raises."""
+    found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("d")).collect()  # one file
+    if [f.d for f in found] != [sha256]:
+        raise ValueError(f"{path} is not the registered artifact")
+    return spark.read.option("multiLine", "true").json(path)
+
+
+def write_report(rows: DataFrame, path: str, title: str) -> None:
+    """A summary as ``path``.json and as a Markdown table ``path``.md, rows in order of their columns; for tables of a few rows."""
+    found = [r.asDict(recursive=True) for r in rows.orderBy(*rows.columns).collect()]
+    write_manifest(f"{path}.json", {"title": title, "rows": found})
+    shown = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
+    lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns), *("| " + " | ".join(shown(r[c]) for c in rows.columns) + " |" for r in found)]
+    with open(f"{path}.md", "x", encoding="utf-8") as f:
+        f.write("\n".join(lines) + "\n")

@@ -37,14 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _at(spark: SparkSession, path: str) -> tuple:
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """A path's file system and the path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
 
 def file_marks(spark: SparkSession, path: str) -> tuple:
     """Name, size and time of change of a file, or of what a folder holds."""
-    files, at = _at(spark, path)
+    files, at = hadoop_path(spark, path)
     found = files.listStatus(at)
     return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found)
 
@@ -52,7 +53,7 @@ def file_marks(spark: SparkSession, path: str) -> tuple:
 def kept(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
     """The written result of ``make``, made once per application as long as the ``inputs`` stay as they are and the result is there."""
     key = (spark.sparkContext.applicationId, name, *(file_marks(spark, p) for p in inputs))
-    files, at = _at(spark, _KEPT[key].written_at) if key in _KEPT else (None, None)
+    files, at = hadoop_path(spark, _KEPT[key].written_at) if key in _KEPT else (None, None)
     if files is None or not files.exists(at):
         _KEPT[key] = written(make(), name)
     return _KEPT[key]

@@ -287,3 +287,23 @@ def test_kept_tables_are_made_again_when_inputs_change_or_they_are_gone(spark, t
     assert store.kept(spark, "k", [path], make).count() == 3 and len(made) == 2
     spark.range(5).write.mode("append").parquet(path)
     assert store.kept(spark, "k", [path], make).count() == 8 and len(made) == 3
+
+
+def test_versioned_tables(spark, tmp_path):
+    table = corpora.Versioned(spark, str(tmp_path / "outcomes"))
+    assert table.latest() == 0
+    assert table.put(spark.createDataFrame([("o1", 1, "EXACT_SAME"), ("o2", 1, "DISAPPEARED")], "outcome_id string, n int, kind string"), ["outcome_id"]) == 1
+    (tmp_path / "outcomes" / "v7").mkdir()  # a version that was never completed
+    assert table.put(spark.createDataFrame([("o2", 1, "TYPE_FLIP"), ("o2", 2, "OBJECT_FLIP"), ("o3", 1, "AMBIGUOUS")], "outcome_id string, n int, kind string"), ["outcome_id"], ["n"]) == 2
+    assert sorted((r.outcome_id, r.kind) for r in table.read().collect()) == [("o1", "EXACT_SAME"), ("o2", "OBJECT_FLIP"), ("o3", "AMBIGUOUS")]
+
+
+def test_registered_artifacts_and_reports(spark, tmp_path):
+    import hashlib
+
+    corpora.write_report(spark.createDataFrame([("K2", 0.25, None), ("K1", 0.5, 3)], "contract string, rate double, n int"), str(tmp_path / "r"), "Contracts")
+    assert (tmp_path / "r.md").read_text().splitlines()[2:] == ["| contract | rate | n |", "| --- | --- | --- |", "| K1 | 0.500 | 3 |", "| K2 | 0.250 |  |"]
+    digest = hashlib.sha256((tmp_path / "r.json").read_bytes()).hexdigest()
+    assert [x.contract for x in corpora.read_registered(spark, str(tmp_path / "r.json"), digest).first().rows] == ["K1", "K2"]
+    with pytest.raises(ValueError, match="registered"):
+        corpora.read_registered(spark, str(tmp_path / "r.json"), "0" * 64)
