@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.sources.store import shared_dir
 
-#: Text bytes that one numpy pass works on; bounds the memory of a Python worker.
-SLICE_BYTES = 6 << 20
+#: Text bytes that one numpy pass works on, a whole batch as it comes; bounds the memory of a Python worker.
+SLICE_BYTES = 8 << 20
 #: Bytes of an Arrow batch between Spark and Python; without a bound 10,000 long texts go at once, through both memories.
 BATCH_BYTES = 8 << 20
 #: What a Python worker keeps from task to task; a task of an operator that does not use it drops it.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from .common import WORKER_CACHE, ragged
 
 #: Distinct pieces that a Python worker remembers; beyond that it keeps those met again (results do not change).
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -72,14 +72,15 @@ def word_cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     starts[1:-1] = _between(data) | ~ink[:-1]
     starts[offsets] = True
     starts[[0, -1]] = True
-    place = np.concatenate([[0], np.cumsum(ink)])
+    place = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(ink, dtype=np.int32, out=place[1:])
     small = data
     if not ((data[:-1] == 60) & (data[1:] == 124)).any():
         small = _SMALL[data]
         small[1:] += ((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)).astype(np.uint8) << 5
     marks = np.zeros(place[-1] + 1, bool)
     marks[place[starts]] = True
-    return small[ink], np.flatnonzero(marks), place[offsets]
+    return small[ink], np.flatnonzero(marks), place[offsets].astype(np.int64)
 
 
 class IdStore:
@@ -158,11 +159,15 @@ class PieceEncoder:
     def fresh_ids(self, pieces: list[bytes]) -> list[list[int]]:
         plain, tokenize, letters, space = self.plain, self.tokenizer.model.tokenize, self.letters, chr(self.letters[32])
 
-        def shown(p: bytes) -> str:
-            # ASCII letters stand for themselves.
-            return p.decode("ascii").replace(" ", space) if p.isascii() else p.decode("latin-1").translate(letters)
+        def coded(p: bytes) -> list[int] | None:
+            # ASCII letters stand for themselves; most pieces are just these.
+            if p.isalpha() and (p.islower() or not self.by_words):
+                return [t.id for t in tokenize(p.decode("ascii"))]
+            if not plain(p):
+                return None
+            return [t.id for t in tokenize(p.decode("ascii").replace(" ", space) if p.isascii() else p.decode("latin-1").translate(letters))]
 
-        ids = [[t.id for t in tokenize(shown(p))] if plain(p) else None for p in pieces]
+        ids = list(map(coded, pieces))
         odd = [i for i, x in enumerate(ids) if x is None]
         for i, e in zip(odd, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in odd], add_special_tokens=False), strict=True):
             ids[i] = e.ids
