@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -144,12 +145,12 @@ class PieceEncoder:
         if len(self.known) > CACHE_PIECES:
             self.age()
         get = self.known.get
-        at = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        at = np.fromiter(map(get, pieces, repeat(-1)), np.int64, len(pieces))
         if len(new := np.flatnonzero(at < 0)):
             fresh = [pieces[i] for i in new]
             for lo in range(0, len(fresh), 4096):
                 ids = self.fresh_ids(fresh[lo : lo + 4096])
-                self.store.add(np.fromiter((x for run in ids for x in run), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+                self.store.add(np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
             at[new] = np.arange(self.store.n - len(fresh), self.store.n)
             self.known.update(zip(fresh, at[new].tolist(), strict=True))
             self.met = np.concatenate([self.met, np.zeros(len(fresh), np.int64)])
