@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from driftloom.sources.store import written
+
 Z95 = 1.96
 
 
@@ -164,41 +168,92 @@ def mean_rank(n: Column, by: list[str], value: str) -> Column:
     return F.sum(n).over(up) - (F.sum(n).over(W.partitionBy(*by, value)) - 1) / 2.0
 
 
-def draws(sizes: DataFrame, replicates: int, by: str) -> DataFrame:
-    """(by, replicate, i, w): how often row i of a group of ``n`` rows is drawn with replacement, where it is."""
-    each = sizes.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).select(by, "n", "replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    hit = F.conv(F.substring(F.md5(F.concat_ws("|", by, "replicate", "j")), 1, 8), 16, 10).cast("long") % F.col("n")
-    return each.groupBy(by, "replicate", hit.alias("i")).agg(F.count("*").alias("w"))
+#: Levels of the tree of cells: bits of a cell's digest.
+LEVELS = 32
+#: Up to this expected number of successes a binomial draw is the exact quantile; beyond it, it is the rounded normal one.
+EXACT_MEAN = 9
+#: Successes that an exact quantile looks at; more have a chance of 1e-14 at that mean.
+MOST_SUCCESSES = 40.0
+
+
+def _uniform(digest: Column, start: int) -> Column:
+    """A number strictly between 0 and 1 from eight hexadecimal digits."""
+    return (F.conv(F.substring(digest, start, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+
+def binomial(m: Column, s: Column) -> Column:
+    """Successes of m draws, of which each is one with probability s.a / s.n, from the uniform numbers s.u and s.v."""
+    q = F.least(s["a"], s["n"] - s["a"]) / s["n"]
+    start = F.pow(1 - q, m)
+    first = F.struct(F.lit(0.0).alias("k"), start.alias("f"), start.alias("c"))
+
+    def further(y: Column, j: Column) -> Column:
+        f = y["f"] * (m - j + 1) / j * q / (1 - q)
+        return F.when(s["u"] <= y["c"], y).otherwise(F.struct(j.cast("double").alias("k"), f.alias("f"), (y["c"] + f).alias("c")))
 
+    exact = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(MOST_SUCCESSES)).cast("int")), first, further)["k"]
+    normal = F.greatest(F.lit(0.0), F.least(m, F.round(m * q + F.sqrt(m * q * (1 - q)) * F.sqrt(-2 * F.log(s["u"])) * F.cos(F.lit(2 * math.pi) * s["v"]))))
+    k = F.when(m == 1, F.when(s["u"] <= 1 - q, 0.0).otherwise(1.0)).when(m * q <= EXACT_MEAN, exact).otherwise(normal)
+    return F.when((m == 0) | (s["a"] == 0), 0.0).when(s["a"] == s["n"], m).when(2 * s["a"] <= s["n"], k).otherwise(m - k)
 
-def resampled(rows: DataFrame, row_id: str, value: str, replicates: int, by: str) -> DataFrame:
-    """(by, replicate, m, mean): means over rows drawn with replacement, by group, and the mean of the group itself.
 
-    The j-th draw of a replicate is row number md5(group | replicate | j) modulo n, in order of ``row_id``. Draws are counted per
-    row first, so what is joined with the rows is a multiplicity.
+def multinomial(cells: DataFrame, by: list[str], cell: str, n: str, replicates: int) -> DataFrame:
+    """``cells`` once per ``replicate``, with ``w``: how often a row of the cell is drawn when as many rows are drawn as the group has.
+
+    ``cells`` has a row per group and ``cell`` (a string), of ``n`` rows each. The bits of a cell's digest place it in a
+    binary tree, and the draws of a node are split between its halves by a binomial draw, whose random numbers are digests
+    of group, replicate and node. So a replicate is drawn from counts: the cost is cells x replicates x log(cells), rows
+    are not numbered, and a group of very many rows is no more work than one of few. The draws of a group sum to its rows.
     """
-    whole = W.partitionBy(by)
-    placed = rows.select(by, F.col(value).alias("v"), (F.row_number().over(whole.orderBy(row_id)) - 1).cast("long").alias("i"))
-    sizes = placed.groupBy(by).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    times = draws(sizes, replicates, by)
-    means = times.join(placed, [by, "i"]).groupBy(by, "replicate").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
-    return means.join(sizes.select(by, "mean"), by)
+    group = F.concat_ws("|", *(F.col(c).cast("string") for c in by)) if by else F.lit("")
+    c = written(cells.withColumn("_g", group).withColumn("_h", F.conv(F.substring(F.md5(F.concat_ws("|", "_g", cell)), 1, 8), 16, 10).cast("long")), "cells")
+    prefix = F.expr(f"shiftright(_h, {LEVELS} - level)")
+    tree = written(c.select("_g", "_h", n, F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")).groupBy("_g", "level", prefix.alias("prefix")).agg(F.sum(n).cast("double").alias("n")), "tree")
+    half = tree.where("level > 0 and prefix % 2 = 0").select("_g", (F.col("level") - 1).alias("level"), F.shiftright("prefix", 1).alias("prefix"), F.col("n").alias("a"))
+    nodes = tree.join(half, ["_g", "level", "prefix"]).where("a < n")  # only where a node has two halves is anything drawn
+    places = c.select("_g", cell, "_h", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")).withColumn("prefix", prefix)
+    step = F.struct("level", "prefix", "n", "a", F.expr(f"shiftright(_h, {LEVELS - 1} - level) & 1").alias("bit"))
+    steps = places.join(nodes, ["_g", "level", "prefix"]).groupBy("_g", cell).agg(F.sort_array(F.collect_list(step)).alias("steps"))  # LEVELS at most
+    total = tree.where("level = 0").select("_g", F.col("n").alias("_total"))
+    # A row becomes ``replicates`` long walks, so few bytes are much work: as many tasks as the session has for shuffles.
+    spread = c.join(steps, ["_g", cell], "left").join(total, "_g").repartition(int(c.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_g", cell)
+    each = spread.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+
+    def seeded(s: Column) -> Column:
+        digest = F.md5(F.concat_ws("|", F.col("_g"), F.col("replicate").cast("string"), s["level"].cast("string"), s["prefix"].cast("string")))
+        return F.struct(s["n"].alias("n"), s["a"].alias("a"), s["bit"].alias("bit"), _uniform(digest, 1).alias("u"), _uniform(digest, 9).alias("v"))
+
+    walk = F.aggregate(F.coalesce("_steps", F.array().cast("array<struct<n:double,a:double,bit:bigint,u:double,v:double>>")), F.col("_total"), lambda m, s: F.when(s["bit"] == 0, binomial(m, s)).otherwise(m - binomial(m, s)))
+    return each.withColumn("_steps", F.transform("steps", seeded)).withColumn("w", walk.cast("long")).select(*cells.columns, "replicate", "w")
+
+
+def value_cells(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(…by, cell, n, s): how many rows have each value, and their sum; values alike at six decimals are one. Nulls do not count."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*by, F.round(F.col(value) * 1_000_000).cast("long").cast("string").alias("cell")).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("double")).alias("s"))
+
+
+def resampled_means(cells: DataFrame, replicates: int, by: list[str]) -> DataFrame:
+    """(…by, replicate, m): the mean of each replicate of as many rows, drawn with replacement, as the group has in ``value_cells``."""
+    return multinomial(cells, by, "cell", "n", replicates).groupBy(*by, "replicate").agg((F.sum(F.col("w") * F.col("s") / F.col("n")) / F.sum("w")).alias("m"))
 
 
-def iid_bootstrap(rows: DataFrame, row_id: str, value: str, replicates: int, by: str) -> DataFrame:
-    """(by, mean, low, high): percentile intervals of the mean over rows drawn with replacement, by group."""
-    return resampled(rows, row_id, value, replicates, by).groupBy(by).agg(F.first("mean").alias("mean"), F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
+def iid_bootstrap(rows: DataFrame, value: str, replicates: int, by: list[str]) -> DataFrame:
+    """(…by, n, mean, low, high): mean of the rows that have a value, with the percentile interval of resampled means."""
+    cells = written(value_cells(rows, by, value), "values")
+    ends = resampled_means(cells, replicates, by).groupBy(*by).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
+    whole = cells.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"))
+    return whole.join(ends, by) if by else whole.crossJoin(ends)  # a row each
 
 
-def proportion_verdict(rows: DataFrame, row_id: str, exceeds: str, budget: float, replicates: int = 200) -> DataFrame:
+def proportion_verdict(rows: DataFrame, exceeds: str, budget: float, replicates: int = 200) -> DataFrame:
     """(n, share, low, high, verdict): share of rows that exceed a tolerance, with the sorted replicates' int(0.025 B)-th and int(0.975 B)-th.
 
-    VIOLATED if the interval lies above the budget, SATISFIED below it, INCONCLUSIVE otherwise.
+    VIOLATED if the interval lies above the budget, SATISFIED below it, INCONCLUSIVE otherwise. There are two values, so a
+    replicate is one binomial draw.
     """
-    one = rows.select(F.lit("").alias("g"), row_id, F.col(exceeds).cast("double").alias("x"))
-    means = resampled(one, row_id, "x", replicates, "g")
-    ends = means.agg(F.sort_array(F.collect_list("m")).alias("m")).select(F.col("m")[int(0.025 * replicates)].alias("low"), F.col("m")[int(0.975 * replicates)].alias("high"))  # as many as replicates
-    whole = one.agg(F.count("*").alias("n"), F.avg("x").alias("share"))
+    cells = written(value_cells(rows.select(F.col(exceeds).cast("double").alias("x")), [], "x"), "values")
+    ends = resampled_means(cells, replicates, []).agg(F.sort_array(F.collect_list("m")).alias("m")).select(F.col("m")[int(0.025 * replicates)].alias("low"), F.col("m")[int(0.975 * replicates)].alias("high"))  # as many as replicates
+    whole = cells.agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("share"))
     return whole.crossJoin(ends).withColumn("verdict", F.when(F.col("low") > budget, "VIOLATED").when(F.col("high") < budget, "SATISFIED").otherwise("INCONCLUSIVE"))
 
 
@@ -213,9 +268,10 @@ def cell_summary(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def auc_difference(rows: DataFrame, cluster: str, one: str, other: str, label: str, replicates: int) -> DataFrame:
     """(mean, low, high, used): the difference of two scores' areas under the ROC curve over resampled clusters; replicates of one class are left out."""
-    placed = rows.select(F.lit("").alias("g"), cluster).distinct().withColumn("i", (F.row_number().over(W.partitionBy("g").orderBy(cluster)) - 1).cast("long"))  # one row per cluster
-    times = draws(placed.groupBy("g").agg(F.count("*").alias("n")), replicates, "g")
-    drawn = rows.join(placed, cluster).join(times, ["g", "i"])
+    # Rows of a cluster with the same scores and label count as one, so a replicate reads counts.
+    alike = written(rows.groupBy(F.col(cluster).cast("string").alias("_c"), one, other, label).agg(F.count("*").alias("_n")), "alike")
+    times = multinomial(alike.select("_c").distinct().withColumn("_one", F.lit(1)), [], "_c", "_one", replicates).where("w > 0")
+    drawn = alike.join(times, "_c").withColumn("w", F.col("w") * F.col("_n"))
     each = drawn.select("replicate", "w", F.col(label).alias("y"), F.explode(F.array(F.struct(F.lit("one").alias("k"), F.col(one).alias("x")), F.struct(F.lit("other").alias("k"), F.col(other).alias("x")))).alias("s")).select("replicate", "w", "y", "s.*")
     per = each.groupBy("k", "replicate", "x").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("p"))
     below = F.coalesce(F.sum("n").over(W.partitionBy("k", "replicate").orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

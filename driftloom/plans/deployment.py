@@ -11,7 +11,7 @@ from driftloom.functions import prompts
 from driftloom.operators import lineage, statistics, views
 from driftloom.sources.store import kept
 
-from . import derived
+from . import derived, resampling
 from .derived import table
 from .evaluation import CANONICAL, PAIR, _records
 from .graph import ANSWERS, CATALOGUED, _answers, _catalogue, _gold
@@ -208,14 +208,12 @@ def cohort_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(z, "part").where("doc_a < doc_b and supp_a <> supp_b").groupBy("doc_a", "doc_b").agg(F.count_distinct("part").alias("n_heads"))
 
 
-@query("""WITH v AS (SELECT lang, doc_id, n_chars::DOUBLE AS x, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents JOIN labels USING (doc_id)),
-q AS (SELECT lang, n, r.r, j.j, ('0x' || left(md5(lang || '|' || r.r || '|' || j.j), 8))::BIGINT % n AS i FROM (SELECT DISTINCT lang, n FROM v) k CROSS JOIN (SELECT unnest(range(0, 40)) AS r) r JOIN (SELECT unnest(range(0, (SELECT max(n) FROM v))) AS j) j ON j.j < n),
-m AS (SELECT q.lang, q.r, avg(v.x) AS m FROM q JOIN v ON v.lang = q.lang AND v.i = q.i GROUP BY ALL)
-SELECT lang, (SELECT round(avg(x) + 1e-9, 6) FROM v WHERE v.lang = m.lang) AS mean, round(quantile_cont(m, 0.025) + 1e-9, 6) AS low, round(quantile_cont(m, 0.975) + 1e-9, 6) AS high FROM m GROUP BY lang""")
+@query(f"""WITH rw AS (SELECT lang AS grp, n_chars::DOUBLE AS value FROM documents JOIN labels USING (doc_id)), {resampling.mean_intervals("rw", 40, "iv")}
+SELECT grp AS lang, round(mean + 1e-9, 6) AS mean, round(low + 1e-9, 6) AS low, round(high + 1e-9, 6) AS high FROM iv""")
 def resampled_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means with percentile intervals from resampled rows; draws are digests, so that they can be repeated anywhere."""
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("lang", "doc_id", F.col("n_chars").cast("double").alias("x"))
-    return _rounded(statistics.iid_bootstrap(rows, "doc_id", "x", 40, "lang"), "mean", "low", "high")
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("lang", F.col("n_chars").cast("double").alias("x"))
+    return _rounded(statistics.iid_bootstrap(rows, "x", 40, ["lang"]).drop("n"), "mean", "low", "high")
 
 
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS latest, arg_min(event_id, (ts, event_id)) AS earliest FROM events GROUP BY user_id")
@@ -262,8 +260,8 @@ def manifest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("documents"), F.coalesce(F.sum("value"), F.lit(0.0)).cast("decimal(38,2)").cast("double").alias("total"), F.round(F.coalesce(F.avg("value"), F.lit(0.0)) + 1e-9, 6).alias("mean"), F.count_if(F.col("event_type").like("p%")).alias("matching"))
 
 
-@query(CANONICAL + """, mr AS (SELECT doc, round(base_recall, 9) AS a, round(recall, 9) AS b, row_number() OVER (ORDER BY doc) - 1 AS i, count(*) OVER () AS n FROM recall WHERE family = 'model'), mx AS (SELECT *, (round(abs(a - b), 9) > 0.2)::INT::DOUBLE AS over FROM mr),
-mq AS (SELECT r.r, ('0x' || left(md5('' || '|' || r.r || '|' || mx.i), 8))::BIGINT % mx.n AS i FROM mx CROSS JOIN (SELECT unnest(range(0, 60)) AS r) r), mm AS (SELECT r, avg(over) AS m FROM mq JOIN mx USING (i) GROUP BY r), ms AS (SELECT list_sort(list(m)) AS m FROM mm)
+@query(CANONICAL + f""", mx AS (SELECT round(base_recall, 9) AS a, round(recall, 9) AS b, (round(abs(round(base_recall, 9) - round(recall, 9)), 9) > 0.2)::INT::DOUBLE AS over FROM recall WHERE family = 'model'),
+mc AS (SELECT '' AS grp, (over * 1000000)::BIGINT::VARCHAR AS cell, count(*) AS n, sum(over) AS s FROM mx GROUP BY over), {resampling.multinomial("mc", 60, "mw")}, mm AS (SELECT r, sum(w * s / n) / sum(w) AS m FROM mw JOIN mc USING (grp, cell, n) GROUP BY r), ms AS (SELECT list_sort(list(m)) AS m FROM mm)
 SELECT (SELECT count(*) FROM mx) AS n, (SELECT round(avg(a) + 1e-9, 6) FROM mx) AS base_recall, (SELECT round(avg(b) + 1e-9, 6) FROM mx) AS recall, (SELECT round(avg(abs(a - b)) + 1e-9, 6) FROM mx) AS difference, (SELECT round(avg(over) + 1e-9, 6) FROM mx) AS share, round(m[2] + 1e-9, 6) AS low, round(m[59] + 1e-9, 6) AS high,
 CASE WHEN m[2] > 0.2 THEN 'VIOLATED' WHEN m[59] < 0.2 THEN 'SATISFIED' ELSE 'INCONCLUSIVE' END AS verdict FROM ms""")
 def cross_model_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +271,7 @@ def cross_model_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = views.gold_recall(docs, own, derived.gold(spark, sf_dir), families, ["s", "r", "o"]).where("family = 'model'").withColumns({"a": F.round("base_recall", 9), "b": F.round("recall", 9)})
     both = both.withColumn("over", F.round(F.abs(F.col("a") - F.col("b")), 9) > 0.2)
     means = both.agg(F.round(F.avg("a") + 1e-9, 6).alias("base_recall"), F.round(F.avg("b") + 1e-9, 6).alias("recall"), F.round(F.avg(F.abs(F.col("a") - F.col("b"))) + 1e-9, 6).alias("difference"))
-    found = statistics.proportion_verdict(both, "doc", "over", 0.2, 60)
+    found = statistics.proportion_verdict(both, "over", 0.2, 60)
     return _rounded(found.crossJoin(means), "share", "low", "high")  # one row each
 
 

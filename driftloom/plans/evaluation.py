@@ -9,7 +9,7 @@ from driftloom.operators import contracts, lineage, statistics, views
 
 from driftloom.sources.store import kept, written
 
-from . import derived
+from . import derived, resampling
 from .derived import table
 from .graph import FANOUT_B, FANOUT_C, sided
 from .registry import query
@@ -97,8 +97,7 @@ def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.cluster_bootstrap(table(spark, sf_dir, "events"), "user_id", "value", 200, ["event_type"])
 
 
-@query("""WITH t AS (SELECT source, n_chars::DOUBLE AS a, (doc_id % 97)::DOUBLE AS b, toxic::BIGINT AS y FROM documents JOIN labels USING (doc_id)), c AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM t)),
-w AS (SELECT r, i, count(*) AS w FROM (SELECT r.r, ('0x' || left(md5('|' || r.r || '|' || c.i), 8))::BIGINT % c.n AS i FROM c CROSS JOIN (SELECT unnest(range(0, 40)) AS r) r) GROUP BY ALL), e AS (SELECT r, a, b, y, w FROM w JOIN c USING (i) JOIN t USING (source)),
+@query(f"""WITH t AS (SELECT source, n_chars::DOUBLE AS a, (doc_id % 97)::DOUBLE AS b, toxic::BIGINT AS y FROM documents JOIN labels USING (doc_id)), c AS (SELECT DISTINCT '' AS grp, source AS cell, 1 AS n FROM t), {resampling.multinomial("c", 40, "cw")}, e AS (SELECT r, a, b, y, w FROM cw JOIN t ON source = cell WHERE w > 0),
 u AS (SELECT 'a' AS k, r, a AS x, sum(w) AS n, sum(w * y) AS p FROM e GROUP BY ALL UNION ALL SELECT 'b', r, b, sum(w), sum(w * y) FROM e GROUP BY ALL), v AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY k, r ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2.0 AS rk FROM u),
 z AS (SELECT k, r, CASE WHEN sum(p) > 0 AND sum(p) < sum(n) THEN (sum(p * rk) - sum(p) * (sum(p) + 1) / 2.0) / (sum(p) * (sum(n) - sum(p))) END AS auc FROM v GROUP BY ALL), d AS (SELECT r, max(auc) FILTER (k = 'a') - max(auc) FILTER (k = 'b') AS d FROM z GROUP BY r)
 SELECT round(avg(d), 6) AS mean, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high, count(d) AS used FROM d WHERE d IS NOT NULL""")

@@ -27,4 +27,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import corpus, deployment, evaluation, graph  # noqa: F401
+    from . import cohorts, corpus, deployment, evaluation, graph  # noqa: F401

@@ -37,6 +37,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a ``written`` table that nothing reads any more."""
+    files, at = hadoop_path(df.sparkSession, df.written_at)
+    files.delete(at, True)
+
+
 def hadoop_path(spark: SparkSession, path: str) -> tuple:
     """A path's file system and the path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
