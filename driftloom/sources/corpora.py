@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import sqlite3
+import uuid
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import closing
 from itertools import accumulate
 
 import pyarrow as pa
@@ -19,7 +22,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructType
 from pyspark.sql.window import Window as W
 
-from driftloom.sources.store import hadoop_path, written
+from driftloom.sources import log
+from driftloom.sources.log import Versioned  # noqa: F401
+from driftloom.sources.store import hadoop_path, shared_dir, written
 
 MENTIONS = "array<array<struct<name:string,type:string,sent_id:int,pos:array<int>>>>"
 #: Labels as columns of equal length, the shape that all readers give.
@@ -67,7 +72,7 @@ def read_docred(spark: SparkSession, path: str, prefix: str = "docred", split: s
         labels = F.when(text.startswith("["), label_columns(F.from_json("labels", LISTED))).otherwise(F.from_json("labels", LABELS))
     docs = numbered(raw.select("title", "sents", F.col("vertexSet").cast(MENTIONS).alias("vertexSet"), labels.alias("labels")), limit)
     title = F.substring(F.regexp_replace("title", r"[^\p{L}\p{N}_-]", "_"), 1, 40)
-    return docs.select("idx", F.concat_ws("-", F.lit(prefix), F.lit(split), F.lpad(F.col("idx").cast("string"), 6, "0"), title).alias("document_id"), "title", "sents", "vertexSet", "labels")
+    return docs.select("idx", F.concat_ws("-", F.lit(prefix), F.lit(split), F.format_string("%06d", "idx"), title).alias("document_id"), "title", "sents", "vertexSet", "labels")
 
 
 def _names(spark: SparkSession, path: str) -> list[str]:
@@ -233,11 +238,8 @@ def mesh_clusters(docs: DataFrame) -> DataFrame:
 
 
 def read_checkpoint(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
-    """JSON lines where the last record of a key counts; order is file, then place in it."""
-    from driftloom.operators.lineage import latest
-
-    raw = spark.read.schema(schema).json(path).withColumn("_file", F.input_file_name()).withColumn("_place", F.monotonically_increasing_id())
-    return latest(raw, keys, ["_file", "_place"]).drop("_file", "_place")
+    """JSON lines where the last record of a key counts: in the order of a log's batches, or of plain files, then of place."""
+    return log.read_latest(spark, path, schema, keys)
 
 
 def read_yaml(path: str) -> dict:
@@ -248,9 +250,9 @@ def read_yaml(path: str) -> dict:
         return yaml.safe_load(f)
 
 
-def append_checkpoint(records: DataFrame, path: str) -> None:
-    """Add records to a JSON lines checkpoint; what is there stays as it is."""
-    records.write.mode("append").json(path)
+def append_checkpoint(records: DataFrame, path: str) -> int:
+    """Add records to a JSON lines checkpoint, as a batch after all others; what is there stays as it is."""
+    return log.append(records, path)
 
 
 def fingerprint(path: str) -> dict:
@@ -283,6 +285,23 @@ class unchanged:
             raise RuntimeError(f"{self.path} changed while it was read")
 
 
+def snapshot(spark: SparkSession, path: str) -> tuple[str, dict]:
+    """A consistent copy of a SQLite database in the shared folder, and its fingerprint; read that, and all partitions see one state.
+
+    The copy is made by SQLite's backup, which holds a read transaction, so writers may go on meanwhile and pages in a log
+    are in it. The shared folder must be one that workers reach as files.
+    """
+    folder = re.sub(r"^file:/+", "/", shared_dir(spark))
+    if not folder.startswith("/"):
+        raise ValueError(f"SQLite reads files, and {folder} is none that it could open")
+    os.makedirs(f"{folder}/driftloom", exist_ok=True)
+    copy = f"{folder}/driftloom/snapshot-{uuid.uuid4().hex}.db"
+    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as there, closing(sqlite3.connect(f"{copy}.part")) as here:
+        there.backup(here)
+    os.replace(f"{copy}.part", copy)
+    return copy, fingerprint(copy)
+
+
 class SqliteSource(DataSource):
     """``spark.read.format("sqlite")`` with options path, table and key ranges of rowid; the file must be reachable by the workers."""
 
@@ -343,38 +362,6 @@ def write_upsert(new: DataFrame, path: str, keys: list[str], to: str) -> None:
     upsert(new.sparkSession.read.parquet(path), new, keys).write.parquet(to)
 
 
-class Versioned:
-    """A table under a folder, one subfolder per version; outcomes, candidates and edges are put into it by key.
-
-    A version counts once Spark has marked it as complete, so readers see the one before until then, and a lost job leaves
-    nothing half replaced. One writer at a time.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
-
-    def latest(self) -> int:
-        """The number of the last complete version; 0 if there is none."""
-        files, at = hadoop_path(self.spark, self.folder)
-        if not files.exists(at):
-            return 0
-        names = [f.getPath().getName() for f in files.listStatus(at)]
-        done = [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and files.exists(hadoop_path(self.spark, f"{self.folder}/{n}/_SUCCESS")[1])]
-        return max(done, default=0)
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/v{self.latest()}")
-
-    def put(self, new: DataFrame, keys: list[str], order: list[str] | None = None) -> int:
-        """Rows of ``new`` in place of those with their keys; of several of one key the last by ``order``. Returns the new version."""
-        from driftloom.operators.lineage import upsert
-
-        n = self.latest()
-        old = self.read() if n else self.spark.createDataFrame([], new.schema)
-        upsert(old, new, keys, order).write.mode("overwrite").parquet(f"{self.folder}/v{n + 1}")
-        return n + 1
-
-
 def read_registered(spark: SparkSession, path: str, sha256: str) -> DataFrame:
     """A JSON artifact whose bytes have the registered digest; another digest raises."""
     found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("d")).collect()  # one file
