@@ -4,11 +4,14 @@ Base spans are found by four patterns. Matches and the pieces between them have
 the places. The patterns here find what the plain ones find, but neither backtrack nor recurse: runs are possessive,
 and no search starts inside a run that has already failed.
 
-Information-theoretic sanitisation: an entity is a base match's value, a term a word of TERM_LETTERS letters or more.
-Corpus counts give in how many texts a term stands within REACH characters of an entity, in how many each occurs, and
-so the share of the entity's information that seeing the term gives away: PMI(term, entity) / IC(entity). All counts are
-of different texts, so it makes no difference how often a text was copied. In documents with the entity, terms from REMOVE on are removed and terms from
-GENERALISE on are generalised. Pairs seen in fewer than SUPPORT different surroundings are no evidence.
+Information-theoretic sanitisation: an entity is a base match's value, a term a word of TERM_LETTERS letters or more that
+stands within REACH characters of it. What a term gives away of an entity is the share of the entity's information that
+is gone once the term is known: 1 - log P(entity | term) / log P(entity). All counts are of different texts, so it makes no
+difference how often a text was copied. P(entity | term) is counted, but a term of few texts says little by its count, so
+the count is shrunk, with the weight of SHRINK texts, toward what the entity's class lets expect: how often the term goes
+with the class (an address's domain, a network, a card's issuer, a phone's country), itself shrunk toward the class's
+share of all texts, times the entity's share of its class. In documents with the entity, terms from REMOVE on are removed
+and terms from GENERALISE on are generalised to their kind of token.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from .common import spool
 
 #: Rows up to which the hashes of texts with copies are broadcast.
 BROADCAST_COPIES = 1_000_000
-TERM_LETTERS, REACH, SUPPORT, GENERALISE, REMOVE = 4, 60, 3, 0.6, 0.85
+TERM_LETTERS, REACH, SHRINK, GENERALISE, REMOVE = 4, 60, 3, 0.6, 0.85
 #: Rows up to which a term table is broadcast.
 BROADCAST_ROWS = 50_000
 BASE = ("email", "ip", "card", "phone")
@@ -116,13 +119,24 @@ def with_base(texts: DataFrame) -> DataFrame:
     return found.select(*texts.columns, F.concat(*(f"_{k}" for k in BASE)).alias("_base"))
 
 
+def entity_class(span: Column) -> Column:
+    """What an entity shares with others of its kind: domain, first two parts, first six digits, first three of a phone's."""
+    kind, value = span["kind"], F.lower(span["value"])
+    part = F.when(kind == "email", F.substring_index(value, "@", -1)).when(kind == "ip", F.substring_index(value, ".", 2)).otherwise(F.substring(_digits(value), 1, F.when(kind == "card", 6).otherwise(3)))
+    return F.concat(kind, F.lit(":"), part)
+
+
 def terms_near(spans: DataFrame) -> DataFrame:
-    """(entity, text, around, term) for ``spans`` (_text, _base): the terms on both sides of each entity; texts and surroundings by hash."""
+    """(entity, class, text, term) for ``spans`` (_text, _base): the terms on both sides of each entity; texts by hash."""
     one = spans.select("_text", F.explode("_base").alias("s"))
-    before = F.substring(F.col("_text"), F.greatest(F.col("s.start") - REACH + 1, F.lit(1)).cast("int"), F.least(F.col("s.start"), F.lit(REACH)).cast("int"))
-    after = F.substring(F.col("_text"), (F.col("s.stop") + 1).cast("int"), F.lit(REACH))
+    # One more character tells whether the outermost word is whole; one that is cut is no term.
+    start = F.col("s.start")
+    before = F.substring(F.col("_text"), F.greatest(start - REACH, F.lit(1)).cast("int"), F.least(start, F.lit(REACH + 1)).cast("int"))
+    before = F.when(start > REACH, F.regexp_replace(before, r"(?s)^(?:\p{L}+|.)", "")).otherwise(before)
+    after = F.substring(F.col("_text"), (F.col("s.stop") + 1).cast("int"), F.lit(REACH + 1))
+    after = F.when(F.length(after) > REACH, F.regexp_replace(after, r"(?s)(?:\p{L}+|.)\z", "")).otherwise(after)
     around = F.concat_ws("\n", before, after)
-    return one.select(F.lower("s.value").alias("entity"), F.xxhash64("_text").alias("text"), F.xxhash64(around).alias("around"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(rf"(?<!\p{{L}})\p{{L}}{{{TERM_LETTERS},}}(?!\p{{L}})"), 0))).alias("term"))
+    return one.select(F.lower("s.value").alias("entity"), entity_class(F.col("s")).alias("class"), F.xxhash64("_text").alias("text"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(around), F.lit(rf"(?<!\p{{L}})\p{{L}}{{{TERM_LETTERS},}}(?!\p{{L}})"), 0))).alias("term"))
 
 
 def revealing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -131,13 +145,16 @@ def revealing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     texts = spool(hashed.groupBy("_hash").agg(F.count("*").alias("copies")), "texts")
     total = texts.count()
     near = spool(terms_near(spans), "near")
-    held = spans.select(F.xxhash64("_text").alias("text"), F.explode(F.array_distinct(F.transform("_base", lambda s: F.lower(s["value"])))).alias("entity"))
-    entity_docs = held.groupBy("entity").agg(F.count_distinct("text").alias("entity_docs"))
+    held = spool(spans.select(F.xxhash64("_text").alias("text"), F.explode("_base").alias("s")).select("text", F.lower("s.value").alias("entity"), entity_class(F.col("s")).alias("class")).distinct(), "held")
+    entity_docs = held.groupBy("entity", "class").agg(F.count_distinct("text").alias("entity_docs"))
+    class_docs = held.groupBy("class").agg(F.count_distinct("text").alias("class_docs"))
     # A term occurs at least in the documents that have it near an entity. Pairs that even this few leave below the
     # thresholds cannot reach them, so only the other terms are counted in all documents.
     fewest = near.groupBy("term").agg(F.count_distinct("text").alias("term_docs"))
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("around").alias("support"), F.count_distinct("text").alias("together")).where(F.col("support") >= SUPPORT)
-    pairs = spool(pairs.join(fewest, "term").join(entity_docs, "entity").where(disclosure(total) >= GENERALISE).drop("term_docs"), "pairs")
+    pairs = near.groupBy("entity", "class", "term").agg(F.count_distinct("text").alias("together"))
+    of_class = near.groupBy("class", "term").agg(F.count_distinct("text").alias("class_together"))
+    counted = pairs.join(of_class, ["class", "term"]).join(entity_docs, ["entity", "class"]).join(class_docs, "class")
+    pairs = spool(counted.join(fewest, "term").where(disclosure(total) >= GENERALISE).drop("term_docs"), "pairs")
     terms = pairs.select("term").distinct()
     n_terms = terms.count()
     if not n_terms:
@@ -146,7 +163,7 @@ def revealing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
         terms = F.broadcast(terms)
     copied = texts.where("copies > 1")
     copied = F.broadcast(copied) if copied.count() <= BROADCAST_COPIES else copied
-    words = hashed.join(copied, "_hash", "left").select(F.coalesce("copies", F.lit(1)).alias("copies"), F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("term")).where(F.length("term") >= TERM_LETTERS)
+    words = hashed.join(copied, "_hash", "left").select(F.coalesce("copies", F.lit(1)).alias("copies"), F.explode(words_of(F.col("_text"))).alias("term"))
     # Summed first, so that what reaches the join is a row per word and number of copies, not per occurrence. (A semi-join
     # would be pushed below the sum.) A text of c copies is among the words of c copies c times.
     summed = words.groupBy("term", "copies").agg(F.count("*").alias("n")).join(terms, "term")
@@ -155,11 +172,18 @@ def revealing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return spool(pairs.join(term_docs, "term").withColumn("share", disclosure(total)).select("entity", "term", kinds.alias("kind")).where("kind is not null"), "terms")
 
 
+def words_of(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda w: F.length(w) >= TERM_LETTERS)
+
+
 def disclosure(total: int) -> Column:
-    """Share of an entity's information that a term gives away, from ``together``, ``term_docs`` and ``entity_docs``."""
-    ic = -F.log2(F.col("entity_docs") / total)
-    pmi = F.log2(F.col("together") * total / (F.col("term_docs") * F.col("entity_docs")))
-    return F.when(ic > 0, F.least(pmi, ic) / ic).otherwise(0)
+    """The share of an entity's information that a term gives away, from the counts of texts; 0 for one that all texts have."""
+    k, n = float(SHRINK), F.col("term_docs")
+    of_class = (F.col("class_together") + k * F.col("class_docs") / total) / (n + k)
+    known = (F.col("together") + k * of_class * F.col("entity_docs") / F.col("class_docs")) / (n + k)
+    alone = F.col("entity_docs") / total
+    return F.round(F.when(alone < 1, 1 - F.log2(known) / F.log2(alone)).otherwise(0.0), 12)
 
 
 def find_private(docs: DataFrame) -> DataFrame:
@@ -174,10 +198,13 @@ def find_private(docs: DataFrame) -> DataFrame:
     texts = spool(with_base(texts), "base")
     hits = spool(texts.where(F.size("_base") > 0).select("_text", "_base"), "hits")
     pairs = revealing_terms(texts.select("_text"), hits)
-    # Terms for each text that holds an entity of theirs; the text's hash stands for the text.
+    # Terms for each text that holds an entity of theirs; the text's hash stands for the text. They are found from the
+    # text's own words, so an entity of many texts with many terms does not multiply one by the other.
     key = F.xxhash64("_text", F.md5("_text"))
     owned = hits.select(key.alias("_key"), F.explode(F.array_distinct(F.transform("_base", lambda s: F.lower(s["value"])))).alias("entity")).distinct()
-    per_text = owned.join(pairs, "entity").groupBy("_key", "term").agg(F.max("kind").alias("kind")).groupBy("_key").agg(F.sort_array(F.collect_set(F.when(F.col("kind") == "removed", F.col("term")))).alias("_removed"), F.sort_array(F.collect_set(F.when(F.col("kind") == "general", F.col("term")))).alias("_general"))
+    own_words = hits.select(key.alias("_key"), F.explode(words_of(F.col("_text"))).alias("term")).distinct()
+    found = own_words.join(pairs, "term").join(owned, ["_key", "entity"])
+    per_text = found.groupBy("_key", "term").agg(F.max("kind").alias("kind")).groupBy("_key").agg(F.sort_array(F.collect_set(F.when(F.col("kind") == "removed", F.col("term")))).alias("_removed"), F.sort_array(F.collect_set(F.when(F.col("kind") == "general", F.col("term")))).alias("_general"))
     per_text = spool(per_text, "text-terms")
     n = per_text.count()
     if n:
@@ -198,14 +225,21 @@ def find_private(docs: DataFrame) -> DataFrame:
     return marked.select(*(F.col(i).alias(c) for c, i in inner.items()), F.when(F.size(everything) > 0, ordered).otherwise(F.array().cast(SPAN)).alias("spans"))
 
 
+def token_kind(value: Column) -> Column:
+    """What is left of a generalised term."""
+    first = F.substring(value, 1, 1)
+    return F.when((F.upper(value) == value) & (F.lower(value) != value), "acronym").when((F.upper(first) == first) & (F.lower(first) != first), "name").otherwise("word")
+
+
 def sanitise(rows: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """``rows`` with base spans and generalised terms in ``text`` replaced by their kind in brackets and removed terms left out.
+    """``rows`` with base spans in ``text`` replaced by their kind in brackets, removed terms left out, and generalised ones
+    replaced by their kind of token: ACRONYM (capitals), NAME (a capital first) or WORD.
 
     Spans that overlap are one, of the kind of the first. A null text becomes an empty one.
     """
     out = rows.withColumn("_stop", F.when(F.size(spans) > 0, running(F.transform(spans, lambda s: s["stop"]), most=True)))
     # ``before``: where the spans so far end; a span that starts earlier lies in them.
-    zipped = F.zip_with(spans, F.concat(F.array(F.lit(0).cast("long")), F.slice("_stop", 1, F.size("_stop") - 1)), lambda s, b: F.struct(b.alias("before"), s["start"].alias("start"), s["kind"].alias("kind")))
+    zipped = F.zip_with(spans, F.concat(F.array(F.lit(0).cast("long")), F.slice("_stop", 1, F.size("_stop") - 1)), lambda s, b: F.struct(b.alias("before"), s["start"].alias("start"), F.when(s["kind"] == "general", token_kind(s["value"])).otherwise(s["kind"]).alias("kind")))
     out = out.withColumn("_cut", F.when(F.size(spans) > 0, F.filter(zipped, lambda z: z["start"] >= z["before"])))
     # Text is taken in runs of cuts, and each gap from its run, so no gap is looked for from the start of the text.
     size = F.ceil(F.sqrt(F.size("_cut"))).cast("int")

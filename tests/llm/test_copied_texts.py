@@ -15,7 +15,10 @@ def test_verdicts_do_not_depend_on_copies(spark, copies):
     assert ("zanzibar", "removed") in kinds and "said" not in {k for k, _ in kinds}
 
 
-def test_copies_of_one_text_are_no_evidence(spark):
-    texts = ["the zanzibar envoy joe@x.org came"] * 30 + [f"another word {i}" for i in range(60)]
-    found = private_data.find_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {s.kind for r in found for s in r.spans} == {"email"}
+def test_copies_of_one_text_are_the_evidence_of_one(spark):
+    kinds = []
+    for copies in (1, 30):
+        texts = ["the zanzibar envoy joe@x.org came"] * copies + [f"another word {i}" for i in range(60)]
+        found = private_data.find_private(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        kinds.append({(s.value, s.kind) for r in found for s in r.spans})
+    assert kinds[0] == kinds[1] and ("joe@x.org", "email") in kinds[0]
