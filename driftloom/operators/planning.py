@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -131,32 +134,53 @@ def adaptive(candidates: DataFrame, budget: int, seed: int = 0) -> DataFrame:
 LEAST_SEEN = 25
 
 
-def select_pairs(pairs: list[dict], budget: float, threshold: float, least_seen: int) -> list[dict]:
-    """Pairs in order of priority while they fit, past those that do not; a family whose Wilson lower bound of violations exceeds the threshold is left."""
-    spent, seen, bad, stopped, out = 0.0, {}, {}, set(), []
-    for p in sorted(pairs, key=lambda p: -p["priority"]):
-        f = p["family"]
-        taken = spent + p["cost"] <= budget and f not in stopped
-        if taken:
-            spent += p["cost"]
-            seen[f], bad[f] = seen.get(f, 0) + 1, bad.get(f, 0) + int(p["violated"])
-            n, share = seen[f], bad[f] / seen[f]
-            low = (share + Z * Z / (2 * n) - Z * (share * (1 - share) / n + Z * Z / (4 * n * n)) ** 0.5) / (1 + Z * Z / n)
-            if n >= least_seen and low > threshold:
-                stopped.add(f)
-        out.append({"stream": p["stream"], "run_id": p["run_id"], "taken": taken, "spent": spent})
-    return out
+Z = 1.96
 
 
-Z = 1.96
+class Selection:
+    """What a sequential selection keeps between pairs: what is spent, and per family how many were seen, how many violated, and whether it is left."""
+
+    def __init__(self, budget: float, threshold: float, least_seen: int) -> None:
+        self.budget, self.threshold, self.least_seen = budget, threshold, least_seen
+        self.spent, self.seen, self.bad, self.stopped = 0.0, {}, {}, set()
+
+    def take(self, family: str, cost: float, violated: bool) -> bool:
+        """Whether the next pair is taken: it fits, and its family's Wilson lower bound of violations has not exceeded the threshold."""
+        if self.spent + cost > self.budget or family in self.stopped:
+            return False
+        self.spent += cost
+        n, k = self.seen.get(family, 0) + 1, self.bad.get(family, 0) + bool(violated)
+        self.seen[family], self.bad[family] = n, k
+        share = k / n
+        low = (share + Z * Z / (2 * n) - Z * (share * (1 - share) / n + Z * Z / (4 * n * n)) ** 0.5) / (1 + Z * Z / n)
+        if n >= self.least_seen and low > self.threshold:
+            self.stopped.add(family)
+        return True
+
+
+def selected(batches: Iterator[pa.RecordBatch], budget: float, threshold: float, least_seen: int) -> Iterator[pa.RecordBatch]:
+    """(stream, run_id, taken, spent) of pairs in order of stream and then priority; a batch at a time, and one ``Selection`` of the stream at hand."""
+    stream, state = None, None
+    for batch in batches:
+        taken, spent = [], []
+        for s, family, cost, violated in zip(*(batch.column(c).to_pylist() for c in ("stream", "family", "cost", "violated")), strict=True):
+            if state is None or s != stream:
+                stream, state = s, Selection(budget, threshold, least_seen)
+            taken.append(state.take(family, cost, violated))
+            spent.append(state.spent)
+        yield pa.RecordBatch.from_arrays([batch.column("stream"), batch.column("run_id"), pa.array(taken, pa.bool_()), pa.array(spent, pa.float64())], names=["stream", "run_id", "taken", "spent"])
 
 
 def budgeted_stream(pairs: DataFrame, budget: float, threshold: float = 0.20, least_seen: int = LEAST_SEEN) -> DataFrame:
-    """(stream, run_id, taken, spent) for ``pairs`` (stream, run_id, family, priority, cost, violated): ``select_pairs`` of each stream; ties by run_id.
+    """(stream, run_id, taken, spent) for ``pairs`` (stream, run_id, family, priority, cost, violated): pairs in order of priority while they fit.
 
-    What follows depends on what was seen before, so a stream goes through one task.
+    Pairs that do not fit are passed over, and a family that violates too often is left; ties go by run_id. What follows
+    depends on what was seen before, so a stream goes through one task in order. Spark sorts it, on disk if need be, and the
+    task keeps a few numbers per family and no pairs.
     """
-    return grouped_map(pairs, "stream", ["run_id"], lambda of: select_pairs(of, budget, threshold, least_seen), "stream string, run_id string, taken boolean, spent double")
+    rows = pairs.select("stream", "run_id", "family", F.col("priority").cast("double").alias("priority"), F.col("cost").cast("double").alias("cost"), "violated")
+    ordered = rows.repartition("stream").sortWithinPartitions("stream", F.desc("priority"), "run_id")
+    return ordered.mapInArrow(lambda batches: selected(batches, budget, threshold, least_seen), "stream string, run_id string, taken boolean, spent double")
 
 
 PLANNERS = {"exhaustive": exhaustive, "random": random, "span_only": only("sentence"), "prompt_only": only("prompt_clause"), "schema_only": only("schema"), "cheapest": cheapest_first, "coarse_to_fine": coarse_to_fine, "round_robin": round_robin}
