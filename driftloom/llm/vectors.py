@@ -2,6 +2,9 @@
 
 In both, vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without vec_id and
 vectors of another length than the most frequent one (ties: the longer) of the table, or of the candidates.
+
+Vectors are held as float32, and all sums in double precision are over those. Components of a table of doubles that float32
+does not hold exactly would be other vectors, so they raise; who wants them rounded casts the column.
 """
 
 from __future__ import annotations
@@ -57,7 +60,10 @@ def usable(table: DataFrame, width: int | None = None) -> DataFrame:
             bytes_ = pa.Array.from_buffers(pa.binary(4 * width), batch.num_rows, [None, pa.py_buffer(flat)]).cast(pa.binary()) if batch.num_rows else pa.array([], pa.binary())
             yield columns(vec_id=batch.column("vec_id"), raw=bytes_)
 
-    return arrow_map(sound(table).where(F.size(e) == width).select(F.col("vec_id").cast("long"), e.cast("array<float>").alias("embedding")), run, "vec_id long, raw binary")
+    if table.schema["embedding"].dataType.simpleString() == "array<double>":
+        fits = F.forall(e, lambda x: x.cast("float").cast("double") == x)
+        e = F.when(fits, e).otherwise(F.raise_error(F.concat(F.lit("float32 does not hold the vector of vec_id "), F.col("vec_id").cast("string"))).cast("array<double>"))
+    return arrow_map(sound(table).where(F.size("embedding") == width).select(F.col("vec_id").cast("long"), e.cast("array<float>").alias("embedding")), run, "vec_id long, raw binary")
 
 
 def matrix(raw: pa.Array) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Rows without an id, repeated ids and repeated rows."""
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from driftloom.llm import html_text, jaccard, packing, quality, vectors
@@ -41,3 +42,17 @@ def test_pages_and_quality(spark):
     docs = spark.createDataFrame([(None, TEXT), (1, TEXT), (1, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(None, 1, 0), (1, None, 1), (1, 1, None)], "doc_id long, quality int, toxic int")
     assert quality.classify(docs, labels).count() == 3
+
+
+def test_vectors_of_doubles(spark):
+    """Doubles that float32 holds are as good as floats; others raise, and are not compared as something else."""
+    rows = [(20 * i, [float(i), 1.0, -0.5]) for i in range(5)]
+    exact = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    single = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, vectors.search(exact, exact, 3).collect())) == sorted(map(tuple, vectors.search(single, single, 3).collect()))
+    for wide in ([0.1, 1.0, 1.0], [1e200, 1.0, 1.0]):
+        finer = exact.unionByName(spark.createDataFrame([(7, wide)], "vec_id long, embedding array<double>"))
+        with pytest.raises(Exception, match="float32 does not hold the vector of vec_id 7"):
+            vectors.search(finer, exact, 3).collect()
+        with pytest.raises(Exception, match="float32 does not hold the vector of vec_id 7"):
+            vectors.near_duplicates(finer).collect()
