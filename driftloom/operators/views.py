@@ -348,7 +348,10 @@ def distances(elements: DataFrame, sources: DataFrame, max_hops: int | None = No
 def path_queries(elements: DataFrame, most: int = 6, lengths: tuple[int, int] = (2, 3)) -> DataFrame:
     """(doc, h, t, d): of each base view the first ``most`` node pairs, by name, whose directed distance is within ``lengths``."""
     base = elements.where(has(BASE)).withColumn("mask", F.lit(BASE).cast("long"))
-    found = distances(base, base.select("doc", F.col("s").alias("source")), lengths[1]).where(F.col("hops").between(*lengths))
+    sources = base.where("s <> o").select("doc", F.col("s").alias("source"), F.col("o").alias("s"))
+    if lengths[0] > 1:  # only from nodes with a neighbour that leads on; in most graphs these are few
+        sources = sources.join(base.where("s <> o").select("doc", "s").distinct(), ["doc", "s"], "left_semi")
+    found = distances(base, sources.select("doc", "source"), lengths[1]).where(F.col("hops").between(*lengths))
     return written(found.withColumn("k", F.row_number().over(W.partitionBy("doc").orderBy("source", "node"))).where(F.col("k") <= most).select("doc", F.col("source").alias("h"), F.col("node").alias("t"), F.col("hops").alias("d")), "paths")
 
 

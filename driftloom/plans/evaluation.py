@@ -208,7 +208,7 @@ def _make_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = views.top_nodes(views.out_degrees(own.where(views.has(views.BASE)), ()), (), 1)
     parts = [
         views.canonical_jaccard(docs, own, families, derived.COARSE), views.fanout_jaccard(docs, own, families), views.nonempty(views.jaccard(docs, top, families, "top_degree"), own),
-        views.nonempty(views.jaccard(docs, views.ego_edges(own, seeds.select("doc", "node")), families, "ego"), own), views.path_similarity(own, families, 3),
+        views.nonempty(views.jaccard(docs, views.ego_edges(own, seeds.select("doc", "node")), families, "ego"), own), views.path_similarity(own, families),
         views.gold_recall(docs, own, derived.gold(spark, sf_dir), families, ["s", "r", "o"]).select(*PAIR, F.col("difference").alias("recall_difference")),
     ]
     d = parts[0]
