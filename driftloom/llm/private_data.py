@@ -24,8 +24,6 @@ from .common import spool
 #: Rows up to which the hashes of texts with copies are broadcast.
 BROADCAST_COPIES = 1_000_000
 TERM_LETTERS, REACH, SHRINK, GENERALISE, REMOVE = 4, 60, 3, 0.6, 0.85
-#: Rows up to which a term table is broadcast.
-BROADCAST_ROWS = 50_000
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "removed", "general")
 
@@ -156,11 +154,8 @@ def revealing_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     counted = pairs.join(of_class, ["class", "term"]).join(entity_docs, ["entity", "class"]).join(class_docs, "class")
     pairs = spool(counted.join(fewest, "term").where(disclosure(total) >= GENERALISE).drop("term_docs"), "pairs")
     terms = pairs.select("term").distinct()
-    n_terms = terms.count()
-    if not n_terms:
+    if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit("removed").alias("kind"))
-    if n_terms <= BROADCAST_ROWS:
-        terms = F.broadcast(terms)
     copied = texts.where("copies > 1")
     copied = F.broadcast(copied) if copied.count() <= BROADCAST_COPIES else copied
     words = hashed.join(copied, "_hash", "left").select(F.coalesce("copies", F.lit(1)).alias("copies"), F.explode(words_of(F.col("_text"))).alias("term"))
@@ -202,27 +197,28 @@ def find_private(docs: DataFrame) -> DataFrame:
     # text's own words, so an entity of many texts with many terms does not multiply one by the other.
     key = F.xxhash64("_text", F.md5("_text"))
     owned = hits.select(key.alias("_key"), F.explode(F.array_distinct(F.transform("_base", lambda s: F.lower(s["value"])))).alias("entity")).distinct()
-    own_words = hits.select(key.alias("_key"), F.explode(words_of(F.col("_text"))).alias("term")).distinct()
+    own_words = hits.select(key.alias("_key"), F.explode(words_of(F.col("_text"))).alias("term"))  # of copies each; they fall together below
     found = own_words.join(pairs, "term").join(owned, ["_key", "entity"])
     per_text = found.groupBy("_key", "term").agg(F.max("kind").alias("kind")).groupBy("_key").agg(F.sort_array(F.collect_set(F.when(F.col("kind") == "removed", F.col("term")))).alias("_removed"), F.sort_array(F.collect_set(F.when(F.col("kind") == "general", F.col("term")))).alias("_general"))
     per_text = spool(per_text, "text-terms")
-    n = per_text.count()
-    if n:
-        few = n <= BROADCAST_ROWS
-        marked = texts.withColumn("_key", F.when(F.size("_base") > 0, key)).join(F.broadcast(per_text) if few else per_text, "_key", "left")
-
-        def of(terms: str) -> tuple:
-            pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(terms, "|"), F.lit(r")(?!\p{L})"))
-            return F.coalesce(F.size(terms), F.lit(0)) > 0, pattern, lambda m: F.lit(True)
-
-        marked = with_places(marked.withColumnsRenamed({"_removed": "_out", "_general": "_wide"}), {"removed": of("_out"), "general": of("_wide")})
-        everything = F.concat("_base", "_removed", "_general")
-    else:
-        marked, everything = texts, F.col("_base")
     place = {k: i for i, k in enumerate(KINDS)}
     rank = F.create_map(*(F.lit(x) for kv in place.items() for x in kv))
-    ordered = F.transform(F.array_sort(F.transform(everything, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["value"].alias("value")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value")))
-    return marked.select(*(F.col(i).alias(c) for c, i in inner.items()), F.when(F.size(everything) > 0, ordered).otherwise(F.array().cast(SPAN)).alias("spans"))
+
+    def finished(rows: DataFrame, everything: Column) -> DataFrame:
+        ordered = F.transform(F.array_sort(F.transform(everything, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["value"].alias("value")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value")))
+        return rows.select(*(F.col(i).alias(c) for c, i in inner.items()), F.when(F.size(everything) > 0, ordered).otherwise(F.array().cast(SPAN)).alias("spans"))
+
+    if per_text.isEmpty():
+        return finished(texts, F.col("_base"))
+    # Only texts with an entity meet their terms, so the others are not shuffled.
+    marked = texts.where(F.size("_base") > 0).withColumn("_key", key).join(per_text, "_key", "left")
+
+    def of(terms: str) -> tuple:
+        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(terms, "|"), F.lit(r")(?!\p{L})"))
+        return F.coalesce(F.size(terms), F.lit(0)) > 0, pattern, lambda m: F.lit(True)
+
+    marked = with_places(marked.withColumnsRenamed({"_removed": "_out", "_general": "_wide"}), {"removed": of("_out"), "general": of("_wide")})
+    return finished(marked, F.concat("_base", "_removed", "_general")).unionByName(finished(texts.where(F.size("_base") == 0), F.col("_base")))
 
 
 def token_kind(value: Column) -> Column:
