@@ -10,12 +10,22 @@ from pyspark.sql.window import Window as W
 def nearest_event(runs: DataFrame, events: DataFrame, keys: list[str], null_safe: list[str], run_time: str, event_time: str, run_id: str, event_id: str) -> DataFrame:
     """(run_id, event_id): for each run the event with equal keys that is nearest in time, earlier or later; ties by event id.
 
-    Null keys never match; ``null_safe`` columns match null with null. An equi-join and one aggregation: no sorting per run.
+    Null keys never match; ``null_safe`` columns match null with null; what has no time is near nothing. Runs and events of a
+    key are sorted by time once, and each run looks at the last event up to it and the first one after it, so a key of many
+    runs and events costs their number and not its square.
     """
-    e = events.select(*(F.col(c).alias(f"_{c}") for c in (*keys, *null_safe)), F.col(event_time).alias("_t"), F.col(event_id).alias("_id"))
-    same = [F.col(c) == F.col(f"_{c}") for c in keys] + [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in null_safe]
-    gap = F.abs(F.unix_micros(F.col(run_time).cast("timestamp")) - F.unix_micros(F.col("_t").cast("timestamp")))
-    return runs.join(e, same).groupBy(run_id).agg(F.min_by("_id", F.struct(gap, "_id")).alias(event_id))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("_t")
+    by = [*keys, *null_safe]
+    there = lambda df: df.dropna(subset=[*keys, "_t"])
+    e = there(events.select(*by, micros(event_time), F.col(event_id).alias("_e"))).groupBy(*by, "_t").agg(F.min("_e").alias("_e"))  # of events at one time the first counts
+    r = there(runs.select(*by, micros(run_time), F.col(run_id).alias("_r")))
+    at = e.select(F.struct("_t", "_e").alias("x")).schema["x"].dataType
+    both = e.select(*by, "_t", F.struct("_t", "_e").alias("_at"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.lit(0).alias("_k")).unionByName(r.select(*by, "_t", F.lit(None).cast(at).alias("_at"), "_r", F.lit(1).alias("_k")))
+    order = W.partitionBy(*by).orderBy("_t", "_k")
+    seen = both.withColumn("_b", F.last("_at", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("_a", F.first("_at", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing)))
+    near = lambda x: F.when(F.col(x).isNotNull(), F.struct(F.abs(F.col("_t") - F.col(f"{x}._t")).alias("gap"), F.col(f"{x}._e").alias("id")))
+    best = F.array_min(F.array_compact(F.array(near("_b"), near("_a"))))
+    return seen.where("_k = 1").select(F.col("_r").alias(run_id), best["id"].alias(event_id)).where(F.col(event_id).isNotNull())
 
 
 def resolved_event(runs: DataFrame, witness: DataFrame, exact: DataFrame, near: DataFrame, run_id: str) -> DataFrame:

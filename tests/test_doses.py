@@ -61,3 +61,22 @@ def test_selection_keeps_no_pairs():
 
     few, many = peak(100_000), peak(2_000_000)
     assert few[0] < 100_000 and many[1] < 1.2 * few[1]
+
+
+def test_nearest_event(spark):
+    from driftloom.operators import lineage
+
+    rng = random.Random(5)
+    time = lambda: None if rng.random() < 0.05 else f"2026-01-01 00:{rng.randrange(60):02d}:00"
+    some = lambda *x: rng.choice(x)
+    runs = [(i, some("a", "b", None), some("v", None), time()) for i in range(120)]
+    events = [(i, some("a", "b", None), some("v", None), time()) for i in range(60)]
+    schema = "id int, k string, variant string, t string"
+    r, e = spark.createDataFrame(runs, schema).withColumnRenamed("id", "run_id"), spark.createDataFrame(events, schema).withColumnRenamed("id", "event_id")
+    got = {x.run_id: x.event_id for x in lineage.nearest_event(r, e, ["k"], ["variant"], "t", "t", "run_id", "event_id").collect()}
+    want = {}
+    for i, k, v, t in runs:
+        near = [(abs(int(t[14:16]) - int(u[14:16])), j) for j, m, w, u in events if k and k == m and v == w and t and u]
+        if near:
+            want[i] = min(near)[1]
+    assert got == want
