@@ -46,18 +46,72 @@ def wilson(successes: Column, n: Column, z: float = Z95) -> tuple[Column, Column
 
 
 def binomial_upper_tail(n: Column, k: Column) -> Column:
-    """P(X >= k) of n fair draws, summed term by term in logarithms."""
-    log_factorial = lambda m: F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + F.ln(i))
-    terms = F.transform(F.sequence(k.cast("int"), n.cast("int")), lambda i: F.exp(log_factorial(n) - log_factorial(i) - log_factorial(n - i) - n * F.ln(F.lit(2.0))))
-    return F.when(k > n, 0.0).otherwise(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t))
+    """P(X >= k) of n fair draws: the first term by logarithms, each further one from the one before."""
+    up_to = lambda m: F.sequence(F.lit(1), F.greatest(m, F.lit(1)).cast("int"))
+    log_factorial = lambda m: F.aggregate(up_to(m), F.lit(0.0), lambda a, i: a + F.ln(i))
+    low = F.greatest(k, F.lit(0)).cast("int")
+    log_term = log_factorial(n) - log_factorial(low) - log_factorial(n - low) - n * F.ln(F.lit(2.0))
+    start = F.struct(log_term.alias("t"), F.exp(log_term).alias("s"))
+
+    def further(y: Column, i: Column) -> Column:
+        t = y["t"] + F.ln((n - i + 1) / i)
+        return F.struct(t.alias("t"), (y["s"] + F.exp(t)).alias("s"))
+
+    rest = F.when(low < n, F.sequence(low + 1, n.cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.when(k > n, 0.0).when(k <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.aggregate(rest, start, further, lambda y: y["s"])))
+
+
+def digest_places(rows: DataFrame, by: list[str], row_id: str, salt: str = "", ranges: int = 4096) -> DataFrame:
+    """``rows`` with ``place``, from 1: the order of their SHA-256 within a group; rows of one id go by no order of their own.
+
+    Digests are evenly spread, so their first bits cut a group into ranges. Places are counted within a range, and a range
+    adds what lies before it: a group of any size is sorted by many tasks, and ``ranges`` numbers of it meet in one.
+    """
+    digest = F.sha2(F.concat(F.lit(salt), F.col(row_id).cast("string")), 256)
+    cut = F.shiftright(F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") * ranges, 24).cast("int")
+    marked = rows.withColumn("_digest", digest).withColumn("_range", F.coalesce(cut, F.lit(0)))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = marked.groupBy(*by, "_range").agg(F.count("*").alias("_n")).select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_range").alias("_at"), before.alias("_before"))
+    same = F.col("_range") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    placed = marked.join(counts, same).withColumn("place", F.row_number().over(W.partitionBy(*by, "_range").orderBy("_digest")) + F.col("_before"))
+    return placed.drop("_digest", "_range", "_before", "_at", *(f"_by_{c}" for c in by))
+
+
+#: percentile_approx is off by at most a rank in this many.
+RANK_ACCURACY = 10_000
 
 
 def flags_at_count(rows: DataFrame, score: str, row_id: str, share: float, by: list[str] | None = None) -> DataFrame:
-    """``rows`` with ``flag``: the round-half-even(share n) highest scores; ties by SHA-256 of the row id."""
+    """``rows`` with ``flag``: the round-half-even(share n) highest scores; ties by SHA-256 of the row id, null scores last.
+
+    Approximate ranks give two scores between which the cut lies. Scores beyond them are decided by them; those between
+    are counted by value, and only rows that share the score at the cut are put in order of digests, in ranges. A pair of
+    scores that does not hold the cut after all, as with many nulls, is not used: then all scores of the group are counted.
+    """
     by = by or []
-    order = W.partitionBy(*by).orderBy(F.desc(score), F.sha2(F.col(row_id).cast("string"), 256))
-    n = F.count("*").over(W.partitionBy(*by))
-    return rows.withColumn("flag", F.row_number().over(order) <= F.bround(n * F.lit(share)))
+    plain = rows.withColumns({f"_k_{c}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in by})  # keys in which null is a value
+    by = [f"_k_{c}" for c in by]
+    of_group = lambda frame, other: frame.join(other, by) if by else frame.crossJoin(other)  # noqa: E731 - without groups one row
+    step = 2 / RANK_ACCURACY
+    near = F.percentile_approx(score, [max(0.0, 1 - share - step), min(1.0, 1 - share + step)], RANK_ACCURACY)
+    whole = plain.groupBy(*by).agg(F.count("*").alias("_n"), near.alias("_near")).select(*by, F.bround(F.col("_n") * F.lit(share)).cast("long").alias("_most"), F.col("_near")[0].alias("_low"), F.col("_near")[1].alias("_high"))
+    seen = of_group(plain, whole).groupBy(*by).agg(F.max("_most").alias("_most"), F.max("_low").alias("_low"), F.max("_high").alias("_high"), F.count_if(F.col(score) > F.col("_high")).alias("_above"), F.count_if(F.col(score) >= F.col("_low")).alias("_within"))
+    holds = (F.col("_above") < F.col("_most")) & (F.col("_within") >= F.col("_most"))
+    ends = seen.select(*by, "_most", F.when(holds, F.col("_low")).alias("_low"), F.when(holds, F.col("_high")).alias("_high"), F.when(holds, F.col("_above")).otherwise(0).alias("_above"))
+    banded = of_group(plain, ends)
+    inside = F.coalesce(F.col(score).between(F.col("_low"), F.col("_high")), F.col("_low").isNull())
+    values = banded.where(inside).groupBy(*by, F.col(score).alias("_x")).agg(F.count("*").alias("_m"), F.max("_most").alias("_most"), F.max("_above").alias("_above"))
+    upto = F.col("_above") + F.sum("_m").over(W.partitionBy(*by).orderBy(F.desc_nulls_last("_x")))
+    cut = values.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_most")) & (F.col("_upto") - F.col("_m") < F.col("_most"))).select(*by, F.col("_x").alias("_cut"), (F.col("_most") - F.col("_upto") + F.col("_m")).alias("_left"), F.lit(True).alias("_some"))
+    marked = plain.join(cut, by, "left") if by else plain.join(cut, F.lit(True), "left")  # one row at most
+    some = F.coalesce("_some", F.lit(False))
+    tied = some & F.col(score).eqNullSafe(F.col("_cut"))
+    over = F.coalesce(some & (F.col("_cut").isNull() & F.col(score).isNotNull() | (F.col(score) > F.col("_cut"))), F.lit(False))
+    at_cut = digest_places(marked.where(tied), by, row_id).withColumn("flag", F.col("place") <= F.col("_left")).drop("place")
+    out = marked.where(~tied).withColumn("flag", over).unionByName(at_cut)
+    return out.select(*rows.columns, "flag")
 
 
 def digest_split(rows: DataFrame, document: str, ranges: int = 4096) -> DataFrame:

@@ -115,9 +115,13 @@ def fixed_effects_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.fixed_effects_slope(e, "user_id", "x", "y").select(F.round("slope", 6).alias("slope"))
 
 
-@query("""WITH k AS (SELECT unnest(range(0, 21)) AS k) SELECT k, round(sum_p, 6) AS p FROM (SELECT k.k, sum(CASE WHEN i.i >= k.k THEN exp(lgamma(21.0) - lgamma(i.i + 1.0) - lgamma(21.0 - i.i) - 20 * ln(2.0)) ELSE 0 END) AS sum_p FROM k, (SELECT unnest(range(0, 21)) AS i) i GROUP BY k.k)""")
+@query("""WITH t AS (SELECT l_suppkey AS supp, count(*) FILTER (l_discount > 0.05 AND l_tax <= 0.04) AS k, count(*) FILTER (l_discount > 0.05 AND l_tax <= 0.04 OR l_discount <= 0.05 AND l_tax > 0.04) AS n FROM lineitem GROUP BY ALL)
+SELECT supp, k, n, round(list_sum(list_transform(range(k, n + 1), lambda i: exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) - n * ln(2.0)))), 6) AS p FROM t""")
 def mcnemar_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(21).select(F.col("id").alias("k"), F.round(statistics.binomial_upper_tail(F.lit(20), F.col("id").cast("int")), 6).alias("p"))
+    """Paired test of two marks on the lines of each supplier: lines with only the first mark, against those with only one."""
+    one, other = F.col("l_discount") > 0.05, F.col("l_tax") > 0.04
+    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("supp")).agg(F.count_if(one & ~other).alias("k"), F.count_if(one != other).alias("n"))
+    return t.withColumn("p", F.round(statistics.binomial_upper_tail(F.col("n"), F.col("k")), 6))
 
 
 GATE = derived.SQL + f""", {sided("b", "c", "s, r, o")}, gd AS (SELECT p.family, p.doc, 1 - coalesce(sum(x.b * x.c) / nullif(count(x.b), 0)::DOUBLE, 1.0) AS gd FROM p LEFT JOIN x ON x.family = p.family AND x.doc = p.doc GROUP BY p.family, p.doc),

@@ -27,4 +27,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import cohorts, corpus, deployment, doses, evaluation, extractions, graph  # noqa: F401
+    from . import audits, cohorts, corpus, deployment, doses, evaluation, extractions, graph  # noqa: F401
