@@ -130,3 +130,25 @@ def completed_keys(records: DataFrame, keys: list[str], order: list[str]) -> Dat
 
 def event_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("document_id").agg(F.count("*").alias("n"))
+
+
+def authority_audit(pairs: DataFrame, events: DataFrame, witnesses: DataFrame) -> DataFrame:
+    """(run_id, reason, witnessed): for each run of ``pairs`` the first thing that speaks against it, null if nothing does.
+
+    ``witnesses`` (run_id, matched_edge_id, event_id) are the matched edges of a run with the event that owns the edge, null
+    where there is no such edge. In order: ``repeated_run``, ``missing_base``, ``missing_counterfactual``, ``same_endpoint``,
+    ``base_elsewhere`` and ``counterfactual_elsewhere`` (of another document), ``witness_missing``, ``witness_elsewhere``. A run
+    without witnesses is sound: a view can be empty or all new. Empty ids count as none, and a repeated run comes out once.
+    """
+    known = lambda side: events.select(F.col("event_id").alias(f"{side}_event_id"), F.col("document_id").alias(f"_{side}"), F.lit(True).alias(f"_has_{side}")).dropDuplicates([f"{side}_event_id"])
+    one = pairs.groupBy("run_id").agg(F.count("*").alias("_n"), F.min_by(F.struct("document_id", "base_event_id", "cf_event_id"), F.struct("base_event_id", "cf_event_id")).alias("p")).select("run_id", "_n", "p.*")
+    both = one.join(known("base"), "base_event_id", "left").join(known("cf"), "cf_event_id", "left")
+    edges = witnesses.where("matched_edge_id is not null").join(one.select("run_id", "cf_event_id"), "run_id")
+    seen = edges.groupBy("run_id").agg(F.count_if(F.col("event_id").isNull()).alias("_lost"), F.count_if(F.col("event_id") != F.coalesce("cf_event_id", F.lit(""))).alias("_other"), F.lit(True).alias("_w"))
+    lacks = lambda side: F.col(f"_has_{side}").isNull() | (F.col(f"{side}_event_id") == "")
+    reason = (
+        F.when(F.col("_n") > 1, "repeated_run").when(lacks("base"), "missing_base").when(lacks("cf"), "missing_counterfactual").when(F.col("base_event_id") == F.col("cf_event_id"), "same_endpoint")
+        .when(~F.col("_base").eqNullSafe(F.col("document_id")), "base_elsewhere").when(~F.col("_cf").eqNullSafe(F.col("document_id")), "counterfactual_elsewhere")
+        .when(F.col("_lost") > 0, "witness_missing").when(F.col("_other") > 0, "witness_elsewhere")
+    )
+    return both.join(seen, "run_id", "left").select("run_id", reason.alias("reason"), F.coalesce("_w", F.lit(False)).alias("witnessed"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from driftloom.operators.extraction import grouped_map
+from driftloom.operators.statistics import digest_places
 
 
 def _take(candidates: DataFrame, budget: int, *order: Column) -> DataFrame:
@@ -204,7 +205,12 @@ def cover_strata(rows: DataFrame, row_id: str, tokens: list[str], most: int) ->
 
 
 def retain_and_replace(anchor: DataFrame, eligible: DataFrame, key: str, size: int) -> DataFrame:
-    """Anchor ids that are still eligible, in anchor order, filled up with other eligible ids by SHA-256 rank."""
-    kept = anchor.join(eligible.select(key), key, "left_semi").select(key, F.lit(0).alias("_new"), F.col("position").cast("string").alias("_rank"), F.col("position").cast("long").alias("_p"))
-    fresh = eligible.select(key).join(anchor.select(key), key, "left_anti").select(key, F.lit(1).alias("_new"), F.sha2(F.col(key).cast("string"), 256).alias("_rank"), F.lit(0).cast("long").alias("_p"))
-    return kept.unionByName(fresh).orderBy("_new", "_p", "_rank").limit(size).select(key)
+    """(key) of ``size`` rows at most: anchor rows that are still eligible, in anchor order, then other eligible ones by SHA-256.
+
+    Both sides get their places in ranges, so what is put in order at the end are the chosen rows alone.
+    """
+    kept = anchor.join(eligible.select(key), key, "left_semi").select(key, F.col("position").cast("long").alias("_p"), F.lit(0).alias("_new"))
+    fresh = eligible.select(key).distinct().join(anchor.select(key), key, "left_anti")
+    most = kept.agg(F.greatest(F.lit(0), F.lit(size) - F.count("*")).alias("_most"))  # a row
+    added = digest_places(fresh, [], key).crossJoin(most).where(F.col("place") <= F.col("_most")).select(key, F.col("place").cast("long").alias("_p"), F.lit(1).alias("_new"))
+    return kept.unionByName(added).orderBy("_new", "_p").limit(size).select(key)

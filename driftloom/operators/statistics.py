@@ -30,11 +30,40 @@ def average_precision(rows: DataFrame, by: list[str], score: str, label: str) ->
     return part.groupBy(*by).agg((F.sum(F.col("precision") * F.col("p")) / F.sum("p")).alias("average_precision"))
 
 
-def risk_coverage(rows: DataFrame, by: list[str], score: str, harm: str) -> DataFrame:
-    """(…, threshold, coverage, risk): what is published when scores up to each distinct score are, and the harm among it."""
-    per = rows.groupBy(*by, F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(harm).alias("h"))
-    up, whole = W.partitionBy(*by).orderBy("threshold"), W.partitionBy(*by)
-    return per.select(*by, "threshold", (F.sum("n").over(up) / F.sum("n").over(whole)).alias("coverage"), (F.sum("h").over(up) / F.sum("n").over(up)).alias("risk"))
+def risk_coverage(rows: DataFrame, by: list[str], score: str, harm: str, tolerance: float = 1e-12) -> DataFrame:
+    """(…, threshold, coverage, risk): what is published when scores up to each distinct score are, and the harm among it.
+
+    Neighbouring scores no further apart than ``tolerance`` are one, under the largest of them.
+    """
+    each = rows.groupBy(*by, F.col(score).alias("x")).agg(F.count("*").alias("n"), F.sum(harm).alias("h"))
+    up, whole = W.partitionBy(*by).orderBy("x"), W.partitionBy(*by)
+    step = each.select(*by, "x", F.sum("n").over(up).alias("n"), F.sum("h").over(up).alias("h"), F.sum("n").over(whole).alias("all"), F.lead("x").over(up).alias("next"))
+    ends = step.where(F.col("next").isNull() | ~(F.col("next") - F.col("x") <= tolerance))
+    return ends.select(*by, F.col("x").alias("threshold"), (F.col("n") / F.col("all")).alias("coverage"), (F.col("h") / F.col("n")).alias("risk"))
+
+
+def strict_coverage(curve: DataFrame, by: list[str], target: float) -> DataFrame:
+    """(…by, coverage): the largest coverage of a ``risk_coverage`` curve with at most ``target`` harm; 0 without one."""
+    return curve.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("risk") <= target, F.col("coverage"))), F.lit(0.0)).alias("coverage"))
+
+
+def gate_grid(rows: DataFrame, by: list[str], score: str, harm: str, steps: int = 200) -> DataFrame:
+    """(…by, step, threshold, coverage, risk) at 0, 1 / steps, …, 1: what scores below the threshold publish; nothing has no risk.
+
+    A row counts at the first threshold above its score, so what meets the grid are ``steps`` + 2 counts per group.
+    """
+    # 0 lies below the first threshold, ``steps`` + 1 above the last; the comparison settles what the division rounds.
+    s = F.col(score).cast("double")
+    near = F.greatest(F.lit(0), F.least(F.lit(steps + 1), F.floor(s * steps) + 1))
+    first = F.when(s < (near - 1) / steps, near - 1).when(s < near / steps, near).otherwise(near + 1)
+    counts = rows.where(s.isNotNull()).groupBy(*by, F.greatest(F.lit(0), F.least(F.lit(steps + 1), first)).cast("int").alias("_at")).agg(F.count("*").alias("n"), F.sum(harm).alias("h"))
+    void = rows.where(s.isNull()).groupBy(*by, F.lit(steps + 1).alias("_at")).agg(F.count("*").alias("n"), F.sum(harm).alias("h"))
+    cells = counts.unionByName(void)
+    grid = cells.select(*by).distinct().withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(steps + 1)))).withColumns({"n": F.lit(0).cast("long"), "h": F.lit(0).cast("long")})
+    full = cells.unionByName(grid).groupBy(*by, "_at").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
+    up, whole = W.partitionBy(*by).orderBy("_at"), W.partitionBy(*by)
+    summed = full.select(*by, "_at", F.sum("n").over(up).alias("n"), F.sum("h").over(up).alias("h"), F.sum("n").over(whole).alias("all"))
+    return summed.where(F.col("_at") <= steps).select(*by, F.col("_at").alias("step"), (F.col("_at") / steps).alias("threshold"), (F.col("n") / F.col("all")).alias("coverage"), F.when(F.col("n") > 0, F.col("h") / F.col("n")).otherwise(0.0).alias("risk"))
 
 
 def wilson(successes: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
@@ -140,14 +169,20 @@ def multiplicity(unit: Column, replicate: Column, seed: int = 20260811) -> Colum
 
 
 def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, replicates: int = 200, by: list[str] | None = None) -> DataFrame:
-    """Mean with a percentile interval from resampled clusters: one partial (sum, n) per cluster, then a weighted sum per replicate."""
+    """(…by, mean, low, high): the mean of all values with the percentile interval of means over resampled clusters.
+
+    A replicate draws as many clusters as there are. Clusters alike in number and sum of values (at six decimals) are one
+    cell of which counts are drawn. Nulls do not count, nor do clusters without a value.
+    """
     by = by or []
-    part = rows.groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    draws = part.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", multiplicity(F.col(cluster), F.col("replicate")))
-    means = draws.groupBy(*by, "replicate").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
+    part = rows.where(F.col(value).isNotNull()).groupBy(*by, cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("m"))
+    key = F.concat_ws("/", F.col("m").cast("string"), F.round(F.col("s") * 1_000_000).cast("long").cast("string"))
+    cells = written(part.groupBy(*by, key.alias("cell")).agg(F.count("*").alias("n"), F.sum("m").alias("m"), F.sum("s").alias("s")), "clusters")
+    drawn = multinomial(cells, by, "cell", "n", replicates)
+    means = drawn.groupBy(*by, "replicate").agg((F.sum(F.col("w") * F.col("s") / F.col("n")) / F.sum(F.col("w") * F.col("m") / F.col("n"))).alias("m"))
     interval = means.groupBy(*by).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
-    centre = part.groupBy(*by).agg((F.sum("s") / F.sum("n")).alias("mean"))
-    return centre.join(interval, by) if by else centre.crossJoin(interval)
+    centre = cells.groupBy(*by).agg((F.sum("s") / F.sum("m")).alias("mean"))
+    return centre.join(interval, by) if by else centre.crossJoin(interval)  # a row each
 
 
 def fixed_effects_slope(rows: DataFrame, unit: str, x: str, y: str, levels: int | None = None, by: list[str] | None = None) -> DataFrame:
@@ -160,32 +195,58 @@ def fixed_effects_slope(rows: DataFrame, unit: str, x: str, y: str, levels: int
     return d.groupBy(*by).agg((F.sum(F.col("_x") * F.col("_y")) / F.sum(F.col("_x") * F.col("_x"))).alias("slope"))
 
 
-def confusion_at_thresholds(rows: DataFrame, by: list[str], metric: str, label: str) -> DataFrame:
-    """(…, threshold, tp, fp, fn, tn) at the midpoints of neighbouring distinct metrics and just beyond both ends; alarm above."""
+DIRECTIONS = ("max", "min")
+
+
+def confusion_at_thresholds(rows: DataFrame, by: list[str], metric: str, label: str, direction: str = "max") -> DataFrame:
+    """(…, threshold, tp, fp, fn, tn) at the midpoints of neighbouring distinct metrics and just beyond both ends.
+
+    ``max`` raises an alarm above the threshold, ``min`` below it. All thresholds come from one pass over counts per metric.
+    """
+    if direction not in DIRECTIONS:
+        raise ValueError(f"direction is one of {', '.join(DIRECTIONS)}, not {direction}")
     per = rows.groupBy(*by, F.col(metric).alias("x")).agg(F.count("*").alias("n"), F.sum(label).alias("p"))
     order, whole = W.partitionBy(*by).orderBy("x"), W.partitionBy(*by)
     step = per.withColumn("n0", F.sum("n").over(order)).withColumn("p0", F.sum("p").over(order)).withColumn("np", F.sum("p").over(whole)).withColumn("nn", F.sum("n").over(whole)).withColumn("next", F.lead("x").over(order))
     mids = step.select(*by, F.coalesce((F.col("x") + F.col("next")) / 2, F.col("x") + 1e-9).alias("threshold"), "n0", "p0", "np", "nn")
     lowest = step.groupBy(*by).agg((F.min("x") - 1e-9).alias("threshold"), F.lit(0).cast("long").alias("n0"), F.lit(0).cast("long").alias("p0"), F.max("np").alias("np"), F.max("nn").alias("nn"))
-    return mids.unionByName(lowest).select(*by, "threshold", (F.col("np") - F.col("p0")).alias("tp"), (F.col("nn") - F.col("n0") - F.col("np") + F.col("p0")).alias("fp"), F.col("p0").alias("fn"), (F.col("n0") - F.col("p0")).alias("tn"))
+    over = [F.col("np") - F.col("p0"), F.col("nn") - F.col("n0") - F.col("np") + F.col("p0"), F.col("p0"), F.col("n0") - F.col("p0")]
+    tp, fp, fn, tn = over if direction == "max" else [over[2], over[3], over[0], over[1]]
+    return mids.unionByName(lowest).select(*by, "threshold", tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"))
 
 
 CALIBRATION_MODES = ("recall_floor", "alarm_budget", "youden", "f1", "utility")
 
 
-def calibrate(confusions: DataFrame, by: list[str], mode: str, recall_floor: float = 0.9, alarm_budget: float = 0.1, harm_cost: float = 5.0) -> DataFrame:
-    """The best threshold of a mode per group; the first, i.e. least, of equally good ones. Infeasible: the highest recall."""
+def calibrate(confusions: DataFrame, by: list[str], mode: str, target: float = 0.0, weight: float = 0.5) -> DataFrame:
+    """(…by, threshold, score, alarm_rate, precision, recall, f1, n, base_rate): the best threshold of a mode per group; the least of equally good ones.
+
+    ``recall_floor`` has the fewest alarms among recalls of ``target`` and more, ``alarm_budget`` the highest recall among alarm
+    rates of ``target`` and less, ``youden`` the largest recall less alarm rate, ``f1`` the largest F1, and ``utility`` the
+    largest weight * recall - (1 - weight) * alarm rate. Where nothing meets the target the score is null: a recall floor
+    then takes the highest recall, and what is left has the least threshold and rates of 0.
+    """
+    if mode not in CALIBRATION_MODES:
+        raise ValueError(f"mode is one of {', '.join(CALIBRATION_MODES)}, not {mode}")
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
-    recall, alarm = tp / F.greatest(tp + fn, F.lit(1.0)), (tp + fp) / (tp + fp + fn + tn)
-    precision, specificity = tp / F.greatest(tp + fp, F.lit(1.0)), tn / F.greatest(tn + fp, F.lit(1.0))
-    score = {
-        "recall_floor": F.when(recall >= recall_floor, 2 + precision).otherwise(recall - 1),
-        "alarm_budget": F.when(alarm <= alarm_budget, 2 + recall).otherwise(-alarm),
-        "youden": recall + specificity - 1,
-        "f1": F.when(tp > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0),
-        "utility": -(harm_cost * fn + fp),
-    }[mode]
-    return confusions.withColumn("score", F.round(score, 12)).groupBy(*by).agg(F.max_by("threshold", F.struct("score", -F.col("threshold"))).alias("threshold"), F.max("score").alias("score"))
+    share = lambda part, whole: F.when(whole > 0, part / whole).otherwise(0.0)
+    precision, recall, alarm = share(tp, tp + fp), share(tp, tp + fn), share(tp + fp, tp + fp + fn + tn)
+    rated = confusions.select(*by, "threshold", alarm.alias("alarm_rate"), precision.alias("precision"), recall.alias("recall"), (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"), share(tp + fn, tp + fp + fn + tn).alias("base_rate"))
+    p, r, al = F.col("precision"), F.col("recall"), F.col("alarm_rate")
+    rated = rated.withColumn("f1", share(2 * p * r, p + r))
+    score = {"recall_floor": F.when(r >= target, -al), "alarm_budget": F.when(al <= target, r), "youden": r - al, "f1": F.col("f1"), "utility": weight * r - (1 - weight) * al}[mode]
+    near = r if mode == "recall_floor" else F.lit(0.0)
+    key = F.struct(score.isNotNull().alias("met"), F.coalesce(score, near).alias("score"), -F.col("threshold"))
+    row = F.struct("threshold", score.cast("double").alias("score"), "alarm_rate", "precision", "recall", "f1", "n", "base_rate")
+    best = rated.groupBy(*by).agg(F.max_by(row, key).alias("b"))
+    void = F.col("b.score").isNull() & ((F.lit(mode) != "recall_floor") | (F.col("b.recall") == 0))
+    return best.select(*by, "b.threshold", "b.score", *(F.when(void, 0.0).otherwise(F.col(f"b.{c}")).alias(c) for c in ("alarm_rate", "precision", "recall", "f1")), "b.n", "b.base_rate")
+
+
+def calibrate_pairs(pairs: DataFrame, by: list[str], metric: str, regression: str, mode: str, target: float = 0.0, direction: str = "max", harm_above: float = 0.05, weight: float = 0.5) -> DataFrame:
+    """``calibrate`` from pairs with a metric and a regression of utility: a pair is harmful whose regression, either way, exceeds ``harm_above``. Pairs that lack one are left out."""
+    rows = pairs.dropna(subset=[metric, regression]).withColumn("_harm", (F.abs(regression) > harm_above).cast("long"))
+    return calibrate(confusion_at_thresholds(rows, by, metric, "_harm", direction), by, mode, target, weight)
 
 
 def gate_metrics(rows: DataFrame, by: list[str]) -> DataFrame:

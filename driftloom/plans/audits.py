@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.operators import inventory, modes, policies
+from driftloom.operators import inventory, lineage, modes, policies, statistics
 
 from . import resampling
 from .derived import table
-from .evaluation import GATE, _drifts
+from .evaluation import GATE, LABELS, _drifts, scored_labels
 from .registry import query
 
 
@@ -121,3 +121,37 @@ def budgeted_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = l.join(o, l.l_orderkey == o.o_orderkey).select(F.col("o_orderpriority").alias("stream"), F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("run_id"), F.col("l_returnflag").alias("family"), F.col("l_quantity").cast("double").alias("cost"), F.col("l_discount").cast("double").alias("graph_drift"))
     found = [policies.selected_pairs(pairs, s, 5000.0).withColumn("selector", F.lit(s)) for s in policies.SELECTORS]
     return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("""WITH p AS (SELECT o_orderkey AS run, 'n' || o_custkey % 25 AS doc, 'e' || o_custkey AS b, 'e' || (o_custkey + o_orderkey % 4 * 25) AS c FROM orders UNION ALL SELECT o_orderkey, 'n0', 'e0', '' FROM orders WHERE o_orderkey % 41 = 0),
+e AS (SELECT 'e' || c_custkey AS id, 'n' || (c_custkey % 25 + (c_custkey % 37 = 0)::INT) AS d FROM customer), wi AS (SELECT l_orderkey AS run, CASE WHEN l_partkey % 53 > 0 THEN 'e' || (o_custkey + o_orderkey % 4 * 25 + (l_suppkey % 13 = 0)::INT) END AS ev FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'),
+one AS (SELECT run, count(*) AS n, arg_min({'doc': doc, 'b': b, 'c': c}, (b, c)) AS x FROM p GROUP BY run), sw AS (SELECT run, count(*) FILTER (ev IS NULL) AS lost, count(*) FILTER (ev <> x.c) AS other FROM wi JOIN one USING (run) GROUP BY run)
+SELECT run AS run_id, CASE WHEN n > 1 THEN 'repeated_run' WHEN eb.id IS NULL THEN 'missing_base' WHEN ec.id IS NULL THEN 'missing_counterfactual' WHEN x.b = x.c THEN 'same_endpoint' WHEN eb.d <> x.doc THEN 'base_elsewhere' WHEN ec.d <> x.doc THEN 'counterfactual_elsewhere' WHEN lost > 0 THEN 'witness_missing' WHEN other > 0 THEN 'witness_elsewhere' END AS reason, lost IS NOT NULL AS witnessed
+FROM one LEFT JOIN e eb ON eb.id = x.b LEFT JOIN e ec ON ec.id = x.c LEFT JOIN sw USING (run)""")
+def authority_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pairs of customers' events, returned lines as witnesses; faults of every kind."""
+    l, o, c = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    name = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    cf = cust + key % 4 * 25
+    pairs = o.select(key.alias("run_id"), name("n", cust % 25).alias("document_id"), name("e", cust).alias("base_event_id"), name("e", cf).alias("cf_event_id"))
+    twice = o.where(key % 41 == 0).select(key.alias("run_id"), F.lit("n0").alias("document_id"), F.lit("e0").alias("base_event_id"), F.lit("").alias("cf_event_id"))
+    events = c.select(name("e", F.col("c_custkey")).alias("event_id"), name("n", F.col("c_custkey") % 25 + F.when(F.col("c_custkey") % 37 == 0, 1).otherwise(0)).alias("document_id"))
+    witnesses = l.where("l_returnflag = 'R'").join(o, l.l_orderkey == o.o_orderkey).select(key.alias("run_id"), F.lit("x").alias("matched_edge_id"), F.when(F.col("l_partkey") % 53 > 0, name("e", cf + F.when(F.col("l_suppkey") % 13 == 0, 1).otherwise(0))).alias("event_id"))
+    return lineage.authority_audit(pairs.unionByName(twice), events, witnesses)
+
+
+@query(LABELS + """, m AS (SELECT lang, max(score) AS mx FROM t GROUP BY lang), s AS (SELECT lang, score / mx AS score, toxic FROM t JOIN m USING (lang))
+SELECT lang, g.i AS step, round(g.i / 200.0::DOUBLE, 6) AS threshold, round(count(*) FILTER (score < g.i / 200.0::DOUBLE) / count(*)::DOUBLE, 6) AS coverage, round(coalesce(sum(toxic) FILTER (score < g.i / 200.0::DOUBLE) / nullif(count(*) FILTER (score < g.i / 200.0::DOUBLE), 0)::DOUBLE, 0), 6) AS risk FROM s, (SELECT unnest(range(0, 201))::INT AS i) g GROUP BY ALL""")
+def gate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage and harm of gates at 201 thresholds of the relative length."""
+    rows = scored_labels(spark, sf_dir)
+    rows = rows.join(rows.groupBy("lang").agg(F.max("score").alias("_m")), "lang").withColumn("score", F.col("score") / F.col("_m"))
+    return statistics.gate_grid(rows, ["lang"], "score", "toxic").withColumns({c: F.round(c, 6) for c in ("threshold", "coverage", "risk")})
+
+
+@query(LABELS + """, p AS (SELECT lang, score, count(*) AS n, sum(toxic) AS h FROM t GROUP BY ALL), c AS (SELECT lang, sum(n) OVER w / sum(n) OVER (PARTITION BY lang)::DOUBLE AS coverage, sum(h) OVER w / sum(n) OVER w::DOUBLE AS risk FROM p WINDOW w AS (PARTITION BY lang ORDER BY score))
+SELECT lang, round(coalesce(max(coverage) FILTER (risk <= 0.1), 0), 6) AS coverage FROM c GROUP BY lang""")
+def strict_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most that is published with at most a tenth toxic."""
+    return statistics.strict_coverage(statistics.risk_coverage(scored_labels(spark, sf_dir), ["lang"], "score", "toxic"), ["lang"], 0.1).withColumn("coverage", F.round("coverage", 6))

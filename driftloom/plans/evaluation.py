@@ -73,28 +73,41 @@ q AS (SELECT lang, threshold, np - p0 AS tp, nn - n0 - np + p0 AS fp, p0 AS fn,
 """
 
 
-@query(CONFUSIONS + """, y AS (SELECT lang, threshold, round(tp / greatest(tp + fn, 1)::DOUBLE + tn / greatest(tn + fp, 1)::DOUBLE - 1, 12) AS score FROM q)
-SELECT lang, round(arg_max(threshold, (score, -threshold)), 6) AS threshold, round(max(score), 6) AS score FROM y GROUP BY lang""")
+RATES = CONFUSIONS + """, qq AS (SELECT 'max' AS direction, lang, threshold, tp, fp, fn, tn FROM q UNION ALL SELECT 'min', lang, threshold, fn, tn, tp, fp FROM q),
+y0 AS (SELECT direction, lang, threshold, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0.0 END AS r, (tp + fp) / (tp + fp + fn + tn)::DOUBLE AS a FROM qq),
+y AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f FROM y0)
+"""
+
+
+@query(RATES + """SELECT lang, round(arg_max(threshold, (r - a, -threshold)), 6) AS threshold, round(max(r - a), 6) AS score FROM y WHERE direction = 'max' GROUP BY lang""")
 def calibrated_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Youden thresholds per language, from the confusions at every candidate."""
     found = statistics.calibrate(statistics.confusion_at_thresholds(scored_labels(spark, sf_dir), ["lang"], "score", "toxic"), ["lang"], "youden")
     return found.select("lang", F.round("threshold", 6).alias("threshold"), F.round("score", 6).alias("score"))
 
 
-@query(CONFUSIONS + """, y AS (SELECT lang, threshold, CASE WHEN tp / greatest(tp + fn, 1)::DOUBLE >= 0.9 THEN 2 + tp / greatest(tp + fp, 1)::DOUBLE ELSE tp / greatest(tp + fn, 1)::DOUBLE - 1 END AS a, CASE WHEN (tp + fp) / (tp + fp + fn + tn)::DOUBLE <= 0.1 THEN 2 + tp / greatest(tp + fn, 1)::DOUBLE ELSE -((tp + fp) / (tp + fp + fn + tn)::DOUBLE) END AS b,
-CASE WHEN tp > 0 THEN 2 * (tp / greatest(tp + fp, 1)::DOUBLE) * (tp / greatest(tp + fn, 1)::DOUBLE) / (tp / greatest(tp + fp, 1)::DOUBLE + tp / greatest(tp + fn, 1)::DOUBLE) ELSE 0.0 END AS c, -(5.0 * fn + fp) AS d FROM q)
-SELECT lang, 'recall_floor' AS mode, round(arg_max(threshold, (round(a, 12), -threshold)), 6) AS threshold FROM y GROUP BY lang UNION ALL SELECT lang, 'alarm_budget', round(arg_max(threshold, (round(b, 12), -threshold)), 6) FROM y GROUP BY lang
-UNION ALL SELECT lang, 'f1', round(arg_max(threshold, (round(c, 12), -threshold)), 6) FROM y GROUP BY lang UNION ALL SELECT lang, 'utility', round(arg_max(threshold, (round(d, 12), -threshold)), 6) FROM y GROUP BY lang""")
+@query(RATES + """, sc AS (SELECT *, unnest([{'mode': 'recall_floor', 'met': r >= 0.9, 's': CASE WHEN r >= 0.9 THEN -a ELSE r END}, {'mode': 'alarm_budget', 'met': a <= 0.1, 's': CASE WHEN a <= 0.1 THEN r ELSE 0.0 END}, {'mode': 'f1', 'met': true, 's': f}, {'mode': 'utility', 'met': true, 's': 0.5::DOUBLE * r - 0.5::DOUBLE * a}]) AS m FROM y),
+be AS (SELECT direction, lang, m.mode AS mode, arg_max({'t': threshold, 'met': m.met, 'a': a, 'p': p, 'r': r, 'f': f}, (m.met, m.s, -threshold)) AS x FROM sc GROUP BY ALL), vo AS (SELECT *, NOT x.met AND (mode <> 'recall_floor' OR x.r = 0) AS void FROM be)
+SELECT direction, lang, mode, round(x.t, 6) AS threshold, round(CASE WHEN void THEN 0.0 ELSE x.a END, 6) AS alarm_rate, round(CASE WHEN void THEN 0.0 ELSE x.p END, 6) AS "precision", round(CASE WHEN void THEN 0.0 ELSE x.r END, 6) AS recall, round(CASE WHEN void THEN 0.0 ELSE x.f END, 6) AS f1 FROM vo""")
 def calibration_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    confusions = statistics.confusion_at_thresholds(scored_labels(spark, sf_dir), ["lang"], "score", "toxic")
-    parts = [statistics.calibrate(confusions, ["lang"], m).select("lang", F.lit(m).alias("mode"), F.round("threshold", 6).alias("threshold")) for m in ("recall_floor", "alarm_budget", "f1", "utility")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-
-
-@query()
+    """The other modes, with alarms above a threshold and below one."""
+    parts = []
+    for direction in statistics.DIRECTIONS:
+        confusions = statistics.confusion_at_thresholds(scored_labels(spark, sf_dir), ["lang"], "score", "toxic", direction)
+        parts += [statistics.calibrate(confusions, ["lang"], m, target).select(F.lit(direction).alias("direction"), "lang", F.lit(m).alias("mode"), *(F.round(c, 6).alias(c) for c in ("threshold", "alarm_rate", "precision", "recall", "f1"))) for m, target in (("recall_floor", 0.9), ("alarm_budget", 0.1), ("f1", 0.0), ("utility", 0.0))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query(f"""WITH cl AS (SELECT event_type AS grp, user_id, count(*) AS m, sum(value) AS s FROM events WHERE value IS NOT NULL GROUP BY ALL), ce AS MATERIALIZED (SELECT grp, m || '/' || round(s * 1000000)::BIGINT AS cell, count(*) AS n, sum(m) AS m, sum(s) AS s FROM cl GROUP BY grp, cell), {resampling.multinomial("ce", 100, "bw")},
+me AS (SELECT bw.grp, r, sum(w * s / bw.n) / sum(w * m / bw.n) AS m FROM bw JOIN ce ON ce.grp = bw.grp AND ce.cell = bw.cell GROUP BY bw.grp, r), ct AS (SELECT grp, sum(s) / sum(m) AS mean FROM ce GROUP BY grp)
+SELECT grp AS event_type, round(any_value(mean), 4) AS mean, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM me JOIN ct USING (grp) GROUP BY grp""")
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document-cluster bootstrap of event values; weights come from hashes that SQL engines do not share."""
-    return statistics.cluster_bootstrap(table(spark, sf_dir, "events"), "user_id", "value", 200, ["event_type"])
+    """Bootstrap of event values over users."""
+    found = statistics.cluster_bootstrap(table(spark, sf_dir, "events"), "user_id", "value", 100, ["event_type"])
+    return found.withColumns({c: F.round(c, 4) for c in ("mean", "low", "high")})
 
 
 @query(f"""WITH t AS (SELECT source, n_chars::DOUBLE AS a, (doc_id % 97)::DOUBLE AS b, toxic::BIGINT AS y FROM documents JOIN labels USING (doc_id)), c AS (SELECT DISTINCT '' AS grp, source AS cell, 1 AS n FROM t), {resampling.multinomial("c", 40, "cw")}, e AS (SELECT r, a, b, y, w FROM cw JOIN t ON source = cell WHERE w > 0),

@@ -218,3 +218,69 @@ def test_harm_recovery_equals_plain_plans(spark, seed):
         }
         for plan, chosen in picked.items():
             assert got[plan, m] == (k, sum(r[2] for r in chosen)), (plan, m)
+
+
+def plain_threshold(obs, mode, target, direction, weight=0.5):
+    """The threshold of a mode by trying all candidates in order."""
+    xs = sorted({m for m, _ in obs})
+    tried = []
+    for tau in [xs[0] - 1e-9] + [(a + b) / 2 for a, b in zip(xs, xs[1:])] + [xs[-1] + 1e-9]:
+        flags = [m > tau if direction == "max" else m < tau for m, _ in obs]
+        tp = sum(f and h for f, (_, h) in zip(flags, obs, strict=True))
+        harm, on = sum(h for _, h in obs), sum(flags)
+        p, r, a = tp / on if on else 0.0, tp / harm if harm else 0.0, on / len(obs)
+        tried.append((tau, a, p, r, 2 * p * r / (p + r) if p + r else 0.0))
+    met = {"recall_floor": lambda t: t[3] >= target, "alarm_budget": lambda t: t[1] <= target}.get(mode, lambda t: True)
+    value = {"recall_floor": lambda t: -t[1], "alarm_budget": lambda t: t[3], "youden": lambda t: t[3] - t[1], "f1": lambda t: t[4], "utility": lambda t: weight * t[3] - (1 - weight) * t[1]}[mode]
+    good = [t for t in tried if met(t)]
+    if good:
+        return max(good, key=value)
+    best = max(tried, key=lambda t: t[3])
+    return best if mode == "recall_floor" and best[3] > 0 else (tried[0][0], 0.0, 0.0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("direction", statistics.DIRECTIONS)
+def test_calibration_equals_plain_rule(spark, direction):
+    rng = random.Random(direction)
+    groups = {"mixed": [(rng.randint(0, 12) / 8, rng.random()) for _ in range(60)], "clean": [(rng.random(), 0.01) for _ in range(9)], "one": [(0.5, 0.2)], "harm": [(rng.random(), -0.3) for _ in range(9)]}
+    rows = spark.createDataFrame([(g, m, u) for g, of in groups.items() for m, u in of] + [("mixed", None, 0.3), ("mixed", 0.3, None)], "g string, m double, u double")
+    for mode in statistics.CALIBRATION_MODES:
+        for target in (0.0, 0.4, 1.5) if mode == "recall_floor" else (-0.1, 0.25) if mode == "alarm_budget" else (0.0,):
+            got = {r.g: (r.threshold, r.alarm_rate, r.precision, r.recall, r.f1) for r in statistics.calibrate_pairs(rows, ["g"], "m", "u", mode, target, direction).collect()}
+            assert got == {g: pytest.approx(plain_threshold([(m, abs(u) > 0.05) for m, u in of], mode, target, direction)) for g, of in groups.items()}, (mode, target)
+    with pytest.raises(ValueError, match="direction"):
+        statistics.confusion_at_thresholds(rows, ["g"], "m", "u", "up")
+    with pytest.raises(ValueError, match="mode"):
+        statistics.calibrate(rows, ["g"], "best")
+
+
+def test_curves(spark):
+    rows = [("a", 0.1, 0), ("a", 0.1 + 1e-13, 1), ("a", 0.3, 0), ("a", 0.3 + 1e-9, 0), ("a", 1.0, 1), ("a", 7.0, 1), ("a", -2.0, 0), ("a", None, 1), ("b", 0.005, 1), ("c", 0.29, 0)]
+    frame = spark.createDataFrame(rows, "g string, x double, h int")
+    curve = statistics.risk_coverage(frame.where("g = 'a' and x is not null"), ["g"], "x", "h")
+    assert [(round(r.coverage, 6), round(r.risk, 6)) for r in curve.orderBy("threshold").collect()] == [(round(n / 7, 6), round(h / n, 6)) for n, h in ((1, 0), (3, 1), (4, 1), (5, 1), (6, 2), (7, 3))]
+    assert statistics.strict_coverage(curve, ["g"], 0.2).first().coverage == pytest.approx(5 / 7)
+    assert statistics.strict_coverage(curve, ["g"], -1.0).first().coverage == 0.0
+    grid = {(r.g, r.step): (r.coverage, r.risk) for r in statistics.gate_grid(frame, ["g"], "x", "h").collect()}
+    assert len(grid) == 3 * 201
+    for g in "abc":
+        mine = [r for r in rows if r[0] == g]
+        for i in range(201):
+            out = [r for r in mine if r[1] is not None and r[1] < i / 200]
+            assert grid[g, i] == (pytest.approx(len(out) / len(mine)), pytest.approx(sum(r[2] for r in out) / len(out) if out else 0.0)), (g, i)
+
+
+def test_authority_audit(spark):
+    from driftloom.operators import lineage
+
+    events = spark.createDataFrame([("b", "d"), ("c", "d"), ("x", "e")], "event_id string, document_id string")
+    pairs = spark.createDataFrame(
+        [("ok", "d", "b", "c"), ("bare", "d", "b", "c"), ("rep", "d", "b", "c"), ("rep", "d", "b", "c"), ("nb", "d", None, "c"), ("nc", "d", "b", ""), ("same", "d", "b", "b"), ("bx", "d", "x", "c"), ("cx", "d", "b", "x"), ("wm", "d", "b", "c"), ("we", "d", "b", "c")],
+        "run_id string, document_id string, base_event_id string, cf_event_id string",
+    )
+    witnesses = spark.createDataFrame([("ok", "m", "c"), ("wm", "m", None), ("wm", "n", "b"), ("we", "m", "c"), ("we", "n", "b"), ("bare", None, None), ("gone", "m", "c")], "run_id string, matched_edge_id string, event_id string")
+    got = {r.run_id: (r.reason, r.witnessed) for r in lineage.authority_audit(pairs, events, witnesses).collect()}
+    assert got == {
+        "ok": (None, True), "bare": (None, False), "rep": ("repeated_run", False), "nb": ("missing_base", False), "nc": ("missing_counterfactual", False), "same": ("same_endpoint", False),
+        "bx": ("base_elsewhere", False), "cx": ("counterfactual_elsewhere", False), "wm": ("witness_missing", True), "we": ("witness_elsewhere", True),
+    }
