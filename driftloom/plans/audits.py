@@ -1,15 +1,17 @@
-"""Registered queries on inventories, output modes, publication policies and budgets, with their SQL."""
+"""Registered queries on inventories, inputs, diagnostics, output modes, publication policies and budgets, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.operators import inventory, lineage, modes, policies, statistics
+from driftloom.operators import diagnostics, inputs, inventory, lineage, modes, policies, statistics
+from driftloom.sources.store import written
 
-from . import resampling
+from . import derived, resampling
 from .derived import table
 from .evaluation import GATE, LABELS, _drifts, scored_labels
+from .graph import UNDIRECTED
 from .registry import query
 
 
@@ -155,3 +157,70 @@ SELECT lang, round(coalesce(max(coverage) FILTER (risk <= 0.1), 0), 6) AS covera
 def strict_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most that is published with at most a tenth toxic."""
     return statistics.strict_coverage(statistics.risk_coverage(scored_labels(spark, sf_dir), ["lang"], "score", "toxic"), ["lang"], 0.1).withColumn("coverage", F.round("coverage", 6))
+
+
+#: Answers of the five diagnostic queries on all views, and per pair the drift of each.
+DIAGNOSED = derived.SQL + f""", {UNDIRECTED}, nd AS (SELECT family, doc, s AS node FROM v UNION SELECT family, doc, o FROM v), dg AS (SELECT nd.family, nd.doc, node, count(u.a) AS degree FROM nd LEFT JOIN u ON u.family = nd.family AND u.doc = nd.doc AND u.a = nd.node GROUP BY ALL),
+an AS MATERIALIZED (SELECT 'diagnostic.edge_identity' AS query, family, doc, s || '|' || r || '|' || o AS k FROM v
+UNION ALL SELECT DISTINCT 'diagnostic.two_hop_endpoints', x.family, x.doc, x.s || '|' || y.o FROM v x JOIN v y ON y.family = x.family AND y.doc = x.doc AND y.s = x.o WHERE x.s <> y.o
+UNION ALL SELECT 'diagnostic.fanout_join', x.family, x.doc, concat_ws('|', x.s, x.r, x.o, y.r, y.o) FROM v x JOIN v y ON y.family = x.family AND y.doc = x.doc AND y.s = x.s AND x.r < y.r
+UNION ALL SELECT 'diagnostic.top_undirected_degree', family, doc, node FROM (SELECT *, row_number() OVER (PARTITION BY family, doc ORDER BY degree DESC, node) AS rank FROM dg) WHERE rank <= 5
+UNION ALL SELECT 'diagnostic.short_connectivity', family, doc, a || '|' || z FROM (SELECT family, doc, a, z FROM u UNION SELECT x.family, x.doc, x.a, y.z FROM u x JOIN u y ON x.family = y.family AND x.doc = y.doc AND x.z = y.a WHERE x.a <> y.z) WHERE a < z),
+sz AS (SELECT query, family, doc, count(*) AS n FROM an GROUP BY ALL), bo AS (SELECT x.query, y.family, x.doc, count(*) AS n FROM an x JOIN an y ON y.query = x.query AND y.doc = x.doc AND y.k = x.k WHERE x.family = 'base' AND y.family <> 'base' GROUP BY ALL),
+dr AS MATERIALIZED (SELECT q.query, p.family, p.doc, 1 - coalesce(coalesce(bo.n, 0) / nullif(coalesce(sb.n, 0) + coalesce(sc.n, 0) - coalesce(bo.n, 0), 0)::DOUBLE, 1.0) AS d FROM p CROSS JOIN (SELECT DISTINCT query FROM an) q LEFT JOIN sz sb ON sb.query = q.query AND sb.family = 'base' AND sb.doc = p.doc LEFT JOIN sz sc ON sc.query = q.query AND sc.family = p.family AND sc.doc = p.doc LEFT JOIN bo ON bo.query = q.query AND bo.family = p.family AND bo.doc = p.doc),
+rd AS MATERIALIZED (SELECT a.query, a.family, a.doc, CASE WHEN a.family IN ('stochastic', 'model') THEN 'none' ELSE 'presentation' END AS class, a.d AS qd, e.d AS gd, a.d / (e.d + 0.05) AS amp FROM dr a JOIN dr e ON e.query = 'diagnostic.edge_identity' AND e.family = a.family AND e.doc = a.doc)
+"""
+
+
+@query(DIAGNOSED + f""", cl AS (SELECT query AS grp, doc, count(*) AS m, sum(amp) AS s FROM rd GROUP BY ALL), ce AS MATERIALIZED (SELECT grp, m || '/' || round(s * 1000000)::BIGINT AS cell, count(*) AS n, sum(m) AS m, sum(s) AS s FROM cl GROUP BY grp, cell), {resampling.multinomial("ce", 30, "dw")},
+me AS (SELECT dw.grp, r, sum(w * s / dw.n) / sum(w * m / dw.n) AS m FROM dw JOIN ce ON ce.grp = dw.grp AND ce.cell = dw.cell GROUP BY dw.grp, r), en AS (SELECT grp, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM me GROUP BY grp),
+gr AS (SELECT query, 'all' AS field, NULL AS part, qd, gd, amp, doc FROM rd UNION ALL SELECT query, 'cause_family', family, qd, gd, amp, doc FROM rd UNION ALL SELECT query, 'semantic_class', class, qd, gd, amp, doc FROM rd)
+SELECT query, field, part, count(*) AS n, count(DISTINCT doc) AS n_documents, round(avg(qd) + 1e-9, 5) AS query_drift, round(avg(gd) + 1e-9, 5) AS graph_drift, round(avg(amp) + 1e-9, 5) AS amplification, round(avg(qd) / (avg(gd) + 0.05) + 1e-9, 5) AS ratio_of_means, round(any_value(low) FILTER (field = 'all') + 1e-9, 5) AS low, round(any_value(high) FILTER (field = 'all') + 1e-9, 5) AS high FROM gr LEFT JOIN en ON grp = query GROUP BY query, field, part""")
+def diagnostic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of the five diagnostic queries over all pairs, by family and by class."""
+    records = diagnostics.diagnostic_records(*derived.args(spark, sf_dir))
+    named = records.withColumnRenamed("family", "cause_family").withColumn("semantic_class", F.when(F.col("cause_family").isin("stochastic", "model"), "none").otherwise("presentation"))
+    found = diagnostics.diagnostic_summary(written(named, "diagnosed"), 30)
+    return found.withColumns({c: F.round(F.col(c) + 1e-9, 5) for c in ("query_drift", "graph_drift", "amplification", "ratio_of_means", "low", "high")})
+
+
+#: Orders as documents whose parts are concepts; entities are local numbers. Some titles, counts, ends and runs are faulty.
+MAPPED = """WITH ds AS (SELECT o_orderkey AS pos, 'd' || o_orderkey AS doc, CASE WHEN o_orderkey % 97 = 0 THEN 'x' WHEN o_orderkey % 5 = 0 THEN 'cdr_' || o_orderkey ELSE 't' || o_orderkey END AS title FROM orders),
+pt AS (SELECT l_orderkey AS pos, l_partkey AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber)) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, min(l_returnflag) AS flag FROM lineitem GROUP BY l_orderkey, l_partkey), nn AS (SELECT pos, max(n) AS n FROM pt GROUP BY pos),
+bad AS (SELECT ds.doc, CASE WHEN n IS NULL THEN 'missing' WHEN ds.pos % 97 = 0 THEN 'title' WHEN ds.pos % 101 = 0 THEN 'entity_count' END AS problem FROM ds LEFT JOIN nn USING (pos)),
+mp AS MATERIALIZED (SELECT 'd' || pos AS doc, 'd' || pos || '::e' || (k - 1) AS ent, 'p' || part AS concept, 'n' || part % 7 AS name, flag AS type FROM pt JOIN bad ON bad.doc = 'd' || pos WHERE problem IS NULL),
+nm AS (SELECT concept, 'd' AS k, doc AS v FROM mp UNION SELECT concept, 'n', name FROM mp UNION SELECT concept, 'n', 'a' || type FROM mp UNION SELECT concept, 't', type FROM mp), rg AS MATERIALIZED (SELECT concept, count(*) FILTER (k = 'd') AS n_documents, count(*) FILTER (k = 'n') AS n_names, count(*) FILTER (k = 't') AS n_types FROM nm GROUP BY concept)
+"""
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    key, text = F.col("o_orderkey"), lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    title = F.when(key % 97 == 0, "x").when(key % 5 == 0, text("cdr_", key)).otherwise(text("t", key))
+    parts = l.groupBy(F.col("l_orderkey").alias("position"), F.col("l_partkey").alias("part")).agg(F.min("l_linenumber").alias("first"), F.min("l_returnflag").alias("flag"))
+    of = parts.groupBy("position").agg(F.sort_array(F.collect_list(F.struct("first", "part", "flag"))).alias("p"))  # an order's lines
+    raw = of.select("position", F.when(F.col("position") % 5 > 0, text("t", F.col("position"))).alias("title"), F.transform("p", lambda x: text("p", x["part"])).alias("concepts"))
+    each = of.select("position", F.posexplode("p").alias("k", "x")).where((F.col("position") % 101 > 0) | (F.col("k") > 0))
+    doc = text("d", F.col("position"))
+    entities = each.select(doc.alias("document_id"), F.concat(doc, F.lit("::e"), F.col("k").cast("string")).alias("entity_id"), text("n", F.col("x.part") % 7).alias("name"), F.array(F.concat(F.lit("a"), "x.flag")).alias("aliases"), F.col("x.flag").alias("type"))
+    own = text("d", F.col("l_orderkey"))
+    ends = [F.concat(own, F.lit("::e"), (F.col("l_linenumber") - i).cast("string")) for i in (1, 0)]
+    edges = l.select(own.alias("document_id"), ends[0].alias("s"), F.when(F.col("l_linestatus") == "O", "r").otherwise("").alias("r"), ends[1].alias("o"), text("ev", F.col("l_orderkey") * 10 + F.col("l_linenumber") % 2).alias("event_id"))
+    runs = l.select(own.alias("document_id"), text("ev", F.col("l_orderkey") * 10 + F.col("l_linenumber") % 2).alias("base_event_id"), F.col("l_shipdate").alias("created_at"), F.col("l_linenumber").cast("string").alias("run_id"), F.when(F.col("l_returnflag") == "N", "ok").otherwise("failed").alias("status"))
+    return {"documents": o.select(key.alias("position"), text("d", key).alias("document_id"), title.alias("title")), "raw": raw, "entities": entities, "gold": edges.drop("event_id"), "runs": runs, "edges": edges}
+
+
+@query(MAPPED + "SELECT concept, n_documents, n_names, n_types FROM rg")
+def concept_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as global concepts: how many orders and names each has."""
+    t = _mapped(spark, sf_dir)
+    return inputs.concept_registry(inputs.concept_map(t["documents"], t["raw"], t["entities"])[0])
+
+
+@query(MAPPED + """, ed AS (SELECT 'd' || l_orderkey AS doc, 'd' || l_orderkey || '::e' || (l_linenumber - 1) AS s, CASE WHEN l_linestatus = 'O' THEN 'r' ELSE '' END AS r, 'd' || l_orderkey || '::e' || l_linenumber AS o, l_orderkey * 10 + l_linenumber % 2 AS ev FROM lineitem),
+be AS (SELECT 'd' || l_orderkey AS doc, arg_max(l_orderkey * 10 + l_linenumber % 2, (l_shipdate, l_linenumber)) AS ev FROM lineitem WHERE l_returnflag = 'N' GROUP BY l_orderkey), me AS MATERIALIZED (SELECT ed.*, a.concept IS NOT NULL AND b.concept IS NOT NULL AS whole, be.doc IS NOT NULL AS base FROM ed LEFT JOIN mp a ON a.ent = s LEFT JOIN mp b ON b.ent = ed.o LEFT JOIN be ON be.doc = ed.doc AND be.ev = ed.ev)
+SELECT (SELECT count(*) FROM ds) AS n_documents, (SELECT count(*) FROM mp) AS n_entities, (SELECT count(*) FROM rg) AS n_concepts, (SELECT count(*) FROM rg WHERE n_documents > 1) AS n_repeated_concepts, (SELECT count(DISTINCT doc) FROM mp JOIN rg USING (concept) WHERE n_documents > 1) AS n_documents_with_repeated, (SELECT count(problem) FROM bad) AS n_problems,
+(SELECT count(*) FROM ds WHERE doc NOT IN (SELECT doc FROM be)) AS n_without_base, (SELECT count(*) FROM me WHERE NOT whole) AS unmapped_gold, (SELECT count(*) FROM me WHERE base) AS base_edges, (SELECT count(*) FROM me WHERE base AND whole AND r <> '') AS mapped_base_edges, round((SELECT count(*) FILTER (whole AND r <> '') / count(*)::DOUBLE FROM me WHERE base), 6) AS mapping_rate""")
+def mapping_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the orders' gold and base edges lies between concepts."""
+    return inputs.map_inputs(**_mapped(spark, sf_dir))[3].withColumn("mapping_rate", F.round("mapping_rate", 6))
