@@ -182,6 +182,10 @@ def schema_variant(relations: Column, kind: str, renames: dict[str, str] | None
     return made[kind]()
 
 
+#: Fixed value: what a masked sentence becomes.
+MASKED = "[MASKED]"
+
+
 def sentence_variant(sentences: DataFrame, kind: str, at: int = 0, seed: int = 7) -> DataFrame:
     """(doc, place, text) with the sentence at ``at`` removed or masked, or all in digest order."""
     from pyspark.sql.window import Window as W
@@ -189,7 +193,7 @@ def sentence_variant(sentences: DataFrame, kind: str, at: int = 0, seed: int = 7
     if kind == "remove":
         return sentences.where(F.col("place") != at)
     if kind == "mask":
-        return sentences.withColumn("text", F.when(F.col("place") == at, "[MASK]").otherwise(F.col("text")))
+        return sentences.withColumn("text", F.when(F.col("place") == at, MASKED).otherwise(F.col("text")))
     order = W.partitionBy("doc").orderBy(text.digest_rank(F.lit(str(seed)), F.col("doc").cast("string"), F.col("place").cast("string")))
     return sentences.withColumn("place", F.row_number().over(order) - 1)
 

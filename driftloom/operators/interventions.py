@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.functions.text import digest_rank
+from driftloom.operators.extraction import MASKED, alias_rewrite, schema_variant
+
 # Texts of roles and tones, and the presets of candidates.
 ROLES = {
     "expert": "You are a senior knowledge-graph engineer with a PhD in NLP.",
@@ -89,3 +92,65 @@ def candidates(documents: DataFrame, sentences: DataFrame, relations: DataFrame,
     of_documents = known.select("document_id", F.explode(F.concat(F.array(*fixed, *map(switched, SCHEMAS)), dropped)).alias("x"))
     of_sentences = sentences.join(documents.select("document_id"), "document_id", "left_semi").select("document_id", F.explode(F.array(*of_sentence)).alias("x"))
     return of_documents.unionByName(of_sentences).select("document_id", "x.*")
+SENTENCES, RELATIONS = "array<struct<id:string,text:string>>", "array<struct<id:string,label:string,description:string>>"
+
+
+def _sentences_after(target: Column, operator: Column, sentences: Column, document: Column, aliases: list[tuple[str, str]], seed: int) -> Column:
+    named = lambda x, t: F.struct(x["id"].alias("id"), t.alias("text"))
+    placed = F.transform(sentences, lambda x, i: F.struct(digest_rank(F.lit(str(seed)), document.cast("string"), i.cast("string")).alias("d"), i.alias("i"), x.alias("x")))
+    return (
+        F.when(operator == "remove", F.filter(sentences, lambda x: ~x["id"].eqNullSafe(target)))
+        .when(operator == "mask", F.transform(sentences, lambda x: named(x, F.when(x["id"].eqNullSafe(target), MASKED).otherwise(x["text"]))))
+        .when(operator == "para_swap", F.transform(F.array_sort(placed), lambda p: p["x"]))
+        .when(operator == "entity_alias", F.transform(sentences, lambda x: named(x, alias_rewrite(x["text"], aliases))))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown sentence operator: "), F.coalesce(operator, F.lit("null")))).cast(SENTENCES))
+    )
+
+
+def _clauses_after(target: Column, operator: Column, clauses: Column) -> Column:
+    chosen = lambda table, default: F.coalesce(F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[target], F.lit(table[default]))
+    without = lambda name: F.filter(clauses, lambda c: ~c["id"].eqNullSafe(name))
+    clause = lambda name, t: F.array(F.struct(F.lit(name).alias("id"), t.alias("text")))
+    swap = ~target.startswith("C") & (operator != "remove")
+    return F.when(swap & (operator == "role_swap"), F.concat(clause("C0_role", chosen(ROLES, "expert")), without(F.lit("C0_role")))).when(swap & (operator == "tone"), F.concat(without(F.lit("C9_tone")), clause("C9_tone", chosen(TONES, "terse")))).otherwise(without(target))
+
+
+def _relations_after(target: Column, relations: Column, renames: dict[str, str], coarse: dict[str, str]) -> Column:
+    fixed = F.lit(None).cast(RELATIONS)
+    for kind in (*SHOWN_SCHEMAS, "with_other", "coarse"):
+        fixed = F.when(target == kind, schema_variant(relations, kind, renames, coarse)).otherwise(fixed)
+    first = F.slice(F.filter(F.transform(relations, lambda x: x["id"]), lambda i: ~i.isin("OTHER", "related_to")), 1, 3)
+    merged = F.filter(F.when(target == "ambiguous", first).otherwise(F.split(F.substring_index(target, ":", -1), ",")), lambda i: (i != "") & (i != "OTHER"))
+    text = F.concat(F.lit("Ambiguous merge of ["), F.array_join(F.transform(merged, lambda i: F.concat(F.lit("'"), i, F.lit("'"))), ", "), F.lit("]"))
+    joined = F.array(F.struct(F.lit("related_to").alias("id"), F.lit("related_to").alias("label"), text.alias("description")))
+    kept = F.filter(relations, lambda x: ~F.array_contains(merged, x["id"]) & (x["id"] != "related_to"))
+    return (
+        F.when(target.startswith("drop:"), F.filter(relations, lambda x: ~x["id"].eqNullSafe(F.regexp_extract(target, "^drop:(.*)$", 1))))
+        .when((target == "ambiguous") | target.startswith("ambiguous:"), F.concat(kept, joined))
+        .otherwise(F.coalesce(fixed, F.raise_error(F.concat(F.lit("unknown schema variant: "), F.coalesce(target, F.lit("null")))).cast(RELATIONS)))
+    )
+
+
+def applied(chosen: DataFrame, inputs: DataFrame, aliases: list[tuple[str, str]] | None = None, renames: dict[str, str] | None = None, coarse: dict[str, str] | None = None, seed: int = 7) -> DataFrame:
+    """``chosen`` candidates with the sentences, clauses and relations that their extraction gets.
+
+    ``inputs`` (document_id, sentences, clauses, relations) are arrays of (id, text), (id, text) and (id, label, description).
+    A candidate changes one of them; ``noop`` and ``model`` change none, as what they change lies outside. Targets that are not
+    there change nothing; an unknown target type, operator or schema variant raises, and so does a null one.
+    """
+    kind, target, operator = F.col("target_type"), F.col("target_id"), F.col("operator")
+    known = F.when(kind.isin("sentence", "prompt_clause", "schema", "noop", "model"), kind).otherwise(F.raise_error(F.concat(F.lit("unknown target_type: "), F.coalesce(kind, F.lit("null")))).cast("string"))
+    out = chosen.join(inputs, "document_id").withColumn("target_type", known)
+    return out.withColumns({
+        "sentences": F.when(kind == "sentence", _sentences_after(target, operator, F.col("sentences"), F.col("document_id"), aliases or [], seed)).otherwise(F.col("sentences")),
+        "clauses": F.when(kind == "prompt_clause", _clauses_after(target, operator, F.col("clauses"))).otherwise(F.col("clauses")),
+        "relations": F.when(kind == "schema", _relations_after(target, F.col("relations"), renames or {}, coarse or {})).otherwise(F.col("relations")),
+    })
+
+
+def registered_prompts(definitions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((prompt_id, name, full_prompt, clause_ids), (clause_id, prompt_id, clause_type, clause_text)) of definitions (id, name, template, clauses of (id, type, text)); equal definitions once, a prompt without a name has its id."""
+    one = definitions.select("id", "name", "template", F.coalesce("clauses", F.array().cast("array<struct<id:string,type:string,text:string>>")).alias("clauses")).distinct()
+    prompts = one.select(F.col("id").alias("prompt_id"), F.coalesce("name", "id").alias("name"), F.col("template").alias("full_prompt"), F.transform("clauses", lambda c: c["id"]).alias("clause_ids"))
+    clauses = one.select("id", F.explode("clauses").alias("c")).select(F.col("c.id").alias("clause_id"), F.col("id").alias("prompt_id"), F.coalesce("c.type", F.lit("")).alias("clause_type"), F.col("c.text").alias("clause_text"))
+    return prompts, clauses.distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.operators import diagnostics, inputs, inventory, lineage, modes, policies, statistics
+from driftloom.operators import diagnostics, inputs, interventions, inventory, lineage, modes, policies, statistics
 from driftloom.sources.store import written
 
 from . import derived, resampling
@@ -224,3 +224,26 @@ SELECT (SELECT count(*) FROM ds) AS n_documents, (SELECT count(*) FROM mp) AS n_
 def mapping_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the orders' gold and base edges lies between concepts."""
     return inputs.map_inputs(**_mapped(spark, sf_dir))[3].withColumn("mapping_rate", F.round("mapping_rate", 6))
+
+
+@query("""WITH sn AS (SELECT l_orderkey AS doc, list({'i': 's' || l_linenumber, 't': 'Part ' || l_partkey} ORDER BY l_linenumber, 'Part ' || l_partkey) AS x FROM lineitem GROUP BY l_orderkey), ca AS (SELECT l_orderkey AS doc, l_linenumber AS n, l_partkey % 9 AS k, x FROM lineitem JOIN sn ON sn.doc = l_orderkey),
+sw AS (SELECT doc, string_agg(t, '|' ORDER BY sha256('7|' || doc || '|' || (pos - 1))) AS t FROM (SELECT doc, unnest(x).t AS t, generate_subscripts(x, 1) AS pos FROM sn) GROUP BY doc)
+SELECT ca.doc || ':' || n AS intervention_id, CASE k WHEN 0 THEN array_to_string(list_transform(list_filter(x, lambda e: e.i <> 's' || n), lambda e: e.t), '|') WHEN 1 THEN array_to_string(list_transform(x, lambda e: CASE WHEN e.i = 's' || n THEN '[MASKED]' ELSE e.t END), '|') WHEN 2 THEN sw.t WHEN 3 THEN array_to_string(list_transform(x, lambda e: replace(e.t, 'Part', 'Item')), '|') ELSE array_to_string(list_transform(x, lambda e: e.t), '|') END AS sentences,
+CASE WHEN k = 4 THEN array_to_string(list_filter(['C1', 'C2', 'C3'], lambda c: c <> 'C' || n), ',') WHEN k = 5 THEN 'C1,C2,C3,C9_tone' ELSE 'C1,C2,C3' END AS clauses, CASE k WHEN 6 THEN 'A,N' WHEN 7 THEN 'R,related_to' WHEN 8 THEN 'R,N,A' ELSE 'A,N,R' END AS relations FROM ca LEFT JOIN sw ON sw.doc = ca.doc""")
+def applied_interventions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A candidate per line of an order, whose lines are sentences: what its extraction is given."""
+    l = table(spark, sf_dir, "lineitem")
+    n, k = F.col("l_linenumber").cast("string"), (F.col("l_partkey") % 9).cast("int")
+    pick = lambda *of: F.element_at(F.array(*(F.lit(x) if isinstance(x, str) else x for x in of)), k + 1)
+    own = F.concat(F.lit("s"), n)
+    chosen = l.select(
+        F.col("l_orderkey").alias("document_id"), F.concat_ws(":", F.col("l_orderkey").cast("string"), n).alias("intervention_id"), pick(*["sentence"] * 4, *["prompt_clause"] * 2, *["schema"] * 3).alias("target_type"),
+        pick(own, own, own, own, F.concat(F.lit("C"), n), "strict", "drop:R", "ambiguous:A,N", "reorder").alias("target_id"), pick("remove", "mask", "para_swap", "entity_alias", "remove", "tone", "x", "x", "x").alias("operator"),
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("l_linenumber", F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("t"))))  # an order's lines
+    given = l.groupBy(F.col("l_orderkey").alias("document_id")).agg(ordered.alias("x")).select(
+        "document_id", F.transform("x", lambda e: F.struct(F.concat(F.lit("s"), e["l_linenumber"].cast("string")).alias("id"), e["t"].alias("text"))).alias("sentences"),
+        F.array(*(F.struct(F.lit(c).alias("id"), F.lit(f"text of {c}").alias("text")) for c in ("C1", "C2", "C3"))).alias("clauses"), F.array(*(F.struct(F.lit(r).alias("id"), F.lit(r).alias("label"), F.lit("").alias("description")) for r in "ANR")).alias("relations"),
+    )
+    ids = lambda c, field, by: F.array_join(F.transform(c, lambda e: e[field]), by).alias(c)
+    return interventions.applied(chosen, given, [("Part", "Item")]).select("intervention_id", ids("sentences", "text", "|"), ids("clauses", "id", ","), ids("relations", "id", ","))

@@ -188,7 +188,7 @@ def intervention_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT conv_id AS doc, turn AS place, text FROM conversations)
-SELECT 'remove' AS kind, doc, place, text FROM t WHERE place <> 1 UNION ALL SELECT 'mask', doc, place, CASE WHEN place = 1 THEN '[MASK]' ELSE text END FROM t
+SELECT 'remove' AS kind, doc, place, text FROM t WHERE place <> 1 UNION ALL SELECT 'mask', doc, place, CASE WHEN place = 1 THEN '[MASKED]' ELSE text END FROM t
 UNION ALL SELECT 'shuffle', doc, row_number() OVER (PARTITION BY doc ORDER BY sha256('7|' || doc || '|' || place)) - 1, text FROM t""")
 def sentence_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as documents, turns as sentences: one removed, one masked, all in another order."""
