@@ -49,7 +49,8 @@ def dose_response(found: DataFrame, by: list[str], levels: int, replicates: int)
     """
     found = written(found, "panels")
     counts = found.groupBy(*by).agg(F.count("*").alias("documents"), F.count_if(F.col("reason") == "base").alias("no_base"), F.count_if(F.col("reason") == "level").alias("no_level"), F.count_if("complete").alias("complete"), F.sum("num").alias("_num"), F.sum("den").alias("_den"))
-    key = F.concat_ws("/", *(F.round(F.col(c) * 1_000_000).cast("long").cast("string") for c in ("num", "den")))
+    # Rounded twice, as sums that are the same but for the order of their terms may lie on both sides of a half.
+    key = F.concat_ws("/", *(F.round(F.round(F.col(c) * 1_000_000, 4)).cast("long").cast("string") for c in ("num", "den")))
     cells = written(found.where("complete").groupBy(*by, key.alias("cell")).agg(F.count("*").alias("n"), F.sum("num").alias("num"), F.sum("den").alias("den")), "cells")
     drawn = multinomial(cells, by, "cell", "n", replicates)
     share = F.col("w") / F.col("n")
