@@ -44,3 +44,21 @@ def test_walk_with_more_levels_than_are_kept_apart(spark):
 def test_gold_comes_from_the_same_table(spark):
     small = derived.lines(spark, DATA).where("disc <= 0.05").select("doc", F.concat(F.lit("o:"), F.col("k").cast("string")), "rel", F.concat(F.lit("p:"), F.col("part").cast("string"))).distinct()
     assert sorted(map(tuple, derived.gold(spark, DATA).collect())) == sorted(map(tuple, small.collect()))
+
+
+@pytest.mark.parametrize("name", ["query_catalogue", "catalogue_answers"])
+def test_catalogue_has_no_shuffle(spark, capsys, name):
+    assert shuffles(registry.QUERIES[name](spark, DATA), capsys) == 0
+
+
+def test_doses_at_a_half_fall_in_one_cell(spark):
+    from driftloom.operators import dose
+
+    def ends(*nums):
+        rows = [("c", i, True, None, num, 0.3) for i, num in enumerate(nums)] + [("c", 9, True, None, -0.1, 0.31), ("c", 8, True, None, 0.2, 0.29)]
+        found = spark.createDataFrame(rows, "corpus string, doc long, complete boolean, reason string, num double, den double")
+        return [(r.low, r.high) for r in dose.dose_response(found, ["corpus"], 4, 60).collect()][0]
+
+    half = 0.0262715
+    below, above = ends(half - 2e-17 * 100, half), ends(half + 2e-17 * 100, half)
+    assert below == pytest.approx(above, abs=1e-9)
