@@ -50,9 +50,9 @@ def diagnostic_records(docs: DataFrame, elements: DataFrame, families: views.Fam
     graph = drift(DIAGNOSTICS[0], docs, elements, families).withColumnRenamed("drift", "graph_drift")
     out = None
     for q in queries:
-        own = drift(q, docs, elements, families).select(F.lit(q).alias("query"), "family", "doc", F.col("drift").alias("query_drift"))
+        own = drift(q, docs, elements, families).select(F.lit(q).alias("query"), "family", "doc", F.col("drift").alias("query_drift")).join(graph, ["family", "doc"])  # before the union, which does not keep documents together
         out = own if out is None else out.unionByName(own)
-    return out.join(graph, ["family", "doc"]).withColumn("amplification", views.amplification(F.col("query_drift"), F.col("graph_drift")))
+    return out.withColumn("amplification", views.amplification(F.col("query_drift"), F.col("graph_drift")))
 
 
 def diagnostic_summary(records: DataFrame, replicates: int) -> DataFrame:

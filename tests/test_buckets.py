@@ -62,3 +62,10 @@ def test_doses_at_a_half_fall_in_one_cell(spark):
     half = 0.0262715
     below, above = ends(half - 2e-17 * 100, half), ends(half + 2e-17 * 100, half)
     assert below == pytest.approx(above, abs=1e-9)
+
+
+def test_components_and_diagnostics_have_no_shuffle(spark, capsys):
+    from driftloom.operators import diagnostics
+
+    assert shuffles(registry.QUERIES["component_change"](spark, DATA), capsys) == 0
+    assert shuffles(diagnostics.diagnostic_records(*derived.args(spark, DATA)), capsys) == 0
