@@ -170,3 +170,43 @@ def test_interval_is_that_of_resampled_rows(spark):
     low, high = np.percentile([values[rng.integers(0, 400, 400)].mean() for _ in range(4000)], [2.5, 97.5])
     assert got["g"].n == 400 and abs(got["g"].mean - values.mean()) < 1e-9 and abs(got["g"].low - low) < 0.03 and abs(got["g"].high - high) < 0.03
     assert (got["h"].mean, got["h"].low, got["h"].high) == (2.5, 2.5, 2.5)
+
+
+def test_pairs_of_a_common_node_are_not_written(spark, monkeypatch):
+    rows, written = [], cohort.written
+    monkeypatch.setattr(cohort, "written", lambda df, *a: (t := written(df, *a), rows.append(t.count()))[0])
+    edges = spark.createDataFrame([(i, "hub", "CID", f"t{i}") for i in range(300)], "doc long, s string, r string, o string")
+    found = cohort.build_cohort(edges, "x").collect()
+    assert max(rows) <= 300  # there are 44,850 pairs
+    gold = {i: {("hub", "CID", f"t{i}", i)} for i in range(300)}
+    order = sorted((hashlib.sha256(json.dumps(["x", str(a), str(b), "cohort-rank"], separators=(",", ":")).encode()).hexdigest(), a, b) for a, b in combinations(gold, 2))
+    used, want = set(), set()
+    for rank, a, b in order:
+        if not {a, b} & used:
+            used |= {a, b}
+            want.add((a, b, rank))
+    assert {(r.doc_a, r.doc_b, r["rank"]) for r in found} == want
+
+
+def test_records_of_packets_shuffle_no_answers(spark, capsys):
+    from driftloom.plans import registry
+
+    registry.load()
+    for name in ("cross_document_records", "cross_document_quality"):
+        frame = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        capsys.readouterr()
+        frame.explain()
+        assert capsys.readouterr().out.count("Exchange hashpartitioning") <= 1  # the packets themselves
+
+
+def test_masks_say_the_same_as_conditions(spark):
+    rng = random.Random(5)
+    rows = sorted({(rng.choice("pq"), rng.choice(["gold", "ab", "ba"]), f"h{rng.randrange(3)}", "CID", f"t{rng.randrange(4)}", rng.choice("xy")) for _ in range(60)})
+    frame = spark.createDataFrame(rows, "packet string, condition string, s string, r string, o string, source string")
+    masks = cohort.condition_masks(frame, ["gold", "ab", "ba"])
+    for shape in cohort.SHAPES:
+        want = {}
+        for r in cohort.packet_answers(frame, ["condition"]).where(F.col("shape") == shape).collect():
+            want.setdefault((r.packet, r.key, r.x, r.y), set()).add(r.condition)
+        got = {(r.packet, r.key, r.x, r.y): {c for i, c in enumerate(["gold", "ab", "ba"]) if r.mask >> i & 1} for r in cohort.answer_masks(masks, shape).collect()}
+        assert got == want and want
