@@ -210,3 +210,12 @@ def test_masks_say_the_same_as_conditions(spark):
             want.setdefault((r.packet, r.key, r.x, r.y), set()).add(r.condition)
         got = {(r.packet, r.key, r.x, r.y): {c for i, c in enumerate(["gold", "ab", "ba"]) if r.mask >> i & 1} for r in cohort.answer_masks(masks, shape).collect()}
         assert got == want and want
+
+
+def test_draws_broadcast_no_cells_and_spread_the_walks(spark, capsys):
+    frame = spark.createDataFrame([("g", f"c{i}", 1 + i % 3) for i in range(200)], "g string, cell string, n long")
+    capsys.readouterr()
+    statistics.multinomial(frame, ["g"], "cell", "n", 3).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("BroadcastExchange") <= 1  # a row per group
+    assert "REPARTITION_BY_NUM" in plan
