@@ -31,6 +31,17 @@ def answering_pairs(edges: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def pairs_on_heads(edges: DataFrame, head: str, tail: str, partitions: int) -> DataFrame:
+    """(doc_a, doc_b, n_heads): documents with different tails at one head, and at how many heads; ``edges`` (doc, head, tail) are different ones.
+
+    A head's pairs are made different where the head is, and counted in ``partitions`` tasks; a number that follows the
+    input keeps the memory of a task.
+    """
+    a, b = (edges.select(head, F.col("doc").alias(f"doc_{x}"), F.col(tail).alias(f"_{x}")) for x in "ab")
+    each = a.join(b, head).where("doc_a < doc_b and _a <> _b").select(head, "doc_a", "doc_b").distinct()
+    return each.select("doc_a", "doc_b").repartition(partitions, "doc_a", "doc_b").groupBy("doc_a", "doc_b").agg(F.count("*").alias("n_heads"))
+
+
 def canonical_list(*values: Column | str) -> Column:
     """SHA-256 of the values as a JSON list of strings."""
     return F.sha2(F.to_json(F.array(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in values))), 256)

@@ -219,3 +219,14 @@ def test_draws_broadcast_no_cells_and_spread_the_walks(spark, capsys):
     plan = capsys.readouterr().out
     assert plan.count("BroadcastExchange") <= 1  # a row per group
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_pairs_on_heads_are_counted_in_as_many_tasks_as_asked(spark):
+    rows = [(d, f"p{p}", f"s{(d * p) % 3}") for d in range(30) for p in range(5)] + [(1, "p1", "other")]
+    found = cohort.pairs_on_heads(spark.createDataFrame(rows, "doc long, part string, supp string"), "part", "supp", 37)
+    heads = {}
+    for (a, p, s), (b, q, t) in combinations(sorted(rows), 2):
+        if a != b and p == q and s != t:
+            heads.setdefault((a, b), set()).add(p)
+    assert {(r.doc_a, r.doc_b): r.n_heads for r in found.collect()} == {k: len(v) for k, v in heads.items()}
+    assert found.select(F.spark_partition_id()).distinct().count() > 20  # the session has 4
