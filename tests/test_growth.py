@@ -31,3 +31,7 @@ def test_pairs_across_documents_are_not_shuffled(spark, capsys, shape):
     want = {(p, k, *sorted((x, y))) for (p, k), of in held.items() for (x, a), (y, b) in combinations(of, 2) if x != y and a != b}
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert shown.count("Exchange hashpartitioning") == 2 and "Aggregate" not in shown.split("Join")[0]
+
+
+def test_quality_against_gold_has_no_shuffle(spark, capsys):
+    assert "Exchange hashpartitioning" not in plan(registry.QUERIES["extraction_quality"](spark, DATA), capsys)
