@@ -3,9 +3,11 @@
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
-from driftloom.operators import graph_queries
+from driftloom.operators import graph_queries, views
 from driftloom.plans import registry
+from driftloom.sources.store import written
 
 DATA = "/root/testdata/sf0.001"
 registry.load()
@@ -35,3 +37,11 @@ def test_pairs_across_documents_are_not_shuffled(spark, capsys, shape):
 
 def test_quality_against_gold_has_no_shuffle(spark, capsys):
     assert "Exchange hashpartitioning" not in plan(registry.QUERIES["extraction_quality"](spark, DATA), capsys)
+
+
+def test_levels_of_a_walk_stay_in_their_buckets(spark, capsys):
+    edges = written(spark.createDataFrame([(d, f"n{i}", "r", f"n{i + 1}", 1) for d in range(3) for i in range(4)], "doc long, s string, r string, o string, mask long"), "walk", (3, "doc"))
+    found = views.distances(edges, edges.where("s = 'n0'").select("doc", F.col("s").alias("source")), buckets=(3, "doc"))
+    assert {tuple(r) for r in found.select("doc", "node", "hops").collect()} == {(d, f"n{i}", i) for d in range(3) for i in range(5)} and found.count() == 15
+    shown = plan(found.groupBy("doc", "source").count(), capsys)
+    assert "Exchange" not in shown and "SelectedBucketsCount: 3 out of 3" in shown
