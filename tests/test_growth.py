@@ -1,5 +1,6 @@
 """What is shuffled follows the edges, not the pairs or answers that come of them."""
 
+from hashlib import sha256
 from itertools import combinations
 
 import pytest
@@ -45,3 +46,33 @@ def test_levels_of_a_walk_stay_in_their_buckets(spark, capsys):
     assert {tuple(r) for r in found.select("doc", "node", "hops").collect()} == {(d, f"n{i}", i) for d in range(3) for i in range(5)} and found.count() == 15
     shown = plan(found.groupBy("doc", "source").count(), capsys)
     assert "Exchange" not in shown and "SelectedBucketsCount: 3 out of 3" in shown
+
+
+def graph(spark, docs=6, nodes=12, edges=40):
+    """Rows of random edges (doc, s, r, o, mask) of two views, and the frame."""
+    rows, seed = {}, 7
+    for d in range(docs):
+        for _ in range(edges * (d + 1) // docs):
+            seed = (seed * 1103515245 + 12345) % (1 << 31)
+            rows[d, f"n{seed // 8 % nodes}", f"r{seed // 97 % 2}", f"n{seed // 1031 % nodes}"] = 1 + seed // 64 % 3
+    rows = [(*k, m) for k, m in rows.items()]
+    return rows, spark.createDataFrame(rows, "doc long, s string, r string, o string, mask long")
+
+
+@pytest.mark.parametrize("ahead", [0.02, 0.5, 1e9])
+def test_documents_with_too_few_pairs_below_the_cut_are_done_again(spark, ahead):
+    rows, elements = graph(spark)
+    want = {}
+    for doc in {r[0] for r in rows}:
+        pairs = []
+        for bit in (1, 2):
+            next_to = {}
+            for d, s, _, o, m in rows:
+                if d == doc and m & bit and s != o:
+                    next_to.setdefault(s, set()).add(o)
+                    next_to.setdefault(o, set()).add(s)
+            pairs.append({(a, b) for a in next_to for m in next_to[a] for b in next_to[m] | {m} if a < b})
+        asked = sorted(pairs[0], key=lambda p: sha256("|".join(p).encode()).hexdigest())[:10]
+        want[doc] = sum(p in pairs[1] for p in asked) / len(asked) if asked else 1.0
+    found = views.path_preservation(elements.select("doc").distinct(), elements, ("f",), 10, ahead)
+    assert {r.doc: r.preserved for r in found.collect()} == pytest.approx(want)
