@@ -76,3 +76,9 @@ def test_documents_with_too_few_pairs_below_the_cut_are_done_again(spark, ahead)
         want[doc] = sum(p in pairs[1] for p in asked) / len(asked) if asked else 1.0
     found = views.path_preservation(elements.select("doc").distinct(), elements, ("f",), 10, ahead)
     assert {r.doc: r.preserved for r in found.collect()} == pytest.approx(want)
+
+
+def test_nodes_alike_in_all_views_are_one_row(spark):
+    rows = [(1, f"h{i % 3}", "r", f"t{i}", 3) for i in range(300)]
+    few = views.alike(spark.createDataFrame(rows, "doc long, s string, r string, o string, mask long"), ("f",))
+    assert {(r.b, r.c0, r.n) for r in few.collect()} == {(100, 100, 3), (1, 1, 300)}
