@@ -82,3 +82,13 @@ def test_nodes_alike_in_all_views_are_one_row(spark):
     rows = [(1, f"h{i % 3}", "r", f"t{i}", 3) for i in range(300)]
     few = views.alike(spark.createDataFrame(rows, "doc long, s string, r string, o string, mask long"), ("f",))
     assert {(r.b, r.c0, r.n) for r in few.collect()} == {(100, 100, 3), (1, 1, 300)}
+
+
+@pytest.mark.parametrize("k", [0, 1, 3, 50])
+def test_nodes_that_others_exceed_in_every_view_are_not_ranked(spark, k):
+    rows = [(d, f"n{i:02}", (i * 7 + d) % 11 or None, (i * 5) % 13 or None, None if d == 2 else (i * 3) % 5) for d in range(3) for i in range(30)]
+    counted = spark.createDataFrame(rows, "doc long, node string, b long, c0 long, c1 long")
+    want = {(f, d, n, i + 1) for d in range(3) for j, f in enumerate(("base", "x", "y")) for i, (_, n) in enumerate(sorted((-r[j + 2], r[1]) for r in rows if r[0] == d and r[j + 2] is not None)[:k])}
+    assert {(r.family, r.doc, r.node, r["rank"]) for r in views.top_nodes(counted, ("x", "y"), k).collect()} == want
+    few = spark.createDataFrame([(1, f"n{i}", 9, 8) if i < 5 else (1, f"n{i}", 1, 2) for i in range(60)], "doc long, node string, b long, c0 long")
+    assert views.leading(few, [F.col("b"), F.col("c0")], 5).count() == 5
