@@ -92,3 +92,13 @@ def test_nodes_that_others_exceed_in_every_view_are_not_ranked(spark, k):
     assert {(r.family, r.doc, r.node, r["rank"]) for r in views.top_nodes(counted, ("x", "y"), k).collect()} == want
     few = spark.createDataFrame([(1, f"n{i}", 9, 8) if i < 5 else (1, f"n{i}", 1, 2) for i in range(60)], "doc long, node string, b long, c0 long")
     assert views.leading(few, [F.col("b"), F.col("c0")], 5).count() == 5
+
+
+def test_recall_of_two_models_needs_no_join_with_gold(spark, capsys):
+    from driftloom.plans import derived
+
+    docs, elements, families = derived.args(spark, DATA)
+    own, marked = views.renamed(elements, derived.RENAMED), derived.edges(spark, DATA).withColumn("r", derived.own_name(F.col("r"))).groupBy("doc", "s", "r", "o").agg(F.bit_or("mask").alias("mask"), F.max("gold").alias("gold"))
+    joined, counted = views.gold_recall(docs, own, derived.gold(spark, DATA), families, ["s", "r", "o"]), views.marked_recall(docs, marked, families)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, counted.collect()))
+    assert plan(counted, capsys).count("Join") < plan(joined, capsys).count("Join")
