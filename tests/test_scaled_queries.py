@@ -5,7 +5,7 @@ import random
 import pytest
 
 from driftloom.operators import graph_queries, views
-from driftloom.plans import registry
+from driftloom.plans import extractions, registry
 from driftloom.sources.store import written
 
 DATA = "/root/testdata/sf0.001"
@@ -18,6 +18,13 @@ def shuffles(frame, capsys):
     return capsys.readouterr().out.count("Exchange hashpartitioning")
 
 
+def test_toolchain_edges_and_audit_are_not_shuffled(spark, capsys):
+    edges, audit = extractions._canonical(spark, DATA)
+    assert shuffles(edges, capsys) == 0 and shuffles(audit, capsys) == 0
+    want = {tuple(r) for r in edges.collect()}
+    assert {tuple(r) for r in extractions._tool_edges(spark, DATA).select(*edges.columns).collect()} == want
+
+
 def test_elements_of_runs_stay_where_their_documents_lie(spark, capsys):
     edges = written(spark.createDataFrame([(d, f"{e}{d}", f"s{i}", "r", "o") for d in range(4) for e in "bxy" for i in range(3 if e == "b" else d)], "at long, event_id string, s string, r string, o string"), "edges", (3, "at"))
     runs = written(spark.createDataFrame([(d, f"{e}{d}", f"b{d}", f"{e}{d}") for d in range(4) for e in "xy"] + [(0, "z0", "b0", "b0")], "at long, run_id string, base_event_id string, cf_event_id string"), "runs", (3, "at"))
